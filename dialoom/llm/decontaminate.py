@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,21 +94,43 @@ class Tests:
         return {i: np.array(sorted(v)) for i, v in found.items()}
 
 
+def shares(batch: pa.RecordBatch, tests: Tests) -> Iterator[tuple[int, int, float]]:
+    """(row, item index, covered share of the item's words) for each row and item that share a seed."""
+    words, starts = word_hashes(batch.column("text"))
+    for i, places in tests.hits(words).items():
+        owner, width, test = np.searchsorted(starts, places, side="right") - 1, int(tests.width[i]), tests.item(i)
+        inside = places + width <= starts[owner + 1]
+        for row in np.unique(owner[inside]):
+            own = places[inside & (owner == row)] - starts[row]
+            found = tiles(test, words[starts[row] : starts[row + 1]], width, own)
+            yield int(row), i, sum(n for _, _, n in found) / len(test)
+
+
 def tiled(batches: Iterator[pa.RecordBatch], tests: Tests) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, item_id, coverage) for each document and item that share a seed."""
+    """(doc_id, text) to (doc_id, item_id, coverage)."""
+    for batch in slices(batches):
+        rows, items, covered = zip(*found, strict=True) if (found := list(shares(batch, tests))) else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([tests.ids[i] for i in items], pa.int64()), pa.array(covered, pa.float64())],
+            ["doc_id", "item_id", "coverage"],
+        )
+
+
+def clean(batches: Iterator[pa.RecordBatch], tests: Tests, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows that cover less than `threshold` of every item."""
     for batch in slices(batches):
-        words, starts = word_hashes(batch.column("text"))
-        rows, items, shares = [], [], []
-        for i, places in tests.hits(words).items():
-            owner = np.searchsorted(starts, places, side="right") - 1
-            width = int(tests.width[i])
-            inside = places + width <= starts[owner + 1]
-            for row in np.unique(owner[inside]):
-                own = places[inside & (owner == row)] - starts[row]
-                test = tests.item(i)
-                covered = sum(n for _, _, n in tiles(test, words[starts[row] : starts[row + 1]], width, own))
-                rows.append(int(row)), items.append(tests.ids[i]), shares.append(covered / len(test))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], ["doc_id", "item_id", "coverage"])
+        bad = {row for row, _, share in shares(batch, tests) if share >= threshold}
+        yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+
+
+def blocks(benchmark: DataFrame, least: int) -> Iterator[Broadcast]:
+    """The benchmark as broadcast Tests, in as many blocks as keep each at about BLOCK_WORDS words."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    total = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
+    count = int(total // BLOCK_WORDS) + 1
+    for k in range(count):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Tests([r["item_id"] for r in rows], [r["text"] for r in rows], least))
 
 
 def coverages(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
@@ -116,17 +140,9 @@ def coverages(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFram
     The documents' seeds are joined with the items' in the tasks that read them. Only a benchmark block of at most
     BLOCK_WORDS words is broadcast at a time; a larger benchmark is a union over blocks.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    sized = items.withColumn("words", F.size(F.split("text", r"\W+")))
-    total = sized.agg(F.sum("words")).first()[0] or 0
-    blocks = int(total // BLOCK_WORDS) + 1
-    found = None
-    for k in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        tests = docs.sparkSession.sparkContext.broadcast(Tests([r["item_id"] for r in rows], [r["text"] for r in rows], least))
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it, t=tests: tiled(it, t.value), "doc_id long, item_id long, coverage double")
-        found = part if found is None else found.union(part)
-    return found
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = [texts.mapInArrow(lambda it, t=tests: tiled(it, t.value), "doc_id long, item_id long, coverage double") for tests in blocks(benchmark, least)]
+    return reduce(DataFrame.union, found)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.6) -> DataFrame:
@@ -141,6 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshol
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.6) -> DataFrame:
-    """docs without the documents that hold at least `threshold` of a benchmark item; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, least, threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """docs without the rows whose text holds at least `threshold` of a benchmark item, in one pass without a shuffle."""
+    for tests in blocks(benchmark, least):
+        docs = docs.mapInArrow(lambda it, t=tests: clean(it, t.value, threshold), docs.schema)
+    return docs
