@@ -21,32 +21,67 @@ RANK_ROWS = 5_000
 ODD = r"[\x00-\x08\x0e-\x1f\x7f]|<\|startoftext\|>|<\|endoftext\|>"
 
 
+#: Digits are words of one character each, some apostrophes begin a word, and an empty part has none.
+SPLIT_WORDS = r"[\p{N}']|^$"
+
+
+def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `flat` that `index` names, one after another, and their sizes; size: of each run in flat."""
+    begin, size = (np.cumsum(size) - size)[index], size[index]
+    return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
+
+
 class WordEncoder:
-    """Token ids of whole texts for a vocabulary whose tokens never cross white space.
+    """Token ids of whole texts for a vocabulary whose tokens never cross white space and mark ends of words.
 
     Each white-space separated part is encoded once and kept in a bounded cache of the worker, as ids in one pool.
-    Texts with added tokens or control characters are encoded whole.
+    A new part falls into runs of letters and of punctuation, which are encoded many at a time and told apart by
+    their last tokens. Texts with added tokens or control characters are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
         self.begin, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.slot) + len(words) > CACHED_WORDS:
-            self.clear()
+    def many(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of runs that are one word to the tokenizer each, and how many ids each has."""
+        joined = [" ".join(runs[i : i + 500]) for i in range(0, len(runs), 500)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))])
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) == len(runs):
+            return ids, np.diff(np.concatenate(([-1], ends)))
+        return self.each(runs)
+
+    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As many(), for any words."""
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
-        self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size
+
+    def learn(self, words: pa.Array) -> None:
+        """Adds words that the cache doesn't hold."""
+        split = pc.match_substring_regex(words, SPLIT_WORDS)  # cut within runs: encoded one by one
+        plain, rest = words.filter(pc.invert(split)), words.filter(split)
+        runs = pc.split_pattern(pc.ascii_trim(pc.replace_substring_regex(plain, r"([^\s\p{L}\p{N}]+)", r" \1 "), " "), " ")
+        coded = runs.flatten().dictionary_encode()
+        ids, size = self.many(coded.dictionary.to_pylist())
+        ids, size = gather(ids, size, coded.indices.to_numpy(zero_copy_only=False))
+        counts = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
+        sizes = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=size, minlength=len(counts)).astype(np.int64)
+        more, lengths = self.each(rest.to_pylist()) if len(rest) else (ids[:0], sizes[:0])
+        ids, sizes = np.concatenate((ids, more)), np.concatenate((sizes, lengths))
+        self.slot.update(zip(plain.to_pylist() + rest.to_pylist(), range(len(self.slot), len(self.slot) + len(words)), strict=True))
+        self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.pool = np.concatenate((self.pool, ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and where each text's begin."""
@@ -56,12 +91,12 @@ class WordEncoder:
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.slot]
-        if len(self.slot) + len(new) > CACHED_WORDS:
+        new = np.fromiter((w not in self.slot for w in words), bool, len(words))
+        if len(self.slot) + new.sum() > CACHED_WORDS:
             self.clear()
-            new = words
-        self.learn(new)
-        slots = np.fromiter((self.slot[w] for w in words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+            new[:] = True
+        self.learn(coded.dictionary.filter(pa.array(new)))
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
         size = self.size[slots]
         ids = self.pool[np.repeat(self.begin[slots] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         lengths = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=size, minlength=len(counts)).astype(np.int64)
