@@ -2,22 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import near_dup
+from dialoom.llm import decontaminate, line_dedup, near_dup, packing
+from dialoom.llm import toxicity as toxic
 from dialoom.llm.common import materialize
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar rejects go."""
+    return toxic.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go; every document stays."""
+    return line_dedup.dedup_lines(docs)
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return near_dup.keep_one_of_each(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", dedup_lines),
     ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack),
 ]
 
-#: The toxicity score is a trained grammar and packing a dynamic program; SQL expresses neither.
+#: SQL expresses neither the trained grammar, the signatures, the tiling nor the bin packing.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_GAP = r"[^\p{L}\p{N}\p{M}]+"
@@ -121,3 +121,48 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.nda
 def as_lists(flat: np.ndarray, starts: np.ndarray) -> pa.Array:
     """A list<int64> array from flat 64-bit values and list starts."""
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat.view(np.int64)))
+
+
+#: Bits of a member filter: 16 for each member up to this many bits (8 MB), when false hits become common.
+FILTER_BITS = 1 << 26
+
+
+def place(ids: list[np.ndarray]) -> np.ndarray:
+    """One hash of each row of one or more integer columns."""
+    out = np.zeros(len(ids[0]), np.uint64)
+    for x in ids:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.int64).view(np.uint64))
+    return out
+
+
+class MemberFilter:
+    """A lossy set of rows of integers, of bounded size: `holds` is true for every member and few others."""
+
+    def __init__(self, members: DataFrame):
+        """members: columns of integers without nulls."""
+        count = members.count()
+        self.bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (16 * count).bit_length()))
+        bits = self.bits
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(place([c.to_numpy(zero_copy_only=False) for c in batch.columns]) & np.uint64(bits - 1))
+                value = np.uint64(1) << (at & np.uint64(63))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(value.view(np.int64))], ["word", "bit"])
+
+        table = members.mapInArrow(words, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.table = np.zeros(bits // 64, np.uint64)
+        self.table[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+
+    def holds(self, ids: list[np.ndarray]) -> np.ndarray:
+        at = place(ids) & np.uint64(self.bits - 1)
+        return (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def could_match(threshold: float) -> Column:
+    """Length and positional filters of a set-similarity join: whether two sets x and y of `size` elements, in one
+    order, that share the element at the 0-based places x.pos and y.pos can have the threshold's Jaccard similarity."""
+    need = F.expr(f"{threshold} / (1 + {threshold}) * (x.size + y.size) - 1e-9")
+    return (F.expr(f"least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9")) & (
+        F.expr("least(x.pos, y.pos) + least(x.size - x.pos, y.size - y.pos)") >= need
+    )
