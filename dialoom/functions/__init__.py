@@ -1 +1 @@
-"""functions"""
+"""Column functions and the word lists they use."""

@@ -1 +1 @@
-"""operators"""
+"""Operators, each a function of DataFrames."""

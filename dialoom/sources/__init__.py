@@ -1 +1 @@
-"""sources"""
+"""Readers, writers and adapters of tables."""
