@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: Rows per rank group: the ranks of pieces of one length are counted in this many rows at a time, on average.
 RANK_ROWS = 5_000
 #: Added tokens are matched before white space is split; control characters are split differently by Arrow.
@@ -87,7 +87,7 @@ class WordEncoder:
         """Flat ids of all texts and where each text's begin."""
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        parts = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", pc.utf8_lower(texts)))
+        parts = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", pc.ascii_lower(texts)))
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()

@@ -132,7 +132,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to (feature, toxic, other): in how many texts of each kind a word or stem occurs."""
-    for batch in slices(batches):
+    for batch in slices(batches, 2 << 20):
         toxic, other = Counter(), Counter()
         words, starts = word_lists(batch.column("text"))
         values = words.to_pylist()
