@@ -21,8 +21,9 @@ RANK_ROWS = 5_000
 ODD = r"[\x00-\x08\x0e-\x1f\x7f]|<\|startoftext\|>|<\|endoftext\|>"
 
 
-#: Digits are words of one character each, some apostrophes begin a word, and an empty part has none.
-SPLIT_WORDS = r"[\p{N}']|^$"
+#: Digits are words of one character each, some apostrophes begin a word, marks may join the letter before, and an
+#: empty part has no word.
+SPLIT_WORDS = r"[\p{N}\p{M}']|^$"
 
 
 def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
