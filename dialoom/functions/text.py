@@ -205,16 +205,18 @@ def line_split(lengths: Column, most: int = 34) -> Column:
     """How many words the first of two caption lines takes: the cheapest split by overflow (20 a character), uneven
     lines and a word alone (3); the first of equals. lengths: of the words, three or more."""
 
-    sums = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    def cost(sums: Column, k: Column) -> Column:
-        n = F.size(lengths)
+    def cost(sums: Column, n: Column, k: Column) -> Column:
         a = F.element_at(sums, k + 1) + k - 1
         b = F.element_at(sums, n + 1) - F.element_at(sums, k + 1) + n - k - 1
         over = F.greatest(F.lit(0), a - most) + F.greatest(F.lit(0), b - most)
         alone = F.when(F.least(k, n - k) == 1, 3).otherwise(0)
         return F.struct((over * 20 + F.abs(a - b) + alone).alias("cost"), k.alias("k"))
 
-    # the sums are bound once as the only element of an array
-    best = F.transform(F.array(sums), lambda s: F.array_min(F.transform(F.sequence(F.lit(1), F.size(lengths) - 1), lambda k: cost(s, k))))
-    return F.when(F.size(lengths) > 2, F.get(best, F.lit(0))["k"])
+    def best(sums: Column) -> Column:
+        n = F.size(sums) - 1
+        return F.when(n > 2, F.array_min(F.transform(F.sequence(F.lit(1), n - 1), lambda k: cost(sums, n, k)))["k"])
+
+    # running sums, bound once as the only element of an array
+    sums = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    return F.get(F.transform(F.array(sums), best), F.lit(0))

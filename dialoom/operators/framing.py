@@ -119,6 +119,42 @@ def camera_lock(centers: DataFrame, hold: int = 2, step: float = 0.12) -> DataFr
     return centers.groupBy("clip").applyInPandas(walk, "clip long, window long, track int, x double, state string")
 
 
+def glide(windows: DataFrame, span: int = 2) -> DataFrame:
+    """windows(clip, window, track, x, state): where the track changes, the next `span` centers move over from the one
+    before, later windows starting from what earlier ones were given."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("window").reset_index(drop=True)
+        x, track = pdf["x"].tolist(), pdf["track"].tolist()
+        for i in range(1, len(x)):
+            if track[i] != track[i - 1]:
+                start, n = x[i - 1], min(span, len(x) - i)
+                for k in range(n):
+                    share = (k + 1) / (n + 1)
+                    x[i + k] = start * (1 - share) + x[i + k] * share
+        return pdf.assign(x=[round(v, 6) for v in x])[["clip", "window", "track", "x", "state"]]
+
+    return windows.groupBy("clip").applyInPandas(walk, "clip long, window long, track int, x double, state string")
+
+
+def merged_windows(windows: DataFrame, near: float = 0.02) -> DataFrame:
+    """Neighbouring windows of one track and state whose centers are at most `near` apart as one (clip, first, last,
+    track, x), x the mean weighted by length."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for r in pdf.sort_values("window").itertuples(index=False):
+            last = out[-1] if out else None
+            if last and r.window == last[2] + 1 and r.track == last[3] and r.state == last[5] and abs(r.x - last[4]) <= near:
+                n = last[2] - last[1] + 1
+                last[2], last[4] = r.window, (last[4] * n + r.x) / (n + 1)
+            else:
+                out.append([r.clip, r.window, r.window, r.track, r.x, r.state])
+        return pd.DataFrame([(*o[:4], round(o[4], 6)) for o in out], columns=["clip", "first", "last", "track", "x"])
+
+    return windows.groupBy("clip").applyInPandas(walk, "clip long, first long, last long, track int, x double")
+
+
 def speaker_zones(speakers: DataFrame, width: int, height: int) -> DataFrame:
     """speakers(source_id, speaker), named ones only, with the crop zone of each in alphabetical order: the middle half
     for one, halves for two, thirds for three or more; later ones get the middle half."""

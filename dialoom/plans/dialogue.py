@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
-from ..operators import captions, grouping, packaging, pauses, ranking, story, turns
+from ..operators import captions, grouping, intervals, packaging, pauses, ranking, signals, story, turns
 from ..sources.adapters import segments
-from .registry import BLOCKS, TURN_TYPE, TURNS, cascade, hits, listed, query, score, squeezed
+from .registry import BLOCKS, SEGMENTS, TURN_TYPE, TURNS, cascade, hits, listed, query, score, squeezed
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,3 +258,79 @@ def pacing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = t.groupBy("source_id").agg((F.max("end_ms") - F.min("start_ms")).alias("original_ms"), F.sum("duration_ms").alias("output_ms"), F.avg(text.lexicon_score(F.col("text"), lexicons.HOOK)).alias("hook"))
     clips = clips.select("*", *(F.lit(0.5).alias(c) for c in ("flow", "interest", "context", "quality")))
     return pauses.pacing(timeline, clips)
+
+
+HOLDS = "len(list_filter({words}, lambda w: contains(lower({text}), w))) > 0"
+
+
+def holds(said: str, words: tuple[str, ...]) -> str:
+    return HOLDS.format(words=listed(words), text=said)
+
+
+@query(
+    rf"""WITH {SEGMENTS}, g AS (SELECT source_id, count(*) AS n, {squeezed("string_agg(text, ' ' ORDER BY seg_idx)")} AS full_, trim(arg_min(text, seg_idx)) AS first_text, trim(arg_max(text, seg_idx)) AS last_text, arg_min(start_ms, seg_idx) AS at_ms FROM seg GROUP BY source_id),
+    w AS (SELECT *, regexp_extract_all(lower(full_), '[A-Za-zЀ-ӿ0-9'']+') AS words, least(1.0, n / 4.0) AS ex,
+      CASE WHEN length(regexp_replace(full_, '[^?]', '', 'g')) > 0 AND n >= 2 AND NOT last_text LIKE '%?' THEN least(1.0, length(regexp_replace(full_, '[^?]', '', 'g')) * 0.35) ELSE 0.0 END AS bonus FROM g),
+    h AS (SELECT *, least(1.0, len(list_filter(words, lambda w: list_contains({listed(signals.EMOTIONS)}, w))) / 3.0) AS emotion,
+      CASE WHEN first_text = '' THEN 0.0 ELSE least(1.0, 0.30 + CASE WHEN at_ms <= 350 THEN 0.22 ELSE 0.0 END + CASE WHEN {holds('first_text', ('?', *signals.QUESTIONS))} THEN 0.18 ELSE 0.0 END
+        + CASE WHEN {holds('first_text', signals.EMOTIONS)} THEN 0.18 ELSE 0.0 END + CASE WHEN length(first_text) <= 48 THEN 0.12 ELSE 0.0 END) END AS hook,
+      least(1.0, ex * 0.48 + least(1.0, len(words) / 22.0) * 0.24 + least(1.0, n / 3.0) * 0.28) AS dev,
+      least(1.0, CASE WHEN regexp_matches(last_text, '[.!?]$') THEN 0.55 ELSE 0.18 END + bonus * 0.25 + CASE WHEN {holds('full_', signals.PAYOFFS)} THEN 0.20 ELSE 0.0 END) AS clo FROM w)
+    SELECT source_id, round(ex, 4) AS dialogue_exchange_score, round(bonus, 4) AS question_answer_bonus, round(emotion, 4) AS emotion_signal, round(hook, 4) AS hook_score, round(dev, 4) AS development_score, round(clo, 4) AS closure_score,
+      round(least(1.0, ex * 0.18 + bonus * 0.16 + emotion * 0.14 + hook * 0.20 + dev * 0.14 + clo * 0.18), 4) AS interestingness_score, coalesce(list_contains({listed(signals.CONNECTORS)}, words[1]), false) OR at_ms > 550 AS starts_mid_phrase,
+      regexp_matches(last_text, '[.!?]$') AS line_like_closure, length(full_) AS text_length FROM h"""
+)
+def story_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.story_signals(segments(spark, sf_dir)).drop("subtitle_quality_score")
+
+
+@query()
+def subtitle_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.story_signals(segments(spark, sf_dir)).select("source_id", "subtitle_quality_score")
+
+
+@query(
+    f"""WITH {TURNS}, t AS (SELECT source_id, max(end_ms) AS total_ms FROM turns GROUP BY source_id),
+    w AS (SELECT source_id, s AS start_ms, least(total_ms, s + 35000) AS end_ms FROM (SELECT source_id, total_ms, unnest(range(0, total_ms, 10000)) AS s FROM t)),
+    m AS (SELECT w.source_id, w.start_ms, w.end_ms, count(turns.start_ms) AS turn_count, coalesce(sum(least(turns.end_ms, w.end_ms) - turns.start_ms), 0)::BIGINT AS speech_ms
+      FROM w LEFT JOIN turns ON w.source_id = turns.source_id AND turns.start_ms >= w.start_ms AND turns.start_ms < w.end_ms GROUP BY ALL)
+    SELECT *, round(least(1.0, speech_ms / (end_ms - start_ms)), 4) AS speech_density, round(1.0 - round(least(1.0, speech_ms / (end_ms - start_ms)), 4), 4) AS silence_ratio FROM m"""
+)
+def window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spoken(spark, sf_dir)
+    grid = intervals.fixed_grid(t.groupBy("source_id").agg(F.max("end_ms").alias("total_ms")), 35_000, 10_000)
+    return signals.window_summary(t, grid)
+
+
+SETS = f"""{BLOCKS}, sets AS (SELECT source_id, block_no, list_distinct(list(speaker)) AS sp, list_distinct(flatten(list({TOPIC_WORDS}))) AS tp FROM numbered GROUP BY ALL),
+  lagged AS (SELECT *, lag(sp) OVER (PARTITION BY source_id ORDER BY block_no) AS ps, lag(tp) OVER (PARTITION BY source_id ORDER BY block_no) AS pt FROM sets)"""
+
+
+@query(
+    f"""WITH {SETS} SELECT source_id, block_no, round(coalesce(len(list_intersect(sp, ps)) / nullif(len(list_distinct(list_concat(sp, ps))), 0)::DOUBLE, 0), 4) AS speaker_jaccard,
+    round(coalesce(len(list_intersect(tp, pt)) / nullif(len(list_distinct(list_concat(tp, pt))), 0)::DOUBLE, 0), 4) AS topic_jaccard, round(len(list_intersect(tp, pt)) / greatest(1, len(tp), len(pt))::DOUBLE, 4) AS topic_overlap
+    FROM lagged WHERE ps IS NOT NULL"""
+)
+def block_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = gap_blocked(spark, sf_dir).groupBy("source_id", "block_no").agg(F.collect_set("speaker").alias("speakers"), F.array_distinct(F.flatten(F.collect_list(text.topic_words(F.col("text"))))).alias("topics"))
+    return signals.neighbour_overlap(sets, "source_id", "block_no")
+
+
+@query(
+    f"""WITH {TURNS}, c AS (SELECT source_id, bool_or(turn_id % 4 = 3) AS failed, count(DISTINCT speaker) FILTER (length(speaker) > 6 AND speaker NOT IN ('assistant', 'system', 'user')) AS named FROM turns GROUP BY source_id)
+    SELECT source_id, named, failed AND named >= 1 AS use_cuts FROM c"""
+)
+def subtitle_cut_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spoken(spark, sf_dir)
+    return signals.subtitle_cuts_wanted(t.select("source_id", (F.pmod("turn_id", F.lit(4)) == 3).alias("face_failed")), t, ~packaging.is_generic_speaker(F.col("speaker")) & (F.length("speaker") > 6))
+
+
+@query(
+    f"""WITH {TURNS}, p AS (SELECT *, start_ms - lag(end_ms) OVER w AS gap, speaker = lag(speaker) OVER w AS same FROM turns WINDOW w AS (PARTITION BY source_id ORDER BY turn_id))
+    SELECT source_id, turn_id, round(greatest(0.0, 1.0 - abs(gap) / 24000.0) * 0.4 + 0.2 + CASE WHEN same THEN 0.2 ELSE 0.0 END, 4) AS coherence FROM p WHERE gap IS NOT NULL"""
+)
+def pair_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = turns.in_order()
+    gap = F.col("start_ms") - F.lag("end_ms").over(order)
+    pairs = spoken(spark, sf_dir).withColumns({"gap": gap, "same": F.col("speaker") == F.lag("speaker").over(order)}).where("gap is not null")
+    return pairs.select("source_id", "turn_id", signals.pair_coherence(F.col("gap"), F.lit(True), F.col("same"), F.lit(0.0)).alias("coherence"))

@@ -242,3 +242,38 @@ def visual_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def silence_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(F.col("speaker") == "click", F.concat(F.lit("[d] silence_start: "), F.col("score").cast("string"))).when(F.col("speaker") == "view", F.concat(F.lit("[d] silence_end: "), (F.col("score") + 1000).cast("string"), F.lit(" | silence_duration: 1")))
     return files.silence_log(spans(spark, sf_dir).select("source_id", F.col("id").alias("nth"), line.alias("line")).where("line is not null"))
+
+
+@query()
+def camera_glide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.glide(framing.camera_lock(framing.window_centers(framing.assign_tracks(faces(spark, sf_dir)), 5)))
+
+
+@query()
+def merged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.merged_windows(framing.camera_lock(framing.window_centers(framing.assign_tracks(faces(spark, sf_dir)), 5)))
+
+
+@query(
+    f"""WITH {MERGED}, s AS (SELECT source_id, unnest(range(start_ms, greatest(start_ms, end_ms - 600001) + 1, 1200000)) AS start_ms, end_ms FROM merged WHERE end_ms - start_ms >= 1200000)
+    SELECT source_id, start_ms, least(end_ms, start_ms + 1800000) AS end_ms FROM s WHERE end_ms > start_ms"""
+)
+def scene_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import signals
+
+    return signals.scene_windows(iv.merge_intervals(spans(spark, sf_dir), 60_000), 1_200_000, 1_800_000, 600_000)
+
+
+@query(
+    """SELECT user_id AS source_id, arg_max(event_id, (round(value, 0), event_type, -event_id)) AS best_id, max(round(value, 0)) AS strength FROM events GROUP BY user_id"""
+)
+def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of the largest key tuple of each source."""
+    key = F.struct(F.round("score", 0).alias("a"), "speaker", (-F.col("id")).alias("b"))
+    return spans(spark, sf_dir).groupBy("source_id").agg(F.max_by("id", key).alias("best_id"), F.max(F.round("score", 0)).alias("strength"))
+
+
+@query("SELECT event_id AS id, round((value * 100)::BIGINT % 97 / 97.0, 4) AS x, round(greatest(0.0, least(1.0 - 0.2, round((value * 100)::BIGINT % 97 / 97.0, 4) - 0.1)), 4) AS left_edge FROM events")
+def safe_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.round(F.pmod(F.round(F.col("score") * 100).cast("long"), F.lit(97)) / F.lit(97.0), 4)
+    return spans(spark, sf_dir).select("id", x.alias("x"), framing.safe_box(x, F.lit(0.5), F.lit(0.2), F.lit(0.3))["x"].alias("left_edge"))

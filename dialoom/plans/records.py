@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexicons, text
+from ..functions import lexicons, repair, text
 from ..operators import packaging, ranking, reporting
 from ..sources.adapters import SCORES, made_score, records, table
 from .registry import hits, listed, query, score, squeezed
@@ -285,3 +285,52 @@ def story_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     joins = (F.col("story_coherence_score") >= 0.62) & (F.col("doc_id") - F.lag("doc_id").over(order) <= 24)
     marked = records(spark, sf_dir).withColumn("new", F.when(joins, 0).otherwise(1))
     return marked.select("doc_id", "source", F.sum("new").over(order).alias("thread"))
+
+
+@query()
+def repaired_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose UTF-8 bytes were read as Latin-1, and the others, repaired."""
+    misread = F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")
+    shown = F.when(F.pmod("doc_id", F.lit(2)) == 0, misread).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", repair.looks_misread(shown).alias("misread"), F.md5(repair.repaired(shown)).alias("text_md5"))
+
+
+@query(
+    f"""WITH {TAGGED} SELECT source, count(*) AS outputs, count(*) FILTER (publishable) AS publishable, count(*) FILTER (quality_governor_decision = 'accept') AS accepted, count(*) FILTER (needs_review) AS to_review,
+    count(*) FILTER (topic_shift_events > 0) AS with_topic_shift, count(*) FILTER (runtime_ms IS NULL) AS without_runtime, round(avg(best_hook_score), 4) AS mean_hook, round(avg(pacing_score), 4) AS mean_pacing,
+    round(count(*) FILTER (final_duration BETWEEN 20 AND 60) / nullif(count(*), 0), 4) AS right_length_rate FROM tag GROUP BY source"""
+)
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = summarized(spark, sf_dir)
+    count = lambda test: F.count_if(test)
+    return x.groupBy("source").agg(
+        F.count("*").alias("outputs"), count(F.col("publishable")).alias("publishable"), count(F.col("quality_governor_decision") == "accept").alias("accepted"), count(F.col("needs_review")).alias("to_review"),
+        count(F.col("topic_shift_events") > 0).alias("with_topic_shift"), count(F.col("runtime_ms").isNull()).alias("without_runtime"), F.round(F.avg("best_hook_score"), 4).alias("mean_hook"), F.round(F.avg("pacing_score"), 4).alias("mean_pacing"),
+        reporting.rate(F.col("final_duration").between(20, 60)).alias("right_length_rate"),
+    )
+
+
+@query(
+    f"""WITH {TAGGED} SELECT quality_governor_decision AS decision, tag, count(*) AS n FROM (SELECT quality_governor_decision, unnest(failure_reason) AS tag FROM tag) GROUP BY ALL"""
+)
+def reasons_by_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarized(spark, sf_dir).select(F.col("quality_governor_decision").alias("decision"), F.explode("failure_reason").alias("tag")).groupBy("decision", "tag").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {RECORDS} SELECT doc_id, coalesce(nullif('', ''), lang || '-' || source) AS name, CASE WHEN doc_id % 2 = 0 THEN hook_score ELSE coalesce(NULL, premise_signal_score) END AS hook_score, ['weak', 'minimum'][doc_id % 2 + 1] AS status FROM rec"""
+)
+def benchmark_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields by precedence: given metadata, the report's, then names derived from the path."""
+    given = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("hook_score"))
+    path = F.concat(F.lit("/runs/"), F.col("lang"), F.lit("-"), F.col("source"), F.lit("/short_1.json"))
+    name = F.coalesce(F.nullif(F.lit(""), F.lit("")), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
+    return records(spark, sf_dir).select("doc_id", name.alias("name"), F.coalesce(given, "premise_signal_score").alias("hook_score"), F.when(F.pmod("doc_id", F.lit(2)) == 0, "weak").otherwise("minimum").alias("status"))
+
+
+@query(
+    f"""WITH {RECORDS}, s AS (SELECT doc_id, story_completion_score AS c FROM rec) SELECT doc_id, ['incomplete_story_chain', 'hook_only', 'hook_setup', 'hook_setup_escalation', 'hook_setup_escalation_payoff'][least(4, floor(c * 4)::BIGINT) + 1] AS arc_shape FROM s"""
+)
+def arc_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = F.array(*map(F.lit, lexicons.ARC_SHAPES))
+    return records(spark, sf_dir).select("doc_id", F.element_at(shapes, (F.least(F.lit(4), F.floor(F.col("story_completion_score") * 4)) + 1).cast("int")).alias("arc_shape"))
