@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once into the shared folder and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Write df once into the shared folder and read it back, which cuts its lineage.
+
+    release: let Spark's cleaner drop the shuffle files of frames that nothing refers to any more, on the way.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
         step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,13 +87,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_strings(values: pa.Array) -> np.ndarray:
-    """A 64-bit hash per string, equal in every worker."""
+def coded_strings(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash per distinct string, equal in every worker, and the number of each string's hash."""
     coded = values.dictionary_encode()
     words = np.asarray(coded.dictionary.to_pylist(), dtype=object)
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    return pd.util.hash_array(words, categorize=False)[coded.indices.to_numpy(zero_copy_only=False)]
+    hashes = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
+    return hashes, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def hash_strings(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash per string."""
+    hashes, at = coded_strings(values)
+    return hashes[at]
 
 
 def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -123,6 +136,28 @@ def as_lists(flat: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat.view(np.int64)))
 
 
+#: Names of the words of parity bits of a set.
+PARITY = ("b0", "b1", "b2", "b3")
+
+
+def parity(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Four words of parity bits per list of distinct hashes: each element flips one bit. Those of two sets differ in
+    at most as many bits as the sets have elements that are not common."""
+    begin = np.minimum(starts[:-1], len(flat))
+    out = []
+    for k in range(len(PARITY)):
+        own = np.where(flat >> np.uint64(6) & np.uint64(3) == k, np.uint64(1) << (flat & np.uint64(63)), np.uint64(0))
+        found = np.bitwise_xor.reduceat(np.append(own, np.uint64(0)), begin) if len(begin) else np.zeros(0, np.uint64)
+        out.append(np.where(np.diff(starts) > 0, found, np.uint64(0)))
+    return out
+
+
+def parity_fits(threshold: float, words: tuple[str, ...] = PARITY) -> Column:
+    """Whether sets x and y of `size` elements can have the threshold's similarity, by (some words of) their bits."""
+    differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in words)
+    return F.expr(f"{differ} <= (x.size + y.size) * (1 - {threshold}) / (1 + {threshold}) + 1e-9")
+
+
 #: Bits of a member filter: 16 for each member up to this many bits (8 MB), when false hits become common.
 FILTER_BITS = 1 << 26
 
@@ -161,8 +196,8 @@ class MemberFilter:
 
 def could_match(threshold: float) -> Column:
     """Length and positional filters of a set-similarity join: whether two sets x and y of `size` elements, in one
-    order, that share the element at the 0-based places x.pos and y.pos can have the threshold's Jaccard similarity."""
+    order, can have the threshold's Jaccard similarity if the element at the 0-based places x.pos and y.pos is the
+    first that they share. Each similar pair passes at its first shared element."""
     need = F.expr(f"{threshold} / (1 + {threshold}) * (x.size + y.size) - 1e-9")
-    return (F.expr(f"least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9")) & (
-        F.expr("least(x.pos, y.pos) + least(x.size - x.pos, y.size - y.pos)") >= need
-    )
+    fits = F.expr(f"least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9")
+    return fits & (F.expr("least(x.size - x.pos, y.size - y.pos)") >= need)

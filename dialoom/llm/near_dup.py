@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_lists, components, materialize, mix, shingles, slices, word_hashes
+from .common import PARITY, MemberFilter, as_lists, components, could_match, materialize, mix, parity, parity_fits, shingles, slices, word_hashes
 
 COORDINATES, BANDS, ROWS = 256, 42, 6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -83,34 +83,52 @@ def signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int)
         )
 
 
-def region_lists(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (id, regions), the sorted unit regions of each text."""
-    for batch in slices(batches, 4 << 20):
+def region_lists(batches: Iterator[pa.RecordBatch], width: int, wanted: MemberFilter) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (id, regions, b0 ...), the sorted unit regions and their parity bits, of the documents in
+    the filter."""
+    for batch in slices(batches):
+        batch = batch.filter(pa.array(wanted.holds([batch.column("doc_id").to_numpy()])))
         hashes, owner = shingles(*word_hashes(batch.column("text")), width)
         regions = unit_regions(hashes, owner)
         order = np.lexsort((regions, owner))
         starts = np.searchsorted(owner[order], np.arange(batch.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_lists(regions[order], starts)], ["id", "regions"])
+        bits = (pa.array(b.view(np.int64)) for b in parity(regions[order], starts))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_lists(regions[order], starts), *bits], ["id", "regions", *PARITY])
 
 
-def compared(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def compared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     """pairs(a, b) with their exact weighted Jaccard similarity over unit regions."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    lists = materialize(texts.mapInArrow(lambda it: region_lists(it, width), "id long, regions array<long>"), "regions")
     found = pairs.join(lists.select(F.col("id").alias("b"), F.col("regions").alias("rb")), "b")
     found = found.join(lists.select(F.col("id").alias("a"), F.col("regions").alias("ra")), "a")
     both = F.size(F.array_intersect("ra", "rb"))
     return found.select("a", "b", (both / (F.size("ra") + F.size("rb") - both)).alias("jaccard"))
 
 
+def prefix_pairs(members: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members(id, component) of different components that can reach the threshold: they share a
+    region in the prefix of their rarest regions and pass the length, positional and parity filters."""
+    own = lists.drop(*PARITY).join(members, "id").select("id", "component", F.size("regions").alias("size"), F.explode("regions").alias("region"))
+    own = materialize(own, "member-regions")
+    often = materialize(own.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region-counts")
+    ranked = own.join(often, "region", "left").select("id", "component", "size", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "region").alias("r"))
+    ordered = ranked.groupBy("id", "component", "size").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    prefix = F.slice("rs", F.lit(1), F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1)
+    shown = ordered.select("id", "component", "size", F.posexplode(prefix).alias("pos", "r")).where("r.n > 1")
+    shown = shown.select("id", "component", "size", "pos", F.col("r.region").alias("region")).join(lists.drop("regions"), "id")
+    shown = materialize(shown, "region-prefixes")
+    x, y = shown.alias("x"), shown.alias("y")
+    found = x.join(y, (F.col("x.region") == F.col("y.region")) & F.expr("x.component < y.component") & could_match(threshold) & parity_fits(threshold))
+    return found.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row (doc_id, class_id, kept) per row of docs; class_id is the smallest doc_id of its group.
 
     Texts are bags of five-word shingles; two texts are linked when their weighted Jaccard similarity is at least
     `threshold`, and groups are the connected components of links. Exact copies collapse first. A band bucket links
-    its members through its smallest id; members that this leaves in different groups are then compared with one
-    another, so no candidate pair is lost and a bucket of like texts costs one comparison a member.
+    its members through its smallest id. Members that this leaves in different groups are then joined with one another
+    by an exact prefix filter over their rarest shingles, so no candidate pair is lost and a bucket of like texts
+    costs about one comparison a member.
 
     Null and empty texts, and texts without a word, form groups of their own and stay. Rows with a null doc_id stay,
     with a null class_id. Rows that share a doc_id count as one document. Texts of fewer than five words are one
@@ -124,29 +142,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     wordy = signs.where("weight > 0")
     firsts = materialize(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "firsts")
     shown = wordy.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keyed = materialize(shown.select(F.col("doc_id").alias("id"), "weight", F.explode("bands").alias("band")), "bands")
+    keyed = materialize(shown.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "bands")
     lead = keyed.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a < z")
     lead = materialize(lead.select("band", "a", "n"), "leaders")
-    # the length test is exact: a pair whose sizes differ more can't reach the threshold
-    pairs = keyed.join(lead, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    scored = materialize(compared(materialize(pairs, "pairs"), named, width), "scored")
+    met = materialize(keyed.join(lead, "band").where("id <> a").select("a", "id", "band", "n"), "met")
+    pairs = materialize(met.select("a", F.col("id").alias("b")).distinct(), "pairs")
+    wanted = docs.sparkSession.sparkContext.broadcast(MemberFilter(pairs.select(F.explode(F.array("a", "b")))))
+    lists = named.mapInArrow(lambda it: region_lists(it, width, wanted.value), "id long, regions array<long>, " + ", ".join(f"{b} long" for b in PARITY))
+    lists = materialize(lists, "regions")
+    scored = materialize(compared(pairs, lists), "scored")
     links = scored.where(F.col("jaccard") >= threshold).select("a", "b")
     groups = materialize(components(links), "groups")
 
     # buckets of three or more whose members, besides the first, are still in different groups
     labels = groups.select(F.col("node").alias("id"), "component")
-    rest = keyed.join(lead.where("n > 2"), "band").where("id <> a").select("band", "id", "weight")
-    rest = materialize(rest, "rest").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = met.where("n > 2").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     rest = materialize(rest, "labelled")
     open_ = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_ = materialize(rest.join(materialize(open_.select("band"), "open"), "band", "left_semi"), "unresolved")
+    open_ = materialize(rest.join(materialize(open_.select("band"), "open"), "band", "left_semi").select("id", "component").distinct(), "unresolved")
     if not open_.isEmpty():
-        x, y = open_.alias("x"), open_.alias("y")
-        fits = F.expr(f"x.component < y.component and least(x.weight, y.weight) >= {threshold} * greatest(x.weight, y.weight)")
-        more = x.join(y, (F.col("x.band") == F.col("y.band")) & fits)
-        more = more.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
-        more = materialize(more.join(scored.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        late = compared(more, named, width).where(F.col("jaccard") >= threshold)
+        more = materialize(prefix_pairs(open_, lists, threshold).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
+        late = compared(more, lists).where(F.col("jaccard") >= threshold)
         groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late.select("a", "b"))), "groups")
 
     classes = firsts.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
