@@ -40,15 +40,17 @@ def active_at(points: DataFrame, intervals: DataFrame, span_ms: int) -> DataFram
 def neighbours(gaps: DataFrame, voiced: DataFrame, tolerance_ms: int = 20) -> DataFrame:
     """gaps(source_id, start_ms, end_ms) with the lengths of the last voiced interval that ends at the gap's start or
     before and of the first that starts at its end or later, within tolerance_ms; 0 where there is none."""
-    length = F.col("v.end_ms") - F.col("v.start_ms")
-    before = F.col("v.end_ms") <= F.col("g.start_ms") + tolerance_ms
-    after = ~before & (F.col("v.start_ms") >= F.col("g.end_ms") - tolerance_ms)
-    pairs = gaps.alias("g").join(voiced.alias("v"), F.col("g.source_id") == F.col("v.source_id"), "left")
-    keyed = F.struct("v.start_ms", "v.end_ms")
-    found = pairs.groupBy(F.col("g.source_id").alias("source_id"), F.col("g.start_ms").alias("start_ms"), F.col("g.end_ms").alias("end_ms")).agg(
-        F.max_by(length, F.when(before, keyed)).alias("prev_ms"), F.min_by(length, F.when(after, keyed)).alias("next_ms")
-    )
-    return found.fillna(0, ["prev_ms", "next_ms"])
+    # a running extreme over both tables in one order: no pair of rows meets, a source is sorted twice
+    row = F.struct("start_ms", "end_ms")
+    order = Window.partitionBy("source_id").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    by_end = voiced.select("source_id", F.col("end_ms").alias("key"), F.lit(0).alias("kind"), row.alias("v"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"))
+    asked = gaps.select("source_id", (F.col("start_ms") + tolerance_ms).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("struct<start_ms:bigint,end_ms:bigint>").alias("v"), "start_ms", "end_ms")
+    found = by_end.unionByName(asked).withColumn("prev", F.max("v").over(order)).where("kind = 1").select("source_id", "start_ms", "end_ms", "prev")
+    by_start = voiced.select("source_id", (-F.col("start_ms")).alias("key"), F.lit(0).alias("kind"), row.alias("v"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit(None).cast("struct<start_ms:bigint,end_ms:bigint>").alias("prev"))
+    asked = found.select("source_id", (tolerance_ms - F.col("end_ms")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("struct<start_ms:bigint,end_ms:bigint>").alias("v"), "start_ms", "end_ms", "prev")
+    found = by_start.unionByName(asked).withColumn("next", F.min("v").over(order)).where("kind = 1")
+    length = lambda c: F.coalesce(F.col(f"{c}.end_ms") - F.col(f"{c}.start_ms"), F.lit(0))
+    return found.select("source_id", "start_ms", "end_ms", length("prev").alias("prev_ms"), length("next").alias("next_ms"))
 
 
 def removed_before(cuts: Column, at: Column) -> Column:

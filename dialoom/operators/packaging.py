@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import capitalise, collapse_marks, drop_repeats, file_name, slug, squeeze, tidy
+from ..functions.text import capitalise, collapse_marks, drop_repeats, file_name, first_type, slug, squeeze, tidy
 
 # Words that open a title without saying anything, and the phrases of hook and payoff types.
 FILLERS = ("ну", "так", "ладно", "в общем", "к слову", "смотри", "слушай", "послушай", "well", "okay", "ok", "so", "then", "look", "listen")
@@ -124,3 +124,29 @@ def keywords(rows: DataFrame, by: list[str], words: Column, stop_words: tuple[st
     counts = rows.select(*by, F.explode(kept).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
     order = Window.partitionBy(*by).orderBy(F.desc("n"), "word")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+#: Tags of moods.
+MOOD_TAGS = {"tension": "#tension", "reveal": "#reveal", "humor": "#humor", "drama": "#drama", "conversation": "#dialogue"}
+
+
+def title_mood(text: Column, score: Column) -> Column:
+    """tension, reveal or humor by stems, else drama from a score of 0.75 on, else conversation."""
+    stems = (
+        ("tension", ("убью", "стой", "ужас", "страш", "труп", "кров")), ("reveal", ("почему", "зачем", "смотри", "слушай", "послушай", "правда")), ("humor", ("ха", "смеш", "шут", "улыб", "прикол")),
+    )
+    return first_type(text, stems, F.when(score >= 0.75, "drama").otherwise("conversation"))
+
+
+def hook_seed(text: Column) -> Column:
+    """A hook without opening fillers; of more than 84 characters, only up to the first mark within 18 to 72."""
+    bare = without_fillers(tidy(text))
+    cut = F.regexp_extract(bare, r"^(.{18,71}?[.!?—,;:-])", 1)
+    return capitalise(F.when((F.length(bare) > 84) & (cut != ""), cut).otherwise(bare))
+
+
+def keyword_hashtags(words: Column, mood: Column, most: int = 3) -> Column:
+    """Tags of keywords, then of the mood, each once, `most` in all."""
+    known = F.create_map(*(F.lit(x) for pair in MOOD_TAGS.items() for x in pair))
+    every = F.concat(F.transform(words, slug), F.array(F.element_at(known, mood)))
+    return F.slice(F.array_distinct(F.array_compact(every)), 1, most)

@@ -90,3 +90,17 @@ def candidate_summary(records: DataFrame) -> DataFrame:
 def duration_policy(mode: str = "story_mode") -> Column:
     """Longest clip in seconds of a story mode."""
     return F.when(F.col(mode) == "short", 45).when(F.col(mode).isin("story", "dialogue"), 60).otherwise(35)
+
+
+#: What starves a run, by reject reason.
+STARVATION = {"insufficient_context": "boundary", "too_short": "boundary", "low_dialogue_flow": "vad", "low_story_quality": "quality", "weak_hook": "quality", "subtitle_quality": "quality", "no_visible_subject": "vision"}
+
+
+def starvation_bucket(reason: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in STARVATION.items() for x in pair))
+    return F.coalesce(F.element_at(known, reason), F.lit("other"))
+
+
+def admission(turns: str = "turn_count", density: str = "speech_density", silence: str = "silence_ratio") -> Column:
+    """Why a window isn't admitted, or null: no speech, too silent, or no dialogue; a parametrised rule."""
+    return first_reason([("no_speech", F.col(turns) == 0), ("low_dialogue_flow", F.col(density) < 0.18), ("too_silent", F.col(silence) > 0.75), ("insufficient_context", F.col(turns) < 2)])

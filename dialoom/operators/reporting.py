@@ -18,6 +18,11 @@ def rate(test: Column) -> Column:
     return F.round(F.coalesce(F.count_if(test) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)), 4)
 
 
+def beside(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """rows with the columns of a table of one row, which is broadcast."""
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def session_metrics(records: DataFrame) -> DataFrame:
     """One row of counts, rates and means; zeros, and a null runtime, without rows."""
     return records.agg(
@@ -38,7 +43,7 @@ def label_rates(records: DataFrame) -> DataFrame:
     known = spark.createDataFrame([(x,) for x in lexicons.REVIEW_LABELS], "label string")
     counts = tag_counts(records, "human_labels").withColumnRenamed("tag", "label")
     total = records.agg(F.count("*").alias("records"))
-    joined = known.join(counts, "label", "left").crossJoin(F.broadcast(total))  # one row
+    joined = beside(known.join(counts, "label", "left"), total)
     n = F.coalesce("n", F.lit(0))
     return joined.select("label", n.alias("occurrences"), F.round(F.coalesce(n / F.nullif("records", F.lit(0)), F.lit(0.0)), 4).alias("rate"))
 
@@ -103,7 +108,7 @@ def reject_summary(rejects: DataFrame, warnings: DataFrame, most: int = 3) -> Da
     first = every.where("example is not null").withColumn("nth", F.row_number().over(Window.partitionBy("reason").orderBy("example"))).where(F.col("nth") <= most)
     shown = first.groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("example")), ",").alias("examples"))
     total = every.agg(F.count("*").alias("all"))
-    return counts.join(shown, "reason", "left").crossJoin(F.broadcast(total)).select("reason", "n", F.round(F.col("n") / F.col("all"), 4).alias("share"), F.coalesce("examples", F.lit("")).alias("examples"))
+    return beside(counts.join(shown, "reason", "left"), total).select("reason", "n", F.round(F.col("n") / F.col("all"), 4).alias("share"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def chain_validation(chain: DataFrame) -> DataFrame:

@@ -334,3 +334,24 @@ def pair_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("start_ms") - F.lag("end_ms").over(order)
     pairs = spoken(spark, sf_dir).withColumns({"gap": gap, "same": F.col("speaker") == F.lag("speaker").over(order)}).where("gap is not null")
     return pairs.select("source_id", "turn_id", signals.pair_coherence(F.col("gap"), F.lit(True), F.col("same"), F.lit(0.0)).alias("coherence"))
+
+
+@query(
+    f"""WITH {TURNS}, t AS (SELECT source_id, max(end_ms) AS total_ms FROM turns GROUP BY source_id),
+    w AS (SELECT source_id, s AS start_ms, least(total_ms, s + 35000) AS end_ms FROM (SELECT source_id, total_ms, unnest(range(0, total_ms, 10000)) AS s FROM t)),
+    m AS (SELECT w.source_id, w.start_ms, w.end_ms, count(turns.start_ms) AS c, coalesce(sum(least(turns.end_ms, w.end_ms) - turns.start_ms), 0) AS speech
+      FROM w LEFT JOIN turns ON w.source_id = turns.source_id AND turns.start_ms >= w.start_ms AND turns.start_ms < w.end_ms GROUP BY ALL),
+    d AS (SELECT *, round(least(1.0, speech / (end_ms - start_ms)), 4) AS density FROM m)
+    SELECT source_id, start_ms, CASE WHEN c = 0 THEN 'no_speech' WHEN density < 0.18 THEN 'low_dialogue_flow' WHEN round(1.0 - density, 4) > 0.75 THEN 'too_silent' WHEN c < 2 THEN 'insufficient_context' END AS reason FROM d"""
+)
+def window_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spoken(spark, sf_dir)
+    grid = intervals.fixed_grid(t.groupBy("source_id").agg(F.max("end_ms").alias("total_ms")), 35_000, 10_000)
+    return signals.window_summary(t, grid).select("source_id", "start_ms", ranking.admission().alias("reason"))
+
+
+@query()
+def chain_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import reporting
+
+    return reporting.chain_validation(extended(spark, sf_dir))

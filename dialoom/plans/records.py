@@ -334,3 +334,21 @@ def benchmark_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arc_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = F.array(*map(F.lit, lexicons.ARC_SHAPES))
     return records(spark, sf_dir).select("doc_id", F.element_at(shapes, (F.least(F.lit(4), F.floor(F.col("story_completion_score") * 4)) + 1).cast("int")).alias("arc_shape"))
+
+
+@query(
+    f"""WITH {RECORDS}, g AS (SELECT {GATES} AS reason FROM rec), b AS (SELECT CASE WHEN reason IN ('insufficient_context', 'too_short') THEN 'boundary' WHEN reason IN ('low_story_quality', 'weak_hook', 'subtitle_quality') THEN 'quality'
+      WHEN reason = 'no_visible_subject' THEN 'vision' ELSE 'other' END AS bucket FROM g WHERE reason IS NOT NULL) SELECT bucket, count(*) AS n FROM b GROUP BY bucket"""
+)
+def starvation_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reasons = records(spark, sf_dir).select(ranking.first_reason(ranking.selection_gates()).alias("reason")).where("reason is not null")
+    return reasons.groupBy(ranking.starvation_bucket(F.col("reason")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query()
+def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hook seed, mood and keyword hashtags of each document."""
+    docs = table(spark, sf_dir, "documents")
+    mood = packaging.title_mood(F.col("text"), F.pmod("doc_id", F.lit(2)).cast("double"))
+    words = F.slice(F.array_distinct(F.filter(text.tokens(F.col("text")), lambda w: F.length(w) >= 4)), 1, 4)
+    return docs.select("doc_id", packaging.hook_seed(F.col("text")).alias("seed"), mood.alias("mood"), F.array_join(packaging.keyword_hashtags(words, mood), " ").alias("tags"))

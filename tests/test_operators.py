@@ -160,3 +160,26 @@ def test_feedback_keeps_given_time(spark, tmp_path):
 def test_percentile_interpolates(spark):
     rows = spark.createDataFrame([(float(x),) for x in (1, 2, 4, 9)], "v double")
     assert rows.agg(F.percentile("v", F.lit(0.95))).first()[0] == pytest.approx(8.25)
+
+
+def test_settings():
+    from dialoom.functions import settings
+
+    one = settings.normalized({"output_root": "/a", "caption_max_chars": 3, "pause_cut_seconds": 2, "max_outputs": "x"})
+    assert (one["caption_max_chars"], one["pause_keep_seconds"], one["max_outputs"]) == (16, 2.0, 5)
+    assert settings.settings_hash(one) == settings.settings_hash({**one, "output_root": "/b"}) != settings.settings_hash({**one, "max_outputs": 6})
+
+
+def test_misread_text_is_repaired(spark):
+    from dialoom.functions import repair
+
+    good = "Привет, это не так."
+    bad = good.encode().decode("latin1")
+    rows = spark.createDataFrame([(good,), (bad,), ("plain words",), (None,)], "t string")
+    assert [r.v for r in rows.select(repair.repaired(F.col("t")).alias("v")).collect()] == [good, good, "plain words", ""]
+
+
+def test_glide_moves_over(spark):
+    rows = [(1, 0, 1, 0.2, "k"), (1, 1, 2, 0.8, "s"), (1, 2, 2, 0.8, "k"), (1, 3, 2, 0.8, "k")]
+    found = framing.glide(spark.createDataFrame(rows, "clip long, window long, track int, x double, state string")).orderBy("window")
+    assert [round(r.x, 4) for r in found.collect()] == [0.2, 0.4, 0.6, 0.8]
