@@ -7,34 +7,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dialoom.llm import decontaminate, line_dedup, near_dup, packing
 from dialoom.llm import toxicity as toxic
-from dialoom.llm.common import materialize
+from dialoom.llm.common import discard_intermediates, materialize
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar rejects go."""
+    discard_intermediates()
     return toxic.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go; every document stays."""
+    discard_intermediates()
     return line_dedup.dedup_lines(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    discard_intermediates()
     return near_dup.keep_one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    discard_intermediates()
     return decontaminate.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left and their places in sequences of 2048 tokens."""
+    discard_intermediates()
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: A stage is called when the result of the one before is written, and first deletes what that one wrote on the way.
 STAGES = [
     ("toxicity", toxicity),
     ("line_dedup", dedup_lines),
@@ -51,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each over what the one before it kept, written to the shared folder in between."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

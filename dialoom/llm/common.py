@@ -27,20 +27,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+#: Intermediate tables that operators wrote and that discard_intermediates() may delete.
+WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def materialize(df: DataFrame, label: str, release: bool = False, keep: bool = False) -> DataFrame:
     """Write df once into the shared folder and read it back, which cuts its lineage.
 
     release: let Spark's cleaner drop the shuffle files of frames that nothing refers to any more, on the way.
+    keep: the table outlives discard_intermediates().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if keep:
+        return spark.read.schema(df.schema).parquet(path)
+    WRITTEN.append((spark, path))
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file systems; one that is gone already is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        delete(table.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def discard_intermediates() -> None:
+    """Deletes what operators wrote for results that have been written since."""
+    while WRITTEN:
+        delete(*WRITTEN.pop())
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of edges(a, b): rows (node, component), component the smallest node.
 
@@ -155,7 +182,7 @@ def parity(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 def parity_fits(threshold: float, words: tuple[str, ...] = PARITY) -> Column:
     """Whether sets x and y of `size` elements can have the threshold's similarity, by (some words of) their bits."""
     differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in words)
-    return F.expr(f"{differ} <= (x.size + y.size) * (1 - {threshold}) / (1 + {threshold}) + 1e-9")
+    return F.expr(f"{differ} <= (x.size + y.size) * {(1 - threshold) / (1 + threshold)!r}D + 1e-9D")  # doubles, not decimals
 
 
 #: Bits of a member filter: 16 for each member up to this many bits (8 MB), when false hits become common.
@@ -198,6 +225,5 @@ def could_match(threshold: float) -> Column:
     """Length and positional filters of a set-similarity join: whether two sets x and y of `size` elements, in one
     order, can have the threshold's Jaccard similarity if the element at the 0-based places x.pos and y.pos is the
     first that they share. Each similar pair passes at its first shared element."""
-    need = F.expr(f"{threshold} / (1 + {threshold}) * (x.size + y.size) - 1e-9")
-    fits = F.expr(f"least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9")
-    return fits & (F.expr("least(x.size - x.pos, y.size - y.pos)") >= need)
+    need = F.expr(f"least(x.size - x.pos, y.size - y.pos) >= {threshold / (1 + threshold)!r}D * (x.size + y.size) - 1e-9D")
+    return need & F.expr(f"least(x.size, y.size) >= {threshold!r}D * greatest(x.size, y.size) - 1e-9D")

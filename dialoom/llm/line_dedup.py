@@ -7,15 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_lists, materialize, mix, slices, word_hashes
+from .common import PARITY, MemberFilter, as_lists, coded_strings, could_match, discard, hash_strings, materialize, mix, parity, parity_fits, slices, word_lists
 
 #: Ranked words: a word outside this many most frequent ones counts as rare, and rare words are ordered by hash.
-RANKED_WORDS = 65_536
+RANKED_WORDS = 1 << 19
 #: A word is counted where it occurs this often in one slice of about 16 MB of text.
-LEAST_COUNT = 4
+LEAST_COUNT = 2
+#: Buckets of more lines than this are first compared with one of their lines.
+CROWD = 32
 
 
 def split_lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -26,22 +29,34 @@ def split_lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts), parts.flatten()
 
 
+#: Bits of a word's hash that tell words apart here; lines of a slice are numbered in the bits above.
+WORD_BITS = 44
+
+
 def line_sets(lines: pa.Array, order: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word sets of lines: flat distinct word hashes, rarest first within a line, each word's line, and line starts.
 
     order: sorted hashes of the frequent words and their ranks, the most frequent word having the highest.
     """
-    words, starts = word_hashes(lines)
-    line = np.repeat(np.arange(len(lines)), np.diff(starts))
-    rank = np.zeros(len(words), np.int32)
-    if order and len(order["hash"]) and len(words):
-        at = np.minimum(np.searchsorted(order["hash"], words), len(order["hash"]) - 1)
-        rank = np.where(order["hash"][at] == words, order["rank"][at], 0)
-    by = np.lexsort((words, rank, line))
-    words, line = words[by], line[by]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-    words, line = words[new], line[new]
+    words, starts = word_lists(lines)
+    hashes, at = coded_strings(words)
+    hashes >>= np.uint64(64 - WORD_BITS)
+    rank = np.zeros(len(hashes), np.int64)
+    if order and len(order["hash"]) and len(hashes):
+        place = np.minimum(np.searchsorted(order["hash"], hashes), len(order["hash"]) - 1)
+        rank = np.where(order["hash"][place] == hashes, order["rank"][place], 0)
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(starts))
+    both = (line << np.uint64(WORD_BITS)) | hashes[at]
+    by = np.argsort(both)
+    both = both[by]
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both, by = both[new], by[new]
+    line = (both >> np.uint64(WORD_BITS)).astype(np.int64)
+    if order:
+        rarest = np.argsort((line << 32) | rank[at[by]], kind="stable")
+        both = both[rarest]
+    words = both & np.uint64((1 << WORD_BITS) - 1)
     return words, line, np.searchsorted(line, np.arange(len(lines) + 1))
 
 
@@ -50,71 +65,108 @@ def frequent_words(docs: DataFrame) -> dict:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, counts = np.unique(word_hashes(batch.column("text"))[0], return_counts=True)
-            often = counts >= LEAST_COUNT
-            yield pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(counts[often], pa.int64())], ["word", "n"])
+            found = word_lists(batch.column("text"))[0].value_counts()
+            often = found.filter(pc.greater_equal(found.field("counts"), LEAST_COUNT))
+            yield pa.RecordBatch.from_arrays([pa.array((hash_strings(often.field("values")) >> np.uint64(64 - WORD_BITS)).view(np.int64)), often.field("counts")], ["word", "n"])
 
     counts = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(RANKED_WORDS).toPandas()
-    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("n"), "word").limit(RANKED_WORDS).toArrow()
+    hashes = top["word"].to_numpy().view(np.uint64)
     by = np.argsort(hashes)
-    return {"hash": hashes[by], "rank": np.arange(len(top), 0, -1, dtype=np.int32)[by]}
+    return {"hash": hashes[by], "rank": np.arange(len(hashes), 0, -1, dtype=np.int32)[by]}
 
 
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def hashed_lines(batches: Iterator[pa.RecordBatch], order: dict | None, threshold: float) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to one row per line that has a word: two hashes of its word set, the set's size and, if order
-    is given, the prefix of its rarest words."""
-    for batch in slices(batches):
+def hashed_lines(batches: Iterator[pa.RecordBatch], order: dict, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to one row per line that has a word: two hashes of its word set, the set's size, its parity
+    bits and the prefix of its rarest words. Prefix words are 32-bit keys; two words of one key only add candidates."""
+    for batch in slices(batches, 8 << 20):
         owner, number, lines = split_lines(batch)
         words, line, starts = line_sets(lines, order)
         size = np.diff(starts)
-        h1, h2 = (np.add.reduceat(np.append(mix(words + np.uint64(k)), np.uint64(0)), np.minimum(starts[:-1], len(words))) for k in (0, 0x9E3779B9))
-        keep = size > 0
-        columns = [batch.column("doc_id").take(pa.array(owner[keep])), pa.array(number[keep], pa.int32()), pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(size[keep], pa.int32())]
-        if order is not None:
-            inside = np.arange(len(words)) - starts[line] < prefix_length(size, threshold)[line]
-            begins = np.concatenate(([0], np.cumsum(prefix_length(size[keep], threshold))))
-            columns.append(as_lists(words[inside], begins))
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "h1", "h2", "size", "prefix"][: len(columns)])
+        begin, keep = np.minimum(starts[:-1], len(words)), size > 0
+        h1, h2 = (np.add.reduceat(np.append(mix(words + np.uint64(k)), np.uint64(0)), begin)[keep] for k in (0, 0x9E3779B9))
+        bits = (x[keep] for x in parity(mix(words), starts))
+        length = prefix_length(size, threshold)
+        inside = np.arange(len(words)) - starts[line] < length[line]
+        begins = pa.array(np.concatenate(([0], np.cumsum(length[keep]))), pa.int32())
+        prefix = pa.ListArray.from_arrays(begins, pa.array((words[inside] >> np.uint64(WORD_BITS - 32)).astype(np.uint32).view(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(owner[keep])), pa.array(number[keep], pa.int32()), *(pa.array(x.view(np.int64)) for x in (h1, h2, *bits)), pa.array(size[keep], pa.int32()), prefix],
+            ["doc_id", "line_no", "h1", "h2", *PARITY, "size", "prefix"],
+        )
 
 
-LINE_SCHEMA = "doc_id long, line_no int, h1 long, h2 long, size int"
+LINE_SCHEMA = "doc_id long, line_no int, h1 long, h2 long, b0 long, b1 long, b2 long, b3 long, size int, prefix array<int>"
 
 
-def wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted line numbers) to (doc_id, line_no, words) of the wanted lines."""
+def wanted_sets(batches: Iterator[pa.RecordBatch], wanted: MemberFilter) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, line_no, words) of the lines in the filter."""
     for batch in slices(batches):
         owner, number, lines = split_lines(batch)
-        wanted = batch.column("wanted")
-        rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
-        pairs = (rows.astype(np.uint64) << np.uint64(32)) | wanted.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-        keep = np.isin((owner.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64), pairs)
-        words, _, starts = line_sets(lines.filter(pa.array(keep)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(owner[keep])), pa.array(number[keep], pa.int32()), as_lists(words, starts)],
-            ["doc_id", "line_no", "words"],
-        )
+        docs = batch.column("doc_id").take(pa.array(owner))
+        keep = pa.array(wanted.holds([docs.to_numpy(), number]))
+        words, _, starts = line_sets(lines.filter(keep))
+        yield pa.RecordBatch.from_arrays([docs.filter(keep), pa.array(number, pa.int32()).filter(keep), as_lists(words, starts)], ["doc_id", "line_no", "words"])
+
+
+def candidate_pairs(index: DataFrame, probe: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (ad, al, bd, bl) of lines that share a prefix word and pass the length, positional and parity
+    filters, the earlier line first; pairs of two lines that go anyway are left out.
+
+    The join carries some words of parity bits; the pairs it leaves are tested with all of them."""
+    x, y = index.alias("x"), probe.alias("y")
+    other = F.expr("(x.d <> y.d or x.l <> y.l) and not (x.gone and y.gone)")
+    met = x.join(y, (F.col("x.word") == F.col("y.word")) & parity_fits(threshold, CARRIED) & could_match(threshold) & other)
+    x_first = F.expr("x.d < y.d or (x.d = y.d and x.l < y.l)")
+    pick = lambda a, b: F.when(x_first, F.col(a)).otherwise(F.col(b))
+    met = met.select(pick("x.d", "y.d").alias("ad"), pick("x.l", "y.l").alias("al"), pick("y.d", "x.d").alias("bd"), pick("y.l", "x.l").alias("bl")).distinct()
+    met = materialize(met, "line-met", release=True)
+    bits = classes.select("d", "l", "size", *PARITY)
+    both = met.join(bits.select(F.col("d").alias("ad"), F.col("l").alias("al"), F.struct("size", *PARITY).alias("x")), ["ad", "al"])
+    both = both.join(bits.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.struct("size", *PARITY).alias("y")), ["bd", "bl"])
+    return both.where(parity_fits(threshold)).select("ad", "al", "bd", "bl")
+
+
+#: Words of parity bits that index rows carry.
+CARRIED = PARITY[:2]
+PREFIX_SCHEMA = "d long, l int, size int, gone boolean, b0 long, b1 long, pos int, word int"
+
+
+def prefix_rows(batches: Iterator[pa.RecordBatch], threshold: float, index: bool, shared: MemberFilter) -> Iterator[pa.RecordBatch]:
+    """One row per prefix word of each line that another line may hold too. A pair is found from its shorter line's
+    index prefix, which ends where the two could not reach the threshold even if all words from there on were common,
+    and the other's probe prefix."""
+    for batch in slices(batches):
+        prefix = batch.column("prefix")
+        lengths = pc.list_value_length(prefix).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        pos = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        words = prefix.flatten().to_numpy(zero_copy_only=False)
+        keep = shared.holds([words])
+        if index:
+            size = batch.column("size").to_numpy()[owner]
+            keep &= pos <= size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9)
+        at = pa.array(owner[keep])
+        lines = [batch.column(c).take(at) for c in ("d", "l", "size", "gone", *CARRIED)]
+        yield pa.RecordBatch.from_arrays([*lines, pa.array(pos[keep].astype(np.int32)), pa.array(words[keep])], ["d", "l", "size", "gone", *CARRIED, "pos", "word"])
 
 
-def could_match(threshold: float) -> Column:
-    """Length and positional filters on two lines that share the word at 0-based places x.pos and y.pos."""
-    need = F.expr(f"{threshold} / (1 + {threshold}) * (x.size + y.size) - 1e-9")
-    return (F.expr(f"least(x.size, y.size) >= {threshold} * greatest(x.size, y.size) - 1e-9")) & (
-        F.expr("least(x.pos, y.pos) + least(x.size - x.pos, y.size - y.pos)") >= need
-    )
+def prefixes(classes: DataFrame, threshold: float, index: bool, shared: Broadcast) -> DataFrame:
+    narrow = classes.select("d", "l", "size", "gone", *CARRIED, "prefix")
+    return narrow.mapInArrow(lambda it: prefix_rows(it, threshold, index, shared.value), PREFIX_SCHEMA)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Of pairs(ad, al, bd, bl) of an earlier and a later line, the later lines (bd, bl) whose Jaccard similarity
     to the earlier one reaches the threshold."""
-    ends = pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("line_no")).union(pairs.select("bd", "bl"))
-    wanted = ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    sets = materialize(sets.mapInArrow(wanted_sets, "doc_id long, line_no int, words array<long>"), "line-sets")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("ad").alias("d"), F.col("al").alias("l")), F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")))).alias("e"))
+    wanted = docs.sparkSession.sparkContext.broadcast(MemberFilter(ends.select("e.*")))
+    sets = docs.mapInArrow(lambda it: wanted_sets(it, wanted.value), "doc_id long, line_no int, words array<long>")
+    sets = materialize(sets, "line-sets", release=True)
     side = lambda d, n, w: sets.select(F.col("doc_id").alias(d), F.col("line_no").alias(n), F.col("words").alias(w))
     both = pairs.join(side("bd", "bl", "wb"), ["bd", "bl"]).join(side("ad", "al", "wa"), ["ad", "al"])
     common = F.size(F.array_intersect("wa", "wb"))
@@ -126,45 +178,52 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, lines): the numbers of the lines of each document that go; documents that lose none are absent."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     order = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
-    lines = docs.mapInArrow(lambda it: hashed_lines(it, order.value, threshold), LINE_SCHEMA + ", prefix array<long>")
+    hashed = materialize(docs.mapInArrow(lambda it: hashed_lines(it, order.value, threshold), LINE_SCHEMA), "hashed-lines")
     # lines with one word set are one class, known by its first line (d, l)
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes.select("h1", "h2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), "n", "size", "prefix"), "line-classes")
-    index = classes.select("d", "l", "size", F.posexplode("prefix").alias("pos", "word"))
-
-    # every line against the first line of each bucket it is in
-    lead = index.groupBy("word").agg(F.min(F.struct("d", "l", "size", "pos")).alias("lead"), F.count("*").alias("n"))
-    lead = materialize(lead.where("n > 1").select("word", "lead.*", "n"), "line-leaders")
-    shared = materialize(index.join(lead.select("word"), "word", "left_semi"), "line-index")
-    later = F.expr("struct(x.d, x.l) < struct(y.d, y.l)")
-    found = lead.alias("x").join(shared.alias("y"), (F.col("x.word") == F.col("y.word")) & later & could_match(threshold))
-    tried = materialize(found.select(F.col("x.d").alias("ad"), F.col("x.l").alias("al"), F.col("y.d").alias("bd"), F.col("y.l").alias("bl")).distinct(), "line-pairs")
-    gone = materialize(verified(tried, docs, threshold), "lines-gone")
-
-    # the lines that are left, against the other earlier lines of buckets of three or more
-    left = shared.join(lead.where("n > 2").select("word", F.col("d").alias("xd"), F.col("l").alias("xl")), "word").where("not (d = xd and l = xl)").drop("xd", "xl")
-    left = materialize(left, "line-rest")
-    open_ = materialize(left.join(gone.withColumnsRenamed({"bd": "d", "bl": "l"}), ["d", "l"], "left_anti"), "line-open")
-    found = left.alias("x").join(open_.alias("y"), (F.col("x.word") == F.col("y.word")) & later & could_match(threshold))
-    more = found.select(F.col("x.d").alias("ad"), F.col("x.l").alias("al"), F.col("y.d").alias("bd"), F.col("y.l").alias("bl")).distinct()
-    more = materialize(more.join(tried, ["ad", "al", "bd", "bl"], "left_anti"), "line-pairs")
-    gone = materialize(gone.union(verified(more, docs, threshold)).distinct(), "lines-gone")
+    same = [F.first(c).alias(c) for c in (*PARITY, "size", "prefix")]
+    classes = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("n"), *same)
+    classes = classes.select("h1", "h2", F.col("f.doc_id").alias("d"), F.col("f.line_no").alias("l"), "n", *PARITY, "size", "prefix", F.lit(False).alias("gone"))
+    classes = materialize(classes, "line-classes", release=True)
+    lines = materialize(hashed.select("doc_id", "line_no", "h1", "h2"), "lines")
+    discard(hashed)
+
+    # prefix words that one line alone holds find nothing and are left out; large buckets: every line against the
+    # first, so that a crowd of like lines goes at a comparison each
+    counts = classes.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    shared = docs.sparkSession.sparkContext.broadcast(MemberFilter(materialize(counts.select("word"), "line-words", release=True)))
+    index = prefixes(classes, threshold, True, shared)
+    place = (F.col("d").cast("decimal(38,0)") * 2**32 + F.col("l")).cast("decimal(38,0)")  # order of lines in a fixed-size number
+    first = index.groupBy("word").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > CROWD)
+    first = materialize(first.select("word", F.floor(F.col("first") / 2**32).cast("long").alias("d"), F.pmod("first", F.lit(2**32)).cast("int").alias("l")), "line-leaders", release=True)
+    lead = materialize(index.join(first, ["d", "l", "word"]), "line-leads", release=True)
+    tried = materialize(candidate_pairs(lead, prefixes(classes, threshold, False, shared), classes, threshold), "line-pairs", release=True)
+    gone = materialize(verified(tried, docs, threshold), "lines-gone", release=True)
+
+    # all lines, shorter ones first, but for pairs of lines that are known to go
+    known = gone.select(F.col("bd").alias("d"), F.col("bl").alias("l"), F.lit(True).alias("known"))
+    marked = materialize(classes.join(known, ["d", "l"], "left").withColumn("gone", F.coalesce("known", F.lit(False))).drop("known"), "line-marked", release=True)
+    discard(classes)
+    shorter = candidate_pairs(prefixes(marked, threshold, True, shared), prefixes(marked, threshold, False, shared), marked, threshold)
+    more = materialize(shorter.join(gone, ["bd", "bl"], "left_anti").join(tried, ["ad", "al", "bd", "bl"], "left_anti"), "line-pairs", release=True)
+    gone = materialize(gone.union(verified(more, docs, threshold)).distinct(), "lines-gone", release=True)
 
     # of a class that goes every line goes, of another with copies every line but the first
-    cut = classes.select("h1", "h2", "d", "l", "n").join(gone.select(F.col("bd").alias("d"), F.col("bl").alias("l"), F.lit(True).alias("all")), ["d", "l"], "left")
-    cut = materialize(cut.where("n > 1 or all").select("h1", "h2", "d", "l", "all"), "line-cut")
-    again = docs.mapInArrow(lambda it: hashed_lines(it, None, threshold), LINE_SCHEMA)
-    out = again.join(cut, ["h1", "h2"]).where("all or doc_id <> d or line_no <> l")
+    cut = marked.select("h1", "h2", "d", "l", "n").join(gone.select(F.col("bd").alias("d"), F.col("bl").alias("l"), F.lit(True).alias("all")), ["d", "l"], "left")
+    cut = materialize(cut.where("n > 1 or all").select("h1", "h2", "d", "l", "all"), "line-cut", release=True)
+    discard(marked)
+    out = lines.join(cut, ["h1", "h2"]).where("all or doc_id <> d or line_no <> l")
     return out.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
 
 
 def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rebuilds text without the lines listed in __lines; the other columns pass through."""
     for batch in batches:
-        gone, texts = batch.column("__lines").to_pylist(), batch.column("text").to_pylist()
-        texts = [x if g is None or x is None else "\n".join(s for i, s in enumerate(x.split("\n")) if i not in g) for x, g in zip(texts, ({*g} if g else None for g in gone), strict=True)]
+        text, hit = batch.column("text"), batch.column("__lines").is_valid()
+        gone = (set(g) for g in batch.column("__lines").filter(hit).to_pylist())
+        left = [None if x is None else "\n".join(s for i, s in enumerate(x.split("\n")) if i not in g) for x, g in zip(text.filter(hit).to_pylist(), gone, strict=True)]
+        text = pc.replace_with_mask(text, hit, pa.array(left, text.type))
         names = [c for c in batch.schema.names if c != "__lines"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+        yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

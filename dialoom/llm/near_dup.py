@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARITY, MemberFilter, as_lists, components, could_match, materialize, mix, parity, parity_fits, shingles, slices, word_hashes
+from .common import PARITY, MemberFilter, as_lists, components, could_match, discard, materialize, mix, parity, parity_fits, shingles, slices, word_hashes
 
 COORDINATES, BANDS, ROWS = 256, 42, 6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -138,14 +138,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     named = base.where("doc_id is not null")
     schema = "doc_id long, digest string, weight long, bands array<long>"
     marked = named.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")
-    signs = materialize(marked.mapInArrow(lambda it: signed(it, width, bands, rows), schema), "signatures")
+    full = materialize(marked.mapInArrow(lambda it: signed(it, width, bands, rows), schema), "signatures")
+    signs = materialize(full.drop("bands"), "digests")
     wordy = signs.where("weight > 0")
     firsts = materialize(wordy.groupBy("digest").agg(F.min("doc_id").alias("rep")), "firsts")
-    shown = wordy.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    shown = full.where("weight > 0").join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     keyed = materialize(shown.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "bands")
+    discard(full)
     lead = keyed.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a < z")
     lead = materialize(lead.select("band", "a", "n"), "leaders")
     met = materialize(keyed.join(lead, "band").where("id <> a").select("a", "id", "band", "n"), "met")
+    discard(keyed)
     pairs = materialize(met.select("a", F.col("id").alias("b")).distinct(), "pairs")
     wanted = docs.sparkSession.sparkContext.broadcast(MemberFilter(pairs.select(F.explode(F.array("a", "b")))))
     lists = named.mapInArrow(lambda it: region_lists(it, width, wanted.value), "id long, regions array<long>, " + ", ".join(f"{b} long" for b in PARITY))

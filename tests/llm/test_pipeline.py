@@ -9,10 +9,10 @@ def test_stages_pass_documents_on(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, SF), f"test-{name}")
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), f"test-{name}", keep=True)
         assert docs.columns == columns and 0 < docs.count() <= before
         before = docs.count()
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    pieces = corpus_pipeline.materialize(corpus_pipeline.STAGES[-1][1](spark, docs, SF), "test-pieces", keep=True)
     assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     key = lambda df: sorted(map(tuple, df.select("doc_id", "start", "length", "ids_crc32").collect()))
     assert key(corpus_pipeline.run(spark, SF)) == key(pieces)
