@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_GAP = r"[^\p{L}\p{N}\p{M}]+"
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,10 +15,12 @@ from .common import PARITY, MemberFilter, as_lists, coded_strings, could_match,
 
 #: Ranked words: a word outside this many most frequent ones counts as rare, and rare words are ordered by hash.
 RANKED_WORDS = 1 << 19
-#: A word is counted where it occurs this often in one slice of about 16 MB of text.
+#: A word is counted where it occurs this often in one slice of about 6 MB of text.
 LEAST_COUNT = 2
 #: Buckets of more lines than this are first compared with one of their lines.
 CROWD = 32
+#: Tables of at most so many rows, and of line numbers at most so many in all, are broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_LINES = 200_000, 4_000_000
 
 
 def split_lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -196,6 +198,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     first = index.groupBy("word").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > CROWD)
     first = materialize(first.select("word", F.floor(F.col("first") / 2**32).cast("long").alias("d"), F.pmod("first", F.lit(2**32)).cast("int").alias("l")), "line-leaders", release=True)
     lead = materialize(index.join(first, ["d", "l", "word"]), "line-leads", release=True)
+    if lead.count() <= BROADCAST_ROWS:
+        lead = F.broadcast(lead)
     tried = materialize(candidate_pairs(lead, prefixes(classes, threshold, False, shared), classes, threshold), "line-pairs", release=True)
     gone = materialize(verified(tried, docs, threshold), "lines-gone", release=True)
 
@@ -236,6 +240,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     in them go together. Every document stays, with an empty text if all its lines go. Other columns pass through.
     """
     gone = materialize(removed_lines(docs, threshold), "removed").withColumnsRenamed({"doc_id": "__doc", "lines": "__lines"})
+    size = gone.agg(F.count("*").alias("rows"), F.sum(F.size("__lines")).alias("lines")).first()
+    if size["rows"] <= BROADCAST_ROWS and (size["lines"] or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     joined = docs.join(gone, docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
     out = joined.mapInArrow(cut_lines, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
