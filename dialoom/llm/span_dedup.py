@@ -1,4 +1,4 @@
-"""Substring dedup by sliding sentence spans."""
+"""Substring dedup by sliding sentence spans and by word passages."""
 
 from __future__ import annotations
 
@@ -11,11 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, slices
+from .common import MemberFilter, coded_strings, materialize, mix, slices
 
 SPAN = 3
 #: A span of fewer sentences counts where it has this many words; one of SPAN sentences needs LEAST_WORDS.
 LONG_WORDS, LEAST_WORDS = 40, 8
+#: A passage of so many words counts wherever its edges are. Each holds PASSAGE - GRAM + 1 runs of GRAM words, and is
+#: known by the one of the smallest hash; passages that are equal have it in common.
+PASSAGE, GRAM = 51, 26
 #: A sentence ends after its closing punctuation and white space, or at a line feed; what divides it stays with it.
 SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+[\"'»”)\]]*(?=\s)[^\S\n]*|(?=\n)|\Z)\n*")
 
@@ -69,42 +72,148 @@ def hashed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, places): the worded sentences of each document that a non-first repeated span covers."""
+    """(doc_id, place): the worded sentences of each document that a non-first repeated span covers."""
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     spans = base.mapInArrow(hashed_spans, "doc_id long, span long, place int, length int, again boolean")
     firsts = spans.groupBy("span").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = materialize(firsts.select("span", "first"), "span-firsts")
     late = spans.join(firsts, "span").where("again or doc_id <> first")
-    covered = late.select("doc_id", F.explode(F.sequence("place", F.expr("place + length - 1"))).alias("place"))
-    return covered.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    return late.select("doc_id", F.explode(F.sequence("place", F.expr("place + length - 1"))).alias("place"))
+
+
+def rolled(x: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n elements."""
+    factor, out, size = 0x9E3779B97F4A7C15, x, 1
+    for bit in bin(n)[3:]:
+        out = out[: max(0, len(out) - size)] * np.uint64(pow(factor, size, 1 << 64)) + out[size:]
+        size *= 2
+        if bit == "1":
+            out = out[: max(0, len(out) - 1)] * np.uint64(factor) + x[size:]
+            size += 1
+    return mix(out)
+
+
+def passages(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Word hashes and run hashes of all texts in a row, where each passage begins, its row and place in the text,
+    and the place of its run of the smallest hash, the first of equal ones."""
+    lists = [(text or "").lower().split() for text in batch.column("text").to_pylist()]
+    starts = np.cumsum([0, *map(len, lists)])
+    hashes, at = coded_strings(pa.array([w for own in lists for w in own], pa.string()))
+    words = hashes[at]
+    grams = rolled(words, GRAM)
+    row = np.repeat(np.arange(len(lists)), np.maximum(0, np.diff(starts) - PASSAGE + 1))
+    first = np.cumsum(np.concatenate(([0], np.maximum(0, np.diff(starts) - PASSAGE + 1))))[:-1]
+    begin = np.arange(len(row)) - first[row] + starts[:-1][row]
+    if not len(begin):
+        return words, grams, begin, row, begin, begin
+    least = np.arange(len(words) - PASSAGE + 1) + np.lib.stride_tricks.sliding_window_view(grams, PASSAGE - GRAM + 1).argmin(axis=1)
+    return words, grams, begin, row, begin - starts[:-1][row], least[begin]
+
+
+def run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each run that a passage is known by occurs, slice by slice."""
+    for batch in slices(batches):
+        _, grams, _, _, _, least = passages(batch)
+        found, n = np.unique(grams[np.unique(least)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["run", "n"])
+
+
+def hashed_passages(batches: Iterator[pa.RecordBatch], shared: MemberFilter) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to one row per passage whose run occurs elsewhere too: its hash, the place of its first word,
+    and whether it occurs earlier in the same text."""
+    for batch in slices(batches):
+        words, grams, begin, row, place, least = passages(batch)
+        keep = shared.holds([grams[least].view(np.int64)])
+        own, row, place = rolled(words, PASSAGE)[begin[keep]], row[keep], place[keep]
+        by = np.lexsort((place, own, row))
+        own, row, place = own[by], row[by], place[by]
+        again = np.zeros(len(own), bool)
+        again[1:] = (own[1:] == own[:-1]) & (row[1:] == row[:-1])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(own.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(again)], ["doc_id", "passage", "word", "again"])
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, word): where the non-first passages of each document begin; -1 - word where the first one is in the
+    same document."""
+    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    runs = base.select("doc_id", "text").mapInArrow(run_counts, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = docs.sparkSession.sparkContext.broadcast(MemberFilter(materialize(runs.select("run"), "passage-runs")))
+    found = base.mapInArrow(lambda it: hashed_passages(it, shared.value), "doc_id long, passage long, word int, again boolean")
+    found = materialize(found, "passages")
+    firsts = found.groupBy("passage").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = found.join(firsts, "passage").where("again or doc_id <> first")
+    return late.select("doc_id", F.when(F.col("doc_id") == F.col("first"), -1 - F.col("word")).otherwise(F.col("word")).alias("word"))
+
+
+def covered_words(begins: list[int], n: int) -> np.ndarray:
+    """Whether each of n words lies in a passage that begins at one of the places."""
+    edges = np.zeros(n + PASSAGE + 1, np.int64)
+    at = np.array([b for b in begins if b < n], np.int64)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + PASSAGE, -1)
+    return np.cumsum(edges)[:n] > 0
+
+
+def without_words(sentence: str, gone: np.ndarray) -> str:
+    """A sentence without some of its words; the white space around it stays."""
+    body = sentence.strip()
+    left = "".join(w for w, g in zip(re.findall(r"\S+\s*", body), gone, strict=True) if not g).rstrip()
+    at = sentence.index(body)
+    return sentence[:at] + left + sentence[at + len(body) :]
+
+
+def cut_text(text: str, places: list[int], begins: list[int]) -> tuple[str, int]:
+    """A text without the worded sentences at places, without the words of passages that an earlier document holds,
+    and without sentences that lie in passages, and the number of sentences that went, or 1 if only parts did."""
+    numbers, _, sizes = worded(text)
+    gone = {p for p in places if p < len(numbers)}
+    begin, cut, total = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))), {}, int(sum(sizes))
+    if begins:
+        elsewhere = covered_words([b for b in begins if b >= 0], total)
+        anywhere = elsewhere | covered_words([-1 - b for b in begins if b < 0], total)
+        for p in range(len(numbers)):
+            own = slice(begin[p], begin[p + 1])
+            if anywhere[own].all():
+                gone.add(p)
+            elif p not in gone and elsewhere[own].any():
+                cut[p] = elsewhere[own]
+    lost = {numbers[p] for p in gone}
+    less = {numbers[p]: words for p, words in cut.items()}
+    kept = "".join(without_words(s, less[k]) if k in less else s for k, s in enumerate(sentences(text)) if k not in lost)
+    return kept.rstrip("\n " if lost or less else ""), len(gone) or int(bool(cut))
 
 
 def cut_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rebuilds text without the worded sentences listed in __places, which becomes how many they are."""
+    """Rebuilds text by cut_text() of __places and __words; __places becomes the number of sentences."""
     for batch in batches:
         texts, removed = batch.column("text").to_pylist(), []
-        for i, places in enumerate(batch.column("__places").to_pylist()):
-            removed.append(len(places or ()))
-            if places and texts[i] is not None:
-                numbers = worded(texts[i])[0]
-                gone = {numbers[p] for p in places if p < len(numbers)}
-                texts[i] = "".join(s for k, s in enumerate(sentences(texts[i])) if k not in gone).rstrip("\n " if gone else "")
-        columns = [pa.array(texts, pa.string()) if c == "text" else pa.array(removed, pa.int32()) if c == "__places" else batch.column(c) for c in batch.schema.names]
-        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        for i, (places, begins) in enumerate(zip(batch.column("__places").to_pylist(), batch.column("__words").to_pylist(), strict=True)):
+            n = 0
+            if (places or begins) and texts[i] is not None:
+                texts[i], n = cut_text(texts[i], places or [], begins or [])
+            removed.append(n)
+        names = [c for c in batch.schema.names if c != "__words"]
+        columns = [pa.array(texts, pa.string()) if c == "text" else pa.array(removed, pa.int32()) if c == "__places" else batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
-    """docs with the same columns and n_removed, the number of sentences removed from the text.
+    """docs with the same columns and n_removed, the number of sentences removed from the text, or 1 where only parts of
+    sentences go: it is 0 for a text that loses nothing.
 
     Every run of SPAN consecutive sentences (of LEAST_WORDS words in all), and every shorter run of LONG_WORDS
     words, is hashed, lower-case with white space as single spaces. Of a hash found more than once, all but the
     occurrence in the smallest doc_id, and there the first, go: the sentences that any of them covers are removed.
 
+    Every passage of PASSAGE words is compared too, whatever its sentences are: words that a passage of a smaller
+    doc_id holds go, and so do the sentences that lie in passages found before, there or in the same document.
+
     Null and empty texts stay; a text may become empty. Rows with a null doc_id pass unchanged and match nothing.
     Rows that share a doc_id count as one document: where it is the first, its rows keep the span each. Other
     columns pass through.
     """
-    gone = repeated_spans(docs).withColumnsRenamed({"doc_id": "__doc", "places": "__places"})
+    every = repeated_spans(docs).unionByName(repeated_passages(docs), allowMissingColumns=True)
+    gone = every.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("place").alias("__places"), F.collect_set("word").alias("__words"))
     joined = docs.join(gone, docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(cut_sentences, f"{schema}, __places int").withColumnRenamed("__places", "n_removed")

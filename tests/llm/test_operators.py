@@ -162,6 +162,46 @@ def test_span_dedup_equals_brute_force(spark):
     assert got == {i: len(gone[i]) for i, _ in rows} and sum(got.values()) > 0
 
 
+def brute_left(rows):
+    """Words left of each text, by all passages of all earlier documents."""
+    spans, seen, out = brute_spans(rows), {}, {}
+    for i, text in rows:
+        _, keys, sizes = span_dedup.worded(text)
+        words, ends = " ".join(keys).split(" "), np.cumsum([0, *sizes])
+        lost, inside = np.zeros(len(words), bool), np.zeros(len(words), bool)
+        for a in range(len(words) - 50):
+            before = seen.setdefault(tuple(words[a : a + 51]), (i, a))
+            lost[a : a + 51] |= before[0] != i
+            inside[a : a + 51] |= before != (i, a)
+        for p in range(len(keys)):
+            if p in spans[i] or inside[ends[p] : ends[p + 1]].all():
+                lost[ends[p] : ends[p + 1]] = True
+        out[i] = [w for w, g in zip(words, lost, strict=True) if not g]
+    return out
+
+
+def test_span_dedup_finds_passages_with_edges_inside_sentences(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"q{x}" for x in rng.integers(0, 10**9, n)]
+
+    def stopped(words, sizes):
+        ends = set(np.cumsum(sizes) - 1)
+        return [w + "." if k in ends else w for k, w in enumerate(words)]
+
+    rows = []
+    for i, (length, sizes) in enumerate([(51, (8, 23, 11)), (62, (13, 20, 19)), (51, (25,)), (60, ()), (50, (9, 17, 12)), (155, (1,) * 155), (51, (1, 2) * 17), (90, (30, 31))]):
+        passage = stopped(fresh(length), sizes)
+        for copy in range(3):
+            rows.append((10 * i + copy, " ".join([*fresh(9 + copy), *passage, *fresh(7), "end."]) + "\nLast one " + fresh(1)[0] + "."))
+    lines = "\n".join(fresh(30) * 4)
+    rows += [(200, lines), (201, lines.upper()), (202, "ja\n" * 120)]
+    left = brute_left(rows)
+    got = {r.doc_id: r for r in span_dedup.dedup_spans(table(spark, rows).repartition(3)).collect()}
+    assert {i: r.text.lower().split() for i, r in got.items()} == left
+    assert all((got[i].n_removed > 0) == (len(left[i]) < len(text.split())) for i, text in rows)
+    assert len(left[41]) == len(rows[13][1].split()) and all(got[10 * i + 1].n_removed for i in (0, 1, 2, 3, 5, 6, 7))
+
+
 def test_sentences_rebuild_the_text():
     for text in ("", "a. b! c?\n\nd", 'He said "no." Then left.\n', "no end", " lead. ", "\n\n", "x.y z... w"):
         assert "".join(span_dedup.sentences(text)) == text
