@@ -31,8 +31,9 @@ def split_lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts), parts.flatten()
 
 
-#: Bits of a word's hash that tell words apart here; lines of a slice are numbered in the bits above.
+#: Bits of a word's hash that tell words apart here; lines of a piece are numbered in the bits above.
 WORD_BITS = 44
+PIECE_LINES = 1 << (64 - WORD_BITS)
 
 
 def line_sets(lines: pa.Array, order: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,6 +41,13 @@ def line_sets(lines: pa.Array, order: dict | None = None) -> tuple[np.ndarray, n
 
     order: sorted hashes of the frequent words and their ranks, the most frequent word having the highest.
     """
+    pieces = [piece_sets(lines.slice(at, PIECE_LINES), order) for at in range(0, max(1, len(lines)), PIECE_LINES)]
+    words, line = np.concatenate([w for w, _ in pieces]), np.concatenate([n + k * PIECE_LINES for k, (_, n) in enumerate(pieces)])
+    return words, line, np.searchsorted(line, np.arange(len(lines) + 1))
+
+
+def piece_sets(lines: pa.Array, order: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """Words and their lines of line_sets(), of at most PIECE_LINES lines."""
     words, starts = word_lists(lines)
     hashes, at = coded_strings(words)
     hashes >>= np.uint64(64 - WORD_BITS)
@@ -58,8 +66,7 @@ def line_sets(lines: pa.Array, order: dict | None = None) -> tuple[np.ndarray, n
     if order:
         rarest = np.argsort((line << 32) | rank[at[by]], kind="stable")
         both = both[rarest]
-    words = both & np.uint64((1 << WORD_BITS) - 1)
-    return words, line, np.searchsorted(line, np.arange(len(lines) + 1))
+    return both & np.uint64((1 << WORD_BITS) - 1), line
 
 
 def frequent_words(docs: DataFrame) -> dict:

@@ -136,6 +136,23 @@ def test_tree_fits_its_table():
     assert right / total > 0.95
 
 
+def test_line_sets_of_more_than_2_to_the_20_lines():
+    n = (1 << 20) + 5
+    lines = pa.array(["", "b a b"] + [""] * (n - 5) + ["a", "c a", "d"])
+    words, line, starts = line_dedup.line_sets(lines)
+    assert len(starts) == len(lines) + 1 and np.flatnonzero(np.diff(starts)).tolist() == [1, n - 3, n - 2, n - 1]
+    assert np.diff(starts)[[1, n - 3, n - 2, n - 1]].tolist() == [2, 1, 2, 1] and line.tolist() == [1, 1, n - 3, n - 2, n - 2, n - 1]
+    each = lambda k: set(words[starts[k] : starts[k + 1]].tolist())
+    assert each(n - 3) < each(1) and each(n - 3) < each(n - 2) and not each(n - 1) & each(n - 2)
+
+
+def test_line_dedup_of_more_than_2_to_the_20_lines(spark):
+    n = 1 << 20
+    text = "first line\n" + "\n" * n + "first line\nlast line"
+    got = line_dedup.dedup_lines(table(spark, [(1, text), (2, "last line\nother words")])).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "first line\n" + "\n" * n + "last line", 2: "other words"}
+
+
 # ---- op4
 
 
