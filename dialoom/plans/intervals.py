@@ -172,10 +172,15 @@ def session_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend(days, ["events", "mean_value"])
 
 
+#: Event ids that a clip spans, and so the most rows that it has.
+CLIP_IDS = 4_000
+
+
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up detections from events: a clip per user of 20, two faces a frame, integer arithmetic on ids."""
+    """Made-up detections from events: a clip per user of 20 and CLIP_IDS event ids, two faces a frame, integer
+    arithmetic on ids. More events or a hot user make more clips, not larger ones."""
     part = lambda k, n: F.pmod(F.col("id") * k, F.lit(n)) / F.lit(float(n))
-    base = adapters.table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(20)).alias("clip"), F.col("event_id").alias("id"))
+    base = adapters.table(spark, sf_dir, "events").select((F.floor(F.col("event_id") / CLIP_IDS) * 20 + F.pmod("user_id", F.lit(20))).cast("long").alias("clip"), F.col("event_id").alias("id"))
     nth = F.row_number().over(Window.partitionBy("clip").orderBy("id")) - 1
     row = base.withColumn("k", nth).withColumns({"t": F.floor(F.col("k") / 2).cast("int"), "face": F.pmod("k", F.lit(2)).cast("int")})
     return row.select("clip", "t", "face", (0.3 + 0.4 * F.col("face") + part(7, 50) * 0.1).alias("x"), (0.4 + part(11, 50) * 0.1).alias("y"), (0.1 + part(3, 20) * 0.1).alias("w"), (0.2 + part(5, 20) * 0.1).alias("h"), part(13, 100).alias("speaking"), part(17, 100).alias("listening"), part(19, 100).alias("motion"))

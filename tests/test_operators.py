@@ -183,3 +183,13 @@ def test_glide_moves_over(spark):
     rows = [(1, 0, 1, 0.2, "k"), (1, 1, 2, 0.8, "s"), (1, 2, 2, 0.8, "k"), (1, 3, 2, 0.8, "k")]
     found = framing.glide(spark.createDataFrame(rows, "clip long, window long, track int, x double, state string")).orderBy("window")
     assert [round(r.x, 4) for r in found.collect()] == [0.2, 0.4, 0.6, 0.8]
+
+
+def test_clips_of_faces_are_bounded(spark, tmp_path):
+    from dialoom.plans import intervals as plans
+
+    spark.range(9000).selectExpr("id AS event_id", "if(id % 3 = 0, 7L, id) AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    found = plans.faces(spark, str(tmp_path))
+    sizes = {r.clip: r["count"] for r in found.groupBy("clip").count().collect()}
+    assert sum(sizes.values()) == 9000 and len(sizes) == 60 and max(sizes.values()) <= plans.CLIP_IDS / 2
+    assert found.where("clip % 20 = 7 and t = 0").count() == 6
