@@ -53,42 +53,51 @@ def neighbours(gaps: DataFrame, voiced: DataFrame, tolerance_ms: int = 20) -> Da
     return found.select("source_id", "start_ms", "end_ms", length("prev").alias("prev_ms"), length("next").alias("next_ms"))
 
 
-def removed_before(cuts: Column, at: Column) -> Column:
-    """How much of the sorted disjoint cuts array<struct<start_ms, end_ms>> lies before a time."""
-    return F.aggregate(cuts, F.lit(0).cast("long"), lambda a, c: a + F.greatest(F.lit(0).cast("long"), F.least(at, c["end_ms"]) - c["start_ms"]))
+def with_removed(rows: DataFrame, at: str, cuts: DataFrame, name: str) -> DataFrame:
+    """rows with how much of the disjoint cuts(source_id, start_ms, end_ms) lies before the time in column `at`.
+
+    Running sums over the rows' times and the cuts' ends in one order: no row holds the cuts of a source."""
+    order = Window.partitionBy("source_id").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.array(F.struct(F.col("start_ms").alias("key"), F.lit(1).cast("long").alias("n"), (-F.col("start_ms")).alias("off")), F.struct(F.col("end_ms").alias("key"), F.lit(-1).cast("long").alias("n"), F.col("end_ms").alias("off")))
+    marks = cuts.where("source_id is not null and end_ms > start_ms").select("source_id", F.explode(ends).alias("e")).select("source_id", "e.*")
+    none = F.lit(0).cast("long")
+    asked = rows.select("source_id", F.col(at).alias("key"), none.alias("n"), none.alias("off"), F.struct("*").alias("row"))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn(name, F.col("key") * F.sum("n").over(order) + F.sum("off").over(order))
+    return both.where("row is not null").select("row.*", name)
 
 
 def remap(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """rows(source_id, start_ms, end_ms, ...) at their times after cuts(source_id, start_ms, end_ms) are taken out;
     rows that become empty go, unless all of a source's would: then they stay as they were."""
-    packed = cuts.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("cuts"))
-    nothing = F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>")
-    joined = rows.join(packed, "source_id", "left").withColumn("cuts", F.coalesce("cuts", nothing))
-    joined = joined.withColumns({"s": F.col("start_ms") - removed_before(F.col("cuts"), F.col("start_ms")), "e": F.col("end_ms") - removed_before(F.col("cuts"), F.col("end_ms"))})
+    joined = with_removed(with_removed(rows, "start_ms", cuts, "before_s"), "end_ms", cuts, "before_e")
+    joined = joined.withColumns({"s": F.col("start_ms") - F.col("before_s"), "e": F.col("end_ms") - F.col("before_e")})
     some = F.max((F.col("e") > F.col("s")).cast("int")).over(Window.partitionBy("source_id")) == 1
     kept = joined.withColumn("some", some).where("not some or e > s")
-    return kept.withColumns({"start_ms": F.when(F.col("some"), F.col("s")).otherwise(F.col("start_ms")), "end_ms": F.when(F.col("some"), F.col("e")).otherwise(F.col("end_ms"))}).drop("cuts", "s", "e", "some")
+    return kept.withColumns({"start_ms": F.when(F.col("some"), F.col("s")).otherwise(F.col("start_ms")), "end_ms": F.when(F.col("some"), F.col("e")).otherwise(F.col("end_ms"))}).drop("before_s", "before_e", "s", "e", "some")
 
 
 def overlap_limited(candidates: DataFrame, most: int, limit: float = 0.4) -> DataFrame:
     """Per source, greedily by score: a candidate is picked unless its overlap with a picked one, as a share of the
     span of both, is over the limit; at most `most` are. Ties go by id.
 
-    A fold over a source's candidates, which are few; the picked ones are all that the state holds."""
-    row = F.struct((-F.col("score")).alias("o"), "id", "start_ms", "end_ms", "score")
-    packed = candidates.groupBy("source_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    nothing = F.array().cast(dict(packed.dtypes)["all"])
-
-    def clashes(p: Column, c: Column) -> Column:
-        inter = F.greatest(F.lit(0), F.least(p["end_ms"], c["end_ms"]) - F.greatest(p["start_ms"], c["start_ms"]))
-        hull = F.greatest(p["end_ms"], c["end_ms"]) - F.least(p["start_ms"], c["start_ms"])
-        return (hull > 0) & (inter / hull > limit)
-
-    def step(acc: Column, c: Column) -> Column:
-        free = (F.size(acc) < most) & ~F.exists(acc, lambda p: clashes(p, c))
-        return F.when(free, F.concat(acc, F.array(c))).otherwise(acc)
-
-    picked = packed.select("source_id", F.explode(F.aggregate("all", nothing, step)).alias("p"))
+    At most `most` rounds: the best candidate left of each source is picked, and those that clash with it go. A
+    source's candidates are never gathered in one row or group."""
+    row = F.struct((-F.col("score")).alias("o"), "id", "start_ms", "end_ms", "score", F.monotonically_increasing_id().alias("nth"))
+    left = candidates.select("source_id", row.alias("c")).localCheckpoint()
+    p, c = F.col("p"), F.col("c")
+    inter = F.greatest(F.lit(0), F.least(p["end_ms"], c["end_ms"]) - F.greatest(p["start_ms"], c["start_ms"]))
+    hull = F.greatest(p["end_ms"], c["end_ms"]) - F.least(p["start_ms"], c["start_ms"])
+    clashes = (hull > 0) & (inter / F.nullif(hull, F.lit(0)) > limit)
+    picked = None
+    for nth in range(most):
+        best = left.groupBy("source_id").agg(F.min("c").alias("p")).localCheckpoint()
+        picked = best if picked is None else picked.union(best)
+        if nth + 1 < most:
+            rest = left.join(best.withColumnRenamed("source_id", "__s"), F.col("source_id").eqNullSafe(F.col("__s")))
+            left = rest.where((c["nth"] != p["nth"]) & ~clashes).select("source_id", "c").localCheckpoint()
+            if left.isEmpty():
+                break
     return picked.select("source_id", "p.id", "p.start_ms", "p.end_ms", "p.score")
 
 

@@ -193,3 +193,21 @@ def test_clips_of_faces_are_bounded(spark, tmp_path):
     sizes = {r.clip: r["count"] for r in found.groupBy("clip").count().collect()}
     assert sum(sizes.values()) == 9000 and len(sizes) == 60 and max(sizes.values()) <= plans.CLIP_IDS / 2
     assert found.where("clip % 20 = 7 and t = 0").count() == 6
+
+
+def test_overlap_limited_and_remap_gather_no_source(spark):
+    rows = [(1, i, (i * 37) % 900, (i * 37) % 900 + 5 + i % 60, float(i * 13 % 101)) for i in range(400)] + [(2, 1, 5, 5, 1.0), (2, 2, 5, 5, 1.0)]
+    frame = spark.createDataFrame(rows, "source_id long, id long, start_ms long, end_ms long, score double")
+    cuts = [(1, s, s + 7) for s in range(10, 900, 40)]
+    picked, taken = intervals.overlap_limited(frame, 20), intervals.remap(frame, spark.createDataFrame(cuts, "source_id long, start_ms long, end_ms long"))
+    for f in (picked, taken):
+        assert "collect_list" not in f._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {1: [], 2: []}
+    for s, i, a, b, _ in sorted(rows, key=lambda r: (r[0], -r[4], r[1])):
+        clash = lambda p: max(b, p[2]) > min(a, p[1]) and max(0, min(b, p[2]) - max(a, p[1])) / (max(b, p[2]) - min(a, p[1])) > 0.4  # noqa: B023, E731
+        if len(wanted[s]) < 20 and not any(map(clash, wanted[s])):
+            wanted[s].append((i, a, b))
+    assert {(r.source_id, r.id, r.start_ms, r.end_ms) for r in picked.collect()} == {(s, *p) for s, own in wanted.items() for p in own}
+    before = lambda t: sum(max(0, min(t, e) - s) for _, s, e in cuts)
+    moved = {(s, i, a - before(a), b - before(b)) for s, i, a, b, _ in rows if s == 1 and b - before(b) > a - before(a)} | {(2, 1, 5, 5), (2, 2, 5, 5)}
+    assert {(r.source_id, r.id, r.start_ms, r.end_ms) for r in taken.collect()} == moved
