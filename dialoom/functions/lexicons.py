@@ -50,18 +50,21 @@ CAUSAL = (
     "потому что", "поэтому", "из-за", "в результате", "вот почему", "следовательно", "значит", "отсюда", "это означает",
     "по этой причине", "в связи с", "вследствие", "тем самым", "что привело",
 )
-STOP_WORDS = tuple(
-    "that this these those with from have just been were they them their what which when where will would could should does "
-    "didn don isn aren wasn weren hasn haven hadn about into than then there here also only very more some your mine ours "
-    "yours theirs such each both same other back even still well said like know think want come going make take look good "
-    "right over after before "
-    "это этот этой эти тебя тебе меня мене мной тобой него неё нему ней нами вами ними себя себе собой свой своя своё свои "
-    "которые который которая которое когда куда откуда потом затем здесь туда сюда тоже также очень более менее самый такой "
-    "такая такие такое уже ещё даже если чтобы хотя пока после перед между через около против будет будут есть была было были "
-    "быть иметь надо нужно можно нельзя хочу хочет хотят знаю знает знают идти иди идём говорить скажи скажет сказал сказала "
-    "тогда всегда никогда иногда сейчас теперь просто только всего всём много мало вообще".split()
+STOP_WORDS = (
+    "that", "this", "these", "those", "with", "from", "have", "just", "been", "were", "they", "them", "their", "what", "which", "when", "where", "will", "would", "could", "should", "does", "didn", "don", "isn", "aren", "wasn",
+    "weren", "hasn", "haven", "hadn", "about", "into", "than", "then", "there", "here", "also", "only", "very", "more", "some", "your", "mine", "ours", "yours", "theirs", "such", "each", "both", "same", "other", "back", "even",
+    "still", "well", "said", "like", "know", "think", "want", "come", "going", "make", "take", "look", "good", "right", "over", "after", "before",
+    "это", "этот", "этой", "эти", "тебя", "тебе", "меня", "мной", "тобой", "него", "неё", "нему", "ней", "нами", "вами", "ними", "себя", "себе", "собой", "свой", "своя", "своё", "свои", "которые", "который", "которая",
+    "которое", "когда", "куда", "откуда", "потом", "затем", "здесь", "туда", "сюда", "тоже", "также", "очень", "более", "менее", "самый", "такой", "такая", "такие", "такое", "уже", "ещё", "даже", "если", "чтобы", "хотя",
+    "пока", "после", "перед", "между", "через", "около", "против", "будет", "будут", "есть", "была", "было", "были", "быть", "иметь", "надо", "нужно", "можно", "нельзя", "хочу", "хочет", "хотят", "знаю", "знает", "знают",
+    "идти", "иди", "идём", "говорить", "скажи", "скажет", "сказал", "сказала", "тогда", "всегда", "никогда", "иногда", "сейчас", "теперь", "просто", "только", "всего", "всём", "много", "мало", "вообще",
 )
 
+# What UTF-8 read as another encoding leaves, and common words that mark a sound text.
+MISREAD_MARKERS = ("Ð", "Ñ", "Гђ", "Г‘", "Гѓ", "Г‚", "Гўв‚¬", "Гўв‚¬вЂќ", "Гўв‚¬вЂњ", "РЎ", "Рћ", "СЌ", "Сѓ", "Рє")
+COMMON_RUSSIAN = ("это", "ведь", "правда", "кстати", "теперь", "все", "не", "да", "нет", "что", "как", "с", "на", "я", "ты", "мы", "вы", "он", "она", "они", "словом", "послушай", "смотри")
+COMMON_ENGLISH = ("this", "that", "what", "why", "look", "listen", "now", "okay", "right", "yes", "no", "we", "you", "they", "it")
+
 # Type names and the stems that decide them, first match wins.
 CONFLICT_TYPES = (
     ("accusation", ("accus", "обвин", "blame", "вина")),

@@ -1,4 +1,4 @@
-"""Mis-encoded text: a detector in built-in functions and a repair that needs strict codecs, as a pandas function."""
+"""Repair of mis-encoded text, which needs strict codecs, as a pandas function over the rows that need it."""
 
 from __future__ import annotations
 
@@ -7,28 +7,22 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .text import squeeze, strings, tokens
+from .lexicons import COMMON_ENGLISH, COMMON_RUSSIAN, MISREAD_MARKERS
+from .text import misread, squeeze, tidy, tokens
 
-# Character pairs that UTF-8 read as another encoding leaves, and common English words.
-MARKERS = ("Ð", "Ñ", "Ã", "Â", "â€", "Рѓ", "С‚", "Р°", "Рѕ", "Рё")
-COMMON = ("this", "that", "what", "why", "look", "listen", "now", "okay", "right", "yes", "no", "we", "you", "they", "it", "the", "and", "is", "и", "в", "не", "на", "что", "это", "как", "он", "она", "я", "ты", "мы", "вы", "да", "нет", "но")
+COMMON = frozenset(COMMON_RUSSIAN + COMMON_ENGLISH)
 CODECS = ("latin1", "cp1251", "cp1252")
-
-
-def looks_misread(text: Column) -> Column:
-    """Two marker hits, or one in a text of two words or fewer that is Cyrillic by a quarter."""
-    bare = squeeze(text)
-    hits = F.aggregate(F.transform(strings(MARKERS), lambda m: ((F.length(bare) - F.length(F.replace(bare, m, F.lit("")))) / F.length(m)).cast("int")), F.lit(0), lambda a, x: a + x)
-    cyrillic = F.length(F.regexp_replace(bare, r"[^\x{0400}-\x{04FF}]", "")) / F.greatest(F.lit(1), F.length(bare))
-    return (bare != "") & ((hits >= 2) | ((F.size(tokens(bare)) <= 2) & (hits >= 1) & (cyrillic > 0.25)))
+# Weights of common words, letters, words (up to 10), closing punctuation and markers.
+WEIGHTS = (3.0, 1.4, 0.24, 0.1, -2.7)
 
 
 def plausibility(text: str) -> float:
-    """How much a text looks like language: common words, letters, words, closing punctuation, no markers."""
+    """How much a text looks like language, by WEIGHTS."""
     words = re.findall(r"[A-Za-zЀ-ӿ0-9']+", text.lower())
-    letters = sum(c.isalpha() for c in text) / max(1, len(text))
-    return 3.0 * sum(w in COMMON for w in words) + 1.4 * letters + 0.24 * min(len(words), 10) + 0.1 * text.endswith((".", "!", "?")) - 2.7 * sum(text.count(m) for m in MARKERS)
+    measures = (sum(w in COMMON for w in words), sum(map(str.isalpha, text)) / max(1, len(text)), min(len(words), 10), text.endswith((".", "!", "?")), sum(map(text.count, MISREAD_MARKERS)))
+    return sum(w * m for w, m in zip(WEIGHTS, measures, strict=True)) if text else -999.0
 
 
 def read_again(text: str) -> str:
@@ -43,11 +37,17 @@ def read_again(text: str) -> str:
 
 
 def repaired(text: Column) -> Column:
-    """Squeezed text, repaired where it looks misread; only such rows reach Python's codecs."""
+    """Squeezed, composed text, repaired where it looks misread; only texts beyond ASCII reach Python."""
+
+    @F.pandas_udf(StringType())
+    def repair(values: pd.Series, broken: pd.Series) -> pd.Series:
+        composed = values.str.normalize("NFC")
+        return composed.where(~broken.fillna(False).astype(bool), composed.map(lambda v: read_again(v) if v else v))
+
+    bare = squeeze(text)  # not bound: a function's arguments can't hold variables of lambdas in one another
+    return F.coalesce(repair(F.when(bare.rlike(r"[^\x00-\x7f]"), bare), misread(bare, tokens(bare))), bare)
 
-    @F.pandas_udf("string")
-    def repair(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: read_again(v) if v else v)
 
-    bare = squeeze(text)
-    return F.coalesce(repair(F.when(looks_misread(text), bare)), bare)
+def cleaned(text: Column) -> Column:
+    """tidy() text, repaired where it looks misread."""
+    return repaired(tidy(text))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import lexicons
 
 WORD = r"[\p{L}\p{N}_']+"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value made once, however often it is used: it is the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """White space as single spaces, trimmed; null as ''."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -41,13 +48,13 @@ def tokens(text: Column) -> Column:
 def topic_words(text: Column, stop_words: Sequence[str] = lexicons.STOP_WORDS, least: int = 4) -> Column:
     """Lower-case words between non-word characters, of `least` characters or more, that aren't stop words."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(strings(stop_words), w))
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop_words))
 
 
 def plain_words(text: Column, stop_words: Sequence[str] = lexicons.STOP_WORDS, least: int = 4) -> Column:
     """As topic_words(), with apostrophes inside words."""
     words = F.regexp_extract_all(F.lower(squeeze(text)), F.lit(WORD), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(strings(stop_words), w))
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop_words))
 
 
 def strings(values: Sequence[str]) -> Column:
@@ -56,8 +63,7 @@ def strings(values: Sequence[str]) -> Column:
 
 def hits(text: Column, lexicon: Sequence[str]) -> Column:
     """The entries that occur in the text as substrings, in lexicon order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(strings(lexicon), lambda s: F.contains(low, s))
+    return bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(strings(lexicon), lambda s: F.contains(low, s)))
 
 
 def lexicon_score(text: Column, lexicon: Sequence[str]) -> Column:
@@ -67,11 +73,13 @@ def lexicon_score(text: Column, lexicon: Sequence[str]) -> Column:
 
 def first_type(text: Column, types: Sequence[tuple[str, Sequence[str]]], default: Column | str) -> Column:
     """The first type one of whose stems the text holds."""
-    low, out = F.lower(squeeze(text)), None
-    for name, stems in types:
-        hit = F.exists(strings(stems), lambda s: F.contains(low, s))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(default)
+    default = default if isinstance(default, Column) else F.lit(default)
+
+    def cascade(low: Column) -> Column:
+        holds = lambda stems: F.exists(strings(stems), lambda s: F.contains(low, s))
+        return F.coalesce(*(F.when(holds(stems), F.lit(name)) for name, stems in types), default)
+
+    return bound(F.lower(squeeze(text)), cascade)
 
 
 def turn_type(text: Column) -> Column:
@@ -103,40 +111,73 @@ def scene_mood(text: Column) -> Column:
 
 def language_consistency(text: Column, lang: Column) -> Column:
     """Share of Cyrillic (ru) or Latin (en) letters among both; of the commoner for other languages."""
-    bare = squeeze(text)
-    cyrillic = F.length(F.regexp_replace(bare, "[^А-Яа-яЁё]", ""))
-    latin = F.length(F.regexp_replace(bare, "[^A-Za-z]", ""))
-    low = F.lower(F.coalesce(lang, F.lit("auto")))
-    of = F.when(low.startswith("ru"), cyrillic).when(low.startswith("en"), latin).otherwise(F.greatest(cyrillic, latin))
-    return F.round(of / F.greatest(F.lit(1), cyrillic + latin), 4)
+
+    def share(bare: Column) -> Column:
+        letters = F.array(F.length(F.regexp_replace(bare, "[^А-Яа-яЁё]", "")), F.length(F.regexp_replace(bare, "[^A-Za-z]", "")))
+        low = F.lower(F.coalesce(lang, F.lit("auto")))
+        of = lambda n: F.when(low.startswith("ru"), n[0]).when(low.startswith("en"), n[1]).otherwise(F.greatest(n[0], n[1]))
+        return bound(letters, lambda n: F.round(of(n) / F.greatest(F.lit(1), n[0] + n[1]), 4))
+
+    return bound(squeeze(text), share)
 
 
 def unique_share(words: Column) -> Column:
-    return F.size(F.array_distinct(words)) / F.greatest(F.lit(1), F.size(words))
+    return bound(words, lambda w: F.size(F.array_distinct(w)) / F.greatest(F.lit(1), F.size(w)))
+
+
+def occurrences(text: Column, parts: Sequence[str]) -> Column:
+    """How often any of some strings occurs in a text."""
+    count = lambda m: ((F.length(text) - F.length(F.replace(text, m, F.lit("")))) / F.length(m)).cast("int")
+    return F.aggregate(F.transform(strings(parts), count), F.lit(0), lambda a, n: a + n)
+
+
+def misread(bare: Column, words: Column) -> Column:
+    """looks_misread() of a squeezed text with its tokens."""
+    length = F.greatest(F.lit(1), F.length(bare))
+    hits = occurrences(bare, lexicons.MISREAD_MARKERS)
+    strange = F.size(F.filter(words, lambda w: w.isin(*lexicons.COMMON_RUSSIAN, *lexicons.COMMON_ENGLISH))) == 0
+    cyrillic = F.length(F.regexp_replace(bare, r"[^\x{0400}-\x{04FF}]", "")) / length
+    leading = occurrences(bare, ("Р", "С")) >= F.greatest(F.lit(4), F.floor(length / 6))
+    return (bare != "") & ((hits >= 2) | (strange & leading) | (strange & (cyrillic > 0.32) & (F.size(words) >= 2)) | ((F.size(words) <= 2) & (hits >= 1) & (cyrillic > 0.25)))
+
+
+def looks_misread(text: Column) -> Column:
+    """Whether a text is mis-encoded: two marker hits; no common word, and many leading bytes or a third Cyrillic; or one
+    hit in a text of two words or fewer that is Cyrillic by a quarter. White space is squeezed; texts are taken as they
+    are composed."""
+    return bound(squeeze(text), lambda bare: bound(tokens(bare), lambda words: misread(bare, words)))
+
+
+def odd(bare: Column, words: Column, share: Column) -> Column:
+    """suspicious() of a squeezed text with its tokens, of which so large a share is distinct."""
+    return (bare == "") | (F.size(words) == 0) | (share < 0.35) | bare.rlike(r"(.)\1{4,}") | misread(bare, words)
 
 
 def suspicious(text: Column) -> Column:
-    """Empty, one character five times in a row, no token, or mostly repeated tokens."""
-    bare, words = squeeze(text), tokens(squeeze(text))
-    return (bare == "") | bare.rlike(r"(.)\1{4,}") | (F.size(words) == 0) | (unique_share(words) < 0.35)
+    """Empty, mis-encoded, one character five times in a row, no token, or mostly repeated tokens."""
+    words = lambda bare: bound(tokens(bare), lambda w: odd(bare, w, F.size(F.array_distinct(w)) / F.greatest(F.lit(1), F.size(w))))
+    return bound(squeeze(text), words)
 
 
 def text_sanity(text: Column, lang: Column) -> Column:
     """Score in 0..1 from language, variety, punctuation, repetition and very short tokens."""
-    bare, words = squeeze(text), tokens(squeeze(text))
-    n, share = F.greatest(F.lit(1), F.size(words)), unique_share(words)
-    short = F.least(F.lit(0.20), F.size(F.filter(words, lambda w: F.length(w) <= 2)) / n * 0.22)
-    repeated = F.least(F.lit(0.22), F.greatest(F.lit(0.0), 0.58 - share) * 0.65)
-    bonus = F.when(bare.rlike("[.!?]$"), 0.10).otherwise(0.0) + F.when(F.size(words) >= 6, 0.06).otherwise(0.0)
-    score = 0.50 + language_consistency(bare, lang) * 0.22 + share * 0.18 + bonus
-    score = score - F.when(suspicious(bare), 0.28).otherwise(0.0) - short - repeated
-    return F.when(F.size(words) == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
+
+    def rated(bare: Column, words: Column, share: Column) -> Column:
+        n = F.greatest(F.lit(1), F.size(words))
+        short = F.least(F.lit(0.20), F.size(F.filter(words, lambda w: F.length(w) <= 2)) / n * 0.22)
+        repeated = F.least(F.lit(0.22), F.greatest(F.lit(0.0), 0.58 - share) * 0.65)
+        bonus = F.when(bare.rlike("[.!?]$"), 0.10).otherwise(0.0) + F.when(F.size(words) >= 6, 0.06).otherwise(0.0)
+        score = 0.50 + language_consistency(bare, lang) * 0.22 + share * 0.18 + bonus
+        score = score - F.when(odd(bare, words, share), 0.28).otherwise(0.0) - short - repeated
+        return F.when(F.size(words) == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
+
+    return bound(squeeze(text), lambda bare: bound(tokens(bare), lambda words: bound(unique_share(words), lambda share: rated(bare, words, share))))
 
 
 def topic_phrase(text: Column) -> Column:
     """The first five distinct plain words; words of three characters or more where there are none."""
     loose = F.filter(F.regexp_extract_all(F.lower(squeeze(text)), F.lit(WORD), F.lit(0)), lambda w: F.length(w) > 2)
-    chosen = F.when(F.size(plain_words(text)) > 0, plain_words(text)).otherwise(loose)
+    chosen = bound(plain_words(text), lambda plain: F.when(F.size(plain) > 0, plain).otherwise(loose))
     return F.array_join(F.slice(F.array_distinct(chosen), 1, 5), " ")
 
 
@@ -169,10 +210,24 @@ def slug(text: Column) -> Column:
     return F.when(bare != "", F.concat(F.lit("#"), bare))
 
 
+def nfc(text: Column) -> Column:
+    """A text in Unicode's composed form, which no built-in function makes; of texts, only those beyond ASCII are sent."""
+
+    @F.pandas_udf(StringType())
+    def composed(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFC")
+
+    wide = text.rlike(r"[^\x00-\x7f]")
+    return F.when(wide, composed(F.when(wide, text))).otherwise(text)
+
+
 def file_name(title: Column, most: int = 110) -> Column:
-    """A title as a file name: without reserved characters, squeezed, shortened, 'clip' where nothing is left."""
-    bare = squeeze(F.regexp_replace(title, r'[<>:"/\\|?*\x00-\x1f]', ""))
-    short = F.rtrim(F.substring(bare, 1, most))
+    """A title as a file name: tidy and composed, without reserved characters or a closing full stop, at most `most`
+    characters up to a word's end, 'clip' where nothing is left."""
+    sound = squeeze(F.regexp_replace(F.regexp_replace(nfc(tidy(title)), r'[<>:"/\\|?*\x00-\x1f]', ""), r"[ .]+$", ""))
+    head = F.substring(sound, 1, most)
+    cut = F.trim(F.regexp_extract(head, "^(.*) ", 1))
+    short = F.when(F.length(sound) <= most, sound).otherwise(F.when(cut != "", cut).otherwise(head))
     return F.when(short == "", "clip").otherwise(short)
 
 
