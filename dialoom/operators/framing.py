@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import visual
+from . import packaging
+
 TRACKED = "clip long, t int, face int, x double, y double, w double, h double, speaking double, listening double, motion double, track int"
 
 
@@ -182,3 +185,45 @@ def safe_box(x: Column, y: Column, w: Column, h: Column) -> Column:
     w, h = F.greatest(F.lit(0.05), F.least(F.lit(1.0), w)), F.greatest(F.lit(0.05), F.least(F.lit(1.0), h))
     corner = lambda c, s: F.round(F.greatest(F.lit(0.0), F.least(1.0 - s, c - s / 2)), 4)
     return F.struct(corner(x, w).alias("x"), corner(y, h).alias("y"), F.round(w, 4).alias("w"), F.round(h, 4).alias("h"))
+
+
+def speaker_plan(segments: DataFrame, width: int, height: int, order: str = "seg_idx") -> DataFrame:
+    """Cuts of segments(source_id, order, start_ms, end_ms, speaker): consecutive segments of one speaker as one cut
+    (source_id, cut, start_ms, end_ms, speaker, x, y, w, h) with the speaker's zone. Generic names are NEUTRAL, which is
+    shown by the middle half, like named speakers after the third; segments without length are left out."""
+    named = F.when(packaging.is_generic_speaker(F.col("speaker"), packaging.GENERIC_SPEAKERS), "NEUTRAL").otherwise(F.col("speaker"))
+    rows = segments.where("end_ms > start_ms").withColumn("speaker", named)
+    over = Window.partitionBy("source_id").orderBy(order)
+    new = F.when(F.col("speaker") == F.lag("speaker").over(over), 0).otherwise(1)
+    rows = rows.withColumn("new", new).withColumn("cut", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = rows.groupBy("source_id", "cut").agg(F.min_by("start_ms", order).alias("start_ms"), F.max_by("end_ms", order).alias("end_ms"), F.first("speaker").alias("speaker")).where("end_ms > start_ms")
+    zones = speaker_zones(rows.where("speaker <> 'NEUTRAL'").select("source_id", "speaker"), width, height)
+    other = {"x": width // 4, "y": 0, "w": width // 2, "h": height}
+    return cuts.join(zones, ["source_id", "speaker"], "left").select("source_id", "cut", "start_ms", "end_ms", "speaker", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in other.items()))
+
+
+def best_faces(faces: DataFrame, turns: DataFrame, slot: int) -> DataFrame:
+    """turns(clip, turn, start, end) with the center (x, y) of the best detected face of faces(clip, t, face, x, y, w, h,
+    speaking, listening, detected) within each turn, the clip's best where a turn has none, the middle where the clip has
+    none. Times meet in slots of `slot`, on equal keys."""
+    best = lambda by: F.max_by(F.struct("x", "y"), F.struct((F.col("speaking") * 1.15 + F.col("listening") * 0.35 + F.col("w") * F.col("h") * 0.55).alias("p"), (-F.col("t")).alias("a"), (-F.col("face")).alias("b"))).alias(by)
+    seen = faces.where("detected")
+    slots = turns.withColumn("slot", F.explode(F.sequence(F.floor(F.col("start") / slot), F.floor((F.col("end") - 1) / slot)))).where("end > start").alias("u")
+    at = seen.withColumn("slot", F.floor(F.col("t") / slot)).alias("f")
+    inside = (F.col("u.clip") == F.col("f.clip")) & (F.col("u.slot") == F.col("f.slot")) & (F.col("f.t") >= F.col("u.start")) & (F.col("f.t") < F.col("u.end"))
+    own = slots.join(at, inside).select("u.clip", "turn", "x", "y", "w", "h", "speaking", "listening", "t", "face").groupBy("clip", "turn").agg(best("own"))
+    every = seen.groupBy("clip").agg(best("any"))
+    shown = turns.join(own, ["clip", "turn"], "left").join(every, "clip", "left")
+    center = F.coalesce("own", "any")
+    return shown.select("clip", "turn", "start", "end", F.coalesce(center["x"], F.lit(0.5)).alias("x"), F.coalesce(center["y"], F.lit(0.5)).alias("y"))
+
+
+def acquisition(samples: DataFrame, by: str) -> DataFrame:
+    """Per clip of samples(by, detected, faces, persons, memory), numbers of what is seen: presence shares, peaks, state."""
+    face, person = F.avg(F.col("detected").cast("int")), F.avg((F.col("persons") > 0).cast("int"))
+    found = samples.groupBy(by).agg(
+        face.alias("face"), person.alias("person"), F.max("faces").alias("visible_faces_peak"), F.max("persons").alias("visible_persons_peak"), F.max("memory").alias("recent_face_memory_peak")
+    )
+    state = visual.acquisition_state(F.col("face"), F.col("person"), F.col("visible_faces_peak"), F.col("visible_persons_peak"), F.col("recent_face_memory_peak"))
+    presence = F.greatest(F.col("face"), F.col("person") * 0.88)
+    return found.select(by, state.alias("state"), F.round("face", 4).alias("face_presence"), F.round("person", 4).alias("person_presence"), F.round(presence, 4).alias("subject_presence"), "visible_faces_peak", "visible_persons_peak", "recent_face_memory_peak")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import capitalise, collapse_marks, drop_repeats, file_name, first_type, slug, squeeze, tidy
+from ..functions.text import bound, capitalise, collapse_marks, drop_repeats, file_name, first_type, slug, squeeze, tidy
 
 # Words that open a title without saying anything, and the phrases of hook and payoff types.
 FILLERS = ("ну", "так", "ладно", "в общем", "к слову", "смотри", "слушай", "послушай", "well", "okay", "ok", "so", "then", "look", "listen")
@@ -28,9 +28,16 @@ GENERIC_NAMES = ("", "unknown", "neutral", "speaker", "user", "assistant", "syst
 GENERIC_SPEAKER = r"^(speaker|spkr|s|person|voice|голос|нарратор)_?\d+$"
 
 
-def is_generic_speaker(name: Column) -> Column:
+#: Names that say nothing of who speaks, for the plan of cuts.
+GENERIC_SPEAKERS = (
+    "", "unknown", "unkn", "speaker", "speaker_0", "speaker_1", "speaker0", "speaker1", "s0", "s1", "spkr", "narrator", "голос", "voice", "voice_0", "voice_1", "person_0", "person_1", "безымянный", "мужчина", "женщина",
+    "человек",
+)
+
+
+def is_generic_speaker(name: Column, names: tuple[str, ...] = GENERIC_NAMES) -> Column:
     low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
-    return low.isin(*GENERIC_NAMES) | low.rlike(GENERIC_SPEAKER)
+    return low.isin(*names) | low.rlike(GENERIC_SPEAKER)
 
 
 def without_fillers(text: Column) -> Column:
@@ -47,15 +54,17 @@ def normal_title(text: Column) -> Column:
 
 def title_quality(text: Column) -> Column:
     """Score in 0..1: length near 34, letters, about six words; punctuation, repetition and single words cost."""
-    bare = tidy(text)
-    words, n = F.split(bare, " "), F.length(bare)
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
     near = lambda x, ideal: F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), F.abs(x - ideal) / ideal))
-    marks = F.length(F.regexp_replace(bare, "[^,;:—-]", "")) + F.regexp_count(bare, F.lit(r"\.\.\."))
-    again = F.when(F.size(drop_repeats(words)) < F.size(words), 1.0).otherwise(0.0)
-    score = near(n, 34.0) * 0.34 + letters / F.greatest(F.lit(1), n) * 0.38 + near(F.size(words), 6.0) * 0.22
-    score = score - F.least(F.lit(1.0), marks / 4.0) * 0.18 - again * 0.12 - F.when(F.size(words) < 2, 0.18).otherwise(0.0)
-    return F.when(bare == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+    def rated(bare: Column, words: Column) -> Column:
+        n, letters = F.length(bare), F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
+        marks = F.length(F.regexp_replace(bare, "[^,;:—-]", "")) + F.regexp_count(bare, F.lit(r"\.\.\."))
+        again = F.when(F.size(drop_repeats(words)) < F.size(words), 1.0).otherwise(0.0)
+        score = near(n, 34.0) * 0.34 + letters / F.greatest(F.lit(1), n) * 0.38 + near(F.size(words), 6.0) * 0.22
+        score = score - F.least(F.lit(1.0), marks / 4.0) * 0.18 - again * 0.12 - F.when(F.size(words) < 2, 0.18).otherwise(0.0)
+        return F.when(bare == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+    return bound(tidy(text), lambda bare: bound(F.split(bare, " "), lambda words: rated(bare, words)))
 
 
 def trimmed_title(text: Column, most: int) -> Column:

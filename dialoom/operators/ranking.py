@@ -51,23 +51,58 @@ def selection_gates(pause: str = "final_duration") -> list[tuple[str, Column]]:
     ]
 
 
+def best_hook() -> Column:
+    """The strongest of the five hook scores."""
+    return F.greatest(*(zero(n) for n in ("hook_strength", "hook_score", "first_second_hook_score", "sound_off_hook_score", "premise_signal_score")))
+
+
+def retention() -> Column:
+    return F.coalesce("retention_soft_score", "viral_soft_score", F.lit(0.0))
+
+
+def focus() -> Column:
+    return F.greatest(zero("speaker_centered_rate"), zero("subject_visibility_ratio"))
+
+
+def flag(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(False))
+
+
 def failure_reasons() -> Column:
-    """Root-cause tags of a metadata row, each once, in the order in which the rules find them."""
-    c, low = zero, lambda name, bound: zero(name) < bound
-    hook = F.greatest(*(c(n) for n in ("hook_strength", "hook_score", "first_second_hook_score", "premise_signal_score")))
-    focus = F.greatest(c("speaker_centered_rate"), c("subject_visibility_ratio"))
-    decision = F.lower(F.coalesce(F.col("quality_governor_decision"), F.lit("")))
+    """Root-cause tags of a metadata row, each once, in the order in which the rules find them. A missing score is 0,
+    but a missing coherence is 1."""
+    c, low, high = zero, lambda name, bound: zero(name) < bound, lambda name, bound: zero(name) > bound
+    hook, kept, decision = best_hook(), retention(), F.lower(F.coalesce(F.col("quality_governor_decision"), F.lit("")))
+    story = decision == "reject_story"
     rules = [
-        ("late_hook", (c("cold_open_dead_time_penalty") > 0.18) | (hook < 0.50)), ("weak_hook", low("visible_stakes_score", 0.45) & (hook < 0.58)),
-        ("wrong_face_focus", (focus < 0.55) | low("visual_subject_score", 0.40)), ("speaker_unclear", low("subject_visibility_ratio", 0.48) & low("speaker_centered_rate", 0.50)),
-        ("subtitle_overload", low("subtitle_quality_score", 0.55)), ("missing_context", c("dialogue_dependency_penalty") > 0.35),
-        ("weak_payoff", low("story_completeness_score", 0.48) & low("payoff_strength", 0.50)), ("bad_title", low("packaging_quality_score", 0.50) | low("title_quality_score", 0.55)),
-        ("bad_pacing", (F.col("final_duration") > 42) & low("retention_soft_score", 0.58)), ("confusing_dialogue", low("story_interest_score", 0.52) & low("story_context_score", 0.40)),
-        ("confusing_dialogue", F.coalesce(F.col("story_coherence_score"), F.lit(1.0)) < 0.58), ("weak_payoff", low("story_completion_score", 0.56)),
-        ("confusing_dialogue", F.col("topic_shift_events") > 0), ("wrong_face_focus", low("visual_conversation_score", 0.48) | low("speaker_confidence_score", 0.42)),
-        ("bad_pacing", low("pacing_score", 0.48)), ("too_fast", F.col("final_duration") < 35), ("too_slow", (F.col("final_duration") > 60) & low("retention_soft_score", 0.50)),
-        ("wrong_face_focus", decision == "reject_visual"), ("late_hook", (decision == "reject_story") & (hook < 0.50)),
-        ("weak_payoff", (decision == "reject_story") & low("story_completeness_score", 0.50)), ("missing_context", (decision == "reject_story") & low("story_context_score", 0.40)),
+        ("late_hook", high("cold_open_dead_time_penalty", 0.18) | (hook < 0.50)),
+        ("weak_hook", low("visible_stakes_score", 0.45) & (hook < 0.58)),
+        ("wrong_face_focus", (focus() < 0.55) | low("visual_subject_score", 0.40)),
+        ("speaker_unclear", low("subject_visibility_ratio", 0.48) & low("speaker_centered_rate", 0.50)),
+        ("subtitle_overload", low("subtitle_quality_score", 0.55) | high("subtitle_overlap_outputs", 0) | high("subtitle_blink_outputs", 0)),
+        ("missing_context", high("dialogue_dependency_penalty", 0.35)),
+        ("weak_payoff", low("story_completeness_score", 0.48) & low("payoff_strength", 0.50)),
+        ("bad_title", low("packaging_quality_score", 0.50) | low("title_quality_score", 0.55)),
+        ("crop_jitter", high("speaker_center_offset_avg", 0.18) | high("speaker_center_offset_p95", 0.22)),
+        ("bad_pacing", high("final_duration", 42) & (kept < 0.58)),
+        ("confusing_dialogue", low("story_interest_score", 0.52) & low("story_context_score", 0.40)),
+        ("confusing_dialogue", F.coalesce(F.col("story_coherence_score"), F.lit(1.0)) < 0.58),
+        ("weak_payoff", low("story_completion_score", 0.56) | (F.lower(F.coalesce("payoff_type", F.lit(""))) == "unfinished")),
+        ("confusing_dialogue", F.floor(c("topic_shift_events")) > 0),
+        ("wrong_face_focus", low("visual_conversation_score", 0.48) | low("speaker_confidence_score", 0.42)),
+        ("bad_pacing", low("pacing_score", 0.48) | (high("trimmed_silence_seconds", 4.0) & (kept < 0.62))),
+        ("too_fast", low("final_duration", 35)),
+        ("too_slow", high("final_duration", 60) & (kept < 0.50)),
+        ("late_entry", flag("reframe_scene_interest_fallback_used") & low("subject_visibility_ratio", 0.30)),
+        ("speaker_unclear", flag("subject_person_fallback_used") & low("visual_subject_score", 0.40)),
+        ("crop_jitter", flag("face_preserving_fallback_used") & high("face_edge_clip_rate", 0.12)),
+        ("wrong_face_focus", decision == "reject_visual"),
+        ("late_hook", story & (hook < 0.50)),
+        ("weak_payoff", story & low("story_completeness_score", 0.50)),
+        ("missing_context", story & low("story_context_score", 0.40)),
+        ("weak_payoff", flag("rejected_for_missing_payoff")),
+        ("confusing_dialogue", flag("rejected_for_topic_jump")),
+        ("confusing_dialogue", flag("rejected_for_confusing_story")),
     ]
     found = F.array_distinct(F.array_compact(F.array(*(F.when(test, tag) for tag, test in rules))))
     return F.array_intersect(found, F.array(*map(F.lit, lexicons.ROOT_CAUSES)))
@@ -75,16 +110,37 @@ def failure_reasons() -> Column:
 
 def is_publishable() -> Column:
     """Accepted and not up for review, or good by three scores."""
-    accepted = (F.lower("quality_governor_decision") == "accept") & ~F.coalesce(F.col("needs_review"), F.lit(False))
+    accepted = (F.lower("quality_governor_decision") == "accept") & ~flag("needs_review")
     good = (zero("recommendation_readiness_score") >= 0.64) & (zero("packaging_quality_score") >= 0.52) & (zero("subtitle_quality_score") >= 0.55)
     return F.coalesce(accepted, F.lit(False)) | good
 
 
+#: Scores that a summary carries as they are, and those that the story's own summary gives where the row lacks them.
+PLAIN = (
+    "subtitle_quality_score", "pacing_score", "speaker_confidence_score", "visual_conversation_score", "watchability_score", "recommendation_readiness_score", "packaging_quality_score", "first_second_hook_score",
+    "visible_stakes_score", "first_frame_clarity_score", "speaker_centered_rate", "subject_visibility_ratio", "trimmed_silence_seconds",
+)
+NESTED = ("story_coherence_score", "story_completion_score", "context_completeness_score")
+
+
+def summary() -> Column:
+    """The summary struct of a metadata row: scores rounded to four digits, story fields with nested fallbacks."""
+    shown = lambda c: F.round(c, 4)
+    named = lambda x: F.nullif(F.col(x), F.lit(""))
+    conversation = F.col("story_summary.conversation_id")
+    fields = {"hook_score": shown(best_hook()), "retention_soft_score": shown(retention()), "subtitle_quality": shown(zero("subtitle_quality_score")), "face_focus_rate": shown(focus()), "publishable": is_publishable()}
+    fields |= {n: shown(zero(n)) for n in PLAIN} | {n: shown(F.coalesce(F.col(n), F.col(f"story_summary.{n}"), F.lit(0.0))) for n in NESTED}
+    fields |= {"silence_trim_events_count": F.coalesce(F.size("silence_trim_events"), F.lit(0)), "story_thread_id": F.coalesce(named("story_thread_id"), conversation), "conversation_id": F.coalesce(named("conversation_id"), conversation)}
+    fields |= {n: F.coalesce(named(n), F.col(f"story_summary.{n}")) for n in ("story_arc_shape", "hook_type", "payoff_type")}
+    fields |= {"topic_shift_events": F.floor(zero("topic_shift_events")).cast("int"), "quality_governor_decision": F.col("quality_governor_decision")}
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
 def candidate_summary(records: DataFrame) -> DataFrame:
-    """records with hook, focus and publishable in the summary's terms, and failure_reason."""
-    hook = F.greatest(*(zero(n) for n in ("hook_strength", "hook_score", "first_second_hook_score", "premise_signal_score")))
-    focus = F.greatest(zero("speaker_centered_rate"), zero("subject_visibility_ratio"))
-    return records.withColumns({"publishable": is_publishable(), "best_hook_score": F.round(hook, 4), "face_focus_rate": F.round(focus, 4), "failure_reason": failure_reasons()})
+    """records with summary, and failure_reason where they don't name their reasons themselves."""
+    found = failure_reasons()
+    given = F.when(F.size("failure_reason") > 0, F.col("failure_reason")).otherwise(found) if "failure_reason" in records.columns else found
+    return records.withColumns({"summary": summary(), "failure_reason": given})
 
 
 def duration_policy(mode: str = "story_mode") -> Column:

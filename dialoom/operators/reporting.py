@@ -23,12 +23,22 @@ def beside(rows: DataFrame, one_row: DataFrame) -> DataFrame:
     return rows.withColumn("__one", F.lit(1)).join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
+#: Mean scores of a session and the fields of summaries that they are means of.
+SESSION_MEANS = {
+    "average_hook_score": "hook_score", "average_retention_soft_score": "retention_soft_score", "average_story_completion_score": "story_completion_score", "average_context_completeness_score": "context_completeness_score",
+    "subtitle_quality": "subtitle_quality", "pacing_score": "pacing_score", "face_focus_rate": "face_focus_rate", "speaker_confidence_score": "speaker_confidence_score", "visual_conversation_score": "visual_conversation_score",
+}
+FALLBACKS = ("ranking_fallback_used", "ranking_fast_fallback_used", "watchdog_fallback_used", "semantic_preview_fallback_used")
+
+
 def session_metrics(records: DataFrame) -> DataFrame:
-    """One row of counts, rates and means; zeros, and a null runtime, without rows."""
+    """One row of counts, rates and means of records(summary, fallback flags, runtime_ms); zeros, and a null runtime,
+    without rows. Tags are counted by tag_counts()."""
+    fell_back = F.greatest(*(F.coalesce(F.col(c), F.lit(False)) for c in FALLBACKS))
+    published = rate(F.coalesce(F.col("summary.publishable"), F.lit(False)))
     return records.agg(
-        F.count("*").alias("count"), rate(F.col("publishable")).alias("publishable_rate"), mean("best_hook_score").alias("average_hook_score"), mean("retention_soft_score").alias("average_retention_soft_score"),
-        mean("story_completion_score").alias("average_story_completion_score"), mean("context_completeness_score").alias("average_context_completeness_score"), mean("subtitle_quality_score").alias("subtitle_quality"),
-        mean("pacing_score").alias("pacing_score"), mean("face_focus_rate").alias("face_focus_rate"), F.round(F.avg("runtime_ms") / 1000, 3).alias("runtime"), rate(F.col("ranking_fallback_used")).alias("fallback_frequency"),
+        F.count("*").alias("count"), published.alias("publishable_rate"), *(mean(f"summary.{c}").alias(n) for n, c in SESSION_MEANS.items()), F.round(F.avg("runtime_ms") / 1000, 3).alias("runtime"),
+        published.alias("stability"), rate(fell_back).alias("fallback_frequency"),
     )
 
 
@@ -69,14 +79,21 @@ def score_spread(records: DataFrame, column: str) -> DataFrame:
 
 
 def session_trend(sessions: DataFrame, columns: list[str]) -> DataFrame:
-    """(metric, early, recent, delta): means of the first and last thirds of sessions by created_at, as text."""
-    order = Window.orderBy("created_at")  # one row a session, such as a day
-    placed = sessions.withColumns({"nth": F.row_number().over(order), "of": F.count("*").over(Window.partitionBy())})
+    """(metric, early, recent, delta): means of the first and last thirds of sessions by created_at, as text; no rows
+    for fewer than three. Metrics that either third lacks are left out.
+
+    Sessions are ranked by counts of created_at, of which there is one a run, so only these counts are in one order."""
+    dated = sessions.where("created_at is not null and created_at <> ''")
+    stamps = dated.groupBy("created_at").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, 0))
+    stamps = beside(stamps.withColumn("upto", upto), stamps.agg(F.sum("n").alias("of"))).where("of >= 3")
+    tied = F.row_number().over(Window.partitionBy("created_at").orderBy(*columns)) - 1
+    placed = dated.withColumn("tied", tied).join(stamps, "created_at").withColumn("nth", F.col("upto") - F.col("n") + F.col("tied") + 1)
     third = F.floor(F.col("of") / 3)
-    placed = placed.where("of >= 3").withColumn("part", F.when(F.col("nth") <= third, "early").when(F.col("nth") > F.col("of") - third, "recent"))
-    tall = placed.where("part is not null").unpivot(["part"], columns, "metric", "value")
+    placed = placed.withColumn("part", F.when(F.col("nth") <= third, "early").when(F.col("nth") > F.col("of") - third, "recent"))
+    tall = placed.where("part is not null").select("part", *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(["part"], columns, "metric", "value")
     side = lambda p: F.round(F.avg(F.when(F.col("part") == p, F.col("value"))), 4)
-    both = tall.groupBy("metric").agg(side("early").alias("early"), side("recent").alias("recent"))
+    both = tall.groupBy("metric").agg(side("early").alias("early"), side("recent").alias("recent")).where("early is not null and recent is not null")
     return both.withColumn("delta", F.round(F.col("recent") - F.col("early"), 4))
 
 
@@ -85,19 +102,65 @@ def sufficiency(count: Column) -> Column:
     return F.when(count < 100, "weak").when(count < 250, "minimum").when(count < 500, "recommended").otherwise("strong")
 
 
+#: What to say of each band of sufficiency.
+SUFFICIENCY_WARNINGS = {"weak": "insufficient_data_for_confident_iteration", "minimum": "usable_but_still_small", "recommended": "good_enough_for_targeted_changes"}
+DISTRIBUTED = ("retention_soft_score", "subtitle_quality", "pacing_score", "speaker_confidence_score", "visual_conversation_score", "face_focus_rate", "hook_score", "story_completion_score", "context_completeness_score")
+
+
+def baseline_report(records: DataFrame, sessions: DataFrame | None = None, trend: list[str] | None = None) -> DataFrame:
+    """The baseline report as rows (section, key, value): metrics, label_rates, root_causes, labels, cooccurrence,
+    distributions (key 'score:bucket'), accepted_arcs, sufficiency, warnings and trend. Numbers are doubles.
+
+    Every section is a small aggregate of its own over records(summary, failure_reason, human_labels), so that a report
+    of any number of records is a union of a few hundred rows."""
+    row = lambda section, key, value: (F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value"))
+    metrics = session_metrics(records)
+    names = [c for c in metrics.columns]
+    parts = [metrics.select(*(F.col(c).cast("double").alias(c) for c in names)).unpivot([], names, "key", "value").select(*row("metrics", F.col("key"), F.col("value")))]
+    parts.append(label_rates(records).select(*row("label_rates", F.col("label"), F.col("rate"))))
+    distinct = records.withColumn("failure_reason", F.array_distinct("failure_reason"))
+    parts.append(tag_counts(distinct, "failure_reason").select(*row("root_causes", F.col("tag"), F.col("n"))))
+    parts.append(tag_counts(records, "human_labels").select(*row("labels", F.col("tag"), F.col("n"))))
+    parts.append(co_occurrence(records, "failure_reason").select(*row("cooccurrence", F.col("pair"), F.col("n"))))
+    flat = records.select(*(F.col(f"summary.{c}").alias(c) for c in DISTRIBUTED)).unpivot([], list(DISTRIBUTED), "score", "x").where("x is not null")
+    bucket = F.least(F.lit(4), F.greatest(F.lit(0), F.floor(F.col("x") * 5).cast("int")))
+    parts.append(flat.groupBy("score", bucket.alias("bucket")).agg(F.count("*").alias("n")).select(*row("distributions", F.concat_ws(":", "score", "bucket"), F.col("n"))))
+    spread = flat.groupBy("score").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.round(F.avg("x"), 4).alias("avg"), F.count("*").cast("double").alias("sample_size"))
+    spread = spread.unpivot(["score"], ["min", "max", "avg", "sample_size"], "what", "x")
+    parts.append(spread.select(*row("distributions", F.concat_ws(":", "score", "what"), F.col("x"))))
+    arcs = records.where("summary.publishable").groupBy(F.coalesce(F.nullif("summary.story_arc_shape", F.lit("")), F.lit("unknown")).alias("arc")).agg(F.count("*").alias("n"))
+    parts.append(arcs.select(*row("accepted_arcs", F.col("arc"), F.col("n"))))
+    count = records.agg(F.count("*").alias("n"))
+    known = F.create_map(*(F.lit(x) for pair in SUFFICIENCY_WARNINGS.items() for x in pair))
+    band = count.select(F.explode(F.array_compact(F.array(F.concat(F.lit("status:"), sufficiency(F.col("n"))), F.concat(F.lit("warning:"), F.try_element_at(known, sufficiency(F.col("n"))))))).alias("key"), "n")
+    parts.append(band.select(*row("sufficiency", F.col("key"), F.col("n"))))
+    small = count.select(F.explode(F.array_compact(F.array(F.when(F.col("n") < 20, "small_sample_size"), F.when(F.col("n") < 100, "below_minimum_data_gate")))).alias("key"))
+    parts.append(small.select(*row("warnings", F.col("key"), F.lit(1))))
+    if sessions is not None:
+        parts.append(session_trend(sessions, trend or [c for c in sessions.columns if c != "created_at"]).select(*row("trend", F.col("metric"), F.col("delta"))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(metric, before, after, delta) of two tables (metric, value), metrics of either."""
     both = left.withColumnRenamed("value", "before").join(right.withColumnRenamed("value", "after"), "metric", "full")
     return both.withColumn("delta", F.round(F.col("after") - F.col("before"), 4))
 
 
-def duration_profile(rows: DataFrame, by: str, column: str) -> DataFrame:
-    """Least, most, mean, upper median, and shares above one, two and four thirds of a minute times three."""
-    values = F.array_sort(F.collect_list(column))  # per group of a report; groups are small
-    return rows.groupBy(by).agg(
-        F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), F.round(F.avg(column), 4).alias("mean"), F.element_at(values, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("upper_median"),
-        *(rate(F.col(column) > s).alias(f"over_{s}") for s in (30, 60, 80)),
+def duration_profile(rows: DataFrame, by: str, column: str, above: tuple[int, ...] = (60, 120, 240)) -> DataFrame:
+    """Per group: count, least, most, mean, upper median (of an even number of values the larger of the middle ones) and
+    the share of values above each of some bounds. The median comes from counts of values, not from a list of them."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("k"))
+    order = Window.partitionBy(by).orderBy(column)
+    placed = counts.withColumns({"upto": F.sum("k").over(order), "of": F.sum("k").over(Window.partitionBy(by))})
+    middle = placed.where("upto > floor(of / 2)").groupBy(by).agg(F.min(column).alias("upper_median"))
+    found = rows.groupBy(by).agg(
+        F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), F.round(F.avg(column), 4).alias("mean"), *(rate(F.col(column) > s).alias(f"over_{s}") for s in above)
     )
+    return found.join(middle, by, "left")
 
 
 def reject_summary(rejects: DataFrame, warnings: DataFrame, most: int = 3) -> DataFrame:

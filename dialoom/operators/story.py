@@ -182,3 +182,50 @@ def publishable_chains(chain: DataFrame, least_ms: int = 35_000) -> DataFrame:
     rescued = F.col("duration_ms") < floor
     order = Window.partitionBy("source_id").orderBy(F.desc("is_complete"), F.desc(F.col("completion_score") >= 0.75), F.desc("extended"), F.desc("completion_score"), F.desc("duration_ms"), rescued, "block_no")
     return kept.withColumn("rank", F.row_number().over(order)).drop("passes")
+
+
+def plans(turns: DataFrame, least_s: float = 25.0, most_s: float = 60.0) -> DataFrame:
+    """One row per block of turns with frag_no: its chain and summary, window_plan and window_segments at the bounds of
+    its fragments, clarity_score (0.25 a filled text, 0.05 each for two turns, two speakers, and a length of at least
+    least_s and at most most_s) and duration_penalty, the share of least_s that is missing."""
+    frags = roles(fragments(turns))
+    segment = F.struct("frag_no", F.col("role").alias("role"), F.round(F.col("start_ms") / 1000, 3).alias("start"), F.round(F.col("end_ms") / 1000, 3).alias("end"))
+    parts = frags.groupBy(*CHAIN).agg(F.array_sort(F.collect_list(segment)).alias("s"))
+    named = F.count_distinct(F.when(F.trim("speaker") != "", F.col("speaker")))
+    talk = turns.groupBy(*CHAIN).agg(F.min_by("start_ms", "turn_id").alias("first_ms"), F.max_by("end_ms", "turn_id").alias("last_ms"), F.count("*").alias("turn_count"), named.alias("speaker_count"))
+    found = summaries(chains(frags)).join(parts, list(CHAIN)).join(talk, list(CHAIN))
+    length = F.greatest(F.lit(0.0), (F.col("last_ms") - F.col("first_ms")) / 1000)
+    bonus = lambda test: F.when(test, 0.05).otherwise(0.0)
+    clarity = F.col("completion_score") + bonus(F.col("turn_count") >= 2) + bonus(length >= least_s) + bonus(length <= most_s) + bonus(F.col("speaker_count") >= 2)
+    window = F.struct(
+        F.round(F.col("first_ms") / 1000, 3).alias("start"), F.round(F.col("last_ms") / 1000, 3).alias("end"), F.round(length, 3).alias("duration"), F.lit(least_s).alias("min_seconds"), F.lit(most_s).alias("max_seconds"), "turn_count", "speaker_count"
+    )
+    return found.withColumns(
+        {
+            "window_plan": window, "window_segments": F.transform("s", lambda x: F.struct(x["role"].alias("role"), x["start"].alias("start"), x["end"].alias("end"))),
+            "clarity_score": F.least(F.lit(1.0), F.round(clarity, 4)), "duration_penalty": F.round(F.greatest(F.lit(0.0), (least_s - length) / max(1.0, least_s)), 4), "merge_reason": F.lit("story_chain_assembly"),
+        }
+    ).drop("s", "first_ms", "last_ms", "turn_count", "speaker_count")
+
+
+def candidates(chain: DataFrame, source: str = "story_pipeline") -> DataFrame:
+    """Chains as candidates for selection: times in seconds, completion as score, score_breakdown of the filled texts,
+    estimated_turns, the number of fragments."""
+    seconds = lambda c: F.round(F.col(c) / 1000, 3)
+    score = F.round("completion_score", 4)
+    filled = {f"{n}_filled": F.col(n) != "" for n in ("hook", "setup", "escalation", "payoff")}
+    breakdown = {"completion_score": score, "is_complete": F.col("is_complete"), "search_extended": F.col("extended"), "arc_shape": F.col("arc_shape")} | filled
+    shown = chain.withColumns({"start": seconds("start_ms"), "end": seconds("end_ms")})
+    return shown.select(
+        *CHAIN, "start", "end", F.round(F.greatest(F.lit(0.0), F.col("end") - F.col("start")), 3).alias("duration"), F.lit(source).alias("source"), F.lit("story_chain").alias("story_unit_type"), score.alias("story_clarity_score"), score.alias("score"),
+        F.struct(*(c.alias(n) for n, c in breakdown.items())).alias("score_breakdown"), F.col("fragments").alias("estimated_turns"), F.lit(0.0).alias("hook_gap"), F.lit(0.0).alias("tail_gap"), score.alias("story_completion_score"), "is_complete", "speakers",
+        F.col("extended").alias("search_extended"),
+    )
+
+
+def topic_terms(rows: DataFrame, by: list[str], text: Column, most: int = 4) -> DataFrame:
+    """(by, terms): the most frequent plain words of each row's text, the first to appear among equals. by: a row's key."""
+    spread = rows.select(*by, F.posexplode(plain_words(text)).alias("pos", "word"))
+    counts = spread.groupBy(*by, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "first"))).where(F.col("rank") <= most)
+    return top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("terms"))

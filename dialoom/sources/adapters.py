@@ -43,8 +43,17 @@ SCORES = {
     "subject_visibility_ratio": 31, "speaker_confidence_score": 37, "visual_conversation_score": 41, "retention_soft_score": 43, "visible_stakes_score": 47, "visual_subject_score": 53,
     "dialogue_dependency_penalty": 59, "story_completeness_score": 61, "payoff_strength": 67, "packaging_quality_score": 71, "title_quality_score": 73, "story_interest_score": 79,
     "story_context_score": 83, "story_coherence_score": 89, "story_completion_score": 97, "recommendation_readiness_score": 3, "watchability_score": 5, "first_frame_clarity_score": 9,
-    "cold_open_dead_time_penalty": 15, "context_completeness_score": 21, "clarity_score": 27,
+    "cold_open_dead_time_penalty": 15, "context_completeness_score": 21, "clarity_score": 27, "sound_off_hook_score": 33, "viral_soft_score": 39, "speaker_center_offset_avg": 45, "speaker_center_offset_p95": 49,
+    "face_edge_clip_rate": 51, "duration_penalty": 55,
 }
+#: Names of made-up flags and counts: true, or one, where doc_id is divisible.
+FLAGS = {
+    "needs_review": 7, "ranking_fallback_used": 10, "ranking_fast_fallback_used": 20, "watchdog_fallback_used": 22, "semantic_preview_fallback_used": 26, "reframe_scene_interest_fallback_used": 12,
+    "subject_person_fallback_used": 14, "face_preserving_fallback_used": 16, "rejected_for_missing_payoff": 17, "rejected_for_topic_jump": 19, "rejected_for_confusing_story": 23,
+}
+COUNTS = {"subtitle_overlap_outputs": 11, "subtitle_blink_outputs": 13, "speaker_switches": 3, "reframe_fallback_count": 9}
+#: Scores that some rows lack: null where doc_id is divisible.
+LACKING = {"retention_soft_score": 8, "story_coherence_score": 15, "story_completion_score": 21, "context_completeness_score": 6}
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +66,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("quality") == 1, "good").otherwise("bad"), F.when(F.pmod("doc_id", F.lit(3)) == 0, "publishable"), F.when(F.col("toxic") == 1, "confusing"), F.when(F.pmod("doc_id", F.lit(5)) == 0, "late_hook")
         )
     )
+    given = lambda n, k: F.when(F.pmod("doc_id", F.lit(LACKING[n])) != 0, made_score(k)) if n in LACKING else made_score(k)
+    story = F.struct(
+        F.concat(F.lit("conv_"), F.pmod("doc_id", F.lit(50)).cast("string")).alias("conversation_id"), F.element_at(F.array(*map(F.lit, ("hook_only", "hook_setup"))), (F.pmod("doc_id", F.lit(2)) + 1).cast("int")).alias("story_arc_shape"),
+        made_score(57).alias("story_coherence_score"), made_score(63).alias("story_completion_score"), F.lit(None).cast("double").alias("context_completeness_score"), F.lit("question").alias("hook_type"), F.lit("reveal").alias("payoff_type"),
+    )
     return joined.select(
-        "doc_id", "lang", "source", *(made_score(k).alias(n) for n, k in SCORES.items()), (F.pmod(F.col("n_chars"), F.lit(90))).alias("final_duration"), decision.alias("quality_governor_decision"),
-        (F.pmod("doc_id", F.lit(7)) == 0).alias("needs_review"), F.pmod("doc_id", F.lit(6)).alias("topic_shift_events"), tags.alias("human_labels"),
-        F.when(F.pmod("doc_id", F.lit(9)) != 0, F.col("n_chars")).alias("runtime_ms"), (F.pmod("doc_id", F.lit(10)) == 0).alias("ranking_fallback_used"),
+        "doc_id", "lang", "source", *(given(n, k).alias(n) for n, k in SCORES.items()), *((F.pmod("doc_id", F.lit(k)) == 0).alias(n) for n, k in FLAGS.items()), *(F.when(F.pmod("doc_id", F.lit(k)) == 0, 1).otherwise(0).alias(n) for n, k in COUNTS.items()),
+        (F.pmod(F.col("n_chars"), F.lit(90))).alias("final_duration"), decision.alias("quality_governor_decision"), F.pmod("doc_id", F.lit(6)).alias("topic_shift_events"), tags.alias("human_labels"),
+        F.when(F.pmod("doc_id", F.lit(9)) != 0, F.col("n_chars")).alias("runtime_ms"), (made_score(69) * 8).alias("trimmed_silence_seconds"), F.slice(F.array(*map(F.lit, (1, 2, 3))), F.lit(1), F.pmod("doc_id", F.lit(4)).cast("int")).alias("silence_trim_events"),
+        F.when(F.pmod("doc_id", F.lit(5)) == 1, "unfinished").when(F.pmod("doc_id", F.lit(5)) == 2, "punchline").alias("payoff_type"), F.when(F.pmod("doc_id", F.lit(4)) == 1, "threat_tension").alias("hook_type"),
+        F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("thread_"), F.pmod("doc_id", F.lit(20)).cast("string"))).alias("story_thread_id"), F.lit(None).cast("string").alias("conversation_id"),
+        F.when(F.pmod("doc_id", F.lit(3)) == 1, "hook_setup_escalation").alias("story_arc_shape"), story.alias("story_summary"),
     )
