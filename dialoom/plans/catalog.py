@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialogue, intervals, records  # noqa: F401  registers their queries
+from . import dialogue, framed, intervals, records  # noqa: F401  registers their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

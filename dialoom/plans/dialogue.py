@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
-from ..operators import captions, grouping, intervals, packaging, pauses, ranking, signals, story, turns
+from ..operators import captions, grouping, intervals, packaging, pauses, ranking, reporting, signals, story, titles, turns
 from ..sources.adapters import segments
-from .registry import BLOCKS, SEGMENTS, TURN_TYPE, TURNS, cascade, hits, listed, query, score, squeezed
+from .records import FIVE_ALIKE, MISREAD
+from .registry import BLOCKS, SEGMENTS, TURN_TYPE, TURNS, cascade, file_name, hits, listed, query, quoted, score, squeezed
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +70,6 @@ RANKED_SCORES = ", ".join(f"round({score('text', getattr(lexicons, n))}, 4) AS {
     SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY hook_score + payoff_score DESC, turn_count DESC, block_no) AS rank FROM s"""
 )
 def ranked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     found = grouping.blocks(gap_blocked(spark, sf_dir))
     scores = [F.round(text.lexicon_score(F.col("text"), getattr(lexicons, n)), 4).alias(f"{n.lower()}_score") for n in ("HOOK", "CONFLICT", "ESCALATION", "EMOTION", "PAYOFF")]
     scored = found.select("source_id", "block_no", "start_ms", "end_ms", "turn_count", F.size("speakers").alias("n_speakers"), *scores)
@@ -117,9 +116,9 @@ def story_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "block_no", "arc_shape", "conflict_type", "completion_score", "is_complete", "start_ms", "end_ms", "fragments", "title_seed", "hook_type", "payoff_type", "topic_phrase", "context_completeness", "confidence")
 
 
-def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-
-    frags = told(spark, sf_dir)
+def with_payoffs(frags: DataFrame) -> DataFrame:
+    """Chains of fragments with roles, extended by payoffs of later blocks. Fragments are read twice, so they are kept."""
+    frags = frags.persist()
     best = F.max_by(F.struct(text.squeeze(F.col("transcript")).alias("t"), "end_ms"), F.struct(F.greatest("payoff_score", F.when(F.col("role") == "payoff", 0.25).otherwise(0.0)), -F.col("frag_no")))
     words = F.array_distinct(F.flatten(F.collect_list(text.topic_words(F.col("transcript")))))
     blocks = frags.groupBy("source_id", "block_no").agg(F.min("start_ms").alias("start_ms"), F.array_distinct(F.flatten(F.collect_list("speakers"))).alias("speakers"), words.alias("topic_words"), best.alias("b"))
@@ -127,6 +126,10 @@ def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return story.extend_payoff(story.chains(frags), blocks)
 
 
+def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_payoffs(told(spark, sf_dir))
+
+
 @query()
 def payoff_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extended(spark, sf_dir).select("source_id", "block_no", "extended", "payoff_block", "end_ms", "arc_shape", "completion_score", "is_complete")
@@ -139,6 +142,151 @@ def episode_story_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("source_id", "block_no", "rank", "arc_shape", "completion_score", "is_complete", "extended", "start_ms", "end_ms", "duration_ms", "hook")
 
 
+def turn_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments with roles of blocks by gaps, every turn a fragment: no fold comes before, so SQL can say the same."""
+    nth = F.row_number().over(Window.partitionBy("source_id", "block_no").orderBy("turn_id")) - 1
+    return story.roles(story.fragments(gap_blocked(spark, sf_dir).withColumn("frag_no", nth)))
+
+
+BLOCK = "PARTITION BY source_id, block_no"
+TELLING = ("HOOK", "CONFLICT", "ESCALATION", "EMOTION", "PAYOFF")
+ROLES = rf"""{BLOCKS}, fr AS (SELECT source_id, block_no, row_number() OVER ({BLOCK} ORDER BY turn_id) AS nth, count(*) OVER ({BLOCK}) AS of_, start_ms, end_ms, speaker, text AS transcript,
+    {', '.join(f"{score('text', getattr(lexicons, n))} AS {n.lower()}_score" for n in TELLING)}, {hits('text', lexicons.CONFLICT)} AS conflict_signals FROM numbered),
+  sc AS (SELECT *, hook_score + CASE WHEN nth = 1 THEN 0.15 ELSE 0.0 END AS h, payoff_score + 0.3 * emotion_score + CASE WHEN nth = of_ THEN 0.15 ELSE 0.0 END AS p, conflict_score + escalation_score AS e FROM fr),
+  r1 AS (SELECT *, row_number() OVER ({BLOCK} ORDER BY h DESC, nth) = 1 AS is_h, row_number() OVER ({BLOCK} ORDER BY p DESC, nth) = 1 AS is_p, row_number() OVER ({BLOCK} ORDER BY nth = 1, p DESC, nth DESC) = 1 AS second_ FROM sc),
+  r2 AS (SELECT *, bool_or(is_h AND is_p AND nth = 1 AND of_ > 1) OVER ({BLOCK}) AS both_ FROM r1),
+  r3 AS (SELECT *, CASE WHEN both_ THEN CASE WHEN nth = 1 THEN 'hook_setup' WHEN second_ THEN 'payoff' END WHEN is_p THEN 'payoff' WHEN is_h THEN 'hook' END AS role0 FROM r2),
+  r4 AS (SELECT *, row_number() OVER ({BLOCK} ORDER BY role0 IS NOT NULL, e DESC, nth DESC) = 1 AS peak FROM r3),
+  told AS (SELECT *, nth - 1 AS frag_no, coalesce(role0, CASE WHEN peak AND e > 0 THEN 'escalation' ELSE 'setup' END) AS role FROM r4)"""
+
+
+@query(f"WITH {ROLES} SELECT source_id, block_no, frag_no, role, round(h, 4) AS hook, round(p, 4) AS payoff, round(e, 4) AS tension FROM told")
+def story_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = turn_told(spark, sf_dir)
+    of = F.count("*").over(Window.partitionBy("source_id", "block_no"))
+    hook = F.col("hook_score") + F.when(F.col("frag_no") == 0, 0.15).otherwise(0.0)
+    payoff = F.col("payoff_score") + 0.3 * F.col("emotion_score") + F.when(F.col("frag_no") == of - 1, 0.15).otherwise(0.0)
+    return found.select("source_id", "block_no", "frag_no", "role", F.round(hook, 4).alias("hook"), F.round(payoff, 4).alias("payoff"), F.round(F.col("conflict_score") + F.col("escalation_score"), 4).alias("tension"))
+
+
+def first_text(of: str, test: str) -> str:
+    return f"coalesce((list_filter({of}, lambda x: ({test}) AND x.t <> ''))[1].t, '')"
+
+
+def distinct(values: str) -> str:
+    """SQL of a list's values, each once, in order."""
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
+def completion(chain: str) -> str:
+    filled = "((hook <> '')::INT + (setup <> '')::INT + (escalation <> '')::INT + (payoff <> '')::INT)"
+    return f"SELECT *, {listed(lexicons.ARC_SHAPES)}[{filled} + 1] AS arc_shape, {filled} * 0.25::DOUBLE AS completion_score, {filled} = 4 AS is_complete FROM {chain}"
+
+
+def said_words(said: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower({said}), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 4 AND NOT list_contains({listed(lexicons.STOP_WORDS)}, w))"
+
+
+CHAINS = rf"""{ROLES}, pk AS (SELECT source_id, block_no, list({{'nth': nth, 'role': role, 't': {squeezed("transcript")}, 's': speaker, 'c': conflict_signals, 'a': start_ms, 'z': end_ms}} ORDER BY nth) AS f FROM told GROUP BY ALL),
+  c1 AS (SELECT *, coalesce(nullif({first_text('f', "x.role = 'hook'")}, ''), nullif({first_text('f', "x.role = 'hook_setup'")}, ''), f[1].t) AS hook FROM pk),
+  c2 AS (SELECT *, coalesce(nullif({first_text('f', "x.role = 'setup'")}, ''), CASE WHEN len(f) > 1 THEN {first_text('f[2:]', "x.role NOT IN ('hook', 'payoff', 'escalation')")} END, '') AS setup FROM c1),
+  c3 AS (SELECT *, coalesce(nullif({first_text('f', "x.role = 'escalation'")}, ''), CASE WHEN len(f) > 2 THEN {first_text('f', "x.role NOT IN ('hook', 'setup', 'payoff', 'hook_setup') AND x.t <> hook AND x.t <> setup")} END, '') AS escalation FROM c2),
+  c4 AS (SELECT *, coalesce(nullif({first_text('f', "x.role = 'payoff'")}, ''), CASE WHEN f[-1].t <> '' AND (len(f) > 1 OR f[-1].t <> hook) THEN f[-1].t END, '') AS payoff, f[1].a AS start_ms, f[-1].z AS end_ms, len(f) AS fragments,
+    {distinct("list_transform(f, lambda y: y.s)")} AS speakers, array_to_string({distinct("flatten(list_transform(f, lambda y: y.c))")}, ' ') AS signals, list_sort(list_distinct({said_words("array_to_string(list_transform(f, lambda y: y.t), ' ')")})) AS topic_words FROM c3),
+  chain AS ({completion("c4")})"""
+TENSE = "trim(signals || ' ' || escalation)"
+WORDS3 = rf"list_filter(regexp_extract_all(lower(every), '[\p{{L}}\p{{N}}_'']+'), lambda x: length(x) > 2)"
+PLAIN3 = f"list_filter({WORDS3}, lambda x: length(x) >= 4 AND NOT list_contains({listed(lexicons.STOP_WORDS)}, x))"
+SUMMARIES = rf"""{CHAINS}, e0 AS (SELECT *, {squeezed("concat_ws(' ', hook, setup, escalation, payoff)")} AS every, {squeezed("concat_ws(' ', hook, escalation, CASE WHEN payoff <> '' AND payoff <> hook AND payoff <> escalation THEN payoff ELSE '' END)")} AS told_ FROM chain),
+  e1 AS (SELECT *, {PLAIN3} AS plain, CASE WHEN len({PLAIN3}) > 0 THEN {PLAIN3} ELSE {WORDS3} END AS picked FROM e0),
+  e2 AS (SELECT *, CASE WHEN len(speakers) > 0 THEN 0.25 ELSE 0.0 END + CASE WHEN len(plain) > 0 THEN 0.25 ELSE 0.0 END + CASE WHEN setup <> '' THEN 0.25 ELSE 0.0 END + CASE WHEN escalation <> '' THEN 0.25 ELSE 0.0 END AS context_completeness FROM e1),
+  summed AS (SELECT *, array_to_string(string_split(told_, ' ')[1:20], ' ') AS title_seed, {cascade("hook", lexicons.HOOK_TYPES, "'balanced_hook'")} AS hook_type,
+    CASE WHEN {squeezed("payoff")} = '' THEN 'unfinished' ELSE {cascade("payoff", lexicons.PAYOFF_TYPES, "'resolution'")} END AS payoff_type, {cascade(TENSE, lexicons.CONFLICT_TYPES, "CASE WHEN signals <> '' THEN 'argument' ELSE 'none' END")} AS conflict_type,
+    array_to_string(list_filter(picked, lambda x, i: list_position(picked, x) = i)[1:5], ' ') AS topic_phrase, round(least(1.0, 0.25 + completion_score * 0.35 + context_completeness * 0.35), 4) AS confidence FROM e2)"""
+ASSEMBLED = ("source_id", "block_no", "hook", "setup", "escalation", "payoff", "arc_shape", "conflict_type", "completion_score", "is_complete", "start_ms", "end_ms", "fragments", "title_seed", "hook_type", "payoff_type", "topic_phrase", "context_completeness", "confidence")
+
+
+@query(f"WITH {SUMMARIES} SELECT {', '.join(ASSEMBLED)}, array_to_string(topic_words, ',') AS topics FROM summed")
+def chain_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains and their summaries, every turn a fragment."""
+    return story.summaries(story.chains(turn_told(spark, sf_dir))).select(*ASSEMBLED, F.array_join("topic_words", ",").alias("topics"))
+
+
+def overlap(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / greatest(len({a}), len({b}))::DOUBLE ELSE 0.0 END"
+
+
+EXTENDED = rf"""{CHAINS}, bs AS (SELECT source_id, block_no, min(start_ms) AS b_start, list_distinct(list(lower(speaker))) AS b_speakers, list_distinct(flatten(list({said_words("transcript")}))) AS b_words,
+    arg_max({squeezed("transcript")}, [greatest(payoff_score, CASE WHEN role = 'payoff' THEN 0.25 ELSE 0.0 END), -frag_no]) AS b_text, arg_max(end_ms, [greatest(payoff_score, CASE WHEN role = 'payoff' THEN 0.25 ELSE 0.0 END), -frag_no]) AS b_end FROM told GROUP BY ALL),
+  hit AS (SELECT c.source_id, c.block_no, min(b.block_no) AS payoff_block FROM chain c JOIN bs b ON c.source_id = b.source_id AND NOT c.is_complete AND b.b_start BETWEEN c.end_ms AND c.end_ms + 180000 AND b.b_text <> ''
+    AND ({overlap("list_transform(c.speakers, lambda s: lower(s))", "b.b_speakers")} >= 0.3 OR {overlap("c.topic_words", "b.b_words")} >= 0.18) GROUP BY ALL),
+  x0 AS (SELECT c.source_id, c.block_no, c.hook, c.setup, c.escalation, CASE WHEN hit.payoff_block IS NOT NULL AND c.payoff = '' THEN b.b_text ELSE c.payoff END AS payoff, c.start_ms, CASE WHEN hit.payoff_block IS NULL THEN c.end_ms ELSE greatest(c.end_ms, b.b_end) END AS end_ms,
+    hit.payoff_block IS NOT NULL AS extended, hit.payoff_block FROM chain c LEFT JOIN hit USING (source_id, block_no) LEFT JOIN bs b ON b.source_id = c.source_id AND b.block_no = hit.payoff_block),
+  ext AS ({completion("x0")})"""
+
+
+@query(f"WITH {EXTENDED} SELECT source_id, block_no, extended, coalesce(payoff_block, -1) AS payoff_block, end_ms, arc_shape, completion_score, is_complete FROM ext")
+def chain_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_payoffs(turn_told(spark, sf_dir)).fillna(-1, ["payoff_block"]).select("source_id", "block_no", "extended", "payoff_block", "end_ms", "arc_shape", "completion_score", "is_complete")
+
+
+@query(
+    f"""WITH {EXTENDED}, m AS (SELECT *, end_ms - start_ms AS duration_ms, end_ms - start_ms >= 6000 AND (end_ms - start_ms >= 20000 OR completion_score >= 0.75 OR is_complete) AS passes FROM ext),
+    k AS (SELECT *, bool_or(passes) OVER (PARTITION BY source_id) AS some_ FROM m)
+    SELECT source_id, block_no, duration_ms, extended, completion_score, row_number() OVER (PARTITION BY source_id ORDER BY is_complete DESC, completion_score >= 0.75 DESC, extended DESC, completion_score DESC, duration_ms DESC, duration_ms < 20000, block_no) AS rank
+    FROM k WHERE passes OR (NOT some_ AND duration_ms >= 10000)"""
+)
+def chain_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = story.publishable_chains(with_payoffs(turn_told(spark, sf_dir)), 20_000)
+    return kept.select("source_id", "block_no", "duration_ms", "extended", "completion_score", "rank")
+
+
+@query(
+    f"""WITH {EXTENDED}, s AS (SELECT *, (end_ms - start_ms) / 1000.0 AS length_ FROM ext)
+    SELECT count(*) AS chains, round(count(*) FILTER (is_complete) / count(*), 4) AS complete_rate, round(count(*) FILTER (payoff <> '') / count(*), 4) AS payoff_rate, round(avg(completion_score), 4) AS mean_completion, round(avg(length_), 4) AS mean_seconds,
+      count(*) FILTER (length_ < 6) AS under_6, count(*) FILTER (length_ >= 6 AND length_ < 20) AS from_6, count(*) FILTER (length_ >= 20 AND length_ < 35) AS from_20, count(*) FILTER (length_ >= 35 AND length_ < 60) AS from_35, count(*) FILTER (length_ >= 60) AS from_60 FROM s"""
+)
+def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.chain_validation(with_payoffs(turn_told(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {SUMMARIES}, ab AS (SELECT source_id, block_no, arg_min(start_ms, turn_id) AS a, arg_max(end_ms, turn_id) AS z, count(*) AS n, count(DISTINCT CASE WHEN trim(speaker) <> '' THEN speaker END) AS k FROM numbered GROUP BY ALL),
+    sg AS (SELECT source_id, block_no, string_agg(role || ':' || round(start_ms / 1000.0, 3)::DECIMAL(12,3) || '-' || round(end_ms / 1000.0, 3)::DECIMAL(12,3), ',' ORDER BY nth) AS segments FROM told GROUP BY ALL), j AS (SELECT *, greatest(0.0, (z - a) / 1000.0::DOUBLE) AS d FROM summed JOIN ab USING (source_id, block_no) JOIN sg USING (source_id, block_no))
+    SELECT source_id, block_no, arc_shape, confidence, round(d, 3) AS duration, n AS turn_count, k AS speaker_count, segments,
+      least(1.0, round(completion_score + CASE WHEN n >= 2 THEN 0.05 ELSE 0.0 END + CASE WHEN d >= 25 THEN 0.05 ELSE 0.0 END + CASE WHEN d <= 60 THEN 0.05 ELSE 0.0 END + CASE WHEN k >= 2 THEN 0.05 ELSE 0.0 END, 4)) AS clarity_score, round(greatest(0.0, (25.0 - d) / 25.0), 4) AS duration_penalty FROM j"""
+)
+def story_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of blocks by gaps, every turn a fragment."""
+    nth = F.row_number().over(Window.partitionBy("source_id", "block_no").orderBy("turn_id")) - 1
+    made = story.plans(gap_blocked(spark, sf_dir).withColumn("frag_no", nth))
+    shown = F.transform("window_segments", lambda x: F.concat(x["role"], F.lit(":"), x["start"].cast("decimal(12,3)").cast("string"), F.lit("-"), x["end"].cast("decimal(12,3)").cast("string")))
+    plan = [F.col(f"window_plan.{c}").alias(c) for c in ("duration", "turn_count", "speaker_count")]
+    return made.select("source_id", "block_no", "arc_shape", "confidence", *plan, F.array_join(shown, ",").alias("segments"), "clarity_score", "duration_penalty")
+
+
+@query(
+    f"""WITH {EXTENDED}, f AS (SELECT source_id, block_no, len(f) AS n FROM pk) SELECT source_id, block_no, round(start_ms / 1000.0::DOUBLE, 3) AS start, round(end_ms / 1000.0::DOUBLE, 3) AS end, round(greatest(0.0, round(end_ms / 1000.0::DOUBLE, 3) - round(start_ms / 1000.0::DOUBLE, 3)), 3) AS duration,
+    'story_chain' AS story_unit_type, completion_score AS score, is_complete, extended AS search_extended, arc_shape, hook <> '' AS hook_filled, payoff <> '' AS payoff_filled, n AS estimated_turns FROM ext JOIN f USING (source_id, block_no)"""
+)
+def story_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = story.candidates(with_payoffs(turn_told(spark, sf_dir)))
+    parts = [F.col(f"score_breakdown.{c}").alias(c) for c in ("arc_shape", "hook_filled", "payoff_filled")]
+    return made.select("source_id", "block_no", "start", "end", "duration", "story_unit_type", "score", "is_complete", "search_extended", *parts, "estimated_turns")
+
+
+@query(
+    rf"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower({squeezed("text")}), '[\p{{L}}\p{{N}}_'']+')) AS word, generate_subscripts(regexp_extract_all(lower({squeezed("text")}), '[\p{{L}}\p{{N}}_'']+'), 1) AS pos FROM conversations),
+    c AS (SELECT conv_id, turn, word, count(*) AS n, min(pos) AS f FROM w WHERE length(word) > 3 AND NOT list_contains({listed(lexicons.STOP_WORDS)}, word) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, f) AS k FROM c)
+    SELECT conv_id, turn, string_agg(word, ',' ORDER BY k) AS terms FROM r WHERE k <= 4 GROUP BY ALL"""
+)
+def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.adapters import table
+
+    return story.topic_terms(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], F.col("text")).select("conv_id", "turn", F.array_join("terms", ",").alias("terms"))
+
+
 CAPTION = r"""CASE WHEN len(w) <= 2 THEN array_to_string(w, ' ') WHEN k >= len(w) THEN array_to_string(w, ' ') ELSE array_to_string(w[1:k], ' ') || chr(10) || array_to_string(w[k + 1:], ' ') END"""
 
 
@@ -188,7 +336,13 @@ def highlight_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.highlight_events(captions.sentences(captions.word_events(segments(spark, sf_dir))))
 
 
-@query()
+STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+
+
+@query(
+    rf"""WITH {SEGMENTS}, w AS (SELECT *, string_split({squeezed("text")}, ' ') AS w FROM seg), k AS (SELECT *, greatest(1, len(list_filter(range(1, len(w) + 1), lambda i: length(array_to_string(w[1:i], ' ')) <= 34))) AS k, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms) AS cue FROM w)
+    SELECT source_id, cue, cue || chr(10) || {STAMP.format("start_ms")} || ' --> ' || {STAMP.format("end_ms")} || chr(10) || {CAPTION} || chr(10) AS srt FROM k"""
+)
 def srt_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.srt(segments(spark, sf_dir))
 
@@ -202,10 +356,33 @@ def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken(spark, sf_dir).select("source_id", "turn_id", F.array_join(words, " ").alias("text"))
 
 
-@query()
-def story_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, phrases, hashtags and file name of each chain."""
-    made = story.summaries(story.chains(told(spark, sf_dir)))
+def sql_tidy(said: str) -> str:
+    return rf"replace(regexp_replace({squeezed(said)}, ' +([,.:;!?])', '\1', 'g'), ' - ', ' ')"
+
+
+def sql_capital(said: str) -> str:
+    return f"upper({said}[1:1]) || {said}[2:]"
+
+
+FILLERS = "|".join(packaging.FILLERS)
+#: SQL of normal_title() of column c: steps by name.
+NORMAL = rf"""n1 AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '.', 'g'), ',,+', ',', 'g'), ';;+', ';', 'g'), '::+', ':', 'g'), ' ') AS w FROM n0),
+  n2 AS (SELECT *, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: i = 1 OR lower(w[i]) <> lower(w[i - 1])), lambda i: w[i]), ' ') AS j FROM n1),
+  n3 AS (SELECT *, regexp_replace(regexp_replace(j, '^(?i:(?:(?:{FILLERS}) [ ,:;\-—]*)+)', ''), '^[ ,:;\-—]+|[ ,:;\-—]+$', '', 'g') AS b FROM n2), normal AS (SELECT * EXCLUDE (w, j, b), {sql_capital("b")} AS title FROM n3)"""
+#: SQL of title_quality() of a tidy title t.
+QUALITY = r"""CASE WHEN t = '' THEN 0.0 ELSE greatest(0.0, least(1.0, greatest(0.0, 1.0 - least(1.0, abs(length(t) - 34.0) / 34.0)) * 0.34 + length(regexp_replace(t, '[^\p{L}]', '', 'g')) / greatest(1, length(t))::DOUBLE * 0.38
+  + greatest(0.0, 1.0 - least(1.0, abs(len(string_split(t, ' ')) - 6.0) / 6.0)) * 0.22 - least(1.0, (length(regexp_replace(t, '[^,;:—-]', '', 'g')) + len(regexp_extract_all(t, '\.\.\.'))) / 4.0) * 0.18
+  - CASE WHEN len(list_filter(range(2, len(string_split(t, ' ')) + 1), lambda i: lower(string_split(t, ' ')[i]) = lower(string_split(t, ' ')[i - 1]))) > 0 THEN 1.0 ELSE 0.0 END * 0.12 - CASE WHEN len(string_split(t, ' ')) < 2 THEN 0.18 ELSE 0.0 END)) END"""
+
+
+def sql_trimmed(said: str, most: int) -> str:
+    """SQL of trimmed_title() of a tidy text with a capital."""
+    head = rf"coalesce(nullif(rtrim(regexp_extract(left({said}, {most - 1}), '^(.*) ', 1)), ''), left({said}, {most - 1}))"
+    return rf"CASE WHEN length({said}) <= {most} THEN {said} ELSE regexp_replace({head}, '[,.:;!?]+$', '') || '...' END"
+
+
+def packaged(made: DataFrame) -> DataFrame:
+    """Title, phrases, hashtags and file name of each chain of summaries."""
     titled = made.select(
         "source_id", "block_no", packaging.trimmed_title(packaging.normal_title(F.col("title_seed")), 64).alias("title"), packaging.hook_phrase(F.col("hook_type")).alias("hook_phrase"),
         packaging.payoff_phrase(F.col("payoff_type")).alias("payoff_phrase"), F.array_join(packaging.story_hashtags(F.col("speakers"), F.col("conflict_type"), F.col("topic_phrase"), F.col("is_complete")), " ").alias("hashtags"),
@@ -214,6 +391,46 @@ def story_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def story_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packaged(story.summaries(story.chains(told(spark, sf_dir))))
+
+
+TITLED = ("title", "hook_line", "title_variant_a", "title_variant_b", "title_quality_score", "mood", "retention_soft_score", "packaging_quality_score", "title_confidence")
+
+
+@query()
+def story_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated titles of chains whose fragments are turns, as a Russian serial packages them."""
+    made = story.summaries(story.chains(turn_told(spark, sf_dir)))
+    strong = made.withColumns({"hook_strength": F.lit(0.6), "payoff_strength": F.when(F.col("payoff") != "", 0.7).otherwise(0.2), "story_clarity_score": F.col("completion_score"), "recommendation_readiness_score": F.lit(0.5)})
+    return titles.story_titles(strong, serial=True).select("source_id", "block_no", *TITLED)
+
+
+def known(column: str, names: dict[str, str], default: str) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in names.items())} ELSE {default} END"
+
+
+@query(
+    rf"""WITH {SUMMARIES}, n0 AS (SELECT source_id, block_no, hook_type, payoff_type, conflict_type, topic_phrase, is_complete, {sql_tidy("title_seed")} AS c FROM summed), {NORMAL},
+    tt AS (SELECT *, {sql_tidy("title")} AS t0 FROM normal), t1 AS (SELECT *, {sql_capital("t0")} AS t FROM tt), t2 AS (SELECT *, {sql_trimmed("t", 64)} AS shown FROM t1),
+    h AS (SELECT *, list_filter([{known("conflict_type", packaging.CONFLICT_TAGS["en"], "NULL")}, CASE WHEN length(topic_phrase) >= 4 AND NOT list_contains({listed(packaging.GENERIC_TOPICS)}, lower(topic_phrase))
+      THEN '#' || nullif(regexp_replace(regexp_replace(replace(topic_phrase, ' ', '_'), '[^\p{{L}}\p{{N}}_]+', '', 'g'), '^_+|_+$', '', 'g'), '') END, CASE WHEN is_complete THEN '#story' END], lambda x: x IS NOT NULL) AS tags FROM t2),
+    q AS (SELECT *, {file_name("shown")} AS base FROM h),
+    r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY source_id * 1000 + block_no) AS nth FROM q)
+    SELECT source_id, block_no, shown AS title, {known("hook_type", packaging.HOOK_PHRASES, "'Strong story moment'")} AS hook_phrase, {known("payoff_type", packaging.PAYOFF_PHRASES, "''")} AS payoff_phrase,
+      array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i)[1:3], ' ') AS hashtags, CASE WHEN nth = 1 THEN base ELSE base || ' [' || nth || ']' END AS file_name FROM r"""
+)
+def chain_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of chains whose fragments are turns."""
+    return packaged(story.summaries(story.chains(turn_told(spark, sf_dir))))
+
+
+@query(
+    rf"""WITH {TURNS}, t0 AS (SELECT source_id, turn_id AS nth, {sql_tidy("text")} AS x FROM turns), t1 AS (SELECT source_id, nth, {sql_capital("x")} AS y FROM t0), n00 AS (SELECT source_id, nth, {sql_trimmed("y", 60)} AS z FROM t1),
+    n0 AS (SELECT source_id, nth, {sql_tidy("z")} AS c FROM n00), {NORMAL}, o AS (SELECT source_id, lower(title) AS key, arg_min(title, nth) AS title, min(nth) AS nth FROM normal WHERE title <> '' GROUP BY ALL),
+    q AS (SELECT *, {sql_tidy("title")} AS t FROM o), s AS (SELECT *, round({QUALITY}, 4) AS score FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, length(title) DESC, nth) AS k FROM s)
+    SELECT source_id, title, score FROM r WHERE k = 1"""
+)
 def best_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spoken(spark, sf_dir).select("source_id", F.col("turn_id").alias("nth"), packaging.trimmed_title(F.col("text"), 60).alias("text"))
     return packaging.best_titles(rows, "source_id")
@@ -241,21 +458,49 @@ def pause_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("duration_ms > 80").select("source_id", "start_ms", "end_ms", "duration_ms", "continuation_bonus")
 
 
-@query()
+#: Pauses between turns without sound, by the rules as they are by default: energy 0 is quiet.
+PAUSES = f"""{TURNS}, g AS (SELECT source_id, lag(end_ms) OVER w AS start_ms, start_ms AS end_ms, lag(end_ms) OVER w - lag(start_ms) OVER w AS prev_ms, end_ms - start_ms AS next_ms FROM turns WINDOW w AS (PARTITION BY source_id ORDER BY start_ms, end_ms)),
+  p0 AS (SELECT *, end_ms - start_ms AS d, least(1.0, least(prev_ms, next_ms) / 1150.0::DOUBLE) AS bonus, least(prev_ms, next_ms) <= 650 AS short, least(prev_ms, next_ms) >= 850 AS strong, abs(prev_ms - next_ms) >= 550 AS uneven FROM g WHERE end_ms > start_ms),
+  p1 AS (SELECT *, CASE WHEN d >= 2000 AND bonus < 0.45 THEN 'dead_air' WHEN d <= 750 AND bonus >= 0.72 AND (short OR uneven) THEN 'reaction_pause' WHEN d <= 750 THEN 'short' WHEN d <= 3000 AND bonus >= 0.82 AND short THEN 'comedic_pause'
+    WHEN d <= 2500 AND bonus >= 0.76 AND strong THEN 'tension_pause' WHEN d > 2000 AND bonus < 0.58 THEN 'low' ELSE 'rest' END AS k FROM p0),
+  p2 AS (SELECT *, CASE WHEN k IN ('short', 'low', 'rest') THEN 'unknown' ELSE k END AS silence_type, CASE k WHEN 'dead_air' THEN 0.92 WHEN 'reaction_pause' THEN 0.68 WHEN 'short' THEN 0.44 WHEN 'comedic_pause' THEN 0.72 WHEN 'tension_pause' THEN 0.70 WHEN 'low' THEN 0.48 ELSE 0.52 END::DOUBLE AS silence_confidence,
+    CASE k WHEN 'comedic_pause' THEN 3000 WHEN 'tension_pause' THEN 2500 WHEN 'rest' THEN CASE WHEN d <= 2500 THEN 1500 ELSE 3000 END ELSE 1500 END::BIGINT AS limit_ms, k IN ('dead_air', 'low') OR (k = 'rest' AND d > 3000 AND bonus < 0.40) AS trim_allowed,
+    CASE k WHEN 'dead_air' THEN 'low_energy_long_gap' WHEN 'reaction_pause' THEN 'reaction_hold' WHEN 'short' THEN 'short_gap' WHEN 'comedic_pause' THEN 'comic_timing' WHEN 'tension_pause' THEN 'tension_bridge' WHEN 'low' THEN 'uncertain_low_energy' ELSE 'uncertain' END AS why FROM p1),
+  p3 AS (SELECT *, CASE WHEN d <= 1000 THEN 'soft_keep:short_gap' WHEN silence_type = 'dead_air' OR (silence_type = 'unknown' AND silence_confidence < 0.50 AND trim_allowed) THEN 'cut:' || why
+    WHEN d <= 1150 AND (bonus >= 0.50 OR NOT trim_allowed) THEN 'keep_for_story:' || CASE silence_type WHEN 'comedic_pause' THEN 'comedic_timing' WHEN 'reaction_pause' THEN 'reaction_hold' WHEN 'tension_pause' THEN 'tension_hold'
+      ELSE CASE WHEN bonus >= 0.92 THEN 'continuation_bonus' WHEN bonus >= 0.62 THEN 'soft_context' ELSE 'story_gap' END END
+    WHEN silence_type = 'unknown' AND silence_confidence >= 0.50 AND NOT trim_allowed THEN 'keep_for_story:uncertain_preserve' WHEN d > 1150 THEN 'cut:long_silence' ELSE 'cut:over_2s_silence' END AS dr FROM p2),
+  pz AS (SELECT source_id, start_ms, end_ms, d AS duration_ms, 0.0::DOUBLE AS energy, round(bonus, 4) AS continuation_bonus, silence_type, silence_confidence, limit_ms, trim_allowed, split_part(dr, ':', 1) AS decision, split_part(dr, ':', 2) AS reason FROM p3)"""
+PAUSE_TYPES = ("dead_air", "comedic_pause", "emotional_pause", "reaction_pause", "tension_pause", "unknown")
+
+
+@query(f"WITH {PAUSES} SELECT * FROM pz")
 def pause_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pauses.pause_timeline(spoken(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {PAUSES} SELECT source_id, count(*) AS pauses, count(*) FILTER (decision = 'cut') AS cut_count, count(*) FILTER (decision = 'soft_keep') AS soft_keep_count, count(*) FILTER (decision = 'keep_for_story') AS story_keep_count,
+    coalesce(sum(duration_ms) FILTER (decision = 'cut'), 0)::BIGINT AS cut_ms, coalesce(sum(duration_ms) FILTER (decision = 'keep_for_story'), 0)::BIGINT AS story_kept_ms, {', '.join(f"count(*) FILTER (silence_type = '{t}') AS {t}_count" for t in PAUSE_TYPES)} FROM pz GROUP BY source_id"""
+)
 def pause_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pauses.pause_stats(pauses.pause_timeline(spoken(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH {PAUSES}, cl AS (SELECT source_id, max(end_ms) - min(start_ms) AS original_ms, sum(end_ms - start_ms) AS output_ms, round(avg({score("text", lexicons.HOOK)}), 6) AS hook FROM turns GROUP BY source_id),
+    su AS (SELECT source_id, coalesce(sum(duration_ms) FILTER (decision = 'cut' AND silence_type = 'dead_air'), 0) AS dead, coalesce(sum(duration_ms) FILTER (decision = 'cut' AND silence_type = 'unknown'), 0) AS unknown, count(*) FILTER (decision = 'cut') AS cuts,
+      coalesce(sum(duration_ms) FILTER (decision <> 'cut' AND silence_type NOT IN ('dead_air', 'unknown')), 0) AS kept FROM pz GROUP BY source_id),
+    x AS (SELECT cl.*, coalesce(dead, 0) / greatest(1000, original_ms)::DOUBLE AS dead, coalesce(unknown, 0) / greatest(1000, original_ms)::DOUBLE AS unknown, coalesce(kept, 0) / greatest(1000, original_ms)::DOUBLE AS kept, coalesce(cuts, 0) AS cuts,
+      CASE WHEN original_ms > 0 THEN greatest(0.0, 1.0 - least(1.0, output_ms / original_ms::DOUBLE)) ELSE 0.0 END AS trimmed FROM cl LEFT JOIN su USING (source_id))
+    SELECT source_id, round(greatest(0.0, least(1.0, 0.5 * 0.26 + 0.5 * 0.18 + greatest(0.0, least(1.0, hook)) * 0.12 + 0.5 * 0.12 + 0.5 * 0.08 + least(1.0, kept * 2.0) * 0.08 + least(1.0, trimmed * 1.2) * 0.08
+      + least(1.0, 1.0 - greatest(0.0, dead * 1.5 + unknown * 0.75)) * 0.08 - least(0.40, dead * 1.7 + unknown * 0.75 + greatest(0, cuts - 1) * 0.025) + 0.16)), 4) AS pacing_score FROM x"""
+)
 def pacing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spoken(spark, sf_dir)
     timeline = pauses.pause_timeline(t)
-    clips = t.groupBy("source_id").agg((F.max("end_ms") - F.min("start_ms")).alias("original_ms"), F.sum("duration_ms").alias("output_ms"), F.avg(text.lexicon_score(F.col("text"), lexicons.HOOK)).alias("hook"))
+    hook = F.round(F.avg(text.lexicon_score(F.col("text"), lexicons.HOOK)), 6)
+    clips = t.groupBy("source_id").agg((F.max("end_ms") - F.min("start_ms")).alias("original_ms"), F.sum("duration_ms").alias("output_ms"), hook.alias("hook"))
     clips = clips.select("*", *(F.lit(0.5).alias(c) for c in ("flow", "interest", "context", "quality")))
     return pauses.pacing(timeline, clips)
 
@@ -284,7 +529,17 @@ def story_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.story_signals(segments(spark, sf_dir)).drop("subtitle_quality_score")
 
 
-@query()
+SANITY = rf"""b AS (SELECT source_id, n, full_ AS text, regexp_extract_all(lower(full_), '[A-Za-zЀ-ӿ0-9'']+') AS w FROM g),
+    s AS (SELECT *, len(list_distinct(w)) / greatest(1, len(w))::DOUBLE AS u, length(regexp_replace(text, '[^А-Яа-яЁё]', '', 'g')) AS c, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS a FROM b),
+    k AS (SELECT *, round(a / greatest(1, c + a), 4) AS lc, text = '' OR len(w) = 0 OR u < 0.35 OR {MISREAD} OR {FIVE_ALIKE} AS suspicious FROM s),
+    sane AS (SELECT *, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(greatest(0.0, least(1.0, 0.50 + lc * 0.22 + u * 0.18 + (CASE WHEN regexp_matches(text, '[.!?]$') THEN 0.10 ELSE 0.0 END + CASE WHEN len(w) >= 6 THEN 0.06 ELSE 0.0 END) - CASE WHEN suspicious THEN 0.28 ELSE 0.0 END
+      - least(0.20, len(list_filter(w, lambda x: length(x) <= 2)) / greatest(1, len(w))::DOUBLE * 0.22) - least(0.22, greatest(0.0, 0.58 - u) * 0.65))), 4) END AS sanity FROM k)"""
+
+
+@query(
+    rf"""WITH {SEGMENTS}, g AS (SELECT source_id, count(*) AS n, {squeezed("string_agg(text, ' ' ORDER BY seg_idx)")} AS full_ FROM seg GROUP BY source_id), {SANITY}
+    SELECT source_id, round(least(1.0, 0.8::DOUBLE * 0.34::DOUBLE + sanity::DOUBLE * 0.38::DOUBLE + lc::DOUBLE * 0.18::DOUBLE + least(1.0, n / 4.0::DOUBLE) * 0.10::DOUBLE)::VARCHAR::DECIMAL(30, 20), 4)::DOUBLE AS subtitle_quality_score FROM sane"""
+)
 def subtitle_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.story_signals(segments(spark, sf_dir)).select("source_id", "subtitle_quality_score")
 
@@ -352,6 +607,4 @@ def window_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chain_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import reporting
-
     return reporting.chain_validation(extended(spark, sf_dir))

@@ -61,6 +61,14 @@ def squeezed(text: str) -> str:
     return rf"trim(regexp_replace(coalesce({text}, ''), '\s+', ' ', 'g'))"
 
 
+def file_name(title: str, most: int = 110) -> str:
+    """SQL of a title as a file name."""
+    tidy = rf"replace(regexp_replace({squeezed(title)}, ' +([,.:;!?])', '\1', 'g'), ' - ', ' ')"
+    sound = rf"trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({tidy}), '[<>:\"/\\|?*\x00-\x1f]', '', 'g'), '[ .]+$', ''), '\s+', ' ', 'g'))"
+    head = f"left({sound}, {most})"
+    return f"coalesce(nullif(CASE WHEN length({sound}) <= {most} THEN {sound} ELSE coalesce(nullif(trim(regexp_extract({head}, '^(.*) ', 1)), ''), {head}) END, ''), 'clip')"
+
+
 SEGMENTS = rf"""seg AS (
   SELECT conv_id AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seg_idx, (e - d)::BIGINT AS start_ms, e::BIGINT AS end_ms, text, role AS speaker
   FROM (SELECT *, sum(d + g) OVER (PARTITION BY conv_id ORDER BY turn) AS e
