@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,41 +15,59 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LIBC = ctypes.CDLL(None)
 WORD_GAP = r"[^\p{L}\p{N}\p{M}]+"
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
+
+#: Folders of applications that run on this machine alone, where spark.checkpoint.dir is unset.
+LOCAL: dict[str, str] = {}
+#: Lists of the tables written since recorded() was entered, the innermost last.
+RECORDS: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder serves a local master
+    (tests); a cluster's executors couldn't read one another's, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="dialoom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="dialoom-")
+        LOCAL[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
-#: Intermediate tables that operators wrote and that discard_intermediates() may delete.
-WRITTEN: list[tuple[SparkSession, str]] = []
+#: Rows of a batch that goes to a Python worker: whole texts are long, and a batch is in memory on both sides.
+BATCH_ROWS = 2_000
 
 
-def materialize(df: DataFrame, label: str, release: bool = False, keep: bool = False) -> DataFrame:
-    """Write df once into the shared folder and read it back, which cuts its lineage.
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session send texts to its workers in batches of at most BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
-    release: let Spark's cleaner drop the shuffle files of frames that nothing refers to any more, on the way.
-    keep: the table outlives discard_intermediates().
-    """
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df once into the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if keep:
-        return spark.read.schema(df.schema).parquet(path)
-    WRITTEN.append((spark, path))
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    if RECORDS:
+        RECORDS[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[tuple[SparkSession, str]]]:
+    """The tables that operators called inside write, for whoever deletes them once nothing reads their results."""
+    RECORDS.append([])
+    try:
+        yield RECORDS[-1]
+    finally:
+        RECORDS.pop()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's file systems; one that is gone already is no error."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,12 +81,6 @@ def discard(table: DataFrame) -> None:
         delete(table.sparkSession, files[0].rsplit("/", 1)[0])
 
 
-def discard_intermediates() -> None:
-    """Deletes what operators wrote for results that have been written since."""
-    while WRITTEN:
-        delete(*WRITTEN.pop())
-
-
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of edges(a, b): rows (node, component), component the smallest node.
 
@@ -100,7 +113,14 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
         step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that a task no longer uses to the system: workers are kept for the tasks of later stages."""
     pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,10 +158,90 @@ def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), np.searchsorted(owner, np.arange(len(lengths) + 1))
 
 
+#: Random 64-bit numbers of the word characters by code point, equal for both cases of a letter, and 0 for any other
+#: code point; filled a block at a time.
+CHARACTERS, BLOCK_BITS = np.zeros(0x110000, np.uint64), 12
+FILLED = np.zeros(0x110000 >> BLOCK_BITS, bool)
+POWERS = [np.ones(1, np.uint64)]
+#: Code points that are hashed at a time.
+CHUNK = 1 << 18
+
+
+def characters(points: np.ndarray) -> np.ndarray:
+    """CHARACTERS of code points."""
+    for block in np.unique(points >> BLOCK_BITS) if points.max(initial=0) >> BLOCK_BITS else [0]:
+        if not FILLED[block]:
+            first = int(block) << BLOCK_BITS
+            every = pa.array([chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(first, first + (1 << BLOCK_BITS))])
+            lower = pc.utf8_lower(every)
+            word = pc.match_substring_regex(lower, WORD_GAP).to_numpy(zero_copy_only=False) ^ True
+            own = np.array([ord(c[0]) for c in lower.to_pylist()], np.uint64)
+            CHARACTERS[first : first + (1 << BLOCK_BITS)] = np.where(word, mix((own + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), np.uint64(0))
+            FILLED[block] = True
+    return CHARACTERS[points]
+
+
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in a row, nulls being empty, and where each text's begin."""
+    texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
+    starts = np.concatenate(([0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))))
+    if not starts[-1]:
+        return np.zeros(0, np.uint32), starts
+    at = np.frombuffer(texts.buffers()[1], np.int64)[[texts.offset, texts.offset + len(texts)]]
+    return np.frombuffer(str(memoryview(texts.buffers()[2])[at[0] : at[1]], "utf-8").encode("utf-32-le"), np.uint32), starts
+
+
+def point_words(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each lower-case word (run of letters, digits and marks) among code points and where it begins; no word
+    goes on over one of starts. Words of a chunk are hashed as polynomials of their characters' numbers."""
+    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(points):
+        end, far = min(at + CHUNK, len(points)), CHUNK
+        own = characters(points[at:end])
+        while end < len(points) and own[-1] and not (last := np.flatnonzero(own == 0)).size:  # a word longer than the chunk
+            far *= 2
+            end = min(at + far, len(points))
+            own = characters(points[at:end])
+        if end < len(points) and own[-1]:
+            end = at + int(last[-1]) + 1
+            own = own[: end - at]
+        word = own != 0
+        new = word.copy()
+        new[1:] &= ~word[:-1]
+        cut = starts[np.searchsorted(starts, at) : np.searchsorted(starts, end)] - at
+        new[cut] = word[cut]
+        begin = np.flatnonzero(new)
+        if len(begin):
+            place = np.arange(begin[0], len(own)) - np.repeat(begin, np.diff(begin, append=len(own)))
+            longest = int(place.max()) + 1
+            if len(POWERS[0]) < longest:
+                POWERS[0] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(2 * longest, np.uint64(0x9E3779B97F4A7C15)))), dtype=np.uint64)
+            hashes.append(mix(np.add.reduceat(own[begin[0] :] * POWERS[0][place], begin - begin[0])))
+            places.append(begin + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of word_lists(), and where each text's begin."""
-    words, starts = word_lists(texts)
-    return hash_strings(words), starts
+    """Hashes of the words of all texts, as word_lists() has them, and where each text's begin."""
+    points, starts = code_points(texts)
+    hashes, places = point_words(points, starts[:-1])
+    return hashes, np.searchsorted(places, starts)
+
+
+def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts cut at line feeds: hashes of the words, the number of each word's line in the batch, and each line's
+    text and number within the text."""
+    points, starts = code_points(texts)
+    feeds = np.flatnonzero(points == 10)
+    counts = np.diff(np.searchsorted(feeds, starts)) + 1
+    owner, first = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+    begin = np.empty(len(owner), np.int64)
+    rest = np.ones(len(owner), bool)
+    rest[first] = False
+    begin[first], begin[rest] = starts[:-1], feeds + 1
+    hashes, places = point_words(points, starts[:-1])
+    return hashes, np.searchsorted(begin, places, side="right") - 1, owner, np.arange(len(owner)) - first[owner]
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
