@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Markup: comments, elements whose content isn't text, declarations, tags with their attributes, and text.
+#: Markup: comments, elements whose content isn't text, declarations, tags with their attributes, and text. A quote begins
+#: a value only after an equals sign; a tag that the page's end cuts off is markup still. Nothing is tried twice: parts
+#: are possessive, so that reading a page takes time in proportion to its length.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|svg|textarea|iframe|object|math)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|svg|textarea|iframe|object|math)\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z)|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)|([^<]++|<)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b", re.I)
@@ -72,6 +75,7 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out, text, linked, anchors, tag = [], [], [], 0, ""
     stack: list[tuple[str, tuple[bool, bool]]] = [("", (False, False))]
+    open_: Counter[str] = Counter()
 
     def flush() -> None:
         words = " ".join("".join(text).split())
@@ -102,9 +106,13 @@ def blocks(page: str) -> list[Block]:
                 if not end:
                     if name != "span" and not attributes.endswith("/"):
                         stack.append((name, surroundings(name, attributes, stack[-1][1])))
-                elif any(x == name for x, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                        open_[name] += 1
+                elif open_[name]:
+                    while True:
+                        ended = stack.pop()[0]
+                        open_[ended] -= 1
+                        if ended == name:
+                            break
                 anchors = 0
     flush()
     return out
