@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, digest, text) to (doc_id, digest, weight, bands); a text without words has weight 0 and no bands."""
-    for batch in slices(batches, 4 << 20):
+    for batch in slices(batches, 2 << 20):
         hashes, owner = shingles(*word_hashes(batch.column("text")), width)
         n = batch.num_rows
         keys = band_keys(dart_signatures(unit_regions(hashes, owner), owner, n), bands, rows)
@@ -104,23 +105,79 @@ def compared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     return found.select("a", "b", (both / (F.size("ra") + F.size("rb") - both)).alias("jaccard"))
 
 
+#: Cells of the sketch that orders regions by how many members hold them. It makes prefixes rare, and so cheap; pairs are
+#: found by any order.
+SKETCH_BITS = 20
+
+
+def cells(regions: np.ndarray) -> np.ndarray:
+    return (mix(regions) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def region_sketch(lists: DataFrame) -> np.ndarray:
+    """How many of the regions of lists(regions) fall into each of 2**SKETCH_BITS cells, which are all that is collected."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(cells(batch.column("regions").flatten().to_numpy().view(np.uint64)), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+    found = lists.select("regions").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return sketch
+
+
+def region_prefixes(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(id, component, regions, parity bits) to one row per region of each prefix, rarest first by (count in the sketch,
+    region). A region that is alone in its cell is no other member's, so it only takes its place in the prefix."""
+    for batch in batches:
+        lists = batch.column("regions")
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner, regions = np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy().view(np.uint64)
+        count = sketch[cells(regions)]
+        by = np.lexsort((regions, count, owner))
+        pos = np.arange(len(by)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        keep = (pos <= (lengths - np.ceil(threshold * lengths - 1e-9).astype(np.int64))[owner]) & (count[by] > 1)
+        at = pa.array(owner[keep])
+        own = [batch.column(c).take(at) for c in ("id", "component", *PARITY)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(lengths[owner[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(regions[by][keep].view(np.int64))], ["id", "component", *PARITY, "size", "pos", "region"])
+
+
 def prefix_pairs(members: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of members(id, component) of different components that can reach the threshold: they share a
-    region in the prefix of their rarest regions and pass the length, positional and parity filters."""
-    own = lists.drop(*PARITY).join(members, "id").select("id", "component", F.size("regions").alias("size"), F.explode("regions").alias("region"))
-    own = materialize(own, "member-regions")
-    often = materialize(own.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region-counts")
-    ranked = own.join(often, "region", "left").select("id", "component", "size", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "region").alias("r"))
-    ordered = ranked.groupBy("id", "component", "size").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    prefix = F.slice("rs", F.lit(1), F.col("size") - F.ceil(threshold * F.col("size") - 1e-9).cast("int") + 1)
-    shown = ordered.select("id", "component", "size", F.posexplode(prefix).alias("pos", "r")).where("r.n > 1")
-    shown = shown.select("id", "component", "size", "pos", F.col("r.region").alias("region")).join(lists.drop("regions"), "id")
-    shown = materialize(shown, "region-prefixes")
+    region in the prefixes of their rarest regions and pass the length, positional and parity filters."""
+    own = materialize(lists.join(members, "id"), "member-regions")
+    sketch = own.sparkSession.sparkContext.broadcast(region_sketch(own))
+    schema = "id long, component long, " + ", ".join(f"{b} long" for b in PARITY) + ", size int, pos int, region long"
+    shown = materialize(own.mapInArrow(lambda it: region_prefixes(it, sketch.value, threshold), schema), "region-prefixes")
     x, y = shown.alias("x"), shown.alias("y")
     found = x.join(y, (F.col("x.region") == F.col("y.region")) & F.expr("x.component < y.component") & could_match(threshold) & parity_fits(threshold))
     return found.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
 
 
+#: How often buckets that are still open are led by another member before prefixes are joined.
+TURNS = 3
+
+
+def open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, id, component) of the buckets members(band, id) that hold more than one component."""
+    labelled = materialize(members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    apart = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    return labelled.join(apart, "band", "left_semi")
+
+
+def led_pairs(buckets: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's leader of this turn and its members of other components: one a member. The member
+    that leads is the first by a hash of its id, so that it leads in most of its buckets."""
+    order = F.xxhash64("id", F.lit(turn))
+    leaders = buckets.groupBy("band").agg(F.min_by("id", order).alias("leader"), F.min_by("component", order).alias("led"))
+    met = buckets.join(leaders, "band").where("component <> led")
+    return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row (doc_id, class_id, kept) per row of docs; class_id is the smallest doc_id of its group.
 
@@ -157,16 +214,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     links = scored.where(F.col("jaccard") >= threshold).select("a", "b")
     groups = materialize(components(links), "groups")
 
-    # buckets of three or more whose members, besides the first, are still in different groups
-    labels = groups.select(F.col("node").alias("id"), "component")
-    rest = met.where("n > 2").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    rest = materialize(rest, "labelled")
-    open_ = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_ = materialize(rest.join(materialize(open_.select("band"), "open"), "band", "left_semi").select("id", "component").distinct(), "unresolved")
-    if not open_.isEmpty():
-        more = materialize(prefix_pairs(open_, lists, threshold).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
-        late = compared(more, lists).where(F.col("jaccard") >= threshold)
-        groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late.select("a", "b"))), "groups")
+    # buckets of three or more whose members, besides the first, are still in different groups: led by others, in turn,
+    # as long as that joins any; what is left then meets by its rarest shingles
+    tried, shared = pairs, met.where("n > 2").select("band", "id")
+    for turn in range(TURNS + 1):
+        open_ = materialize(open_buckets(shared, groups), "open-buckets")
+        if open_.isEmpty():
+            break
+        if turn < TURNS:
+            fresh = led_pairs(open_, turn)
+        else:
+            fresh = prefix_pairs(open_.select("id", "component").distinct(), lists, threshold)
+        fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"), "late-pairs")
+        late = materialize(compared(fresh, lists).where(F.col("jaccard") >= threshold).select("a", "b"), "late-links")
+        tried = tried.union(fresh)
+        if not late.isEmpty():
+            groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late)), "groups")
 
     classes = firsts.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialize(classes.select("digest", F.coalesce("component", "rep").alias("class_id")), "classes")

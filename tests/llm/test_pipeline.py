@@ -1,5 +1,7 @@
 """The pipeline: its stages in order, and run() against the stages applied one by one."""
 
+import pytest
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -9,15 +11,23 @@ def test_stages_pass_documents_on(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, SF), f"test-{name}", keep=True)
-        assert docs.columns == columns and 0 < docs.count() <= before
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), f"test-{name}")
+        assert docs.columns == columns and 0 < docs.count() <= before, name
         before = docs.count()
-    pieces = corpus_pipeline.materialize(corpus_pipeline.STAGES[-1][1](spark, docs, SF), "test-pieces", keep=True)
+    pieces = corpus_pipeline.materialize(corpus_pipeline.STAGES[-1][1](spark, docs, SF), "test-pieces")
     assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     key = lambda df: sorted(map(tuple, df.select("doc_id", "start", "length", "ids_crc32").collect()))
     assert key(corpus_pipeline.run(spark, SF)) == key(pieces)
 
 
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "minhash_near_dedup", "benchmark_decontamination"])
+def test_each_stage_removes_documents(spark, name):
+    """On the documents themselves: after line dedup few near copies are left."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert left.columns == docs.columns and 0 < left.count() < docs.count()
+
+
 def test_entry_registers_eleven(spark):
     import __spark_entry__
 
