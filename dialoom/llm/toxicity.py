@@ -6,10 +6,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,108 +22,162 @@ TRAINING_ROWS = 20_000
 #: At most this many learned words and stems.
 LEXICON_SIZE = 5_000
 STEMS = (4, 5, 6, 7, 8)
+#: Words that a worker remembers to be hot or not.
+LOOKED_UP = 300_000
 #: Log-odds of a word that count as one full insult.
 FULL_LOG_ODDS = 4.0
 
+# Words of the classes that transducers read, besides the learned insults.
 INSULTS = frozenset("idiot idiots moron morons imbecile loser losers scum scumbag stupid worthless pathetic disgusting trash garbage clown dumb fool jerk bastard arschloch trottel dummkopf idiota imbécil estúpido estúpida connard crétin abruti salaud".split())
-THREATS = frozenset("kill murder destroy hurt stab shoot strangle beat crush burn hang töten umbringen vernichten verletzen tuer détruire frapper égorger matar destruir golpear quemar".split())
+VIOLENCE = frozenset("kill murder destroy hurt stab shoot strangle beat crush burn hang töten umbringen vernichten verletzen tuer détruire frapper égorger matar destruir golpear quemar".split())
 TARGETS = frozenset("you your yours yourself u ur he she him they them their these those this people all du dich dir dein deine ihr euch sie tu toi te ton vous votre ils elles tú ti usted ustedes vosotros ellos ellas".split())
+INTENTS = frozenset("will ll gonna going shall should must let deserve deserves want werde werden soll sollst muss vais va vas doit dois voy vamos debe debes quiero".split())
+AMPLIFIERS = frozenset("such total totally complete completely absolute absolutely utter utterly fucking damn bloody really so what völlig total so tellement vraiment tan tanto totalmente completo".split())
 NEGATIONS = frozenset("not no never neither nor isn aren wasn don doesn didn won nicht kein keine niemals nie pas jamais aucun nunca jamás tampoco".split())
 REPORTS = frozenset("said says say told called calls wrote writes quoted quote reported reports claimed alleged according accused sagte sagt schrieb nannte zitierte laut dit écrit appelle selon cita dijo dice escribió llamó según".split())
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
-WORD = re.compile(r"[^\W_]+")
-
-#: Word classes read: insult, threat, target, negation, report, any other. Match types written, with the weights
-#: that hold before training: plain, targeted, negated and reported insults, and threats, also targeted ones.
-TYPES = ("plain", "targeted", "negated", "reported", "threat", "targeted threat")
-PRIOR = np.array([2.5, 3.0, 0.4, 0.4, 0.6, 2.5])
+#: The words of word_lists(), so that what is learned is what is matched.
+WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+
+#: Match types and their symbols, with the weights that hold before training.
+MATCHES = {
+    "p": ("plain insult", 2.0), "P": ("amplified insult", 2.2), "a": ("aimed insult", 3.0), "b": ("aim after an insult", 1.5), "w": ("word of violence", 0.2), "h": ("intended violence", 1.5), "x": ("threat", 2.5),
+    "y": ("aim after violence", 0.8), "n": ("negated", 0.3), "r": ("reported", 0.3),
+}
+TYPES = tuple(MATCHES)
+PRIOR = np.array([w for _, w in MATCHES.values()])
 PRIOR_BIAS = -2.5
 
 
 @dataclass
 class Transducer:
-    """A deterministic finite-state transducer; symbols without an arc are copied and follow the "else" arc."""
+    """A deterministic weighted finite-state transducer: arcs (state, symbol) to (state, written symbol, weight). A symbol
+    without an arc is copied at no weight and follows the state's `rest`."""
 
-    arcs: dict[tuple[int, str], tuple[int, str]]
+    arcs: dict[tuple[int, str], tuple[int, str, float]]
     rest: dict[int, int] = field(default_factory=dict)
 
-    def step(self, state: int, symbol: str) -> tuple[int, str]:
-        return self.arcs.get((state, symbol)) or (self.rest.get(state, state), symbol)
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol)) or (self.rest.get(state, state), symbol, 0.0)
 
 
 def compose(first: Transducer, second: Transducer, symbols: str) -> Transducer:
-    """The transducer that feeds what `first` writes to `second`, over the reachable pairs of states."""
+    """The transducer that feeds what `first` writes to `second`, over the reachable pairs of states; weights add up."""
     numbers, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
     while todo:
         p, q = todo.pop()
         for symbol in symbols:
-            p2, middle = first.step(p, symbol)
-            q2, out = second.step(q, middle)
+            p2, middle, before = first.step(p, symbol)
+            q2, out, after = second.step(q, middle)
             if (p2, q2) not in numbers:
                 numbers[p2, q2] = len(numbers)
                 todo.append((p2, q2))
-            arcs[numbers[p, q], symbol] = (numbers[p2, q2], out)
+            arcs[numbers[p, q], symbol] = (numbers[p2, q2], out, before + after)
     return Transducer(arcs)
 
 
-# Symbols: I insult, H threat, T target, N negation, R report, o other; J targeted insult, K targeted threat,
-# n negated, r reported. Each part rewrites insults and threats in one kind of context and copies the rest.
-TARGET_PART = Transducer({(0, "T"): (1, "T"), **{(s, "I"): (s, "J") for s in range(1, 5)}, **{(s, "H"): (s, "K") for s in range(1, 5)}, **{(s, "T"): (1, "T") for s in range(1, 5)}}, {1: 2, 2: 3, 3: 4, 4: 0})
-NEGATION_PART = Transducer({(0, "N"): (1, "N"), **{(s, x): (0, "n") for s in (1, 2) for x in "IJHK"}, (1, "N"): (1, "N"), (2, "N"): (1, "N")}, {1: 2, 2: 0})
-REPORT_PART = Transducer({(0, "R"): (1, "R"), **{(1, x): (1, "r") for x in "IJHK"}})
-GRAMMAR = compose(compose(TARGET_PART, NEGATION_PART, "IHTNRo"), REPORT_PART, "IHTNRo")
-MATCH = {"I": 0, "J": 1, "n": 2, "r": 3, "H": 4, "K": 5}
+# Symbols read: I insult, V violence, A amplifier, M intent, T target, N negation, R report, o any other word.
+SYMBOLS = "IVAMTNRo"
+#: An insult phrase: a word of the lexicon, more after an amplifier at most two words before, or next to another one.
+INSULT = Transducer({**{(k, "A"): (1, "A", 0.0) for k in range(4)}, (0, "I"): (3, "p", 0.0), **{(k, "I"): (3, "P", 0.0) for k in (1, 2, 3)}}, {1: 2, 2: 0, 3: 0})
+#: A threat phrase: a word of violence, intended where a word of intent is at most four words before.
+THREAT = Transducer({**{(k, "M"): (1, "M", 0.0) for k in range(5)}, (0, "V"): (0, "w", 0.0), **{(k, "V"): (0, "h", 0.0) for k in range(1, 5)}}, {1: 2, 2: 3, 3: 4, 4: 0})
+#: What is aimed: at a target at most four words before it; or, if it has none, at one at most three words after it, which
+#: writes a match of its own. States: 1-4 words since a target, 5-7 since an insult without one, 8-10 since violence.
+AIM = Transducer(
+    {
+        **{(k, "T"): (1, "T", 0.0) for k in range(5)}, **{(k, x): (1, y, 0.0) for k in range(1, 5) for x, y in (("p", "a"), ("P", "a"), ("w", "x"), ("h", "x"))},
+        **{(k, x): (5, x, 0.0) for k in (0, *range(5, 11)) for x in "pP"}, **{(k, x): (8, x, 0.0) for k in (0, *range(5, 11)) for x in "wh"},
+        **{(k, "T"): (1, "b", 0.0) for k in range(5, 8)}, **{(k, "T"): (1, "y", 0.0) for k in range(8, 11)},
+    },
+    {1: 2, 2: 3, 3: 4, 4: 0, 5: 6, 6: 7, 7: 0, 8: 9, 9: 10, 10: 0},
+)
+#: A match at most three words after a negation is negated.
+NEGATION = Transducer({**{(k, "N"): (1, "N", 0.0) for k in range(4)}, **{(k, x): (0, "n", 0.0) for k in range(1, 4) for x in "pPawhx"}}, {1: 2, 2: 3, 3: 0})
+#: A match anywhere after a verb of saying is reported.
+REPORT = Transducer({(0, "R"): (1, "R", 0.0), **{(1, x): (1, "r", 0.0) for x in "pPabwhxy"}})
+PATTERNS = reduce(lambda a, b: compose(a, b, SYMBOLS), (INSULT, THREAT, AIM, NEGATION, REPORT))
+
+
+def weighted(weights: np.ndarray) -> Transducer:
+    """The grammar: PATTERNS with a last transducer that puts the weights of match types on its arcs."""
+    return compose(PATTERNS, Transducer({(0, x): (0, x, float(w)) for x, w in zip(TYPES, weights, strict=True)}), SYMBOLS)
 
 
 @dataclass
 class Grammar:
-    """Insult words and stems with lexical weights, about 1 for a sure insult, and the weights of the match types."""
+    """Insult words and stems with lexical weights, about 1 for a sure insult, and the weights of the match types, which
+    are those of the machine's arcs."""
 
     words: dict[str, float]
     weights: np.ndarray
     bias: float
+    looked_up: dict[str, bool] = field(default_factory=dict)
 
     def lexical(self, word: str) -> float:
         return max(self.words.get(word, 0.0), *(self.words.get(word[:k] + "*", 0.0) for k in STEMS))
 
-    def clause(self, words: list[str]) -> list[tuple[int, float]]:
-        """Matches of one clause as (type, lexical weight). A target may also follow what it is aimed at."""
-        state, out, last = 0, [], None
-        for w in words:
-            lexical = self.lexical(w)
-            symbol = "I" if lexical else "H" if w in THREATS else "N" if w in NEGATIONS else "R" if w in REPORTS else "T" if w in TARGETS else "o"
-            state, written = GRAMMAR.step(state, symbol)
-            if written in MATCH:
-                out.append((MATCH[written], lexical or 1.0))
-                last = len(out) - 1
-            elif written == "T" and last is not None and out[last][0] in (0, 4):
-                out[last] = (out[last][0] + 1, out[last][1])
-                last = None
-            elif written == "o":
-                last = None
-        return out
-
-    def features(self, text: str) -> np.ndarray:
-        """log2(1 + summed lexical weight) of the matches of each type over all clauses."""
-        total = np.zeros(len(TYPES))
-        for part in CLAUSE_END.split(text.lower()):
-            for kind, weight in self.clause(WORD.findall(part)):
-                total[kind] += weight
-        return np.log2(1 + total)
+    def symbol(self, word: str) -> tuple[str, float]:
+        """A word's class, and the lexical weight of an insult or a word of violence."""
+        lexical = self.lexical(word)
+        if lexical:
+            return "I", lexical
+        if word in VIOLENCE:
+            return "V", 1.0
+        return next((x for x, words in (("N", NEGATIONS), ("R", REPORTS), ("T", TARGETS), ("M", INTENTS), ("A", AMPLIFIERS)) if word in words), "o"), 0.0
+
+    def clause(self, words: list[str], machine: Transducer = PATTERNS) -> tuple[list[tuple[str, float]], float]:
+        """Matches of one clause as (type, lexical weight), and the weight of its path through the machine, in which an
+        arc's weight counts times the lexical weight of the word that the match is of."""
+        state, out, total, held = 0, [], 0.0, 0.0
+        for word in words:
+            symbol, lexical = self.symbol(word)
+            held = lexical or held  # an aim that comes later is that of the match before it
+            state, written, weight = machine.step(state, symbol)
+            if written in MATCHES:
+                out.append((written, held))
+                total += weight * held
+        return out, total
+
+    def features(self, text: str, hot: set[str] | None = None) -> np.ndarray:
+        """log2(1 + summed lexical weight) of the matches of each type over all clauses of a lower-case text; hot: its
+        hot words, so that clauses without any of them are passed over."""
+        total = dict.fromkeys(TYPES, 0.0)
+        for part in CLAUSE_END.split(text):
+            if hot is None or any(w in part for w in hot):
+                for kind, weight in self.clause(WORD.findall(part))[0]:
+                    total[kind] += weight
+        return np.log2(1 + np.array([*total.values()]))
+
+    def hot(self, word: str) -> bool:
+        """Whether a match can begin at a word; what was looked up is kept in the worker."""
+        found = self.looked_up.get(word)
+        if found is None:
+            if len(self.looked_up) >= LOOKED_UP:
+                self.looked_up.clear()
+            found = self.looked_up[word] = word in VIOLENCE or self.lexical(word) > 0
+        return found
 
     def batch(self, texts: pa.Array) -> np.ndarray:
-        """Features of all texts; only texts that hold an insult or a threat word are parsed."""
+        """Features of all texts; only clauses that hold an insult or a word of violence are parsed."""
         out = np.zeros((len(texts), len(TYPES)))
         words, starts = word_lists(texts)
         coded = words.dictionary_encode()
-        hot = np.array([w in THREATS or self.lexical(w) > 0 for w in coded.dictionary.to_pylist()], bool)
-        if hot.any():
-            places = np.flatnonzero(hot[coded.indices.to_numpy(zero_copy_only=False)])
-            for row in np.unique(np.searchsorted(starts, places, side="right") - 1):
-                out[row] = self.features(texts[int(row)].as_py())
+        known = coded.dictionary.to_pylist()
+        hot = np.array([self.hot(w) for w in known], bool)
+        if not hot.any():
+            return out
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        places = np.flatnonzero(hot[index])
+        owner = np.searchsorted(starts, places, side="right") - 1
+        rows, first = np.unique(owner, return_index=True)
+        lower = pc.utf8_lower(texts.take(pa.array(rows))).to_pylist()
+        for row, text, i, j in zip(rows.tolist(), lower, first.tolist(), [*first[1:].tolist(), len(places)], strict=True):
+            out[row] = self.features(text, {known[k] for k in index[places[i:j]]})
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
+        """The chance of toxicity: the weights of all clauses' paths, damped per type as features are, and the bias."""
         return 1 / (1 + np.exp(-(self.bias + features @ self.weights)))
 
 
@@ -190,7 +246,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Grammar:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
     known = materialize(known, "toxic-labels")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sample = materialize(texts.join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxic-sample")
+    one = F.max_by(F.struct("text"), F.xxhash64("text"))  # rows that share a doc_id count as one, so that the sample is bounded
+    sample = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(one.alias("t")).select("t.text", "toxic")
+    sample = materialize(sample.repartition(max(8, texts.sparkSession.sparkContext.defaultParallelism)), "toxic-sample")
     grammar = Grammar({w: 1.0 for w in INSULTS} | lexicon(sample), PRIOR, PRIOR_BIAS)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Grammar:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, x.T)], ["toxic", *(f"x{i}" for i in range(len(TYPES)))])
 
     schema = "toxic int, " + ", ".join(f"x{i} double" for i in range(len(TYPES)))
-    table = sample.mapInArrow(measured, schema).groupBy(*(f"x{i}" for i in range(len(TYPES))), "toxic").count().limit(TRAINING_ROWS).toArrow().to_pandas()
+    table = sample.mapInArrow(measured, schema).groupBy(*(f"x{i}" for i in range(len(TYPES))), "toxic").count().toArrow().to_pandas()
     if table["toxic"].nunique() > 1:
         rows = table.loc[table.index.repeat(table["count"])]
         grammar.weights, grammar.bias = fitted(rows[[f"x{i}" for i in range(len(TYPES))]].to_numpy(), rows["toxic"].to_numpy())
