@@ -15,8 +15,8 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}"),
 )
 ASSIGN_VALUE = r"[A-Za-z0-9+/_.=-]{8,}$"
-#: Candidates for the models: runs of these characters of at least this many, with a digit and a letter, or mixed case.
-CANDIDATE, LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
+#: Candidates for the models: runs of at least 20 of these characters.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: A candidate is a secret when its mean log-likelihood ratio a character, random against ordinary, is above this.
 THRESHOLD = 0.6
@@ -73,20 +73,50 @@ def ratio_table(spark: SparkSession, random: DataFrame | None = None, ordinary:
     return [x - y for x, y in zip(*tables, strict=True)]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, m>> of the leftmost non-overlapping matches, in code points, end exclusive.
+#: Matches whose places are summed up together; sums of these sums follow, so that work grows little faster than matches.
+TOGETHER = 128
 
-    What lies between matches and the matches themselves alternate, so running sums of their lengths are places.
+
+def with_matches(df: DataFrame, column: str, pattern: str, name: str) -> DataFrame:
+    """df with name: the leftmost non-overlapping matches of a pattern, and name_gaps: what lies before each of them and
+    after the last, null without a match. Columns of their own, so that each is made once."""
+    df = df.withColumn(name, F.regexp_extract_all(column, F.lit(pattern), F.lit(0)))
+    return df.withColumn(f"{name}_gaps", F.when(F.size(name) > 0, F.split(column, pattern, -1)))
+
+
+def running(items: Column, length: Column, size: int) -> Column:
+    """array<array<struct<at, item>>>: pieces of `size` items, each with the sum of lengths before it in its piece and,
+    as a last entry without an item, the piece's whole sum."""
+    nothing = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<gap:int,m:string>").alias("item")))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)["at"]
+        return F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last.alias("at"), x.alias("item")), F.struct((last + length(x)).alias("at"), F.lit(None).cast("struct<gap:int,m:string>").alias("item"))))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda k: F.slice(items, k * size + 1, F.lit(size)))
+    return F.transform(pieces, lambda piece: F.aggregate(piece, nothing, add))
+
+
+def places(found: Column, gaps: Column) -> Column:
+    """array<struct<start, end, m>> of matches, in code points, end exclusive.
+
+    What lies between matches and the matches themselves alternate, so running sums of their lengths are places. Sums
+    run within pieces of TOGETHER matches, then over pieces.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+    steps = F.slice(F.zip_with(found, gaps, lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("m"))), F.lit(1), F.size(found))
     nothing = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    pieces = running(steps, lambda x: x["gap"] + F.length(x["m"]), TOGETHER)
+    before = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(p, -1)["at"])))
+    placed = lambda p, start: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: F.struct((start + x["at"] + x["item"]["gap"]).alias("start"), (start + x["at"] + x["item"]["gap"] + F.length(x["item"]["m"])).alias("end"), x["item"]["m"].alias("m")))
+    shifted = F.zip_with(pieces, before, lambda p, start: F.coalesce(placed(p, start), nothing))
+    return F.when(F.size(found) > 0, F.flatten(shifted)).otherwise(nothing)
 
-    def add(acc: Column, s: Column) -> Column:
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + s["gap"]
-        return F.concat(acc, F.array(F.struct(start.alias("start"), (start + F.length(s["m"])).alias("end"), s["m"].alias("m"))))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.slice(steps, F.lit(1), F.size(found)), nothing, add)).otherwise(nothing)
+def blanked(text: Column, found: Column, gaps: Column, valid: Column | None = None) -> Column:
+    """text with spaces in place of the matches, or of the valid ones, so that places stay."""
+    fill = lambda m: F.repeat(F.lit(" "), F.length(m))
+    cover = fill if valid is None else lambda m: F.when(valid(m), fill(m)).otherwise(m)
+    return F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps, found, lambda gap, m: F.concat(gap, F.coalesce(cover(m), F.lit("")))), "")).otherwise(text)
 
 
 def mean_ratio(s: Column, table: Column) -> Column:
@@ -105,7 +135,7 @@ def spans_text(spans: Column) -> Column:
 def scan(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     """One row (doc_id, n_assign, n_access, n_hex, base_sha256, spans) per row of docs.
 
-    Base kinds are fixed patterns. The models add kind markov: runs of CANDIDATE that no base span overlaps and
+    Base kinds are fixed patterns. The models add kind markov: runs of CANDIDATE in what base spans leave of the text,
     whose mean log-likelihood ratio, of a Markov model of random strings to one of ordinary identifiers, is over
     THRESHOLD. table: ratio_table(), trained on the built-in samples if not given. Null and empty texts have no
     spans, and the hash of an empty string. Repeated rows and null doc_ids are scanned each; extra columns are
@@ -114,15 +144,19 @@ def scan(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ratios = F.from_json(F.lit(str(table or ratio_table(spark))), "array<double>")
-    out = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    valid = lambda m: F.regexp_extract(m, BASE[0][1], 1).rlike("^" + ASSIGN_VALUE)
+    out = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("rest", F.col("text"))
     for kind, pattern in BASE:
-        out = out.withColumn(kind, matches(F.col("text"), pattern))
-    out = out.withColumn("assign", F.filter("assign", lambda x: F.regexp_extract(x["m"], BASE[0][1], 1).rlike("^" + ASSIGN_VALUE)))
-    out = out.withColumn("markov", matches(F.col("text"), CANDIDATE)).select("doc_id", *(k for k, _ in BASE), "markov")
+        out = with_matches(out, "text", pattern, "found")
+        own = places(F.col("found"), F.col("found_gaps"))
+        out = out.withColumn(kind, F.filter(own, lambda x: valid(x["m"])) if kind == "assign" else own)
+        out = with_matches(out, "rest", pattern, "found")
+        out = out.withColumn("rest", blanked(F.col("rest"), F.col("found"), F.col("found_gaps"), valid if kind == "assign" else None))
+    out = with_matches(out, "rest", CANDIDATE, "found")
+    random = lambda x: mean_ratio(x["m"], ratios) > THRESHOLD
+    out = out.select("doc_id", *(k for k, _ in BASE), F.filter(places(F.col("found"), F.col("found_gaps")), random).alias("markov"))
     number = lambda column, n: F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("kind"), x["end"].alias("end")))
     out = out.withColumn("base", F.concat(*(number(k, n) for n, (k, _) in enumerate(BASE, 1))))
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    out = out.withColumn("markov", F.filter("markov", lambda x: free(x) & (mean_ratio(x["m"], ratios) > THRESHOLD)))
     return out.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k, _ in BASE),
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", number("markov", len(BASE) + 1))).alias("spans"),
