@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +13,10 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Size of the broadcast table of frequent pre-tokens, and of a worker's cache of the others.
-FREQUENT, CACHED = 50_000, 400_000
-#: Rows whose pre-tokens fill the frequent table. It only saves work: every count is exact whatever it holds.
-PRIMING_ROWS = 4_000
+FREQUENT, CACHED = 50_000, 200_000
+#: A pre-token is counted where it occurs this often in one slice of texts. The frequent table only saves work: every
+#: count is exact whatever it holds.
+LEAST_COUNT = 4
 #: Texts that aren't cut at single spaces: they hold an added token, or white space before a space.
 UNCUT = r"\s |[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |<\|endoftext\|>"
 
@@ -41,27 +41,32 @@ def pre_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 class Lengths:
     """Token counts of pieces: the shared table first, then this worker's cache, then the encoder."""
 
-    def __init__(self, path: str, frequent: dict[str, int]):
+    def __init__(self, path: str, frequent: pa.Array, lengths: np.ndarray):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.frequent, self.cache = Tokenizer.from_file(path), frequent, {}
+        self.tokenizer, self.frequent, self.lengths, self.cache = Tokenizer.from_file(path), frequent, lengths, {}
 
-    def encoded(self, pieces: list[str]) -> list[int]:
-        return [len(x.ids) for i in range(0, len(pieces), 20_000) for x in self.tokenizer.encode_batch_fast(pieces[i : i + 20_000], add_special_tokens=False)]
+    def encoded(self, pieces: list[str]) -> np.ndarray:
+        return np.array([len(x.ids) for i in range(0, len(pieces), 5_000) for x in self.tokenizer.encode_batch_fast(pieces[i : i + 5_000], add_special_tokens=False)], np.int32)
 
-    def of(self, pieces: list[str]) -> np.ndarray:
-        new = [p for p in pieces if p not in self.frequent and p not in self.cache]
+    def of(self, pieces: pa.Array) -> np.ndarray:
+        """Of distinct pieces."""
+        at = pc.index_in(pieces, value_set=self.frequent)
+        out = np.zeros(len(pieces), np.int32)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        out[known] = self.lengths[at.drop_null().to_numpy()]
+        rest = pieces.filter(pa.array(~known)).to_pylist()
+        new = [p for p in rest if p not in self.cache]
         if len(self.cache) + len(new) > CACHED:
-            self.cache = {}
-            new = [p for p in pieces if p not in self.frequent]
-        self.cache.update(zip(new, self.encoded(new), strict=True))
-        get, late = self.frequent.get, self.cache.get
-        return np.fromiter((get(p) or late(p, 0) for p in pieces), np.int64, len(pieces))
+            self.cache, new = {}, rest
+        self.cache.update(zip(new, self.encoded(new).tolist(), strict=True))
+        out[~known] = np.fromiter(map(self.cache.__getitem__, rest), np.int32, len(rest))
+        return out
 
     def count(self, texts: pa.Array) -> np.ndarray:
         pieces, counts, whole = pre_tokens(texts)
         coded = pieces.dictionary_encode()
-        each = self.of(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        each = self.of(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         out = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=each, minlength=len(counts)).astype(np.int64)
         for i in np.flatnonzero(whole):
             out[i] = len(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids)
@@ -71,29 +76,27 @@ class Lengths:
 WORKER: dict[str, Lengths] = {}
 
 
-def frequent_lengths(texts: DataFrame, path: str) -> dict[str, int]:
-    """Token counts of the most frequent pieces of PRIMING_ROWS rows, at most FREQUENT of them."""
+def frequent_lengths(texts: DataFrame, path: str) -> tuple[pa.Array, np.ndarray]:
+    """The most frequent pieces of all texts, at most FREQUENT of them, and their token counts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
         for batch in slices(batches):
             found = pre_tokens(batch.column("text"))[0].value_counts()
-            total.update(dict(zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True)))
-        top = total.most_common(FREQUENT)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
+            often = found.filter(pc.greater_equal(found.field("counts"), LEAST_COUNT))
+            yield pa.RecordBatch.from_arrays([often.field("values"), often.field("counts")], ["piece", "n"])
 
-    table = texts.limit(PRIMING_ROWS).mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    pieces = [r["piece"] for r in table.orderBy(F.desc("n"), "piece").limit(FREQUENT).collect()]
-    return dict(zip(pieces, Lengths(path, {}).encoded(pieces), strict=True))
+    table = texts.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = table.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece").toArrow()["piece"].combine_chunks()
+    return pieces, Lengths(path, pieces, np.zeros(0, np.int32)).encoded(pieces.to_pylist())
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """One row (doc_id, n_bytes, n_tokens, over_limit) per row of docs.
 
     tokenizer: path of a byte-level tokenizers file. Counts are those of the whole text without added special
-    tokens; special strings inside a text count as the library's default has them. One pass reads the texts and
-    nothing but the counts leaves the tasks: the broadcast table holds FREQUENT short strings at most, and each
-    worker keeps CACHED others. Null and empty texts have no bytes and no tokens; repeated rows and null doc_ids
+    tokens; special strings inside a text count as the library's default has them. One pass counts pre-tokens of all
+    texts, of which FREQUENT strings at most are broadcast; another looks lengths up, and no pre-token leaves its task
+    there. Each worker keeps CACHED others. Null and empty texts have no bytes and no tokens; repeated rows and null doc_ids
     are counted each. Extra columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -101,9 +104,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = WORKER.get(tokenizer)
-        if lengths is None or lengths.frequent is not shared.value:
-            lengths = WORKER[tokenizer] = Lengths(tokenizer, shared.value)
-        for batch in slices(batches, 8 << 20):
+        if lengths is None or lengths.frequent is not shared.value[0]:
+            lengths = WORKER[tokenizer] = Lengths(tokenizer, *shared.value)
+        for batch in slices(batches):
             n = lengths.count(batch.column("text"))
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.cast(size, pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
