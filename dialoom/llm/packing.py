@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, mix, slices
 
 END_ID = 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 #: Rows per rank group: the ranks of pieces of one length are counted in this many rows at a time, on average.
 RANK_ROWS = 5_000
 #: Added tokens are matched before white space is split; control characters are split differently by Arrow.
@@ -44,8 +44,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -55,7 +56,8 @@ class WordEncoder:
     def many(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of runs that are one word to the tokenizer each, and how many ids each has."""
         joined = [" ".join(runs[i : i + 500]) for i in range(0, len(runs), 500)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))])
+        encoded = (x for i in range(0, len(joined), 16) for x in self.tokenizer.encode_batch_fast(joined[i : i + 16], add_special_tokens=False))
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in encoded)])
         ends = np.flatnonzero(self.last[ids])
         if len(ends) == len(runs):
             return ids, np.diff(np.concatenate(([-1], ends)))
@@ -63,7 +65,7 @@ class WordEncoder:
 
     def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As many(), for any words."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = [x.ids for i in range(0, len(words), 5_000) for x in self.tokenizer.encode_batch_fast(words[i : i + 5_000], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size
 
@@ -113,9 +115,10 @@ ENCODERS: dict[str, WordEncoder] = {}
 
 
 def cut(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to pieces: whole windows from a document's start, then what is left."""
-    encoder = ENCODERS.setdefault(path, None) or ENCODERS.update({path: WordEncoder(path)}) or ENCODERS[path]
-    for batch in slices(batches, 8 << 20):
+    """(doc_id, text) to pieces: whole windows from a document's start, then what is left. spread: a hash that differs
+    between pieces that are alike."""
+    encoder, made = ENCODERS.setdefault(path, None) or ENCODERS.update({path: WordEncoder(path)}) or ENCODERS[path], 0
+    for batch in slices(batches, 4 << 20):
         ids, starts = encoder.encode(batch.column("text"))
         rows, begin, length, check, total = [], [], [], [], []
         for i in range(batch.num_rows):
@@ -123,9 +126,11 @@ def cut(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[p
             for at in range(0, len(own), window):
                 piece = own[at : at + window]
                 rows.append(i), begin.append(at), length.append(len(piece)), check.append(zlib.crc32(piece.tobytes())), total.append(len(own))
+        spread = mix(np.array(check, np.uint64) + np.arange(made, made + len(rows), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        made += len(rows)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (begin, length, check, total))],
-            ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+            [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (begin, length, check, total)), pa.array((spread >> np.uint64(33)).astype(np.int32))],
+            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread"],
         )
 
 
@@ -189,16 +194,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
     Extra columns are ignored; no rows give no pieces.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, spread int"
     pieces = materialize(base.mapInArrow(lambda it: cut(it, tokenizer, window), schema), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = sum(counts.values()) // RANK_ROWS + 64
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod("spread", F.lit(salts)))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     running = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = materialize(before.select("length", "salt", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before")), "ranks")
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1
-    ranked = salted.withColumn("nth", nth).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # pieces are dealt and sorted by (length, salt) for nth already, so a merge join moves only the ranks
+    ranked = salted.withColumn("nth", nth).join(before.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth"))
     names = "length long, lo long, hi long, n long, first long, at long"
     slots = docs.sparkSession.createDataFrame(plan(counts, window), names)  # a few rows per distinct length at most
     k = F.col("rank") - F.col("lo")
