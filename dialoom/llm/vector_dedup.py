@@ -11,12 +11,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import batches_of, components, give_back, materialize
 
 #: Distinct vectors of one shard on average, neighbours kept per node above and on the ground layer, first beam.
 SHARD_ROWS, NEIGHBOURS, GROUND, BUILD_BEAM, BEAM = 4096, 12, 24, 40, 16
-#: A shard's beam doubles until this share of the links of AUDITED of its vectors is found.
-RECALL, AUDITED = 0.99, 64
+#: A beam doubles until this share of the links of audited queries is found, the shard's own and those of every other
+#: shard: as many evenly spread queries as have LEAST_LINKS links, other than to themselves, but AUDITED at most.
+RECALL, LEAST_LINKS, AUDITED = 0.99, 100, 1024
+
+
+#: Tasks of pairs of shards for each core, at most.
+PAIR_TASKS = 16
 
 
 class Graph:
@@ -103,69 +108,89 @@ class Graph:
             found += todo
         return found
 
-    def audit(self, least: float) -> None:
-        """Widens the beam until RECALL of the links of AUDITED evenly spread nodes is found, or it is the shard."""
-        sample = np.unique(np.linspace(0, len(self.x) - 1, min(AUDITED, len(self.x))).astype(int))
-        truth = [set(np.flatnonzero(self.x @ self.x[i] >= least).tolist()) for i in sample]
-        while self.beam < len(self.x):
-            got = sum(len(t & set(self.near(self.x[i], least, self.beam))) for i, t in zip(sample, truth, strict=True))
-            if got >= RECALL * sum(map(len, truth)):
+    def audit(self, queries: np.ndarray, least: float, own: bool) -> float:
+        """Widens the beam until RECALL of the links of some queries is found by it, or it is the shard; the recall that
+        it then has. own: the queries are the shard's vectors, whose matches with themselves don't count."""
+        order = np.argsort((np.arange(len(queries)) * 0.6180339887498949) % 1.0, kind="stable")[:AUDITED]
+        truth: list[tuple[int, np.ndarray]] = []
+        links = 0
+        for block in np.array_split(order, max(1, len(order) // 128)):
+            for i, near in zip(block.tolist(), queries[block] @ self.x.T >= least, strict=True):
+                if own:
+                    near[i] = False
+                if near.any():
+                    truth.append((i, np.flatnonzero(near)))
+                    links += len(truth[-1][1])
+            if links >= LEAST_LINKS:
                 break
+        while links:
+            share = sum(len(np.intersect1d(t, self.near(queries[i], least, self.beam))) for i, t in truth) / links
+            if share >= RECALL or self.beam >= len(self.x):
+                return share
             self.beam *= 2
+        return 1.0
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    """Vectors of length 1. They are scaled by their largest component first, so that no square vanishes or overflows."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
 def index_shard(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """One shard's vectors and audited graph as one row."""
+    """One shard as one row: its audited graph, and apart from it its vectors, which are what other shards are asked."""
     pdf = pdf.sort_values("rep")
     vectors = unit(np.stack(pdf["v"].to_numpy()).astype(np.float64))
     graph = Graph(vectors)
-    graph.audit(least - 1e-5)
-    blob = pickle.dumps((pdf["rep"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), vectors, graph), protocol=5)
-    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "blob": [blob]})
+    graph.audit(graph.x, least - 1e-5, own=True)
+    asked = pickle.dumps((pdf["rep"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), vectors), protocol=5)
+    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "graph": [pickle.dumps(graph, protocol=5)], "vectors": [asked]})
+
+
+def smallest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ids that links (a, b) of places reach from each place."""
+    label = ids.copy()
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low), np.minimum.at(new, b, low)
+        if (new == label).all():
+            return label
+        label = new
 
 
-def links_of(index: tuple, queries: tuple | None, threshold: float) -> pd.DataFrame:
+def links_of(graph: Graph, index: tuple, queries: tuple | None, threshold: float) -> pd.DataFrame:
     """(rep, links, root) of every vector linked between an index shard and another, or within the index shard:
     how many rows its links stand for, and the smallest vector of its group among these two shards."""
-    ids, weight, vectors, graph = index
+    ids, weight, vectors = index
     own = queries is None
-    q_ids, q_weight, q_vectors = (ids, weight, vectors) if own else queries[:3]
-    found: set[tuple[int, int]] = set()
-    root: dict[int, int] = {}
-
-    def find(a: int) -> int:
-        while root.setdefault(a, a) != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    links = [np.zeros(len(ids), np.int64), np.zeros(len(q_ids), np.int64)]
-    for i, q in enumerate(q_vectors):
-        near = np.array(graph.near(q.astype(np.float32), threshold - 1e-5, graph.beam), np.int64)
-        near = near[vectors[near] @ q >= threshold] if len(near) else near
-        for j in near.tolist():
-            if own:
-                if i == j or (min(i, j), max(i, j)) in found:
-                    continue
-                found.add((min(i, j), max(i, j)))
-            links[0][j] += q_weight[i]
-            links[1][i] += weight[j]
-            a, b = find(int(ids[j])), find(int(q_ids[i]))
-            root[max(a, b)] = min(a, b)
-    total = pd.Series(np.concatenate(links), np.concatenate((ids, q_ids))).groupby(level=0).sum()
-    total = total[total > 0]
-    return pd.DataFrame({"rep": total.index.to_numpy(np.int64), "links": total.to_numpy(np.int64), "root": [find(int(a)) for a in total.index]})
+    q_ids, q_weight, q_vectors = index if own else queries
+    asked = q_vectors.astype(np.float32)
+    if not own:
+        graph.audit(asked, threshold - 1e-5, own=False)
+    n, found = len(ids), [np.zeros(0, np.int64)]
+    for i, q in enumerate(asked):
+        near = np.array(graph.near(q, threshold - 1e-5, graph.beam), np.int64)
+        near = near[vectors[near] @ q_vectors[i] >= threshold] if len(near) else near
+        if own:  # found from either side, each once
+            near = near[near != i]
+            found.append(np.minimum(near, i) * n + np.maximum(near, i))
+        else:
+            found.append(near * len(q_ids) + i)
+    a, b = np.divmod(np.unique(np.concatenate(found)), n if own else len(q_ids))
+    if not own:
+        ids, weight, b = np.concatenate((ids, q_ids)), np.concatenate((weight, q_weight)), b + n
+    links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
+    root, some = smallest(ids, a, b), links > 0
+    return pd.DataFrame({"rep": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
 
 
 def query_shards(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Pairs of shards (index blob, query blob, null for the shard itself) to links_of()."""
+    """Pairs of shards (graph and vectors of the index, vectors of the queries, null for the shard itself) to links_of()."""
     for pdf in batches:
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            yield links_of(pickle.loads(a), None if b is None else pickle.loads(b), threshold)
+        for graph, a, b in zip(pdf["graph"], pdf["a"], pdf["b"], strict=True):
+            yield links_of(pickle.loads(graph), pickle.loads(a), None if b is None else pickle.loads(b), threshold)
+        give_back()
 
 
 def usable(v: str = "embedding") -> Column:
@@ -179,8 +204,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     Vectors of one label and dimension with a double-precision cosine of at least `threshold` are linked. Equal
     vectors collapse to one first. The others are dealt by hash to shards of about SHARD_ROWS; each shard's graph
-    is built in one task, audited against brute force, and queried by every shard of its label and dimension, a pair
-    of shards a task. A task returns counts and its groups' smallest members, not pairs.
+    is built in one task, audited against brute force, and queried by every shard of its label and dimension, whose
+    queries are audited as well. A task returns counts and its groups' smallest members, not pairs.
 
     Rows with a null label, vector or vec_id, and vectors that are empty, zero or have a null or non-finite
     component link with nothing: n_links 0, component their own vec_id, kept. Rows that repeat a vec_id count as
@@ -197,16 +222,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     first = keyed.join(same, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["h1", "h2"])
     first = materialize(first.select("rep", "n", "label", "dim", F.col("embedding").alias("v")), "distinct-vectors")
     dealt = first.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")).drop("shards")
-    shards = dealt.groupBy("label", "dim", "shard").applyInPandas(lambda pdf: index_shard(pdf, threshold), "label string, dim int, shard int, blob binary")
+    shards = dealt.groupBy("label", "dim", "shard").applyInPandas(lambda pdf: index_shard(pdf, threshold), "label string, dim int, shard int, graph binary, vectors binary")
     shards = materialize(shards, "vector-shards")
 
-    x, y = shards.alias("x"), shards.alias("y")
+    # only vectors are sent to the shards that are asked; a task takes a few pairs of shards, one in memory at a time
+    x, y = shards.alias("x"), shards.select("label", "dim", "shard", "vectors").alias("y")
     together = (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & F.expr("x.shard <= y.shard")
-    keys = shards.select("label", "dim", "shard")
-    number = keys.alias("x").join(keys.alias("y"), together).count()
-    pairs = x.join(y, together).select(F.col("x.blob").alias("a"), F.expr("if(x.shard = y.shard, null, y.blob)").alias("b"))
-    pairs = pairs.repartition(max(1, number))  # one pair of shards a task
-    found = materialize(pairs.mapInPandas(lambda it: query_shards(it, threshold), "rep long, links long, root long"), "vector-links")
+    keys = shards.groupBy("label", "dim").agg(F.count("*").alias("k")).agg(F.sum(F.expr("k * (k + 1) / 2"))).first()[0] or 0
+    pairs = x.join(y, together).select("x.graph", F.col("x.vectors").alias("a"), F.expr("if(x.shard = y.shard, null, y.vectors)").alias("b"))
+    pairs = pairs.repartition(int(max(1, min(keys, PAIR_TASKS * vectors.sparkSession.sparkContext.defaultParallelism))))
+    with batches_of(vectors.sparkSession, 1):
+        found = materialize(pairs.mapInPandas(lambda it: query_shards(it, threshold), "rep long, links long, root long"), "vector-links")
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-groups").withColumnRenamed("node", "rep")
