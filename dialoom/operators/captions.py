@@ -163,3 +163,24 @@ def srt(events: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy("start_ms", "end_ms"))
     cue = F.concat_ws("\n", F.col("cue").cast("string"), F.concat(timestamp(F.col("start_ms")), F.lit(" --> "), timestamp(F.col("end_ms"))), caption_lines(F.col("text")), F.lit(""))
     return events.withColumn("cue", nth).select("source_id", "cue", cue.alias("srt"))
+
+
+def split_long(words: DataFrame, most: int = 26, lines: int = 2, most_words: int = 7) -> DataFrame:
+    """Segments of more than most * lines characters, given as words(source_id, segment, nth, start_ms, end_ms, text), as
+    pieces (source_id, segment, piece, start_ms, end_ms, text); others are one piece. A piece ends when it has most * lines
+    characters, or most_words * lines words, or from `most` characters on at closing or pausing punctuation."""
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, pieces, size = pdf.sort_values("nth").to_dict("records"), [[]], 0
+        whole = sum(len(r["text"]) for r in rows) + len(rows) - 1 > most * lines
+        for row in rows:
+            size += len(row["text"]) + bool(pieces[-1])
+            pieces[-1].append(row)
+            pause = size >= most and row["text"].endswith((".", "!", "?", ",", ";", ":"))
+            if whole and (pause or size >= most * lines or len(pieces[-1]) >= most_words * lines):
+                pieces, size = [*pieces, []], 0
+        out = [(p[0]["source_id"], p[0]["segment"], k, p[0]["start_ms"], p[-1]["end_ms"], " ".join(r["text"] for r in p)) for k, p in enumerate(x for x in pieces if x)]
+        return pd.DataFrame(out, columns=["source_id", "segment", "piece", "start_ms", "end_ms", "text"])
+
+    narrow = words.select(F.col("source_id").cast("string"), F.col("segment").cast("long"), "nth", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), "text")
+    return narrow.groupBy("source_id", "segment").applyInPandas(cut, "source_id string, segment long, piece long, start_ms long, end_ms long, text string")

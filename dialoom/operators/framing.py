@@ -227,3 +227,14 @@ def acquisition(samples: DataFrame, by: str) -> DataFrame:
     state = visual.acquisition_state(F.col("face"), F.col("person"), F.col("visible_faces_peak"), F.col("visible_persons_peak"), F.col("recent_face_memory_peak"))
     presence = F.greatest(F.col("face"), F.col("person") * 0.88)
     return found.select(by, state.alias("state"), F.round("face", 4).alias("face_presence"), F.round("person", 4).alias("person_presence"), F.round(presence, 4).alias("subject_presence"), "visible_faces_peak", "visible_persons_peak", "recent_face_memory_peak")
+
+
+#: What evidence is compared by, in order; missing numbers count as 0.
+EVIDENCE = ("visible_faces", "recent_face_memory_count", "lock_confidence", "top_tracks", "visible_persons")
+
+
+def best_evidence(windows: DataFrame, by: list[str], tie: str) -> DataFrame:
+    """Of each group of windows with EVIDENCE the row of the largest evidence, the first by `tie` among equals."""
+    packed = F.struct(*(F.col(c) for c in windows.columns if c not in by))
+    key = F.struct(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in EVIDENCE), (-F.col(tie)).alias("tie"))
+    return windows.groupBy(*by).agg(F.max_by(packed, key).alias("best")).select(*by, "best.*")

@@ -127,3 +127,11 @@ def switches(rows: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     before = F.last(key, ignorenulls=True).over(order)
     changed = F.col(key).isNotNull() & before.isNotNull() & (F.col(key) != before)
     return rows.withColumn("changed", changed.cast("int")).groupBy("source_id").agg(F.sum("changed").alias("switches"), F.count(key).alias("keyed"))
+
+
+def loudness(samples: DataFrame, slot_ms: int, floor: float = 400.0, times: float = 1.2) -> DataFrame:
+    """Per source of samples(source_id, at_ms, value): density, the share of slots whose root mean square is above `floor`
+    and `times` the median of slots, and the loudest slot."""
+    slots = samples.groupBy("source_id", F.floor(F.col("at_ms") / slot_ms).alias("slot")).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
+    limit = slots.groupBy("source_id").agg(F.greatest(F.lit(floor), times * F.median("rms")).alias("limit_"))
+    return slots.join(limit, "source_id").groupBy("source_id").agg(F.round(F.avg((F.col("rms") > F.col("limit_")).cast("int")), 4).alias("density"), F.round(F.max("rms"), 4).alias("loudest"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, capitalise, collapse_marks, drop_repeats, file_name, first_type, slug, squeeze, tidy
+from ..functions.lexicons import ENGLISH_STOP_WORDS
+from ..functions.text import bound, capitalise, collapse_marks, drop_repeats, file_name, first_type, scene_mood, slug, squeeze, tidy, tokens
 
 # Words that open a title without saying anything, and the phrases of hook and payoff types.
 FILLERS = ("ну", "так", "ладно", "в общем", "к слову", "смотри", "слушай", "послушай", "well", "okay", "ok", "so", "then", "look", "listen")
@@ -23,6 +24,10 @@ CONFLICT_TAGS = {
     "en": {"accusation": "#accusation", "denial": "#denial", "betrayal": "#betrayal", "revelation": "#revelation", "argument": "#conflict", "threat": "#threat"},
     "ru": {"accusation": "#обвинение", "denial": "#отрицание", "betrayal": "#предательство", "revelation": "#развязка", "argument": "#конфликт", "threat": "#угроза"},
 }
+RUSSIAN_STOP_WORDS = (
+    "это", "как", "так", "что", "чтобы", "только", "потом", "когда", "если", "или", "она", "они", "оно", "его", "ему", "тебя", "тебе", "меня", "мне", "тут", "там", "где", "для", "ещё", "уже", "просто", "ладно", "всё", "все",
+    "ну", "да", "нет", "ага", "вот", "ты", "мы", "вы", "я", "он",
+)
 GENERIC_TOPICS = ("none", "момент", "сцена", "scene", "moment", "dialogue", "диалог", "разговор", "conversation", "история", "story", "episode", "эпизод")
 GENERIC_NAMES = ("", "unknown", "neutral", "speaker", "user", "assistant", "system", "голос", "voice")
 GENERIC_SPEAKER = r"^(speaker|spkr|s|person|voice|голос|нарратор)_?\d+$"
@@ -99,18 +104,48 @@ def payoff_phrase(kind: Column) -> Column:
     return phrase(kind, PAYOFF_PHRASES, "")
 
 
-def story_hashtags(speakers: Column, conflict: Column, topic: Column, complete: Column, language: str = "en", most: int = 3) -> Column:
-    """Up to two named speakers, the conflict, the topic, a story tag if complete; each once, `most` in all."""
+# Keyword parts of emotions and their tags, first match wins.
+EMOTION_TAGS = {
+    "en": (
+        ("#tears", ("cry", "crying", "tears", "sobbing")), ("#laugh", ("laugh", "laughter", "funny")), ("#anger", ("angry", "anger", "rage", "furious")), ("#fear", ("scared", "fear", "afraid", "panic")),
+        ("#shock", ("shock", "shocked", "stunned")), ("#sadness", ("sad", "grief", "sorrow")), ("#love", ("love", "tender", "affection")), ("#betrayal", ("betray", "betrayed")),
+    ),
+    "ru": (
+        ("#слёзы", ("cry", "crying", "плач", "рыдает", "слёзы", "tear")), ("#смех", ("laugh", "смеётся", "хохот", "смех", "хохочет")), ("#злость", ("angry", "anger", "злится", "злость", "ярость", "rage")),
+        ("#страх", ("scared", "fear", "боюсь", "страх", "испуг", "ужас")), ("#шок", ("shock", "shocked", "шок", "шокирован", "stunned")), ("#грусть", ("sad", "grief", "горе", "печаль", "грустн", "sorrow")),
+        ("#любовь", ("love", "любовь", "влюблён", "нежность", "tender")), ("#предательство", ("betrayed", "предал", "предала", "изменил", "изменила")),
+    ),
+}
+
+
+def tag_pack(speakers: Column, conflict: Column, emotions: Column, topic: Column, series: Column, full_arc: Column, language: str, most: int) -> Column:
+    """story_hashtags() of one language."""
     named = F.filter(F.slice(speakers, 1, 4), lambda s: (F.length(F.trim(s)) > 2) & ~is_generic_speaker(s) & s.rlike(r"^[A-Za-zА-Яа-яЁё\s\-'.]{3,}$"))
     names = F.slice(F.array_distinct(F.transform(named, slug)), 1, 2)
     known = F.create_map(*(F.lit(x) for pair in CONFLICT_TAGS[language].items() for x in pair))
+    felt = first_type(F.get(emotions, F.lit(0)), EMOTION_TAGS[language], F.lit(None).cast("string"))
     about = F.when((F.length(topic) >= 4) & ~F.lower(topic).isin(*GENERIC_TOPICS), slug(topic))
-    story = F.when(complete, "#story" if language == "en" else "#история")
+    of_series = F.when(F.length(F.trim(series)) > 2, slug(series))
+    story = F.when(full_arc, "#story" if language == "en" else "#история")
     closing = F.lit("#shorts" if language == "ru" else None).cast("string")
-    every = F.concat(names, F.array_compact(F.array(F.element_at(known, conflict), about, story, closing)))
+    every = F.concat(names, F.array_compact(F.array(F.try_element_at(known, F.lower(F.trim(conflict))), felt, about, of_series, story, closing)))
     return F.slice(F.array_distinct(every), 1, most)
 
 
+def story_hashtags(
+    speakers: Column, conflict: Column, topic: Column, complete: Column, emotions: Column | None = None, series: Column | None = None, arc: Column | None = None, text: Column | None = None, language: str = "en", most: int = 3
+) -> Column:
+    """Up to two named speakers, the conflict, the first emotion, the topic, the series, a story tag where the arc is
+    complete, and #shorts in Russian; each once, `most` in all. language: en, ru, or auto, by whether `text` is Cyrillic."""
+    none = F.lit(None).cast("string")
+    emotions, series, arc = F.array().cast("array<string>") if emotions is None else emotions, none if series is None else series, none if arc is None else arc
+    full = complete | F.coalesce(F.lower(arc) == "hook_setup_escalation_payoff", F.lit(False))
+    pack = lambda lang: tag_pack(speakers, conflict, emotions, topic, series, full, lang, max(1, most))
+    if language != "auto":
+        return pack("ru" if language == "ru" else "en")
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"[\x{0400}-\x{04FF}]"), pack("ru")).otherwise(pack("en"))
+
+
 def output_names(titles: DataFrame, order_by: str) -> DataFrame:
     """Adds file_name: the title as a file name, with ' [2]', ' [3]' for later rows of one name."""
     named = titles.withColumn("base", file_name(F.col("title")))
@@ -127,6 +162,18 @@ def context_summary(text: Column) -> Column:
     return F.when(F.length(bare) <= 96, bare).when(cut != "", cut).otherwise(head)
 
 
+def subtitle_context(segments: DataFrame, by: str, order: str, english: bool = False, most: int = 4) -> DataFrame:
+    """(by, summary_text, keywords, mood, line_count) of segments(by, order, text): up to 96 characters of all text, its
+    `most` frequent tokens of four characters or more, alphabetical among equals, the scene's mood, how many lines."""
+    whole = tidy(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), " "))
+    found = segments.groupBy(by).agg(whole.alias("full"), F.count("*").alias("line_count"))
+    stops = RUSSIAN_STOP_WORDS + (ENGLISH_STOP_WORDS if english else ())
+    top = keywords(found, [by], tokens(F.col("full")), stops, most)
+    words = top.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
+    joined = found.join(words, by, "left")
+    return joined.select(by, context_summary(F.col("full")).alias("summary_text"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), F.when(F.col("full") == "", "neutral").otherwise(scene_mood(F.col("full"))).alias("mood"), "line_count")
+
+
 def keywords(rows: DataFrame, by: list[str], words: Column, stop_words: tuple[str, ...], most: int = 4) -> DataFrame:
     """The `most` frequent words of four characters or more per group, alphabetical among equals."""
     kept = F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*stop_words))

@@ -119,3 +119,19 @@ def pacing(timeline: DataFrame, clips: DataFrame) -> DataFrame:
     flow = flow + F.least(F.lit(1.0), kept * 2.0) * 0.08 + F.least(F.lit(1.0), trimmed * 1.2) * 0.08 + F.least(F.lit(1.0), 1.0 - F.greatest(F.lit(0.0), dead * 1.5 + unknown * 0.75)) * 0.08
     penalty = F.least(F.lit(0.40), dead * 1.7 + unknown * 0.75 + F.greatest(F.lit(0), F.col("cuts") - 1) * 0.025)
     return x.select("source_id", F.round(one(flow - penalty + 0.16), 4).alias("pacing_score"))
+
+
+def pause_energy(gaps: DataFrame, samples: DataFrame, slot_ms: int = 1_000, full_scale: float = 32768.0) -> DataFrame:
+    """gaps(source_id, start_ms, end_ms) with energy in 0..1: the root mean square of samples(source_id, at_ms, value)
+    within them; 0 for gaps of 0.1 s or less, or without samples. Gaps and samples meet in slots, on equal keys."""
+    slots = gaps.withColumn("slot", F.explode(F.sequence(F.floor(F.col("start_ms") / slot_ms), F.floor((F.col("end_ms") - 1) / slot_ms)))).where("end_ms > start_ms + 100")
+    at = samples.select("source_id", "at_ms", F.col("value").cast("double").alias("value"), F.floor(F.col("at_ms") / slot_ms).alias("slot"))
+    met = slots.join(at, ["source_id", "slot"]).where("at_ms >= start_ms and at_ms < end_ms")
+    sums = met.groupBy("source_id", "start_ms", "end_ms").agg((F.sqrt(F.avg(F.col("value") * F.col("value"))) / full_scale).alias("energy"))
+    return gaps.join(sums, ["source_id", "start_ms", "end_ms"], "left").fillna(0.0, ["energy"])
+
+
+def cut_events(timeline: DataFrame) -> DataFrame:
+    """The pauses that are cut, in seconds: (source_id, start, end, duration, silence_type, reason)."""
+    seconds = lambda c, n: F.round(F.col(c) / 1000, 3).alias(n)
+    return timeline.where("decision = 'cut'").select("source_id", seconds("start_ms", "start"), seconds("end_ms", "end"), seconds("duration_ms", "duration"), F.coalesce("silence_type", F.lit("unknown")).alias("silence_type"), "reason")

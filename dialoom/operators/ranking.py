@@ -160,3 +160,16 @@ def starvation_bucket(reason: Column) -> Column:
 def admission(turns: str = "turn_count", density: str = "speech_density", silence: str = "silence_ratio") -> Column:
     """Why a window isn't admitted, or null: no speech, too silent, or no dialogue; a parametrised rule."""
     return first_reason([("no_speech", F.col(turns) == 0), ("low_dialogue_flow", F.col(density) < 0.18), ("too_silent", F.col(silence) > 0.75), ("insufficient_context", F.col(turns) < 2)])
+
+
+def admission_pool(candidates: DataFrame, by: str, share: float = 0.4, least: int = 2, most: int = 12) -> DataFrame:
+    """Per group the number of accepted candidates and the size of the pool that goes on: a share, within bounds."""
+    counts = candidates.where("quality_governor_decision = 'accept'").groupBy(by).agg(F.count("*").alias("n"))
+    return counts.withColumn("pool", F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col("n") * share))).cast("long"))
+
+
+def story_threads(candidates: DataFrame, by: str, at: str, coherence: str, least: float = 0.62, within: int = 24) -> DataFrame:
+    """candidates with thread: neighbours at most `within` apart, the later one coherent to `least`, are one thread."""
+    order = Window.partitionBy(by).orderBy(at)
+    joins = (zero(coherence) >= least) & (F.col(at) - F.lag(at).over(order) <= within)
+    return candidates.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("thread", F.sum("new").over(order)).drop("new")

@@ -111,7 +111,7 @@ def text_of(frags: Column, keep) -> Column:
 def chains(frags: DataFrame) -> DataFrame:
     """One row per block of fragments with roles: hook, setup, escalation and payoff texts with positional fallbacks,
     arc shape, speakers, conflict type, topic words, completion."""
-    row = F.struct("frag_no", "role", squeeze(F.col("transcript")).alias("transcript"), "speakers", "conflict_signals", "start_ms", "end_ms", "payoff_score")
+    row = F.struct("frag_no", "role", squeeze(F.col("transcript")).alias("transcript"), "speakers", "conflict_signals", "emotion_signals", "start_ms", "end_ms", "payoff_score")
     packed = frags.groupBy(*CHAIN).agg(F.array_sort(F.collect_list(row)).alias("f"))
     of = lambda role: text_of(F.col("f"), lambda x: x["role"] == role)
     first, last, n = F.get("f", F.lit(0)), F.element_at("f", -1), F.size("f")
@@ -126,7 +126,7 @@ def chains(frags: DataFrame) -> DataFrame:
     speakers = F.array_distinct(F.flatten("f.speakers"))
     signals = F.array_distinct(F.flatten("f.conflict_signals"))
     words = F.array_sort(F.array_distinct(F.flatten(F.transform("f", lambda x: topic_words(x["transcript"])))))
-    out = out.withColumns({"start_ms": first["start_ms"], "end_ms": last["end_ms"], "fragments": n, "speakers": speakers, "conflict_type": conflict_type(signals, F.col("escalation")), "topic_words": words})
+    out = out.withColumns({"start_ms": first["start_ms"], "end_ms": last["end_ms"], "fragments": n, "speakers": speakers, "conflict_type": conflict_type(signals, F.col("escalation")), "emotions": F.array_distinct(F.flatten("f.emotion_signals")), "topic_words": words})
     return completed(out.drop("f")).withColumn("extended", F.lit(False))
 
 

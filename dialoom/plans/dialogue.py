@@ -151,7 +151,7 @@ def turn_told(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCK = "PARTITION BY source_id, block_no"
 TELLING = ("HOOK", "CONFLICT", "ESCALATION", "EMOTION", "PAYOFF")
 ROLES = rf"""{BLOCKS}, fr AS (SELECT source_id, block_no, row_number() OVER ({BLOCK} ORDER BY turn_id) AS nth, count(*) OVER ({BLOCK}) AS of_, start_ms, end_ms, speaker, text AS transcript,
-    {', '.join(f"{score('text', getattr(lexicons, n))} AS {n.lower()}_score" for n in TELLING)}, {hits('text', lexicons.CONFLICT)} AS conflict_signals FROM numbered),
+    {', '.join(f"{score('text', getattr(lexicons, n))} AS {n.lower()}_score" for n in TELLING)}, {hits('text', lexicons.CONFLICT)} AS conflict_signals, {hits('text', lexicons.EMOTION)} AS emotion_signals FROM numbered),
   sc AS (SELECT *, hook_score + CASE WHEN nth = 1 THEN 0.15 ELSE 0.0 END AS h, payoff_score + 0.3 * emotion_score + CASE WHEN nth = of_ THEN 0.15 ELSE 0.0 END AS p, conflict_score + escalation_score AS e FROM fr),
   r1 AS (SELECT *, row_number() OVER ({BLOCK} ORDER BY h DESC, nth) = 1 AS is_h, row_number() OVER ({BLOCK} ORDER BY p DESC, nth) = 1 AS is_p, row_number() OVER ({BLOCK} ORDER BY nth = 1, p DESC, nth DESC) = 1 AS second_ FROM sc),
   r2 AS (SELECT *, bool_or(is_h AND is_p AND nth = 1 AND of_ > 1) OVER ({BLOCK}) AS both_ FROM r1),
@@ -187,12 +187,12 @@ def said_words(said: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({said}), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 4 AND NOT list_contains({listed(lexicons.STOP_WORDS)}, w))"
 
 
-CHAINS = rf"""{ROLES}, pk AS (SELECT source_id, block_no, list({{'nth': nth, 'role': role, 't': {squeezed("transcript")}, 's': speaker, 'c': conflict_signals, 'a': start_ms, 'z': end_ms}} ORDER BY nth) AS f FROM told GROUP BY ALL),
+CHAINS = rf"""{ROLES}, pk AS (SELECT source_id, block_no, list({{'nth': nth, 'role': role, 't': {squeezed("transcript")}, 's': speaker, 'c': conflict_signals, 'm': emotion_signals, 'a': start_ms, 'z': end_ms}} ORDER BY nth) AS f FROM told GROUP BY ALL),
   c1 AS (SELECT *, coalesce(nullif({first_text('f', "x.role = 'hook'")}, ''), nullif({first_text('f', "x.role = 'hook_setup'")}, ''), f[1].t) AS hook FROM pk),
   c2 AS (SELECT *, coalesce(nullif({first_text('f', "x.role = 'setup'")}, ''), CASE WHEN len(f) > 1 THEN {first_text('f[2:]', "x.role NOT IN ('hook', 'payoff', 'escalation')")} END, '') AS setup FROM c1),
   c3 AS (SELECT *, coalesce(nullif({first_text('f', "x.role = 'escalation'")}, ''), CASE WHEN len(f) > 2 THEN {first_text('f', "x.role NOT IN ('hook', 'setup', 'payoff', 'hook_setup') AND x.t <> hook AND x.t <> setup")} END, '') AS escalation FROM c2),
   c4 AS (SELECT *, coalesce(nullif({first_text('f', "x.role = 'payoff'")}, ''), CASE WHEN f[-1].t <> '' AND (len(f) > 1 OR f[-1].t <> hook) THEN f[-1].t END, '') AS payoff, f[1].a AS start_ms, f[-1].z AS end_ms, len(f) AS fragments,
-    {distinct("list_transform(f, lambda y: y.s)")} AS speakers, array_to_string({distinct("flatten(list_transform(f, lambda y: y.c))")}, ' ') AS signals, list_sort(list_distinct({said_words("array_to_string(list_transform(f, lambda y: y.t), ' ')")})) AS topic_words FROM c3),
+    {distinct("list_transform(f, lambda y: y.s)")} AS speakers, array_to_string({distinct("flatten(list_transform(f, lambda y: y.c))")}, ' ') AS signals, list_filter(flatten(list_transform(f, lambda y: y.m)), lambda x: true)[1] AS emotion, list_sort(list_distinct({said_words("array_to_string(list_transform(f, lambda y: y.t), ' ')")})) AS topic_words FROM c3),
   chain AS ({completion("c4")})"""
 TENSE = "trim(signals || ' ' || escalation)"
 WORDS3 = rf"list_filter(regexp_extract_all(lower(every), '[\p{{L}}\p{{N}}_'']+'), lambda x: length(x) > 2)"
@@ -385,11 +385,32 @@ def packaged(made: DataFrame) -> DataFrame:
     """Title, phrases, hashtags and file name of each chain of summaries."""
     titled = made.select(
         "source_id", "block_no", packaging.trimmed_title(packaging.normal_title(F.col("title_seed")), 64).alias("title"), packaging.hook_phrase(F.col("hook_type")).alias("hook_phrase"),
-        packaging.payoff_phrase(F.col("payoff_type")).alias("payoff_phrase"), F.array_join(packaging.story_hashtags(F.col("speakers"), F.col("conflict_type"), F.col("topic_phrase"), F.col("is_complete")), " ").alias("hashtags"),
+        packaging.payoff_phrase(F.col("payoff_type")).alias("payoff_phrase"), F.array_join(packaging.story_hashtags(F.col("speakers"), F.col("conflict_type"), F.col("topic_phrase"), F.col("is_complete"), F.col("emotions"), arc=F.col("arc_shape")), " ").alias("hashtags"),
     )
     return packaging.output_names(titled.withColumn("key", F.col("source_id") * 1000 + F.col("block_no")), "key").drop("key")
 
 
+@query(
+    rf"""WITH {SEGMENTS}, g0 AS (SELECT source_id, string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx) AS x, count(*) AS line_count FROM seg GROUP BY source_id), g AS (SELECT source_id, line_count, {sql_tidy("x")} AS t FROM g0),
+    w AS (SELECT source_id, unnest(regexp_extract_all(lower(t), '[A-Za-zЀ-ӿ0-9'']+')) AS word FROM g), c AS (SELECT source_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND NOT list_contains({listed(packaging.RUSSIAN_STOP_WORDS + lexicons.ENGLISH_STOP_WORDS)}, word) GROUP BY ALL),
+    k AS (SELECT source_id, string_agg(word, ',' ORDER BY r) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, word) AS r FROM c) WHERE r <= 4 GROUP BY source_id)
+    SELECT g.source_id, CASE WHEN length(t) <= 96 THEN t WHEN rtrim(regexp_extract(left(t, 96), '^(.*) ', 1)) <> '' THEN rtrim(regexp_extract(left(t, 96), '^(.*) ', 1)) ELSE left(t, 96) END AS summary_text, coalesce(keywords, '') AS keywords,
+      CASE WHEN t = '' THEN 'neutral' ELSE {cascade("t", lexicons.SCENE_MOODS, "'neutral'")} END AS mood, line_count FROM g LEFT JOIN k USING (source_id)"""
+)
+def subtitle_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packaging.subtitle_context(segments(spark, sf_dir), "source_id", "seg_idx", english=True)
+    return made.withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query()
+def caption_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long segments cut into pieces of their words."""
+    seg = segments(spark, sf_dir)
+    words = seg.select("source_id", F.col("seg_idx").alias("segment"), "start_ms", "end_ms", F.size(F.split(text.tidy(F.col("text")), " ")).alias("n"), F.posexplode(F.split(text.tidy(F.col("text")), " ")).alias("nth", "text")).where("text <> ''")
+    at = lambda k: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * k / F.col("n"))
+    return captions.split_long(words.select("source_id", "segment", "nth", at(F.col("nth")).alias("start_ms"), at(F.col("nth") + 1).alias("end_ms"), "text"))
+
+
 @query()
 def story_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packaged(story.summaries(story.chains(told(spark, sf_dir))))
@@ -411,10 +432,10 @@ def known(column: str, names: dict[str, str], default: str) -> str:
 
 
 @query(
-    rf"""WITH {SUMMARIES}, n0 AS (SELECT source_id, block_no, hook_type, payoff_type, conflict_type, topic_phrase, is_complete, {sql_tidy("title_seed")} AS c FROM summed), {NORMAL},
+    rf"""WITH {SUMMARIES}, n0 AS (SELECT source_id, block_no, hook_type, payoff_type, conflict_type, topic_phrase, is_complete, arc_shape, emotion, {sql_tidy("title_seed")} AS c FROM summed), {NORMAL},
     tt AS (SELECT *, {sql_tidy("title")} AS t0 FROM normal), t1 AS (SELECT *, {sql_capital("t0")} AS t FROM tt), t2 AS (SELECT *, {sql_trimmed("t", 64)} AS shown FROM t1),
-    h AS (SELECT *, list_filter([{known("conflict_type", packaging.CONFLICT_TAGS["en"], "NULL")}, CASE WHEN length(topic_phrase) >= 4 AND NOT list_contains({listed(packaging.GENERIC_TOPICS)}, lower(topic_phrase))
-      THEN '#' || nullif(regexp_replace(regexp_replace(replace(topic_phrase, ' ', '_'), '[^\p{{L}}\p{{N}}_]+', '', 'g'), '^_+|_+$', '', 'g'), '') END, CASE WHEN is_complete THEN '#story' END], lambda x: x IS NOT NULL) AS tags FROM t2),
+    h AS (SELECT *, list_filter([{known("conflict_type", packaging.CONFLICT_TAGS["en"], "NULL")}, CASE WHEN emotion IS NOT NULL THEN {cascade("emotion", packaging.EMOTION_TAGS["en"], "NULL")} END, CASE WHEN length(topic_phrase) >= 4 AND NOT list_contains({listed(packaging.GENERIC_TOPICS)}, lower(topic_phrase))
+      THEN '#' || nullif(regexp_replace(regexp_replace(replace(topic_phrase, ' ', '_'), '[^\p{{L}}\p{{N}}_]+', '', 'g'), '^_+|_+$', '', 'g'), '') END, CASE WHEN is_complete OR arc_shape = 'hook_setup_escalation_payoff' THEN '#story' END], lambda x: x IS NOT NULL) AS tags FROM t2),
     q AS (SELECT *, {file_name("shown")} AS base FROM h),
     r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY source_id * 1000 + block_no) AS nth FROM q)
     SELECT source_id, block_no, shown AS title, {known("hook_type", packaging.HOOK_PHRASES, "'Strong story moment'")} AS hook_phrase, {known("payoff_type", packaging.PAYOFF_PHRASES, "''")} AS payoff_phrase,
@@ -487,6 +508,11 @@ def pause_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pauses.pause_stats(pauses.pause_timeline(spoken(spark, sf_dir)))
 
 
+@query(f"WITH {PAUSES} SELECT source_id, round(start_ms / 1000.0::DOUBLE, 3) AS start, round(end_ms / 1000.0::DOUBLE, 3) AS end, round(duration_ms / 1000.0::DOUBLE, 3) AS duration, silence_type, reason FROM pz WHERE decision = 'cut'")
+def cut_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pauses.cut_events(pauses.pause_timeline(spoken(spark, sf_dir)))
+
+
 @query(
     f"""WITH {PAUSES}, cl AS (SELECT source_id, max(end_ms) - min(start_ms) AS original_ms, sum(end_ms - start_ms) AS output_ms, round(avg({score("text", lexicons.HOOK)}), 6) AS hook FROM turns GROUP BY source_id),
     su AS (SELECT source_id, coalesce(sum(duration_ms) FILTER (decision = 'cut' AND silence_type = 'dead_air'), 0) AS dead, coalesce(sum(duration_ms) FILTER (decision = 'cut' AND silence_type = 'unknown'), 0) AS unknown, count(*) FILTER (decision = 'cut') AS cuts,

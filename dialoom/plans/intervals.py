@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import framing, intervals as iv, packaging
+from ..operators import framing, intervals as iv, packaging, pauses
 from ..sources import adapters, files
 from .registry import INTERVALS, query
 
@@ -152,10 +152,8 @@ def speaker_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source_id, round(avg(CASE WHEN rms > limit_ THEN 1 ELSE 0 END), 4) AS density, round(max(rms), 4) AS loudest FROM r JOIN m USING (source_id) GROUP BY source_id"""
 )
 def loudness_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root mean squares per slot, and the share of slots above 1.2 medians."""
-    slots = spans(spark, sf_dir).groupBy("source_id", F.floor(F.col("start_ms") / HOUR).alias("slot")).agg(F.sqrt(F.avg(F.col("score") * F.col("score"))).alias("rms"))
-    limit = slots.groupBy("source_id").agg(F.greatest(F.lit(10.0), 1.2 * F.median("rms")).alias("limit_"))
-    return slots.join(limit, "source_id").groupBy("source_id").agg(F.round(F.avg((F.col("rms") > F.col("limit_")).cast("int")), 4).alias("density"), F.round(F.max("rms"), 4).alias("loudest"))
+    """Root mean squares per slot, and the share of slots above 1.2 medians; values are small here, and so is the floor."""
+    return iv.loudness(spans(spark, sf_dir).select("source_id", F.col("start_ms").alias("at_ms"), F.col("score").alias("value")), HOUR, floor=10.0)
 
 
 @query(
@@ -270,12 +268,31 @@ def scene_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id AS source_id, arg_max(event_id, (round(value, 0), event_type, -event_id)) AS best_id, max(round(value, 0)) AS strength FROM events GROUP BY user_id"""
+    """WITH e AS (SELECT user_id AS source_id, event_id AS id, event_id % 4 AS visible_faces, event_id % 3 AS recent_face_memory_count, (event_id * 7 % 50) / 50.0::DOUBLE AS lock_confidence, event_id % 5 AS top_tracks, CASE WHEN event_id % 6 > 0 THEN event_id % 2 END AS visible_persons FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY visible_faces DESC, recent_face_memory_count DESC, lock_confidence DESC, top_tracks DESC, coalesce(visible_persons, 0) DESC, id) AS k FROM e) SELECT source_id, id, visible_faces, lock_confidence FROM r WHERE k = 1"""
 )
 def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row of the largest key tuple of each source."""
-    key = F.struct(F.round("score", 0).alias("a"), "speaker", (-F.col("id")).alias("b"))
-    return spans(spark, sf_dir).groupBy("source_id").agg(F.max_by("id", key).alias("best_id"), F.max(F.round("score", 0)).alias("strength"))
+    """The window of the largest evidence of each source."""
+    e = F.col("event_id")
+    windows = adapters.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("source_id"), e.alias("id"), F.pmod(e, F.lit(4)).alias("visible_faces"), F.pmod(e, F.lit(3)).alias("recent_face_memory_count"), (F.pmod(e * 7, F.lit(50)) / 50.0).alias("lock_confidence"), F.pmod(e, F.lit(5)).alias("top_tracks"),
+        F.when(F.pmod(e, F.lit(6)) > 0, F.pmod(e, F.lit(2))).alias("visible_persons"),
+    )
+    return framing.best_evidence(windows, ["source_id"], "id").select("source_id", "id", "visible_faces", "lock_confidence")
+
+
+@query(
+    f"""WITH {MERGED}, g AS (SELECT source_id, lag(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms) AS start_ms, start_ms AS end_ms FROM merged), h AS (SELECT * FROM g WHERE end_ms > start_ms),
+    e AS (SELECT h.source_id, h.start_ms, h.end_ms, sqrt(avg(p.score * p.score)) / 100.0 AS energy FROM h JOIN iv p ON h.source_id = p.source_id AND h.end_ms > h.start_ms + 100 AND (p.start_ms + p.end_ms) // 2 + 3600000 >= h.start_ms AND (p.start_ms + p.end_ms) // 2 + 3600000 < h.end_ms GROUP BY ALL)
+    SELECT h.source_id, h.start_ms, h.end_ms, round(coalesce(energy, 0.0), 6) AS energy FROM h LEFT JOIN e USING (source_id, start_ms, end_ms)"""
+)
+def pause_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of the gaps between voiced intervals, from samples an hour after the middle of each event."""
+    every = spans(spark, sf_dir)
+    order = Window.partitionBy("source_id").orderBy("start_ms")
+    gaps = iv.merge_intervals(every, 60_000).select("source_id", F.lag("end_ms").over(order).alias("start_ms"), F.col("start_ms").alias("end_ms")).where("end_ms > start_ms")
+    samples = every.select("source_id", (F.floor((F.col("start_ms") + F.col("end_ms")) / 2) + HOUR).alias("at_ms"), F.col("score").alias("value"))
+    return pauses.pause_energy(gaps, samples, 24 * HOUR, 100.0).withColumn("energy", F.round("energy", 6))
 
 
 @query("SELECT event_id AS id, round((value * 100)::BIGINT % 97 / 97.0, 4) AS x, round(greatest(0.0, least(1.0 - 0.2, round((value * 100)::BIGINT % 97 / 97.0, 4) - 0.1)), 4) AS left_edge FROM events")

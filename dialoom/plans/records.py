@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, repair, text
@@ -328,8 +328,7 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, n, greatest(2, least(12, ceil(n * 0.4)))::BIGINT AS pool FROM c"""
 )
 def admission_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = records(spark, sf_dir).where("quality_governor_decision = 'accept'").groupBy("source").agg(F.count("*").alias("n"))
-    return counts.withColumn("pool", F.greatest(F.lit(2), F.least(F.lit(12), F.ceil(F.col("n") * 0.4))).cast("long"))
+    return ranking.admission_pool(records(spark, sf_dir), "source")
 
 
 @query(
@@ -338,11 +337,7 @@ def admission_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, source, sum(new) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS thread FROM n"""
 )
 def story_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours within 24 units of coherence 0.62 or more are one thread."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    joins = (F.col("story_coherence_score") >= 0.62) & (F.col("doc_id") - F.lag("doc_id").over(order) <= 24)
-    marked = records(spark, sf_dir).withColumn("new", F.when(joins, 0).otherwise(1))
-    return marked.select("doc_id", "source", F.sum("new").over(order).alias("thread"))
+    return ranking.story_threads(records(spark, sf_dir), "source", "doc_id", "story_coherence_score").select("doc_id", "source", "thread")
 
 
 @query()
