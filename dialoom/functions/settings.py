@@ -33,3 +33,23 @@ def settings_hash(settings: dict[str, Any]) -> str:
     """Eight hex digits of the settings as sorted compact JSON, places aside."""
     kept = {k: v for k, v in settings.items() if k not in PLACES}
     return hashlib.sha1(json.dumps(kept, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:8]
+
+
+def read_settings(path: str) -> dict[str, Any]:
+    """Settings of a YAML file, normalized; a file that is missing or unreadable gives the defaults."""
+    try:
+        import yaml
+
+        with open(path, encoding="utf-8") as file:
+            given = yaml.safe_load(file)
+    except Exception:  # any fault of the file means defaults
+        given = None
+    return normalized(given if isinstance(given, dict) else None)
+
+
+def write_settings(path: str, settings: dict[str, Any]) -> None:
+    """Writes normalized settings as YAML, in their order and with letters as they are."""
+    import yaml
+
+    with open(path, "w", encoding="utf-8") as file:
+        yaml.safe_dump(normalized(settings), file, allow_unicode=True, sort_keys=False)

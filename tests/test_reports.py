@@ -143,3 +143,31 @@ def test_plan_of_one_block(spark):
 
 def test_oracles_are_many():
     assert len(catalog.ORACLES) >= 100
+
+
+def test_settings_round_trip(tmp_path):
+    pytest.importorskip("yaml")
+    from dialoom.functions import settings
+
+    path = str(tmp_path / "s.yaml")
+    settings.write_settings(path, {"max_outputs": 900, "title": "Серия"})
+    assert settings.read_settings(path)["max_outputs"] == 100 and settings.read_settings(path)["title"] == "Серия"
+    assert settings.read_settings(str(tmp_path / "none.yaml")) == settings.normalized()
+
+
+def test_long_captions_are_cut_at_pauses(spark):
+    from dialoom.operators import captions
+
+    said = "one two three four five six, seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    words = spark.createDataFrame([("a", 0, k, k * 100, k * 100 + 90, w) for k, w in enumerate(said)] + [("a", 1, 0, 0, 5, "short")], "source_id string, segment long, nth int, start_ms long, end_ms long, text string")
+    got = [(r.segment, r.piece, r.text) for r in captions.split_long(words, most=20, lines=2).orderBy("segment", "piece").collect()]
+    assert got[0] == (0, 0, "one two three four five six,") and got[-1] == (1, 0, "short") and " ".join(t for s, _, t in got if s == 0) == " ".join(said)
+
+
+def test_hashtags_hold_emotions_and_series(spark):
+    from dialoom.operators import packaging
+
+    row = spark.sql("select array('Anna','voice') as s, 'threat' as c, array('tears') as e, 'none' as t, 'Blue Hour' as n, false as d, 'Всё будет' as x")
+    tags = lambda **k: packaging.story_hashtags(F.col("s"), F.col("c"), F.col("t"), F.col("d"), F.col("e"), F.col("n"), F.lit("hook_only"), F.col("x"), most=9, **k)
+    found = row.select(tags(language="en").alias("en"), tags(language="auto").alias("auto")).first()
+    assert found.en == ["#Anna", "#threat", "#tears", "#Blue_Hour"] and found.auto == ["#Anna", "#угроза", "#слёзы", "#Blue_Hour", "#shorts"]
