@@ -1,4 +1,10 @@
-"""A corpus cleaning pipeline over documents; part of the training-data subpackage."""
+"""A corpus cleaning pipeline over documents; part of the training-data subpackage.
+
+In every stage: rows with a null doc_id or a null or empty text match nothing and stay, and are packed as a single end
+token where they have no text; rows that repeat a doc_id count as one document and stay or go together, but are scored
+for toxicity each by its own text; an empty table gives an empty table. Extra columns pass through all stages but the
+last; names that begin with two underscores are taken.
+"""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -170,29 +170,43 @@ def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), np.searchsorted(owner, np.arange(len(lengths) + 1))
 
 
-#: Random 64-bit numbers of the word characters by code point, equal for both cases of a letter, and 0 for any other
-#: code point; filled a block at a time.
-CHARACTERS, BLOCK_BITS = np.zeros(0x110000, np.uint64), 12
-FILLED = np.zeros(0x110000 >> BLOCK_BITS, bool)
+BLOCK_BITS = 12
+
+
+class Alphabet:
+    """Random 64-bit numbers of the characters of words by code point, equal for both cases of a letter, and 0 for any other
+    code point; filled a block at a time.
+
+    of_words: which of an array of lower-case characters words are made of."""
+
+    def __init__(self, of_words: Callable[[pa.Array], np.ndarray]):
+        self.of_words = of_words
+        self.numbers, self.filled = np.zeros(0x110000, np.uint64), np.zeros(0x110000 >> BLOCK_BITS, bool)
+
+    def fill(self, block: int) -> None:
+        first, size = block << BLOCK_BITS, 1 << BLOCK_BITS
+        lower = pc.utf8_lower(pa.array([chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(first, first + size)]))
+        own = np.array([ord(c[0]) for c in lower.to_pylist()], np.uint64)
+        random = mix((own + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        self.numbers[first : first + size] = np.where(self.of_words(lower), random, np.uint64(0))
+        self.filled[block] = True
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The numbers of code points."""
+        for block in np.unique(points >> BLOCK_BITS) if points.max(initial=0) >> BLOCK_BITS else [0]:
+            if not self.filled[block]:
+                self.fill(int(block))
+        return self.numbers[points]
+
+
+#: Letters, digits and marks; and all but white space.
+WORDS = Alphabet(lambda chars: pc.match_substring_regex(chars, WORD_GAP).to_numpy(zero_copy_only=False) ^ True)
+SOLID = Alphabet(lambda chars: np.array([not c.isspace() for c in chars.to_pylist()]))
 POWERS = [np.ones(1, np.uint64)]
 #: Code points that are hashed at a time.
 CHUNK = 1 << 18
 
 
-def characters(points: np.ndarray) -> np.ndarray:
-    """CHARACTERS of code points."""
-    for block in np.unique(points >> BLOCK_BITS) if points.max(initial=0) >> BLOCK_BITS else [0]:
-        if not FILLED[block]:
-            first = int(block) << BLOCK_BITS
-            every = pa.array([chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(first, first + (1 << BLOCK_BITS))])
-            lower = pc.utf8_lower(every)
-            word = pc.match_substring_regex(lower, WORD_GAP).to_numpy(zero_copy_only=False) ^ True
-            own = np.array([ord(c[0]) for c in lower.to_pylist()], np.uint64)
-            CHARACTERS[first : first + (1 << BLOCK_BITS)] = np.where(word, mix((own + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), np.uint64(0))
-            FILLED[block] = True
-    return CHARACTERS[points]
-
-
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all texts in a row, nulls being empty, and where each text's begin."""
     texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
@@ -203,17 +217,17 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(str(memoryview(texts.buffers()[2])[at[0] : at[1]], "utf-8").encode("utf-32-le"), np.uint32), starts
 
 
-def point_words(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each lower-case word (run of letters, digits and marks) among code points and where it begins; no word
+def point_words(points: np.ndarray, starts: np.ndarray, alphabet: Alphabet = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each lower-case word (run of the alphabet's characters) among code points and where it begins; no word
     goes on over one of starts. Words of a chunk are hashed as polynomials of their characters' numbers."""
     hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(points):
         end, far = min(at + CHUNK, len(points)), CHUNK
-        own = characters(points[at:end])
+        own = alphabet.of(points[at:end])
         while end < len(points) and own[-1] and not (last := np.flatnonzero(own == 0)).size:  # a word longer than the chunk
             far *= 2
             end = min(at + far, len(points))
-            own = characters(points[at:end])
+            own = alphabet.of(points[at:end])
         if end < len(points) and own[-1]:
             end = at + int(last[-1]) + 1
             own = own[: end - at]
@@ -234,10 +248,10 @@ def point_words(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, as word_lists() has them, and where each text's begin."""
+def word_hashes(texts: pa.Array, alphabet: Alphabet = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, by default those of word_lists(), and where each text's begin."""
     points, starts = code_points(texts)
-    hashes, places = point_words(points, starts[:-1])
+    hashes, places = point_words(points, starts[:-1], alphabet)
     return hashes, np.searchsorted(places, starts)
 
 

@@ -241,6 +241,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows that near_duplicates() doesn't keep; columns and order of columns as given."""
+    """docs without the rows that near_duplicates() doesn't keep; columns and order of columns as given, which mustn't
+    include __gone."""
     drop = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(drop, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MemberFilter, coded_strings, materialize, mix, slices
+from .common import SOLID, MemberFilter, materialize, mix, slices, word_hashes
 
 SPAN = 3
 #: A span of fewer sentences counts where it has this many words; one of SPAN sentences needs LEAST_WORDS.
@@ -20,7 +20,8 @@ LONG_WORDS, LEAST_WORDS = 40, 8
 #: known by the one of the smallest hash; passages that are equal have it in common.
 PASSAGE, GRAM = 51, 26
 #: A sentence ends after its closing punctuation and white space, or at a line feed; what divides it stays with it.
-SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+[\"'»”)\]]*(?=\s)[^\S\n]*|(?=\n)|\Z)\n*")
+#: Closing punctuation is looked for where it begins, so that a long run of it is read once.
+SENTENCE = re.compile(r"[^\n]*?(?:(?<![.!?])[.!?]+[\"'»”)\]]*(?=\s)[^\S\n]*|(?=\n)|\Z)\n*")
 
 
 def sentences(text: str) -> list[str]:
@@ -38,9 +39,23 @@ def worded(text: str) -> tuple[list[int], list[str], list[int]]:
     return numbers, keys, sizes
 
 
+def locally_first(row: np.ndarray, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences of keys, ordered by key, doc, row and place: their numbers, keys, whether the key occurs earlier in
+    the same row, and whether it occurs in an earlier document of this slice. Keys of the latter are made different,
+    as they are late whatever other slices hold, so that no key has more rows than one document of each slice."""
+    by = np.lexsort((place, row, doc, key))
+    key, doc, row = key[by], doc[by], row[by]
+    same = key[1:] == key[:-1]
+    again, new = np.zeros(len(by), bool), np.ones(len(by), bool)
+    again[1:], new[1:] = same & (row[1:] == row[:-1]), ~same
+    late = doc != doc[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else again
+    key = np.where(late, mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), key)
+    return by, key, again, late
+
+
 def hashed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to one row per span: its hash, place, length in worded sentences, and whether the same span
-    occurs earlier in the same text."""
+    occurs earlier in the same text, and in an earlier one of the slice."""
     for batch in slices(batches, 8 << 20):
         keys, sizes, starts = [], [], [0]
         for text in batch.column("text").to_pylist():
@@ -61,24 +76,21 @@ def hashed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append((rolled[enough].copy(), at[enough], np.full(int(enough.sum()), k, np.int32)))
         span, place, length = (np.concatenate(x) for x in zip(*parts, strict=True))
         row = owner[place]
-        by = np.lexsort((place, span, row))
-        span, place, length, row = span[by], place[by], length[by], row[by]
-        again = np.zeros(len(span), bool)
-        again[1:] = (span[1:] == span[:-1]) & (row[1:] == row[:-1])
+        doc = batch.column("doc_id").to_numpy()[row]
+        by, span, again, late = locally_first(row, doc, span, place)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(row)), pa.array(span.view(np.int64)), pa.array((place - np.array(starts)[row]).astype(np.int32)), pa.array(length), pa.array(again)],
-            ["doc_id", "span", "place", "length", "again"],
+            [pa.array(doc[by]), pa.array(span.view(np.int64)), pa.array((place - np.array(starts)[row])[by].astype(np.int32)), pa.array(length[by].astype(np.int8)), pa.array(again), pa.array(late)],
+            ["doc_id", "span", "place", "length", "again", "late"],
         )
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, place): the worded sentences of each document that a non-first repeated span covers."""
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    spans = base.mapInArrow(hashed_spans, "doc_id long, span long, place int, length int, again boolean")
-    firsts = spans.groupBy("span").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = materialize(firsts.select("span", "first"), "span-firsts")
-    late = spans.join(firsts, "span").where("again or doc_id <> first")
-    return late.select("doc_id", F.explode(F.sequence("place", F.expr("place + length - 1"))).alias("place"))
+    spans = base.mapInArrow(hashed_spans, "doc_id long, span long, place int, length byte, again boolean, late boolean")
+    spans = spans.withColumn("first", F.min("doc_id").over(Window.partitionBy("span")))
+    late = spans.where("late or again or doc_id <> first")
+    return late.select("doc_id", F.explode(F.sequence("place", F.expr("place + length - 1"))).alias("place")).distinct()
 
 
 def rolled(x: np.ndarray, n: int) -> np.ndarray:
@@ -94,14 +106,11 @@ def rolled(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def passages(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Word hashes and run hashes of all texts in a row, where each passage begins, its row and place in the text,
+    """Hashes of words (as split() has them) and of runs of all texts in a row, where each passage begins, its row and place in the text,
     and the place of its run of the smallest hash, the first of equal ones."""
-    lists = [(text or "").lower().split() for text in batch.column("text").to_pylist()]
-    starts = np.cumsum([0, *map(len, lists)])
-    hashes, at = coded_strings(pa.array([w for own in lists for w in own], pa.string()))
-    words = hashes[at]
+    words, starts = word_hashes(batch.column("text"), SOLID)
     grams = rolled(words, GRAM)
-    row = np.repeat(np.arange(len(lists)), np.maximum(0, np.diff(starts) - PASSAGE + 1))
+    row = np.repeat(np.arange(batch.num_rows), np.maximum(0, np.diff(starts) - PASSAGE + 1))
     first = np.cumsum(np.concatenate(([0], np.maximum(0, np.diff(starts) - PASSAGE + 1))))[:-1]
     begin = np.arange(len(row)) - first[row] + starts[:-1][row]
     if not len(begin):
@@ -120,16 +129,14 @@ def run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hashed_passages(batches: Iterator[pa.RecordBatch], shared: MemberFilter) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to one row per passage whose run occurs elsewhere too: its hash, the place of its first word,
-    and whether it occurs earlier in the same text."""
+    and whether it occurs earlier in the same text, and in an earlier one of the slice."""
     for batch in slices(batches):
         words, grams, begin, row, place, least = passages(batch)
         keep = shared.holds([grams[least].view(np.int64)])
         own, row, place = rolled(words, PASSAGE)[begin[keep]], row[keep], place[keep]
-        by = np.lexsort((place, own, row))
-        own, row, place = own[by], row[by], place[by]
-        again = np.zeros(len(own), bool)
-        again[1:] = (own[1:] == own[:-1]) & (row[1:] == row[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(own.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(again)], ["doc_id", "passage", "word", "again"])
+        doc = batch.column("doc_id").to_numpy()[row]
+        by, own, again, late = locally_first(row, doc, own, place)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[by]), pa.array(own.view(np.int64)), pa.array(place[by].astype(np.int32)), pa.array(again), pa.array(late)], ["doc_id", "passage", "word", "again", "late"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -138,11 +145,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     runs = base.select("doc_id", "text").mapInArrow(run_counts, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
     shared = docs.sparkSession.sparkContext.broadcast(MemberFilter(materialize(runs.select("run"), "passage-runs")))
-    found = base.mapInArrow(lambda it: hashed_passages(it, shared.value), "doc_id long, passage long, word int, again boolean")
-    found = materialize(found, "passages")
-    firsts = found.groupBy("passage").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = found.join(firsts, "passage").where("again or doc_id <> first")
-    return late.select("doc_id", F.when(F.col("doc_id") == F.col("first"), -1 - F.col("word")).otherwise(F.col("word")).alias("word"))
+    found = base.mapInArrow(lambda it: hashed_passages(it, shared.value), "doc_id long, passage long, word int, again boolean, late boolean")
+    found = found.withColumn("first", F.min("doc_id").over(Window.partitionBy("passage")))
+    elsewhere = F.col("late") | (F.col("doc_id") != F.col("first"))
+    return found.where(elsewhere | F.col("again")).select("doc_id", F.when(elsewhere, F.col("word")).otherwise(-1 - F.col("word")).alias("word"))
 
 
 def covered_words(begins: list[int], n: int) -> np.ndarray:
@@ -165,21 +171,22 @@ def without_words(sentence: str, gone: np.ndarray) -> str:
 def cut_text(text: str, places: list[int], begins: list[int]) -> tuple[str, int]:
     """A text without the worded sentences at places, without the words of passages that an earlier document holds,
     and without sentences that lie in passages, and the number of sentences that went, or 1 if only parts did."""
-    numbers, _, sizes = worded(text)
+    parts = sentences(text)
+    counts = [len(s.split()) for s in parts]
+    numbers = [i for i, n in enumerate(counts) if n]  # of worded sentences
     gone = {p for p in places if p < len(numbers)}
-    begin, cut, total = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))), {}, int(sum(sizes))
+    begin, cut = np.concatenate(([0], np.cumsum(np.array([counts[i] for i in numbers], np.int64)))), {}
     if begins:
+        total = int(begin[-1])
         elsewhere = covered_words([b for b in begins if b >= 0], total)
         anywhere = elsewhere | covered_words([-1 - b for b in begins if b < 0], total)
-        for p in range(len(numbers)):
-            own = slice(begin[p], begin[p + 1])
-            if anywhere[own].all():
-                gone.add(p)
-            elif p not in gone and elsewhere[own].any():
-                cut[p] = elsewhere[own]
+        filled = np.add.reduceat(np.append(anywhere, False).astype(np.int64), begin[:-1]) == np.diff(begin) if len(numbers) else np.zeros(0, bool)
+        touched = np.add.reduceat(np.append(elsewhere, False).astype(np.int64), begin[:-1]) > 0 if len(numbers) else filled
+        gone |= set(np.flatnonzero(filled).tolist())
+        cut = {p: elsewhere[begin[p] : begin[p + 1]] for p in np.flatnonzero(touched).tolist() if p not in gone}
     lost = {numbers[p] for p in gone}
     less = {numbers[p]: words for p, words in cut.items()}
-    kept = "".join(without_words(s, less[k]) if k in less else s for k, s in enumerate(sentences(text)) if k not in lost)
+    kept = "".join(without_words(s, less[k]) if k in less else s for k, s in enumerate(parts) if k not in lost)
     return kept.rstrip("\n " if lost or less else ""), len(gone) or int(bool(cut))
 
 

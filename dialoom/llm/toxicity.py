@@ -292,5 +292,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the grammar rejects; same columns."""
+    """docs without the rows that the grammar rejects; same columns, which mustn't include __score or __predicted."""
     return scored(docs, train(docs, labels)).where("__predicted = 0").select(*docs.columns)
