@@ -169,14 +169,17 @@ def speaker_zones(speakers: DataFrame, width: int, height: int) -> DataFrame:
     return placed.select("source_id", "speaker", x.cast("int").alias("x"), F.lit(0).alias("y"), wide.cast("int").alias("w"), F.lit(height).alias("h"))
 
 
-def visual_conversation(switches: Column, windows: Column, centered: Column, dialogue: Column, fallback: Column, center_used: Column) -> Column:
-    """Score in 0..1 of a clip's switching rhythm, best near a switch in three windows, and of who is in view."""
+def visual_conversation(switches: Column, windows: Column, centered: Column, dialogue: Column, fallback: Column, center_used: Column, preserved: Column | None = None) -> Column:
+    """Score in 0..1 of a clip's switching rhythm, best near a switch in three windows, and of who is in view. centered:
+    the rate of windows with a centered speaker; fallback: windows that show a listener or a person instead; center_used,
+    preserved: whether the middle of the frame, or a crop that keeps faces whole, had to serve."""
     n = F.greatest(F.lit(1), windows)
     rate = F.least(F.lit(1.0), F.greatest(F.lit(0), switches) / F.greatest(F.lit(1), n - 1))
-    rhythm = 1.0 - F.least(F.lit(1.0), F.abs(rate - 0.32) / 0.32)
+    centered = F.greatest(F.lit(0.0), F.least(F.lit(1.0), centered))
     share = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0), c) / n)
-    penalty = F.least(F.lit(1.0), F.when(center_used, 0.42).otherwise(0.0) + (1.0 - centered) * 0.32)
-    score = centered * 0.24 + share(dialogue) * 0.24 + share(fallback) * 0.16 + rhythm * 0.24 + F.least(F.lit(1.0), rate * 1.2) * 0.12 - penalty * 0.22
+    spoilt = F.when(center_used, 0.42).otherwise(0.0) + (F.lit(0.0) if preserved is None else F.when(preserved, 0.24).otherwise(0.0))
+    rhythm = (1.0 - F.least(F.lit(1.0), F.abs(rate - 0.32) / 0.32)) * 0.24 + F.least(F.lit(1.0), rate * 1.2) * 0.12
+    score = centered * 0.24 + share(dialogue) * 0.24 + share(fallback) * 0.16 + rhythm - F.least(F.lit(1.0), spoilt + (1.0 - centered) * 0.32) * 0.22
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
 
 

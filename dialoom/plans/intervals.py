@@ -226,16 +226,18 @@ def speaker_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {INTERVALS}, c AS (SELECT source_id, count(*) AS windows, count(*) FILTER (speaker = 'click') AS dialogue, count(*) FILTER (speaker = 'error') AS fallback, sum(CASE WHEN speaker = 'view' THEN 1 ELSE 0 END) AS switches, bool_or(id % 50 = 0) AS used FROM iv GROUP BY source_id),
-    r AS (SELECT *, least(1.0, switches / greatest(1, windows - 1)) AS rate, 0.5 AS centered FROM c)
-    SELECT source_id, round(greatest(0.0, least(1.0, centered * 0.24 + least(1.0, dialogue / greatest(1, windows)) * 0.24 + least(1.0, fallback / greatest(1, windows)) * 0.16 + (1.0 - least(1.0, abs(rate - 0.32) / 0.32)) * 0.24
-      + least(1.0, rate * 1.2) * 0.12 - least(1.0, CASE WHEN used THEN 0.42 ELSE 0.0 END + (1.0 - centered) * 0.32) * 0.22)), 4) AS score FROM r"""
+    f"""WITH {INTERVALS}, c AS (SELECT source_id, count(*) AS windows, count(*) FILTER (speaker = 'click') AS dialogue, count(*) FILTER (speaker = 'error') AS fallback, count(*) FILTER (speaker = 'view') AS switches, count(*) FILTER (id % 3 = 0) / count(*) AS centered,
+      bool_or(id % 50 = 0) AS used, bool_or(id % 70 = 0) AS preserved FROM iv GROUP BY source_id), r AS (SELECT *, least(1.0, switches / greatest(1, windows - 1)) AS rate FROM c)
+    SELECT source_id, round(greatest(0.0, least(1.0, centered * 0.24::DOUBLE + least(1.0, dialogue / windows) * 0.24::DOUBLE + least(1.0, fallback / windows) * 0.16::DOUBLE + ((1.0 - least(1.0, abs(rate - 0.32::DOUBLE) / 0.32::DOUBLE)) * 0.24::DOUBLE + least(1.0, rate * 1.2::DOUBLE) * 0.12::DOUBLE)
+      - least(1.0, CASE WHEN used THEN 0.42::DOUBLE ELSE 0.0 END + CASE WHEN preserved THEN 0.24::DOUBLE ELSE 0.0 END + (1.0 - centered) * 0.32::DOUBLE) * 0.22::DOUBLE)), 4) AS score FROM r"""
 )
 def visual_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = lambda n: F.bool_or(F.pmod("id", F.lit(n)) == 0)
+    of = lambda kind: F.count_if(F.col("speaker") == kind)
     c = spans(spark, sf_dir).groupBy("source_id").agg(
-        F.count("*").alias("windows"), F.count_if(F.col("speaker") == "click").alias("dialogue"), F.count_if(F.col("speaker") == "error").alias("fallback"), F.count_if(F.col("speaker") == "view").alias("switches"), F.bool_or(F.pmod("id", F.lit(50)) == 0).alias("used")
+        F.count("*").alias("windows"), of("click").alias("dialogue"), of("error").alias("fallback"), of("view").alias("switches"), (F.count_if(F.pmod("id", F.lit(3)) == 0) / F.count("*")).alias("centered"), some(50).alias("used"), some(70).alias("preserved")
     )
-    return c.select("source_id", framing.visual_conversation(F.col("switches"), F.col("windows"), F.lit(0.5), F.col("dialogue"), F.col("fallback"), F.col("used")).alias("score"))
+    return c.select("source_id", framing.visual_conversation(*(F.col(x) for x in ("switches", "windows", "centered", "dialogue", "fallback", "used", "preserved"))).alias("score"))
 
 
 @query(
@@ -295,7 +297,13 @@ def pause_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pauses.pause_energy(gaps, samples, 24 * HOUR, 100.0).withColumn("energy", F.round("energy", 6))
 
 
-@query("SELECT event_id AS id, round((value * 100)::BIGINT % 97 / 97.0, 4) AS x, round(greatest(0.0, least(1.0 - 0.2, round((value * 100)::BIGINT % 97 / 97.0, 4) - 0.1)), 4) AS left_edge FROM events")
+@query(
+    """WITH b AS (SELECT event_id, (event_id * 7 % 50) / 50.0::DOUBLE AS x, (event_id * 11 % 50) / 50.0::DOUBLE AS y, greatest(0.05::DOUBLE, (event_id * 3 % 40) / 40.0::DOUBLE) AS w, greatest(0.05::DOUBLE, (event_id * 13 % 30) / 30.0::DOUBLE) AS h FROM events)
+    SELECT event_id AS id, round(greatest(0.0, least(1.0 - w, x - w / 2)), 4) AS x, round(greatest(0.0, least(1.0 - h, y - h / 2)), 4) AS y, round(w, 4) AS w, round(h, 4) AS h FROM b"""
+)
 def safe_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.round(F.pmod(F.round(F.col("score") * 100).cast("long"), F.lit(97)) / F.lit(97.0), 4)
-    return spans(spark, sf_dir).select("id", x.alias("x"), framing.safe_box(x, F.lit(0.5), F.lit(0.2), F.lit(0.3))["x"].alias("left_edge"))
+    part = lambda k, n: F.pmod(F.col("event_id") * k, F.lit(n)) / F.lit(float(n))
+    box = framing.safe_box(part(7, 50), part(11, 50), part(3, 40), part(13, 30))
+    return adapters.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), box.alias("b")).select("id", "b.*")
+
+
