@@ -84,15 +84,15 @@ def session_trend(sessions: DataFrame, columns: list[str]) -> DataFrame:
 
     Sessions are ranked by counts of created_at, of which there is one a run, so only these counts are in one order."""
     dated = sessions.where("created_at is not null and created_at <> ''")
-    stamps = dated.groupBy("created_at").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, 0))
-    stamps = beside(stamps.withColumn("upto", upto), stamps.agg(F.sum("n").alias("of"))).where("of >= 3")
+    stamps = dated.groupBy("created_at").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, 0))
+    stamps = beside(stamps.withColumn("__upto", upto), stamps.agg(F.sum("__n").alias("__of"))).where("__of >= 3")
     tied = F.row_number().over(Window.partitionBy("created_at").orderBy(*columns)) - 1
-    placed = dated.withColumn("tied", tied).join(stamps, "created_at").withColumn("nth", F.col("upto") - F.col("n") + F.col("tied") + 1)
-    third = F.floor(F.col("of") / 3)
-    placed = placed.withColumn("part", F.when(F.col("nth") <= third, "early").when(F.col("nth") > F.col("of") - third, "recent"))
-    tall = placed.where("part is not null").select("part", *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(["part"], columns, "metric", "value")
-    side = lambda p: F.round(F.avg(F.when(F.col("part") == p, F.col("value"))), 4)
+    placed = dated.withColumn("__tied", tied).join(stamps, "created_at").withColumn("__nth", F.col("__upto") - F.col("__n") + F.col("__tied") + 1)
+    third = F.floor(F.col("__of") / 3)
+    placed = placed.withColumn("__part", F.when(F.col("__nth") <= third, "early").when(F.col("__nth") > F.col("__of") - third, "recent"))
+    tall = placed.where("__part is not null").select("__part", *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(["__part"], columns, "metric", "value")
+    side = lambda p: F.round(F.avg(F.when(F.col("__part") == p, F.col("value"))), 4)
     both = tall.groupBy("metric").agg(side("early").alias("early"), side("recent").alias("recent")).where("early is not null and recent is not null")
     return both.withColumn("delta", F.round(F.col("recent") - F.col("early"), 4))
 
@@ -153,10 +153,10 @@ def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
 def duration_profile(rows: DataFrame, by: str, column: str, above: tuple[int, ...] = (60, 120, 240)) -> DataFrame:
     """Per group: count, least, most, mean, upper median (of an even number of values the larger of the middle ones) and
     the share of values above each of some bounds. The median comes from counts of values, not from a list of them."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("k"))
+    counts = rows.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("__k"))
     order = Window.partitionBy(by).orderBy(column)
-    placed = counts.withColumns({"upto": F.sum("k").over(order), "of": F.sum("k").over(Window.partitionBy(by))})
-    middle = placed.where("upto > floor(of / 2)").groupBy(by).agg(F.min(column).alias("upper_median"))
+    placed = counts.withColumns({"__upto": F.sum("__k").over(order), "__of": F.sum("__k").over(Window.partitionBy(by))})
+    middle = placed.where("__upto > floor(__of / 2)").groupBy(by).agg(F.min(column).alias("upper_median"))
     found = rows.groupBy(by).agg(
         F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), F.round(F.avg(column), 4).alias("mean"), *(rate(F.col(column) > s).alias(f"over_{s}") for s in above)
     )

@@ -103,12 +103,6 @@ def test_sufficiency(spark):
     assert [value(spark, reporting.sufficiency(F.lit(n))) for n in (50, 150, 300, 600)] == ["weak", "minimum", "recommended", "strong"]
 
 
-def test_reports_of_no_rows(spark):
-    empty = spark.createDataFrame([], "publishable boolean, best_hook_score double, retention_soft_score double, story_completion_score double, context_completeness_score double, subtitle_quality_score double, pacing_score double, face_focus_rate double, runtime_ms long, ranking_fallback_used boolean")
-    row = reporting.session_metrics(empty).first()
-    assert (row["count"], row.publishable_rate, row.average_hook_score, row.runtime) == (0, 0.0, 0.0, None)
-
-
 def test_co_occurrence(spark):
     rows = spark.createDataFrame([(["b", "a", "c"],), (["a", "b"],)], "tags array<string>")
     assert [(r.pair, r.n) for r in reporting.co_occurrence(rows, "tags").collect()] == [("a::b", 2), ("a::c", 1), ("b::c", 1)]
