@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PARITY, MemberFilter, as_lists, components, could_match, discard, materialize, mix, parity, parity_fits, shingles, slices, word_hashes
@@ -158,8 +158,8 @@ def prefix_pairs(members: DataFrame, lists: DataFrame, threshold: float) -> Data
     return found.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
 
 
-#: How often buckets that are still open are led by another member before prefixes are joined.
-TURNS = 3
+#: Members of a bucket that is still open which all others are compared with before prefixes are joined.
+LEADERS = 16
 
 
 def open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -169,13 +169,25 @@ def open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     return labelled.join(apart, "band", "left_semi")
 
 
-def led_pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's leader of this turn and its members of other components: one a member. The member
-    that leads is the first by a hash of its id, so that it leads in most of its buckets."""
-    order = F.xxhash64("id", F.lit(turn))
-    leaders = buckets.groupBy("band").agg(F.min_by("id", order).alias("leader"), F.min_by("component", order).alias("led"))
-    met = buckets.join(leaders, "band").where("component <> led")
-    return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+def led_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the leaders of each bucket and its members of other components. The first LEADERS members by a hash
+    of their ids lead, so that they do in most of their buckets; a member meets the leaders of all its buckets at once."""
+    nth = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("id"), "id"))
+    leaders = buckets.withColumn("nth", nth).where(F.col("nth") <= LEADERS).groupBy("band").agg(F.collect_list(F.struct("id", "component")).alias("l"))
+    met = buckets.join(leaders, "band").groupBy("id", "component").agg(F.array_distinct(F.flatten(F.collect_list("l"))).alias("l"))
+    met = met.select("id", "component", F.explode("l").alias("l")).where("component <> l.component")
+    return met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+
+
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups(node, component) joined by links(a, b) of any ids; only components, of which links join few, are followed."""
+    end = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    known = links.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    edges = known.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    found = materialize(components(edges), "joined").withColumnsRenamed({"node": "old", "component": "new"})
+    moved = groups.join(found, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = found.join(groups.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return materialize(moved.union(alone), "groups")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -214,22 +226,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     links = scored.where(F.col("jaccard") >= threshold).select("a", "b")
     groups = materialize(components(links), "groups")
 
-    # buckets of three or more whose members, besides the first, are still in different groups: led by others, in turn,
-    # as long as that joins any; what is left then meets by its rarest shingles
+    # buckets of three or more whose members, besides the first, are still in different groups: led by more members;
+    # what is left then meets by its rarest shingles
     tried, shared = pairs, met.where("n > 2").select("band", "id")
-    for turn in range(TURNS + 1):
+    for find in (led_pairs, lambda x: prefix_pairs(x.select("id", "component").distinct(), lists, threshold)):
         open_ = materialize(open_buckets(shared, groups), "open-buckets")
         if open_.isEmpty():
             break
-        if turn < TURNS:
-            fresh = led_pairs(open_, turn)
-        else:
-            fresh = prefix_pairs(open_.select("id", "component").distinct(), lists, threshold)
-        fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"), "late-pairs")
+        fresh = materialize(find(open_).join(tried, ["a", "b"], "left_anti"), "late-pairs")
         late = materialize(compared(fresh, lists).where(F.col("jaccard") >= threshold).select("a", "b"), "late-links")
         tried = tried.union(fresh)
         if not late.isEmpty():
-            groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late)), "groups")
+            groups = joined_groups(groups, late)
 
     classes = firsts.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialize(classes.select("digest", F.coalesce("component", "rep").alias("class_id")), "classes")
