@@ -267,7 +267,8 @@ def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     rest[first] = False
     begin[first], begin[rest] = starts[:-1], feeds + 1
     hashes, places = point_words(points, starts[:-1])
-    return hashes, np.searchsorted(begin, places, side="right") - 1, owner, np.arange(len(owner)) - first[owner]
+    line = np.repeat(np.arange(len(begin)), np.diff(np.searchsorted(places, begin), append=len(places)))
+    return hashes, line, owner, np.arange(len(owner)) - first[owner]
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -293,12 +294,12 @@ def as_lists(flat: np.ndarray, starts: np.ndarray) -> pa.Array:
 PARITY = ("b0", "b1", "b2", "b3")
 
 
-def parity(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Four words of parity bits per list of distinct hashes: each element flips one bit. Those of two sets differ in
-    at most as many bits as the sets have elements that are not common."""
+def parity(flat: np.ndarray, starts: np.ndarray, words: int = len(PARITY)) -> list[np.ndarray]:
+    """Words of parity bits, of four in all, per list of distinct hashes: each element flips one bit. Those of two sets
+    differ in at most as many bits as the sets have elements that are not common."""
     begin = np.minimum(starts[:-1], len(flat))
     out = []
-    for k in range(len(PARITY)):
+    for k in range(words):
         own = np.where(flat >> np.uint64(6) & np.uint64(3) == k, np.uint64(1) << (flat & np.uint64(63)), np.uint64(0))
         found = np.bitwise_xor.reduceat(np.append(own, np.uint64(0)), begin) if len(begin) else np.zeros(0, np.uint64)
         out.append(np.where(np.diff(starts) > 0, found, np.uint64(0)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import PARITY, MemberFilter, as_lists, could_match, line_words, materialize, mix, parity, parity_fits, slices, word_hashes
 
@@ -103,8 +105,10 @@ def pick(starts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.append(starts[:-1][chosen], 0), np.diff(starts)[chosen]
 
 
-LINE_COLUMNS = ["d", "l", "copy", "h1", "h2", *PARITY, "size", "singles", "keys"]
-LINE_SCHEMA = "d long, l int, copy boolean, h1 long, h2 long, b0 long, b1 long, b2 long, b3 long, size int, singles int, keys array<int>"
+#: Words of parity bits that lines carry.
+CARRIED = PARITY[:2]
+LINE_COLUMNS = ["d", "l", "copy", "h1", "h2", *CARRIED, "size", "singles", "keys"]
+LINE_SCHEMA = "d long, l int, copy boolean, h1 long, h2 long, b0 long, b1 long, size int, singles int, keys array<int>"
 
 
 def hashed_lines(batches: Iterator[pa.RecordBatch], order: dict, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -136,7 +140,7 @@ def hashed_lines(batches: Iterator[pa.RecordBatch], order: dict, threshold: floa
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(doc[both]), pa.array(number[both].astype(np.int32)), pa.array(np.repeat([False, True], [len(first), len(gone)])), pa.array(h1[both].view(np.int64)), pa.array(h2[both].view(np.int64)),
-                *map(filled, parity(mix(flat), own)), *(pc.cast(filled(x), pa.int32()) for x in (size[first], singles)), pa.ListArray.from_arrays(lists, pa.array(keys.astype(np.uint32).view(np.int32))),
+                *map(filled, parity(mix(flat), own, len(CARRIED))), *(pc.cast(filled(x), pa.int32()) for x in (size[first], singles)), pa.ListArray.from_arrays(lists, pa.array(keys.astype(np.uint32).view(np.int32))),
             ],
             LINE_COLUMNS,
         )
@@ -300,13 +304,10 @@ def crowd_pairs(lines: DataFrame, gone: DataFrame, crowded: MemberFilter, thresh
     return met.select(F.col("x.d").alias("ad"), F.col("x.l").alias("al"), F.col("y.d").alias("bd"), F.col("y.l").alias("bl")).distinct()
 
 
-#: Words of parity bits that prefix rows carry.
-CARRIED = PARITY[:2]
-
-
 def wanted_sets(batches: Iterator[pa.RecordBatch], wanted: MemberFilter) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (d, l, words) of the lines in the filter."""
-    for batch in slices(batches, 4 << 20):
+    """(doc_id, text) to (d, l, words) of the lines in the filter, which also holds (d, -1) of their documents."""
+    for batch in slices(batches):
+        batch = batch.filter(pa.array(wanted.holds([batch.column("doc_id").to_numpy(), np.full(batch.num_rows, -1)])))
         parts = pc.split_pattern(pc.fill_null(batch.column("text"), ""), "\n")
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(len(counts)), counts)
@@ -322,8 +323,9 @@ def wanted_sets(batches: Iterator[pa.RecordBatch], wanted: MemberFilter) -> Iter
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Of pairs(ad, al, bd, bl) of an earlier and a later line, the later lines (bd, bl) whose Jaccard similarity
     to the earlier one reaches the threshold."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("ad").alias("d"), F.col("al").alias("l")), F.struct(F.col("bd").alias("d"), F.col("bl").alias("l")))).alias("e"))
-    wanted = docs.sparkSession.sparkContext.broadcast(MemberFilter(ends.select("e.*")))
+    end = lambda d, n: F.struct(F.col(d).alias("d"), n.alias("l"))
+    ends = [end(d, n) for d, l in (("ad", "al"), ("bd", "bl")) for n in (F.col(l), F.lit(-1))]
+    wanted = docs.sparkSession.sparkContext.broadcast(MemberFilter(pairs.select(F.explode(F.array(*ends)).alias("e")).select("e.*")))
     sets = materialize(docs.mapInArrow(lambda it: wanted_sets(it, wanted.value), "d long, l int, words array<long>"), "line-sets")
     side = lambda d, n, w: sets.select(F.col("d").alias(d), F.col("l").alias(n), F.col("words").alias(w))
     both = pairs.join(side("bd", "bl", "wb"), ["bd", "bl"]).join(side("ad", "al", "wa"), ["ad", "al"])
@@ -356,15 +358,10 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return every.groupBy(F.col("d").alias("doc_id")).agg(F.collect_set("l").alias("lines"))
 
 
-def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rebuilds text without the lines listed in __lines; the other columns pass through."""
-    for batch in batches:
-        text, hit = batch.column("text"), batch.column("__lines").is_valid()
-        gone = (set(g) for g in batch.column("__lines").filter(hit).to_pylist())
-        left = [None if x is None else "\n".join(s for i, s in enumerate(x.split("\n")) if i not in g) for x, g in zip(text.filter(hit).to_pylist(), gone, strict=True)]
-        text = pc.replace_with_mask(text, hit, pa.array(left, text.type))
-        names = [c for c in batch.schema.names if c != "__lines"]
-        yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names)
+def cut_lines(texts: pd.Series, lines: pd.Series) -> pd.Series:
+    """Texts without the lines whose numbers are listed; only texts that lose some are given."""
+    gone = (None if n is None else set(n) for n in lines)
+    return pd.Series([None if x is None or g is None else "\n".join(s for i, s in enumerate(x.split("\n")) if i not in g) for x, g in zip(texts, gone, strict=True)])
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, emptied: bool = True) -> DataFrame:
@@ -382,9 +379,10 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, emptied: bool = True) -
     if size["rows"] <= BROADCAST_ROWS and (size["lines"] or 0) <= BROADCAST_LINES:
         gone = F.broadcast(gone)
     joined = docs.join(gone, docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
+    cut = F.pandas_udf(cut_lines, StringType())
+    hit = F.col("__lines").isNotNull() & F.col("text").isNotNull()
+    out = joined.withColumn("text", F.coalesce(cut(F.when(hit, F.col("text")), F.when(hit, F.col("__lines"))), "text"))
     if not emptied:
-        joined = joined.withColumn("__had", F.col("__lines").isNotNull())
-    out = joined.mapInArrow(cut_lines, joined.drop("__lines").schema)
-    if not emptied:
-        out = out.where(~F.col("__had") | F.col("text").rlike(r"[\p{L}\p{N}\p{M}]")).drop("__had")
+        out = out.where(F.col("__lines").isNull() | F.col("text").rlike(r"[\p{L}\p{N}\p{M}]"))
+    out = out.drop("__lines")
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out

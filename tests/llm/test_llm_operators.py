@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.llm import decontaminate, html_text, line_dedup, near_dup, packing, secrets, span_dedup, token_counts, toxicity, vector_dedup
+from dialoom.llm import common, decontaminate, html_text, line_dedup, near_dup, packing, secrets, span_dedup, token_counts, toxicity, vector_dedup
 from dialoom.llm.common import MemberFilter, components, place
 
 WORD = re.compile(r"[^\W_]+")
@@ -115,9 +116,93 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def brute_share(test, text, least):
+    """Greedy string tiling by looking at every pair of places in every round."""
+    a, b = [False] * len(test), [False] * len(text)
+    while True:
+        best, found = least, []
+        for p in range(len(test)):
+            for t in range(len(text)):
+                n = 0
+                while p + n < len(test) and t + n < len(text) and test[p + n] == text[t + n] and not a[p + n] and not b[t + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, []
+                if n == best:
+                    found.append((p, t))
+        if not found:
+            return sum(a) / len(test)
+        for p, t in found:
+            if not any(a[p : p + best]) and not any(b[t : t + best]):
+                a[p : p + best] = b[t : t + best] = [True] * best
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n, words: [f"w{x}" for x in rng.integers(0, words, n)]
+    items = [some(n, words) for n, words in ((30, 500), (24, 3), (3, 500), (40, 500), (12, 2), (25, 500))]
+    items[3][10:20] = items[0][5:15]  # shared seeds
+    texts = []
+    for k in range(24):
+        own = items[k % 6]
+        cut = sorted(rng.integers(0, len(own) + 1, 2))
+        parts = [own[: cut[0]], own[cut[0] : cut[1]], own[cut[1] :]]
+        rng.shuffle(parts := [" ".join(x) for x in parts])
+        texts.append(" ".join([*some(5, 500), parts[0], *some(k % 4, 500), parts[1], *some(40, 2 + k % 3), parts[2]]))
+    docs = table(spark, list(enumerate(texts)))
+    given = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.coverage, 9) for r in decontaminate.contaminated(docs, given).collect()}
+    expected = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            share = brute_share(item, text.split(), min(5, len(item)))
+            if share >= 0.6:
+                expected[d, i] = round(share, 9)
+    assert got == expected and len(expected) > 15
+
+
+def test_decontamination_of_a_repetitive_long_text(spark):
+    items = spark.createDataFrame([(1, " ".join(["a"] * 50)), (2, " ".join(f"x{i}" for i in range(50)))], "item_id long, text string")
+    docs = table(spark, [(1, "a " * 1_000_000), (2, "a b " * 500_000), (3, "x1 x2 x3 x4 x5 " * 200_000)])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 1)}
+
+
 # ---- op3
 
 
+def test_malformed_pages_lose_no_text_and_take_no_square_time():
+    tree = html_text.train()
+    page = f"<article><h1>Head</h1><p title=it's>First {html_text.PROSE}</p><p data-x='a>b' class=\"c>d\">isn't {html_text.PROSE}</p></article>"
+    assert html_text.main_text(page, tree).startswith("Head\n\nFirst The") and "\n\nisn't The" in html_text.main_text(page, tree)
+    began = time.time()
+    for part in ("<a ", "<div>", "</ul>", '<a x=">"', "<script ", "<!", "<!-- ", "<a href='", "<", '<div class="a">x'):
+        html_text.main_text(part * (1_000_000 // len(part)), tree)
+    html_text.main_text("<div>" * 100_000 + "</ul>" * 100_000, tree)
+    assert time.time() - began < 20
+
+
+#: Pages that the tree isn't trained on: (markup, label) in order, in other words and layouts than the labelled table.
+FRESH = (
+    (("<div id=masthead><span>Harbour Gazette</span></div>", 0), ("<nav><a href=/w>Weather</a> <a href=/s>Sport</a></nav>", 0), ("<main><h1>Ferry returns to service</h1>", 1), ("<p>After eleven weeks in dry dock the island ferry carried its first passengers on Friday morning, to the relief of commuters.", 1), ("<p>Tickets cost what they did before.", 1), ("<p>The operator said that both engines had been replaced and that no further stops were planned before the autumn.</main>", 1), ("<div class='related-links'><a href=/1>Ferry history</a> <a href=/2>Timetable</a></div>", 0), ("<footer>Harbour Gazette, Pier Street 4</footer>", 0)),
+    (("<ul id=nav><li><a href=/a>Recipes</a></ul>", 0), ("<article><h2>Lentil soup for six</h2>", 1), ("<p>Rinse the lentils, cover them with cold water and let them stand while you chop the onions, carrots and celery.", 1), ("<ol><li>Fry the vegetables gently.", 1), ("<li>Add stock and simmer for forty minutes.</ol>", 1), ("<p>Serve with bread.</article>", 1), ("<section class=comments><p>I tried this with red lentils and it was done in half the time, so keep an eye on it.</section>", 0), ("<form><label>Email</label>", 0), ("<button>Subscribe</button></form>", 0)),
+    (("<div class='ad-slot'>Save on winter tyres this week only at all our branches.</div>", 0), ("<div class=post><h1>Why the lake is green</h1>", 1), ("<p>Warm water, little wind and a great deal of fertiliser from the fields around it have let algae spread over the whole lake.", 1), ("<p>They will be gone by October.", 1), ("<p>Until then the town advises bathers to stay out, and dog owners to keep their animals on the lead near the shore.</div>", 1), ("<aside>Most read this month in our science pages and elsewhere.</aside>", 0), ("<p><a href=/p>Imprint</a> <a href=/q>Data protection</a></p>", 0)),
+)
+
+
+def test_tree_on_pages_it_is_not_trained_on():
+    tree, right, total = html_text.train(), 0, 0
+    for page in FRESH:
+        found = html_text.blocks("".join(p for p, _ in page))
+        labels = [y for _, y in page]
+        assert len(found) >= len(labels) - 2
+        text = html_text.main_text("".join(p for p, _ in page), tree)
+        for part, y in page:
+            words = re.sub(r"<[^>]*>", " ", part).split()
+            right += (" ".join(words[:6]) in text) == bool(y)
+            total += 1
+    assert right / total >= 0.95
+
+
 def test_html_blocks_and_text(spark):
     page = "<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><a href=x>Home</a></nav><div class='sidebar'>Read more of our long list of very fine stories today</div><article><h1>Head &amp; tail</h1><p><b>First&nbsp;block<br>goes  on<p>Short.<div class=\"comments\"><p>I like it very much, thanks for writing all of this.</div></article><footer>&copy; us</footer>"
     rows = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<p>unclosed <b"), (None, "u", "just text " * 30), (1, "u", page)]
@@ -136,18 +221,52 @@ def test_tree_fits_its_table():
     assert right / total > 0.95
 
 
-def test_line_sets_of_more_than_2_to_the_20_lines():
-    n = (1 << 20) + 5
-    lines = pa.array(["", "b a b"] + [""] * (n - 5) + ["a", "c a", "d"])
-    words, line, starts = line_dedup.line_sets(lines)
-    assert len(starts) == len(lines) + 1 and np.flatnonzero(np.diff(starts)).tolist() == [1, n - 3, n - 2, n - 1]
-    assert np.diff(starts)[[1, n - 3, n - 2, n - 1]].tolist() == [2, 1, 2, 1] and line.tolist() == [1, 1, n - 3, n - 2, n - 2, n - 1]
-    each = lambda k: set(words[starts[k] : starts[k + 1]].tolist())
-    assert each(n - 3) < each(1) and each(n - 3) < each(n - 2) and not each(n - 1) & each(n - 2)
+def test_words_of_texts_and_lines(monkeypatch):
+    texts = pa.array([None, "", "a\n", "\n\nb", "Éa b ça x̀ Ünï\nfoo", "ab", "cd", "a" * 90 + " b", "ÀB àb 12٣ 中文。字", "x" * 70 + "_y"])
+    monkeypatch.setattr(common, "CHUNK", 16)
+    hashes, starts = common.word_hashes(texts)
+    words, begins = common.word_lists(texts)
+    assert (starts == begins).all()
+    both = set(zip(hashes.tolist(), words.to_pylist(), strict=True))
+    assert len(both) == len(set(hashes.tolist())) == len(set(words.to_pylist()))
+    hashed, line, owner, number = common.line_words(texts)
+    assert (hashed == hashes).all() and owner.tolist() == [0, 1, 2, 2, 3, 3, 3, 4, 4, 5, 6, 7, 8, 9] and number.tolist() == [0, 0, 0, 1, 0, 1, 2, 0, 1, 0, 0, 0, 0, 0]
+    assert line.tolist()[:3] == [2, 6, 7] and (np.diff(line) >= 0).all()
+
+
+def random_lines(rng, n, words, most):
+    return [" ".join(f"w{x}" for x in rng.integers(0, words, rng.integers(1, most))) for _ in range(n)]
 
 
-def test_line_dedup_of_more_than_2_to_the_20_lines(spark):
-    n = 1 << 20
+@pytest.mark.parametrize("crowd", [False, True])
+def test_line_dedup_of_frequent_words_and_crowds(spark, monkeypatch, crowd):
+    """Words that are keys in pairs only, and keys whose lines are led, here and in the groups."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(line_dedup, "FREQUENT", 30)
+    if crowd:
+        monkeypatch.setattr(line_dedup, "LOCAL_CROWD", 4), monkeypatch.setattr(line_dedup, "CROWD", 2), monkeypatch.setattr(line_dedup, "DENSE", 0), monkeypatch.setattr(line_dedup, "GROUP_ROWS", 300)
+    lines = random_lines(rng, 300, 40, 14) + random_lines(rng, 60, 4000, 30)
+    for k in range(60):  # variants of one line
+        own = [f"v{x}" for x in range(20)]
+        own[k % 20] = f"u{k}"
+        if k % 3 == 0:
+            own[(k + 7) % 20] = f"u{k}b"
+        lines.append(" ".join(own))
+    order = rng.permutation(len(lines))
+    rows = [(i // 3, "\n".join(lines[k] for k in order[i : i + 3])) for i in range(0, len(lines), 3)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, rows).repartition(3)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_line_dedup_drops_emptied_documents(spark):
+    docs = table(spark, [(1, "one line of words"), (2, "one line of words"), (3, ""), (4, None), (5, "one line of words\nmore"), (6, "...\none line of words"), (None, "one line of words")])
+    out = line_dedup.dedup_lines(docs, emptied=False)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "one line of words"), (1, "one line of words"), (3, ""), (4, ""), (5, "more")]
+
+
+def test_line_dedup_of_more_than_2_to_the_21_lines(spark):
+    n = 1 << 21
     text = "first line\n" + "\n" * n + "first line\nlast line"
     got = line_dedup.dedup_lines(table(spark, [(1, text), (2, "last line\nother words")])).collect()
     assert {r.doc_id: r.text for r in got} == {1: "first line\n" + "\n" * n + "last line", 2: "other words"}
@@ -224,6 +343,13 @@ def test_sentences_rebuild_the_text():
         assert "".join(span_dedup.sentences(text)) == text
 
 
+def test_sentences_of_a_long_run_of_dots_take_no_square_time():
+    began = time.time()
+    for text in ("." * 1_000_000, ".)" * 300_000, "a.b" * 300_000):
+        assert "".join(span_dedup.sentences(text)) == text
+    assert time.time() - began < 10
+
+
 def test_span_dedup_passes_edge_rows(spark):
     docs = fixture(spark).withColumn("place", F.lit("p"))
     out = span_dedup.dedup_spans(docs)
@@ -272,13 +398,30 @@ def test_labels_of_held_out_rows_change_nothing(spark):
 
 
 def test_grammar_contexts():
-    g = toxicity.Grammar({"moron": 1.0}, toxicity.PRIOR, toxicity.PRIOR_BIAS)
-    kinds = lambda s: [toxicity.TYPES[k] for k, _ in g.clause(s.split())]
-    assert kinds("what a moron") == ["plain"]
-    assert kinds("you are such a moron") == ["targeted"]
-    assert kinds("he is not a moron") == ["negated"]
-    assert kinds("she said moron") == ["reported"]
-    assert kinds("i will kill you") == ["targeted threat"]
+    g = toxicity.Grammar({"moron": 1.0, "fool": 0.5}, toxicity.PRIOR, toxicity.PRIOR_BIAS)
+    kinds = lambda s: "".join(k for k, _ in g.clause(s.split())[0])
+    for said, found in {
+        "the word moron is old": "p", "what a moron": "P", "moron fool": "pP", "you are such a moron": "a", "moron are you": "pb", "he is not a moron": "n", "she said moron": "r", "she said that you are not a moron": "n",
+        "they burn wood": "x", "to burn wood": "w", "i will burn it": "h", "i will kill you": "hy", "you will never burn": "n", "nothing here": "",
+    }.items():
+        assert kinds(said) == found, said
+    machine = toxicity.weighted(g.weights)
+    weight = dict(zip(toxicity.TYPES, g.weights, strict=True))
+    assert g.clause("moron are you".split(), machine)[1] == pytest.approx(weight["p"] + weight["b"])
+    assert g.clause("you fool".split(), machine)[1] == pytest.approx(0.5 * weight["a"])
+    assert g.clause("nothing here".split(), machine)[1] == 0
+
+
+def test_learned_words_of_marks_are_matched():
+    g = toxicity.Grammar({"मूर्ख": 1.0, "idio\u0301t": 1.0}, toxicity.PRIOR, toxicity.PRIOR_BIAS)
+    assert g.features("वह मूर्ख है").sum() > 0 and g.batch(pa.array(["Idio\u0301t!"])).sum() > 0 and g.batch(pa.array([None, "calm", "a मूर्ख. Calm"])).sum(axis=1).astype(bool).tolist() == [False, False, True]
+
+
+def test_training_is_repeatable_with_repeated_ids(spark):
+    rows = [(i % 40, f"you are a blorp {i % 40}" if i % 2 else f"a calm day {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    one, two = (toxicity.train(table(spark, rows).repartition(n), labels) for n in (2, 5))
+    assert one.words == two.words and np.allclose(one.weights, two.weights)
 
 
 # ---- op6
@@ -309,6 +452,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sum(k for _, k in got.values()) < len(rows)
 
 
+def test_near_duplicates_of_a_chain_in_one_bucket(spark, monkeypatch):
+    """Texts that are like their neighbours only: led by any member, most pairs of a bucket are apart."""
+    words = [f"x{i}" for i in range(400)]
+    rows = [(100 + k, " ".join(words[4 * k : 4 * k + 110])) for k in range(40)]
+    monkeypatch.setattr(near_dup, "LEADERS", 2)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(table(spark, rows), bands=200, rows=1).collect()}
+    assert set(got.values()) == {100}
+
+
 def test_near_duplicates_edge_rows(spark):
     docs = fixture(spark).withColumn("band", F.lit(1)).withColumn("id", F.lit(2))
     out = near_dup.near_duplicates(docs)
@@ -353,12 +505,42 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_scan_of_a_text_with_very_many_matches(spark):
+    own = [hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)]
+    text = " ".join(f"é{h}" if i % 2 else f"token={h[:12]}" for i, h in enumerate(own))
+    began = time.time()
+    row = secrets.scan(table(spark, [(1, text)])).first()
+    assert (row.n_assign, row.n_hex) == (10_000, 10_000) and time.time() - began < 60
+    rx = re.compile(r"token=[0-9a-f]{12}|[0-9a-f]{32}")
+    shown = ",".join(f"{'assign' if m[0][0] == 't' else 'hex'}:{m.start()}:{m.end()}" for m in rx.finditer(text))
+    assert row.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+
+
+def test_models_score_what_base_spans_leave(spark):
+    rest = "kJ8sQ2vXz91LmPq0Rt7WbY3c"
+    row = secrets.scan(table(spark, [(1, f"a {rest}/{'ab12' * 8} b")])).first()
+    assert row.n_hex == 1 and row.spans == "markov:2:27,hex:27:59"
+
+
 def test_models_tell_random_from_ordinary(spark):
     docs = table(spark, [(1, "see kJ8sQ2vXz91LmPq0Rt7WbY3c here"), (2, "call get_user_name_from_session_table now"), (3, "internationalization_of_configuration")])
     got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
     assert got == {1: "markov:4:28", 2: "", 3: ""}
 
 
+def test_models_on_strings_they_are_not_trained_on(spark):
+    """Random strings of another source, and identifiers of words that the models don't know."""
+    rng = np.random.default_rng(12)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    secret = ["".join(rng.choice(letters, 32)) for _ in range(200)]
+    words = "harbour lantern velvet thunder meadow copper whistle orchard candle bridge winter pepper saddle marble feather anchor blossom canyon timber velour quarry spindle walnut zephyr".split()
+    shapes = (lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "".join(x.title() for x in w), lambda w: "_".join(w).upper(), lambda w: "/".join(w))
+    plain = [shapes[k % 5](rng.choice(words, 4).tolist()) for k in range(200)]
+    got = {r.doc_id: r.spans for r in secrets.scan(table(spark, [(i, f"see {x} here") for i, x in enumerate(secret + plain)])).collect()}
+    caught, wrong = sum(bool(got[i]) for i in range(200)), sum(bool(got[200 + i]) for i in range(200))
+    assert caught >= 190 and wrong <= 4, (caught, wrong)
+
+
 def test_scan_runs_no_python_on_rows(spark):
     plan = secrets.scan(table(spark, [(1, "x")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
