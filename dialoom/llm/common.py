@@ -93,23 +93,23 @@ def discard(table: DataFrame) -> None:
         delete(table.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def is_star_forest(edge: DataFrame) -> bool:
+    """Whether every u of edges (u, v), v < u, has one v, which is no other edge's u: then v is u's component."""
+    if (edge.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > 1:
+        return False
+    return edge.join(edge.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of edges(a, b): rows (node, component), component the smallest node.
 
-    Alternates the large-star and small-star steps until the edge set stops changing; only a count and a
-    hash sum of the edges reach the driver. Per-node minima are written first, so both join sides are plain
-    shuffles and adaptive execution can split a node that has very many edges.
+    Alternates the large-star and small-star steps until the edges are stars; nothing of them but a largest count
+    reaches the driver. Per-node minima are written first, so both join sides are plain shuffles and adaptive execution
+    can split a node that has very many edges.
     """
     edge = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edge = materialize(edge, label)
-    seen = None
-    while True:
-        state = edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
-            return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = state
+    while not is_star_forest(edge):
         both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -117,6 +117,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), label)
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edge = materialize(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), label)
+    return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -159,7 +159,7 @@ def prefix_pairs(members: DataFrame, lists: DataFrame, threshold: float) -> Data
 
 
 #: Members of a bucket that is still open which all others are compared with before prefixes are joined.
-LEADERS = 16
+LEADERS = 2
 
 
 def open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
