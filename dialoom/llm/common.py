@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 LIBC = ctypes.CDLL(None)
 WORD_GAP = r"[^\p{L}\p{N}\p{M}]+"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 #: Folders of applications that run on this machine alone, where spark.checkpoint.dir is unset.
 LOCAL: dict[str, str] = {}
@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of a batch that goes to a Python worker: whole texts are long, and a batch is in memory on both sides.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> None:

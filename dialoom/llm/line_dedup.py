@@ -12,18 +12,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import PARITY, MemberFilter, as_lists, could_match, line_words, materialize, mix, parity, parity_fits, slices, word_hashes
+from .common import PARITY, MemberFilter, as_lists, could_match, give_back, line_words, materialize, mix, parity, parity_fits, slices, word_hashes
 
 #: Ranked words: a word outside this many most frequent ones counts as rare, and rare words are ordered by hash.
 RANKED_WORDS = 1 << 19
-#: A word is counted where it occurs this often in one slice of about 4 MB of text.
+#: A word is counted where it occurs this often in one slice of about 3 MB of text.
 LEAST_COUNT = 2
 #: A word counted more often than this is a key only together with another such word of the line.
 FREQUENT = 20_000
 #: In buckets of more lines than this all are compared with the first before they are compared with one another.
 CROWD = 32
 #: Rows of a group of prefix buckets, on average.
-GROUP_ROWS = 400_000
+GROUP_ROWS = 200_000
 #: Tables of at most so many rows, and of line numbers at most so many in all, are broadcast; larger ones are shuffled.
 BROADCAST_ROWS, BROADCAST_LINES = 200_000, 4_000_000
 
@@ -116,7 +116,7 @@ def hashed_lines(batches: Iterator[pa.RecordBatch], order: dict, threshold: floa
     bits and its prefix keys. Of lines of one set in a slice, those after the earliest are only named (copy is true),
     so that a line that is everywhere goes as one row a slice. Keys are 32 bits; two words of one key only add
     candidates."""
-    for batch in slices(batches, 4 << 20):
+    for batch in slices(batches, 2 << 20):
         hashes, line, owner, number = line_words(batch.column("text"))
         doc = batch.column("doc_id").to_numpy()[owner]
         words, count, starts = line_sets(hashes, line, len(owner), order)
@@ -152,9 +152,9 @@ PACKED = {"key": "<u4", "d": "<i8", "l": "<i4", "size": "<i4", "pos": "<i4", "b0
 PAIR = np.dtype([("ad", "<i8"), ("al", "<i4"), ("bd", "<i8"), ("bl", "<i4")])
 PAIR_SCHEMA = "ad long, al int, bd long, bl int, key int"
 #: Rows that a task packs at a time, and rows of one key of them beyond which it is crowded.
-PACKED_ROWS, LOCAL_CROWD = 1 << 19, 512
+PACKED_ROWS, LOCAL_CROWD = 1 << 18, 256
 #: Comparisons made at a time, those of one key beyond which it is crowded, and found pairs a line beyond which it is.
-COMPARED, KEY_COMPARISONS, DENSE = 1 << 19, 500_000, 4
+COMPARED, KEY_COMPARISONS, DENSE = 1 << 18, 500_000, 4
 
 
 def keyed_rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -270,12 +270,15 @@ def packed(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
             parts, held = [], 0
     if held:
         yield flushed(parts)
+    del parts
+    give_back()
 
 
 def unpacked(table: pa.Table, threshold: float) -> pa.Table:
     """The packed rows of one bucket to PAIR_SCHEMA: candidate pairs, and crowded keys with no lines."""
     joined = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (*PACKED.items(), ("pairs", PAIR), ("crowded", "<u4"))}
     pairs, crowded = Prefixes({c: joined[c] for c in PACKED}, threshold).all_pairs()
+    give_back()
     pairs, crowded = np.concatenate((pairs, joined["pairs"])), np.unique(np.concatenate((crowded, joined["crowded"])))
     null = np.repeat([False, True], [len(pairs), len(crowded)])
     line = [pa.array(np.concatenate((pairs[c], np.zeros(len(crowded), pairs[c].dtype))), mask=null) for c in PAIR.names]

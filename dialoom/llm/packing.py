@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -11,10 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, slices
+from .common import give_back, materialize, mix, slices
 
 END_ID = 1
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 #: Rows per rank group: the ranks of pieces of one length are counted in this many rows at a time, on average.
 RANK_ROWS = 5_000
 #: Added tokens are matched before white space is split; control characters are split differently by Arrow.
@@ -41,6 +42,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -118,7 +120,7 @@ def cut(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[p
     """(doc_id, text) to pieces: whole windows from a document's start, then what is left. spread: a hash that differs
     between pieces that are alike."""
     encoder, made = ENCODERS.setdefault(path, None) or ENCODERS.update({path: WordEncoder(path)}) or ENCODERS[path], 0
-    for batch in slices(batches, 4 << 20):
+    for batch in slices(batches):
         ids, starts = encoder.encode(batch.column("text"))
         rows, begin, length, check, total = [], [], [], [], []
         for i in range(batch.num_rows):
@@ -132,6 +134,8 @@ def cut(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[p
             [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (begin, length, check, total)), pa.array((spread >> np.uint64(33)).astype(np.int32))],
             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread"],
         )
+    encoder.clear()
+    give_back()
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Size of the broadcast table of frequent pre-tokens, and of a worker's cache of the others.
-FREQUENT, CACHED = 50_000, 200_000
+FREQUENT, CACHED = 50_000, 100_000
 #: A pre-token is counted where it occurs this often in one slice of texts. The frequent table only saves work: every
 #: count is exact whatever it holds.
 LEAST_COUNT = 4
@@ -42,6 +43,7 @@ class Lengths:
     """Token counts of pieces: the shared table first, then this worker's cache, then the encoder."""
 
     def __init__(self, path: str, frequent: pa.Array, lengths: np.ndarray):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.frequent, self.lengths, self.cache = Tokenizer.from_file(path), frequent, lengths, {}

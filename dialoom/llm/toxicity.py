@@ -23,7 +23,7 @@ TRAINING_ROWS = 20_000
 LEXICON_SIZE = 5_000
 STEMS = (4, 5, 6, 7, 8)
 #: Words that a worker remembers to be hot or not.
-LOOKED_UP = 300_000
+LOOKED_UP = 100_000
 #: Log-odds of a word that count as one full insult.
 FULL_LOG_ODDS = 4.0
 
