@@ -37,4 +37,44 @@ groups AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM groups LEFT JOIN counts USING (vec_id)"""
 
-ORACLES = {"op1_line_dedup": OP1, "op6_minhash_near_dedup": OP6, "op9_vector_near_dedup": OP9}
+#: One step of the checksum's division for a byte x, bit by bit.
+CRC_STEP = "list_reduce(list_concat([xor(a, x)], range(8)), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)"
+CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({{0}}::VARCHAR, ''), lambda t: ord(t)::BIGINT)), lambda a, x: {CRC_STEP}), 4294967295)"
+
+OP12_NEAREST = """
+a{0} AS MATERIALIZED (SELECT vec_id, p, min((list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y))::BIGINT * 256 + b{0}.e) AS m FROM parts JOIN b{0} USING (p) GROUP BY ALL),"""
+OP12_ROUND = (
+    OP12_NEAREST
+    + """
+m{0} AS (SELECT p, e, list(f ORDER BY j) AS y FROM (
+  SELECT p, m % 256 AS e, j, floor(sum(x[j]) / count(*)) AS f FROM a{0} JOIN parts USING (vec_id, p), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM parts))) AS j) GROUP BY ALL) GROUP BY p, e),
+b{1} AS MATERIALIZED (SELECT p, e, coalesce(m{0}.y, b{0}.y) AS y FROM b{0} LEFT JOIN m{0} USING (p, e)),"""
+)
+OP12 = (
+    """WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, e, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+b0 AS MATERIALIZED (SELECT p, e, x AS y FROM parts WHERE e < 256),"""
+    + "".join(OP12_ROUND.format(r, r + 1) for r in range(4))
+    + OP12_NEAREST.format(4)
+    + """
+books AS (SELECT sha256(string_agg(f::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, unnest(y) AS f, generate_subscripts(y, 1) AS j FROM b4)),
+codes AS (SELECT vec_id, string_agg(format('{:02x}', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM codes JOIN kept USING (vec_id), books"""
+)
+
+OP13 = rf"""WITH turns AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS o, ({CRC.format("c")}) % 4 AS h FROM turns GROUP BY c),
+seqs AS (SELECT a.c, list_concat(coalesce(b.o, [])[1:a.h], a.o[a.h + 1:]) AS s FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+spots AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM seqs),
+nodes AS (SELECT s[1:d] AS p, d, min(c) AS conv_id, count(*) AS n FROM spots GROUP BY ALL),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+worth AS (SELECT p, d, coalesce(k, 0) AS k, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(p[d].x, '[^ 	-
+]+')) END AS v FROM nodes LEFT JOIN kids USING (p)),
+above AS (SELECT p, v, k, unnest(range(0, d + 1)) AS u FROM worth),
+below AS (SELECT p[1:u] AS p, sum(v)::BIGINT AS saved, count(*) FILTER (k = 0) AS leaves FROM above GROUP BY ALL),
+ends AS (SELECT s AS p, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS h FROM seqs GROUP BY ALL)
+SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n AS n_convs, worth.k AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(h, sha256('')) AS ends_sha256
+FROM nodes a JOIN worth USING (p) JOIN below USING (p) LEFT JOIN ends USING (p) LEFT JOIN nodes b ON a.d > 0 AND b.p = a.p[1:a.d - 1]"""
+
+ORACLES = {"op1_line_dedup": OP1, "op6_minhash_near_dedup": OP6, "op9_vector_near_dedup": OP9, "op12_vector_codes": OP12, "op13_prefix_trie": OP13}

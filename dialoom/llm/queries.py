@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_dedup, near_dup, oracles, packing, secrets, span_dedup, token_counts, toxicity, vector_dedup
+from . import decontaminate, html_text, line_dedup, near_dup, oracles, packing, prefix_trie, secrets, span_dedup, token_counts, token_files, toxicity, vector_codes, vector_dedup
 from .common import small_batches
 
 
@@ -66,6 +66,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files that hold its ids."""
+    return token_files.read_documents(token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256 of every embedding that has finite components."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_vector_near_dedup,
         op10_token_counts,
+        op11_token_files,
+        op12_vector_codes,
+        op13_prefix_trie,
     )
 }
 

@@ -28,8 +28,8 @@ def test_each_stage_removes_documents(spark, name):
     assert left.columns == docs.columns and 0 < left.count() < docs.count()
 
 
-def test_entry_registers_eleven(spark):
+def test_entry_registers_all(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
