@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def merge_intervals(intervals: DataFrame, tolerance_ms: int = 80) -> DataFrame:
     """(source_id, start_ms, end_ms, n): overlapping intervals, or ones at most tolerance_ms apart, as one."""
@@ -67,38 +69,141 @@ def with_removed(rows: DataFrame, at: str, cuts: DataFrame, name: str) -> DataFr
     return both.where("row is not null").select("row.*", name)
 
 
-def remap(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+def remap(rows: DataFrame, cuts: DataFrame, moved: str | None = None) -> DataFrame:
     """rows(source_id, start_ms, end_ms, ...) at their times after cuts(source_id, start_ms, end_ms) are taken out;
-    rows that become empty go, unless all of a source's would: then they stay as they were."""
+    rows that become empty go, unless all of a source's would: then they stay as they were. moved: name of a column that
+    tells which is the case."""
     joined = with_removed(with_removed(rows, "start_ms", cuts, "before_s"), "end_ms", cuts, "before_e")
     joined = joined.withColumns({"s": F.col("start_ms") - F.col("before_s"), "e": F.col("end_ms") - F.col("before_e")})
     some = F.max((F.col("e") > F.col("s")).cast("int")).over(Window.partitionBy("source_id")) == 1
     kept = joined.withColumn("some", some).where("not some or e > s")
-    return kept.withColumns({"start_ms": F.when(F.col("some"), F.col("s")).otherwise(F.col("start_ms")), "end_ms": F.when(F.col("some"), F.col("e")).otherwise(F.col("end_ms"))}).drop("before_s", "before_e", "s", "e", "some")
+    kept = kept.withColumns({"start_ms": F.when(F.col("some"), F.col("s")).otherwise(F.col("start_ms")), "end_ms": F.when(F.col("some"), F.col("e")).otherwise(F.col("end_ms"))})
+    return (kept.withColumn(moved, F.col("some")) if moved else kept).drop("before_s", "before_e", "s", "e", "some")
+
+
+def remap_words(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rows(source_id, id, start_ms, end_ms, words), words an array of struct<start_ms, end_ms, word>, after the cuts:
+    rows as remap() has them, and inside each the words that keep a length, in their order, at their new times.
+
+    Words are moved by the same sweep as rows, one row each, and gathered by row again; a null array is empty. Where a
+    source would lose all its rows, they keep their words as they are."""
+    each = rows.select("source_id", "id", F.posexplode("words").alias("pos", "w")).select("source_id", "id", "pos", "w.start_ms", "w.end_ms", "w.word")
+    at = with_removed(with_removed(each, "start_ms", cuts, "before_s"), "end_ms", cuts, "before_e")
+    at = at.select("source_id", "id", "pos", (F.col("start_ms") - F.col("before_s")).alias("start_ms"), (F.col("end_ms") - F.col("before_e")).alias("end_ms"), "word").where("end_ms > start_ms")
+    words = at.groupBy("source_id", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "start_ms", "end_ms", "word"))).alias("placed"))
+    moved = remap(rows, cuts, "moved").join(words, ["source_id", "id"], "left")
+    bare = lambda c: F.transform(c, lambda w: F.struct(w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), w["word"].alias("word")))
+    none = F.array().cast("array<struct<start_ms:bigint,end_ms:bigint,word:string>>")
+    return moved.withColumn("words", F.coalesce(F.when(F.col("moved"), bare("placed")).otherwise(bare("words")), none)).drop("placed", "moved")
+
+
+def integrity(rows: DataFrame) -> DataFrame:
+    """(source_id, id, problem, n): what is wrong with the times of rows(source_id, id, start_ms, end_ms, words).
+
+    Of a row: `empty` (no length), `overlap` (begins before the row before it ends). Of its words: `word_empty`,
+    `word_order` (begins before the one before it), `word_overlap` (begins before that ends), `word_outside` (of the row)."""
+    before = F.lag("end_ms").over(Window.partitionBy("source_id").orderBy("start_ms", "end_ms", "id"))
+    words, count = F.coalesce("words", F.expr("filter(words, w -> false)")), lambda c: F.size(c).cast("long")
+    pairs = lambda test: count(F.filter(F.transform(F.col("w"), lambda x, i: (i > 0) & test(x, F.get("w", i - 1))), lambda x: x))
+    found = {
+        "empty": (F.col("end_ms") <= F.col("start_ms")).cast("long"), "overlap": F.coalesce((F.col("start_ms") < F.col("before")).cast("long"), F.lit(0)),
+        "word_empty": count(F.filter("w", lambda x: x["end_ms"] <= x["start_ms"])), "word_order": pairs(lambda x, y: x["start_ms"] < y["start_ms"]), "word_overlap": pairs(lambda x, y: x["start_ms"] < y["end_ms"]),
+        "word_outside": count(F.filter("w", lambda x: (x["start_ms"] < F.col("start_ms")) | (x["end_ms"] > F.col("end_ms")))),
+    }
+    marked = rows.withColumns({"before": before, "w": words})
+    tall = marked.select("source_id", "id", F.explode(F.array(*(F.struct(F.lit(k).alias("problem"), F.coalesce(v, F.lit(0)).alias("n")) for k, v in found.items()))).alias("p"))
+    return tall.select("source_id", "id", "p.problem", "p.n").where("n > 0")
+
+
+def running(marks: DataFrame, sums: dict[str, str], slot_ms: int) -> DataFrame:
+    """marks(source_id, key, ...), one of a key in a source, with running sums: of column v under the name k, for each
+    k: v of `sums`. A source is summed slot by slot of time, then over the sums of its slots."""
+    slot = F.floor(F.col("key") / slot_ms)
+    marks = marks.withColumn("slot", slot)
+    earlier = Window.partitionBy("source_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    per = marks.groupBy("source_id", "slot").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    per = per.select("source_id", "slot", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"base_{k}") for k in sums))
+    own = Window.partitionBy("source_id", "slot").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.join(per, ["source_id", "slot"]).withColumns({k: F.col(f"base_{k}") + F.sum(v).over(own) for k, v in sums.items()}).drop(*(f"base_{k}" for k in sums))
+
+
+def sweep(a: DataFrame, b: DataFrame, slot_ms: int = 3_600_000) -> DataFrame:
+    """(source_id, start_ms, end_ms, in_a, in_b): time cut where intervals a or b (source_id, start_ms, end_ms) begin or cease
+    to cover it, as few pieces as can be; what neither covers is left out.
+
+    Signed events of both tables are added up in one order. Events of a source are spread over slots of time. Intervals
+    without a length, a source or a time go."""
+    ends = lambda t, x, y: t.where("end_ms > start_ms and source_id is not null").select("source_id", F.explode(F.array(*(F.struct(F.col(c).alias("key"), F.lit(sign * x).alias("da"), F.lit(sign * y).alias("db")) for c, sign in (("start_ms", 1), ("end_ms", -1))))).alias("e")).select("source_id", "e.*")
+    marks = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy("source_id", "key").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    at = running(marks, {"a": "da", "b": "db"}, slot_ms)
+    turned = ((F.col("a") > 0) != (F.col("a") - F.col("da") > 0)) | ((F.col("b") > 0) != (F.col("b") - F.col("db") > 0))
+    at = at.where(turned)
+    own = Window.partitionBy("source_id", "slot").orderBy("key")
+    later = at.groupBy("source_id", "slot").agg(F.min("key").alias("first")).withColumn("later", F.lead("first").over(Window.partitionBy("source_id").orderBy("slot"))).drop("first")
+    pieces = at.join(later, ["source_id", "slot"]).withColumn("end_ms", F.coalesce(F.lead("key").over(own), "later"))
+    return pieces.where("a > 0 or b > 0").select("source_id", F.col("key").alias("start_ms"), "end_ms", (F.col("a") > 0).alias("in_a"), (F.col("b") > 0).alias("in_b"))
+
+
+def difference(a: DataFrame, b: DataFrame, slot_ms: int = 3_600_000) -> DataFrame:
+    """(source_id, start_ms, end_ms): what intervals a cover and b don't."""
+    return sweep(a, b, slot_ms).where("in_a and not in_b").select("source_id", "start_ms", "end_ms")
+
+
+def keep_list(sources: DataFrame, cuts: DataFrame, slot_ms: int = 3_600_000) -> DataFrame:
+    """(source_id, start_ms, end_ms): what is left of sources(source_id, start_ms, end_ms) without cuts, which may overlap
+    and may pass the ends of the source."""
+    return difference(sources, cuts, slot_ms)
+
+
+def compacted(rows: DataFrame, gap_ms: int, slot_ms: int = 3_600_000) -> DataFrame:
+    """rows(source_id, id, start_ms, end_ms, words) without the pauses over gap_ms between them, with `changed` and
+    `removed_ms` of their source.
+
+    A source with one block of talk stays as it is, and so does one where integrity() finds a fault afterwards that was not
+    there before: the safer version is kept."""
+    blocks = merge_intervals(rows, gap_ms)
+    whole = blocks.groupBy("source_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("blocks"))
+    cuts = difference(whole.where("blocks > 1"), blocks, slot_ms)
+    moved = written(remap_words(rows, cuts), "moved")
+    faults = integrity(moved).join(integrity(rows), ["source_id", "id", "problem"], "left_anti").select("source_id").distinct()
+    removed = cuts.join(faults, "source_id", "left_anti").groupBy("source_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("removed_ms"))
+    kept = rows.join(removed, "source_id", "left_anti").withColumns({"changed": F.lit(False), "removed_ms": F.lit(0).cast("long")})
+    return moved.join(removed, "source_id").withColumn("changed", F.lit(True)).unionByName(kept)
+
+
+#: Candidates of a source that are looked at in one round of overlap_limited().
+ROUND = 64
 
 
 def overlap_limited(candidates: DataFrame, most: int, limit: float = 0.4) -> DataFrame:
     """Per source, greedily by score: a candidate is picked unless its overlap with a picked one, as a share of the
-    span of both, is over the limit; at most `most` are. Ties go by id.
-
-    At most `most` rounds: the best candidate left of each source is picked, and those that clash with it go. A
-    source's candidates are never gathered in one row or group."""
-    row = F.struct((-F.col("score")).alias("o"), "id", "start_ms", "end_ms", "score", F.monotonically_increasing_id().alias("nth"))
-    left = candidates.select("source_id", row.alias("c")).localCheckpoint()
-    p, c = F.col("p"), F.col("c")
-    inter = F.greatest(F.lit(0), F.least(p["end_ms"], c["end_ms"]) - F.greatest(p["start_ms"], c["start_ms"]))
-    hull = F.greatest(p["end_ms"], c["end_ms"]) - F.least(p["start_ms"], c["start_ms"])
-    clashes = (hull > 0) & (inter / F.nullif(hull, F.lit(0)) > limit)
-    picked = None
-    for nth in range(most):
-        best = left.groupBy("source_id").agg(F.min("c").alias("p")).localCheckpoint()
-        picked = best if picked is None else picked.union(best)
-        if nth + 1 < most:
-            rest = left.join(best.withColumnRenamed("source_id", "__s"), F.col("source_id").eqNullSafe(F.col("__s")))
-            left = rest.where((c["nth"] != p["nth"]) & ~clashes).select("source_id", "c").localCheckpoint()
-            if left.isEmpty():
-                break
-    return picked.select("source_id", "p.id", "p.start_ms", "p.end_ms", "p.score")
+    span of both, is over the limit; at most `most` are. Ties go by id and times; repeated rows count once.
+
+    A round takes the ROUND best candidates of each source that don't clash with what was picked before, and picks among
+    these in order; so it picks one at least, and few rounds are needed. A source's other candidates are only compared
+    with its picks, which are `most` at most and are written to the shared folder each round."""
+    row = F.struct((-F.col("score")).alias("o"), "id", "start_ms", "end_ms", "score")
+    every = candidates.select("source_id", row.alias("c"))
+
+    def clash(p: Column, c: Column) -> Column:
+        inter = F.greatest(F.lit(0), F.least(p["end_ms"], c["end_ms"]) - F.greatest(p["start_ms"], c["start_ms"]))
+        hull = F.greatest(p["end_ms"], c["end_ms"]) - F.least(p["start_ms"], c["start_ms"])
+        return (hull > 0) & (inter / F.nullif(hull, F.lit(0)) > limit)
+
+    fold = lambda acc, c: F.when((F.size(acc) >= most) | F.exists(acc, lambda p: clash(p, c)), acc).otherwise(F.concat(acc, F.array(c)))
+    best = Window.partitionBy("source_id").orderBy("c")
+    picked, left = None, every
+    while picked is None or not left.isEmpty():
+        top = left.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= ROUND).groupBy("source_id").agg(F.array_distinct(F.array_sort(F.collect_list("c"))).alias("top"))
+        if picked is None:
+            state = top.withColumn("picks", F.slice("top", 1, 0))
+        else:
+            state = picked.withColumnRenamed("source_id", "s").join(top, F.col("s").eqNullSafe(F.col("source_id")), "left").select(F.col("s").alias("source_id"), "picks", "seen", F.coalesce("top", F.slice("picks", 1, 0)).alias("top"))
+        seen = F.get("top", F.size("top") - 1)
+        picked = written(state.select("source_id", F.aggregate("top", F.col("picks"), fold).alias("picks"), (seen if picked is None else F.coalesce(seen, "seen")).alias("seen")), "picks")
+        rest = every.join(picked.withColumnRenamed("source_id", "s"), F.col("source_id").eqNullSafe(F.col("s")))
+        left = rest.where((F.col("c") > F.col("seen")) & (F.size("picks") < most) & ~F.exists("picks", lambda p: clash(p, F.col("c")))).select("source_id", "c")
+    return picked.select("source_id", F.explode("picks").alias("p")).select("source_id", "p.id", "p.start_ms", "p.end_ms", "p.score")
 
 
 def fixed_grid(sources: DataFrame, width_ms: int, step_ms: int | None = None) -> DataFrame:
