@@ -41,11 +41,11 @@ class WordEncoder:
     their last tokens. Texts with added tokens or control characters are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -97,7 +97,7 @@ class WordEncoder:
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         new = np.fromiter((w not in self.slot for w in words), bool, len(words))
-        if len(self.slot) + new.sum() > CACHED_WORDS:
+        if len(self.slot) + new.sum() > self.cached:
             self.clear()
             new[:] = True
         self.learn(coded.dictionary.filter(pa.array(new)))

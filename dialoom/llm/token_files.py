@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, materialize, shared_dir, slices
-from .packing import ENCODERS, WordEncoder
+from .packing import WordEncoder
 
 END_ID = 2
 MAGIC = b"DLWM0001"
 #: Bits of a plane that are compressed together; tokens of a shard, about; blocks that an open file keeps.
 BLOCK, SHARD_TOKENS, KEPT_BLOCKS = 1 << 16, 1 << 22, 512
 HEADER = ("tokens", "documents", "symbols", "levels", "symbol_bytes", "document_bytes")
+#: Words whose ids a worker keeps, over its tasks: some 120 MB.
+CACHED_WORDS = 600_000
+ENCODERS: dict[str, WordEncoder] = {}
 ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -37,25 +40,24 @@ def build(ids: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray) -> bytes:
     number = np.zeros(len(counts), np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
     number[symbols] = np.arange(len(symbols))
     code, levels = number[ids], max(1, (len(symbols) - 1).bit_length())
-    zeros, ones, sizes, payload = [], [], [], []
+    zeros, ones, payload = [], [], []
     for level in range(levels):
         bit = (code >> (levels - 1 - level) & 1).astype(bool)
-        packed = np.packbits(bit, bitorder="little")
+        packed, each = np.packbits(bit, bitorder="little"), []
         for at in range(0, len(packed), BLOCK // 8):
             raw = packed[at : at + BLOCK // 8]
             small = ZSTD.compress(raw, asbytes=True)
             payload.append(small if len(small) < len(raw) else raw.tobytes())
-            sizes.append(len(payload[-1]))
-        each = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64)
-        ones.append(np.cumsum(each) - each)
-        zeros.append(len(bit) - int(each.sum()))
-        code = np.concatenate((code[~bit], code[bit]))
+            each.append(int(np.bitwise_count(raw).sum()))
+        ones.append(np.cumsum([0, *each[:-1]]))
+        zeros.append(len(bit) - sum(each))
+        code = np.concatenate((np.compress(~bit, code), np.compress(bit, code)))
     own = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
     known = doc_ids.is_valid().to_numpy(zero_copy_only=False).astype("u1")
     symbol_part = ZSTD.compress(symbols.tobytes(), asbytes=True)
     document_part = ZSTD.compress(lengths.astype("<i8").tobytes() + own.tobytes() + known.tobytes(), asbytes=True)
     header = np.array([len(ids), len(lengths), len(symbols), levels, len(symbol_part), len(document_part)], "<i8").tobytes()
-    directory = np.concatenate((np.cumsum([0, *sizes]), *ones)).astype("<i8").tobytes()
+    directory = np.concatenate((np.cumsum([0, *map(len, payload)]), *ones)).astype("<i8").tobytes()
     return b"".join([MAGIC, header, symbol_part, document_part, np.array(zeros, "<i8").tobytes(), directory, *payload])
 
 
@@ -173,8 +175,8 @@ class TokenFile:
             plane = np.concatenate([self.unpacked(level, blob[a:b], block) for block, (a, b) in enumerate(zip(cut, cut[1:]))])
             bit = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
             upper = np.empty_like(code)
-            upper[~bit] = code[: self.zeros[level]]
-            upper[bit] = code[self.zeros[level] :] | code.dtype.type(1 << (self.levels - 1 - level))
+            np.place(upper, ~bit, code[: self.zeros[level]])
+            np.place(upper, bit, code[self.zeros[level] :] | code.dtype.type(1 << (self.levels - 1 - level)))
             code = upper
         return self.symbols[code]
 
@@ -205,7 +207,7 @@ def encoded(batch: pa.RecordBatch, encoder: WordEncoder, end_id: int) -> tuple[n
 def written(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
     """Writes one partition of sorted documents as files of about shard_tokens tokens; a row a file. A task that is run
     again writes files of other names; only those of the rows that are kept count."""
-    encoder = ENCODERS.get(tokenizer) or ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer))
+    encoder = ENCODERS.get(tokenizer) or ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer, CACHED_WORDS))
     part, begin, system_place, no = TaskContext.get().partitionId(), 0, fs.FileSystem.from_uri(folder), 0
     ids, lengths, docs = np.zeros(0, np.uint32), np.zeros(0, np.int64), []
 
@@ -228,7 +230,6 @@ def written(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_
             yield save(int(np.searchsorted(np.cumsum(lengths), shard_tokens)) + 1)
     if len(lengths):
         yield save(len(lengths))
-    encoder.clear()
     give_back()
 
 
