@@ -7,21 +7,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import visual
-from . import packaging
+from . import packaging, scans
+from .intervals import running
 
 TRACKED = "clip long, t int, face int, x double, y double, w double, h double, speaking double, listening double, motion double, track int"
 
 
-def assign_tracks(faces: DataFrame, reach: float = 0.18, memory: int = 12) -> DataFrame:
+def assign_tracks(faces: DataFrame, reach: float = 0.18, memory: int = 12, cuts: DataFrame | None = None) -> DataFrame:
     """faces(clip, t, face, x, y, w, h, speaking, listening, motion) with track: greedily the nearest track not yet
     used in the frame, distance with 0.35 of the difference in area, within reach; a track lives `memory` frames
-    unseen. A clip is walked frame by frame."""
+    unseen. At cuts(clip, t) of the scene every track counts as missed once more, three times at most. A clip is walked
+    frame by frame."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         tracks: dict[int, dict] = {}
         number, out = 1, []
         for _, frame in pdf.sort_values(["t", "face"]).groupby("t", sort=True):
             used: set[int] = set()
+            if frame["cut"].iloc[0]:
+                for v in tracks.values():
+                    v["missed"] = min(3, v["missed"] + 1)
             for f in frame.itertuples(index=False):
                 gaps = {k: ((f.x - v["x"]) ** 2 + (f.y - v["y"]) ** 2) ** 0.5 + abs(f.w * f.h - v["a"]) * 0.35 for k, v in tracks.items() if k not in used}
                 near = min(gaps, key=gaps.get, default=None)
@@ -29,15 +34,17 @@ def assign_tracks(faces: DataFrame, reach: float = 0.18, memory: int = 12) -> Da
                     near, number = number, number + 1
                 used.add(near)
                 tracks[near] = {"x": f.x, "y": f.y, "a": f.w * f.h, "missed": 0}
-                out.append((*f, near))
+                out.append((*f[:-1], near))
             for k in [k for k in tracks if k not in used]:
                 tracks[k]["missed"] += 1
                 if tracks[k]["missed"] > memory:
                     del tracks[k]
-        return pd.DataFrame(out, columns=[*pdf.columns, "track"])
+        return pd.DataFrame(out, columns=[*pdf.columns[:-1], "track"])
 
     columns = ["clip", "t", "face", "x", "y", "w", "h", "speaking", "listening", "motion"]
-    return faces.select(*columns).groupBy("clip").applyInPandas(walk, TRACKED)
+    faces = faces.select(*columns)
+    marked = faces.withColumn("cut", F.lit(False)) if cuts is None else faces.join(cuts.select("clip", "t", F.lit(True).alias("cut")).distinct(), ["clip", "t"], "left").select(*columns, F.coalesce("cut", F.lit(False)).alias("cut"))
+    return marked.groupBy("clip").applyInPandas(walk, TRACKED)
 
 
 def priority() -> Column:
@@ -46,24 +53,51 @@ def priority() -> Column:
 
 def primary_faces(tracked: DataFrame) -> DataFrame:
     """(clip, t, track): the face of highest priority in each frame; the frame before keeps its track, 0.08 helped,
-    unless another speaks 0.04 or moves 0.05 more, or is better by 0.02 even so."""
-    scored = tracked.withColumn("p", priority())
+    unless another speaks 0.04 or moves 0.05 more, or is better by 0.02 even so.
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = None, []
-        for t, frame in pdf.sort_values(["t", "face"]).groupby("t", sort=True):
-            best = frame.loc[frame["p"].idxmax()]
-            old = frame[frame["track"] == held]
-            if len(old) and old.iloc[0]["track"] != best["track"]:
-                was = old.iloc[0]
-                speaks, moves = best["speaking"] - was["speaking"], best["motion"] - was["motion"]
-                if not (speaks >= 0.04 or moves >= 0.05 or best["p"] >= was["p"] + 0.10):
-                    best = was
-            held = best["track"]
-            out.append((best["clip"], t, int(held)))
-        return pd.DataFrame(out, columns=["clip", "t", "track"])
-
-    return scored.groupBy("clip").applyInPandas(walk, "clip long, t int, track int")
+    Each frame is a function of the track held before it: the tracks that it would keep stay, any other gives way to the
+    best. A long clip is scanned in slices of frames."""
+    scored = tracked.withColumn("p", priority())
+    frames = scored.groupBy("clip", "t").agg(F.max_by(F.struct("track", "p", "speaking", "motion"), F.struct("p", -F.col("face"))).alias("best"), F.collect_list(F.struct("track", "p", "speaking", "motion")).alias("all"))
+    best = F.col("best")
+    keeps = F.filter("all", lambda o: ~((best["speaking"] - o["speaking"] >= 0.04) | (best["motion"] - o["motion"] >= 0.05) | (best["p"] >= o["p"] + 0.10)))
+    held = F.struct(F.transform(keeps, lambda o: F.struct(o["track"].alias("k"), o["track"].alias("v"))).alias("moves"), best["track"].alias("other"))
+    states = scans.scanned(frames.select("clip", F.col("t").alias("nth"), held.alias("f")), ["clip"], scans.looked_up, scans.looked_up_twice, "int")
+    return states.select("clip", F.col("nth").cast("int").alias("t"), F.col("state").alias("track"))
+
+
+def remembered(tracked: DataFrame, cuts: DataFrame, value: str = "speaking", share: float = 0.07, at_cut: float = 0.72, slot: int = 1_000) -> DataFrame:
+    """(clip, t, track, score): `value` of each face plus `share` of the score that its track had before, within 0..1. Each
+    of cuts(clip, t) of the scene in between lets that fade by at_cut.
+
+    A score is a bounded linear function of the one before, so a long track is scanned in slices of frames."""
+    marks = tracked.select(F.col("clip").alias("source_id"), F.col("t").cast("long").alias("key"), F.lit(0).alias("cut")).union(cuts.select("clip", F.col("t").cast("long"), F.lit(1))).groupBy("source_id", "key").agg(F.max("cut").alias("cut"))
+    passed = running(marks, {"cuts": "cut"}, slot).select(F.col("source_id").alias("clip"), F.col("key").cast("int").alias("t"), "cuts")
+    rows = tracked.select("clip", "t", "track", F.col(value).alias("v")).join(passed, ["clip", "t"])
+    fade = F.coalesce(F.pow(F.lit(at_cut), F.col("cuts") - F.lag("cuts").over(Window.partitionBy("clip", "track").orderBy("t"))), F.lit(0.0))
+    f = F.struct((share * F.col("fade")).alias("keep"), F.col("v").cast("double").alias("add"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    states = scans.scanned(rows.withColumn("fade", fade).select("clip", "track", F.col("t").alias("nth"), f.alias("f")), ["clip", "track"], scans.decayed, scans.decayed_twice, "double")
+    return states.select("clip", F.col("nth").cast("int").alias("t"), "track", F.round("state", 6).alias("score"))
+
+
+def window_targets(tracked: DataFrame, frames: int, margin: float = 0.14) -> DataFrame:
+    """(clip, window, kind, track, x, y) of windows of `frames` frames: where the view aims.
+
+    Of each track its largest face counts, and tracks rank by speaking, listening and area. The two best are shown together
+    (`pair`) where they are `margin` apart, alike in size (0.35) and in speaking (0.12). Else the best one is, unless the
+    clip's dominant track (that of anchors()) is in the window and is not outdone: by 0.14 in speaking or 0.12 in rank."""
+    rank = F.col("speaking") * 1.15 + F.col("listening") * 0.35 + F.col("w") * F.col("h") * 0.55
+    area = F.col("w") * F.col("h")
+    best = tracked.withColumn("window", F.floor(F.col("t") / frames)).withColumns({"rank": rank, "area": area}).groupBy("clip", "window", "track").agg(F.max_by(F.struct("rank", "x", "y", "area", "speaking"), F.struct("area", -F.col("t"), -F.col("face"))).alias("b"))
+    ranked = best.groupBy("clip", "window").agg(F.sort_array(F.collect_list(F.struct("b.rank", (-F.col("track")).alias("o"), "b.x", "b.y", "b.area", "b.speaking")), asc=False).alias("r"))
+    one, two = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    pair = two.isNotNull() & (F.abs(one["x"] - two["x"]) >= margin) & (F.least(one["area"], two["area"]) >= F.greatest(one["area"], two["area"]) * 0.35) & (F.abs(one["speaking"] - two["speaking"]) <= 0.12)
+    own = F.get(F.filter("r", lambda f: f["o"] == -F.col("dominant")), F.lit(0))
+    held = own.isNotNull() & ~((one["speaking"] >= own["speaking"] + 0.14) | (one["rank"] >= own["rank"] + 0.12))
+    both = ranked.join(anchors(tracked).select("clip", F.col("track").alias("dominant")), "clip").withColumns({"pair": F.coalesce(pair, F.lit(False)), "pick": F.when(held, own).otherwise(one)})
+    kind = F.when(F.col("pair"), "pair").when(F.col("pick.o") == one["o"], "best").otherwise("dominant")
+    middle = lambda c: F.round(F.when(F.col("pair"), (one[c] + two[c]) / 2.0).otherwise(F.col("pick")[c]), 4)
+    return both.select("clip", "window", kind.alias("kind"), F.when(~F.col("pair"), -F.col("pick.o")).alias("track"), middle("x").alias("x"), middle("y").alias("y"))
 
 
 def focus_stats(frames: DataFrame) -> DataFrame:

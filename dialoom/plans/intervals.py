@@ -184,19 +184,89 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select("clip", "t", "face", (0.3 + 0.4 * F.col("face") + part(7, 50) * 0.1).alias("x"), (0.4 + part(11, 50) * 0.1).alias("y"), (0.1 + part(3, 20) * 0.1).alias("w"), (0.2 + part(5, 20) * 0.1).alias("h"), part(13, 100).alias("speaking"), part(17, 100).alias("listening"), part(19, 100).alias("motion"))
 
 
-@query()
+#: The same detections in SQL; and their tracks, walked face by face with a list of live tracks. Scenes are cut every 17 frames.
+DETECTED = """fk AS (SELECT event_id // 4000 * 20 + user_id % 20 AS clip, event_id AS id, row_number() OVER (PARTITION BY event_id // 4000 * 20 + user_id % 20 ORDER BY event_id) - 1 AS k FROM events),
+    fc AS (SELECT clip, k, k // 2 AS t, k % 2 AS face, 0.3::DOUBLE + 0.4::DOUBLE * (k % 2) + (id * 7 % 50) / 50.0::DOUBLE * 0.1::DOUBLE AS x, 0.4::DOUBLE + (id * 11 % 50) / 50.0::DOUBLE * 0.1::DOUBLE AS y, 0.1::DOUBLE + (id * 3 % 20) / 20.0::DOUBLE * 0.1::DOUBLE AS w,
+      0.2::DOUBLE + (id * 5 % 20) / 20.0::DOUBLE * 0.1::DOUBLE AS h, (id * 13 % 100) / 100.0::DOUBLE AS speaking, (id * 17 % 100) / 100.0::DOUBLE AS listening, (id * 19 % 100) / 100.0::DOUBLE AS motion FROM fk)"""
+
+
+def tracked_sql(reach: float, memory: int) -> str:
+    return f"""{DETECTED},
+    tw AS (SELECT clip, -1::BIGINT AS k, -1::BIGINT AS t, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, a DOUBLE, missed BIGINT, used BOOLEAN)[] AS tr, 1::BIGINT AS nxt, 0::BIGINT AS track FROM (SELECT DISTINCT clip FROM fc)
+      UNION ALL SELECT clip, k, t, CASE WHEN hit IS NULL THEN list_append(live, {{'id': nxt, 'x': x, 'y': y, 'a': w * h, 'missed': 0::BIGINT, 'used': true}}) ELSE list_transform(live, lambda v: CASE WHEN v.id = hit THEN {{'id': v.id, 'x': x, 'y': y, 'a': w * h, 'missed': 0::BIGINT, 'used': true}} ELSE v END) END,
+        CASE WHEN hit IS NULL THEN nxt + 1 ELSE nxt END, coalesce(hit, nxt)
+      FROM (SELECT *, CASE WHEN near.g <= {reach}::DOUBLE THEN near.id END AS hit
+        FROM (SELECT *, list_min(list_transform(list_filter(live, lambda v: NOT v.used), lambda v: {{'g': sqrt((x - v.x) * (x - v.x) + (y - v.y) * (y - v.y)) + abs(w * h - v.a) * 0.35::DOUBLE, 'id': v.id}})) AS near
+          FROM (SELECT fc.*, tw.nxt, CASE WHEN fc.t = tw.t THEN tr ELSE list_transform(list_filter(list_transform(tr, lambda v: {{'id': v.id, 'x': v.x, 'y': v.y, 'a': v.a, 'missed': CASE WHEN v.used THEN 0 ELSE v.missed + 1 END, 'used': false}}), lambda v: v.missed <= {memory}),
+              lambda v: {{'id': v.id, 'x': v.x, 'y': v.y, 'a': v.a, 'missed': CASE WHEN fc.t % 17 = 0 THEN least(3, v.missed + 1) ELSE v.missed END, 'used': false}}) END AS live
+            FROM tw JOIN fc ON fc.clip = tw.clip AND fc.k = tw.k + 1) a) b) c),
+    tk AS (SELECT fc.*, tw.track FROM fc JOIN tw USING (clip, k))"""
+
+
+TRACKS = tracked_sql(0.06, 1)
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tracks of the detections, near and short-lived ones so that there are many, and the cuts of scenes."""
+    found = faces(spark, sf_dir)
+    cuts = found.where("t % 17 = 0").select("clip", "t").distinct()
+    return framing.assign_tracks(found, 0.06, 1, cuts), cuts
+
+
+@query(f"WITH RECURSIVE {TRACKS} SELECT clip, t, face, track FROM tk")
 def face_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.assign_tracks(faces(spark, sf_dir)).select("clip", "t", "face", "track")
+    return tracks(spark, sf_dir)[0].select("clip", "t", "face", "track")
 
 
-@query()
+PRIORITY = "speaking * 1.05::DOUBLE + motion * 0.42::DOUBLE + listening * 0.20::DOUBLE + w * h * 0.36::DOUBLE"
+
+
+@query(
+    f"""WITH RECURSIVE {TRACKS}, pf AS (SELECT clip, t, arg_max({{'track': track, 'p': p, 's': speaking, 'm': motion}}, (p, -face)) AS best, list({{'track': track, 'p': p, 's': speaking, 'm': motion}}) AS every FROM (SELECT *, {PRIORITY} AS p FROM tk) GROUP BY clip, t),
+    pw AS (SELECT clip, -1::BIGINT AS t, NULL::BIGINT AS track FROM (SELECT DISTINCT clip FROM tk)
+      UNION ALL SELECT clip, t, CASE WHEN old IS NULL OR best.s - old.s >= 0.04::DOUBLE OR best.m - old.m >= 0.05::DOUBLE OR best.p >= old.p + 0.10::DOUBLE THEN best.track ELSE old.track END
+      FROM (SELECT pf.*, list_filter(every, lambda o: o.track = pw.track)[1] AS old FROM pw JOIN pf ON pf.clip = pw.clip AND pf.t = pw.t + 1))
+    SELECT * FROM pw WHERE t >= 0"""
+)
 def primary_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.primary_faces(framing.assign_tracks(faces(spark, sf_dir)))
+    return framing.primary_faces(tracks(spark, sf_dir)[0])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TRACKS}, rk AS (SELECT clip, track, t, speaking, row_number() OVER (PARTITION BY clip, track ORDER BY t) AS n, t // 17 - coalesce(lag(t) OVER (PARTITION BY clip, track ORDER BY t) // 17, 0) AS cuts FROM tk),
+    rw AS (SELECT clip, track, t, n, least(1.0, greatest(0.0, speaking))::DOUBLE AS s FROM rk WHERE n = 1
+      UNION ALL SELECT rk.clip, rk.track, rk.t, rk.n, least(1.0, greatest(0.0, 0.9::DOUBLE * pow(0.72::DOUBLE, cuts) * s + speaking * 0.3::DOUBLE))::DOUBLE FROM rw JOIN rk ON rk.clip = rw.clip AND rk.track = rw.track AND rk.n = rw.n + 1)
+    SELECT clip, t, track, round(round(s, 6), 4) AS score FROM rw WHERE n > 1"""
+)
+def remembered_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that fade at cuts, with a large share, so that they are seen; later sights of each track."""
+    found, cuts = tracks(spark, sf_dir)
+    nth = F.row_number().over(Window.partitionBy("clip", "track").orderBy("t"))
+    found = found.withColumn("n", nth).withColumn("speaking", F.when(F.col("n") == 1, F.col("speaking")).otherwise(F.col("speaking") * 0.3))
+    scores = framing.remembered(found, cuts, share=0.9).join(found.select("clip", "t", "track", "n"), ["clip", "t", "track"])
+    return scores.where("n > 1").select("clip", "t", "track", F.round("score", 4).alias("score"))
+
+
+ANCHORS = """ac AS (SELECT clip, round(sum(x * greatest(0.05, w * h)) / sum(greatest(0.05, w * h)), 4) AS x, round(sum(y * greatest(0.05, w * h)) / sum(greatest(0.05, w * h)), 4) AS y FROM tk GROUP BY clip),
+    am AS (SELECT clip, track, sum(greatest(0.02, speaking * 0.55::DOUBLE + listening * 0.20::DOUBLE + w * h)) AS mass FROM tk GROUP BY ALL),
+    an AS (SELECT clip, x, y, track FROM ac JOIN (SELECT clip, arg_max(track, (round(mass, 6), -track)) AS track FROM am GROUP BY clip) USING (clip))"""
+
+
+@query(f"WITH RECURSIVE {TRACKS}, {ANCHORS} SELECT * FROM an")
 def face_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.anchors(framing.assign_tracks(faces(spark, sf_dir)))
+    return framing.anchors(tracks(spark, sf_dir)[0])
+
+
+@query(
+    f"""WITH RECURSIVE {TRACKS}, {ANCHORS}, tb AS (SELECT clip, t // 5 AS win, track, arg_max({{'rank': speaking * 1.15::DOUBLE + listening * 0.35::DOUBLE + w * h * 0.55::DOUBLE, 'o': -track, 'x': x, 'y': y, 'area': w * h, 'speaking': speaking}}, (w * h, -t, -face)) AS b FROM tk GROUP BY ALL),
+    tr AS (SELECT clip, win, list_sort(list(b), 'DESC') AS r FROM tb GROUP BY ALL),
+    ts AS (SELECT tr.*, r[1] AS one, r[2] AS two, list_filter(r, lambda f: f.o = -an.track)[1] AS own FROM tr JOIN an USING (clip)),
+    tp AS (SELECT *, two IS NOT NULL AND abs(one.x - two.x) >= 0.14::DOUBLE AND least(one.area, two.area) >= greatest(one.area, two.area) * 0.35::DOUBLE AND abs(one.speaking - two.speaking) <= 0.12::DOUBLE AS pair,
+      CASE WHEN own IS NOT NULL AND NOT (one.speaking >= own.speaking + 0.14::DOUBLE OR one.rank >= own.rank + 0.12::DOUBLE) THEN own ELSE one END AS pick FROM ts)
+    SELECT clip, win AS "window", CASE WHEN pair THEN 'pair' WHEN pick.o = one.o THEN 'best' ELSE 'dominant' END AS kind, CASE WHEN NOT pair THEN -pick.o END AS track, round(CASE WHEN pair THEN (one.x + two.x) / 2.0 ELSE pick.x END, 4) AS x, round(CASE WHEN pair THEN (one.y + two.y) / 2.0 ELSE pick.y END, 4) AS y FROM tp"""
+)
+def window_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.window_targets(tracks(spark, sf_dir)[0], 5)
 
 
 @query()
