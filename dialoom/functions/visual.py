@@ -174,3 +174,31 @@ def remote_fallback(enabled: bool, mode: str | None, confidence: str = "subtitle
         return F.lit(True)
     sure = F.coalesce(F.nullif(F.col(confidence).cast("double"), F.lit(0.0)), F.lit(1.0))
     return (sure < 0.33) | (given(switches) >= 12) | (given(risk) >= 0.65)
+
+
+def presence_scores(face: Column, person: Column, subject: Column, face_size: Column, person_size: Column) -> Column:
+    """struct<face_evidence_score, visual_subject_score, empty_frame_risk> of what samples of a clip show: shares of samples
+    with a face, a person and a subject, and mean sizes; missing numbers count as 0."""
+    face, person, subject, face_size, person_size = (F.coalesce(c.cast("double"), F.lit(0.0)) for c in (face, person, subject, face_size, person_size))
+    evidence = F.least(F.lit(1.0), face * 0.62 + person * 0.22 + subject * 0.16)
+    visual = F.least(F.lit(1.0), face * 0.56 + person * 0.28 + F.least(F.lit(1.0), face_size / 0.035) * 0.10 + F.least(F.lit(1.0), person_size / 0.09) * 0.06)
+    risk = F.greatest(F.lit(0.0), 1.0 - (subject * 0.9 + visual * 0.45))
+    return F.struct(F.round(evidence, 4).alias("face_evidence_score"), F.round(visual, 4).alias("visual_subject_score"), F.round(risk, 4).alias("empty_frame_risk"))
+
+
+def fallback_scores(face: Column, person: Column, subject: Column, density: Column, clarity: Column, energy: Column, given_visual: Column | None = None, given_reframe: Column | None = None, given_risk: Column | None = None) -> Column:
+    """struct<face_evidence_score, visual_subject_score, reframe_feasibility_score, empty_frame_risk> of a clip that wasn't
+    looked at in time: guessed from speech where they aren't given, and held down where there is next to no evidence of a
+    face (0.06). Missing numbers count as 0."""
+    number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    known = lambda c, guess: guess if c is None else F.coalesce(c.cast("double"), guess)
+    face, person, subject, density, clarity, energy = map(number, (face, person, subject, density, clarity, energy))
+    evidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), face * 0.62 + person * 0.22 + subject * 0.16))
+    unseen = evidence <= 0.06
+    visual = known(given_visual, F.greatest(F.lit(0.18), evidence * 0.85 + F.when(density >= 0.24, 0.18).otherwise(0.08)))
+    reframe = known(given_reframe, F.least(F.lit(1.0), visual * 0.72 + clarity * 0.18 + energy * 0.10))
+    risk = known(given_risk, F.greatest(F.lit(0.0), 1.0 - (visual * 0.75 + reframe * 0.35)))
+    visual = F.when(unseen, F.least(visual, F.when(density < 0.40, 0.18).otherwise(0.22))).otherwise(visual)
+    reframe, risk = F.when(unseen, F.least(reframe, F.lit(0.24))).otherwise(reframe), F.when(unseen, F.greatest(risk, F.lit(0.84))).otherwise(risk)
+    named = {"face_evidence_score": evidence, "visual_subject_score": visual, "reframe_feasibility_score": reframe, "empty_frame_risk": risk}
+    return F.struct(*(F.round(v, 4).alias(k) for k, v in named.items()))

@@ -275,3 +275,22 @@ def best_evidence(windows: DataFrame, by: list[str], tie: str) -> DataFrame:
     packed = F.struct(*(F.col(c) for c in windows.columns if c not in by))
     key = F.struct(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in EVIDENCE), (-F.col(tie)).alias("tie"))
     return windows.groupBy(*by).agg(F.max_by(packed, key).alias("best")).select(*by, "best.*")
+
+
+def crop_probe(clips: DataFrame, samples: DataFrame, quarters: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """clips(clip, start, end) with what the final crop shows at some quarters of its length: (clip, points, face_min,
+    face_avg, subject_min, drifts) of the samples(clip, t, face, subject) nearest to these points, the earlier of two.
+
+    Points and samples are put in one order, and the last sample before and the first after each point are kept; drifts: whether
+    a point shows less than 0.08 of a face and another one more. A clip without samples counts as one that shows nothing."""
+    at = F.explode(F.array(*((F.col("start") + F.floor((F.col("end") - F.col("start")) * q / 4)).cast("long") for q in quarters)))
+    points = clips.where("end >= start").select("clip", at.alias("t")).distinct().withColumn("asks", F.lit(True))
+    seen = samples.select("clip", F.col("t").cast("long").alias("t"), F.lit(False).alias("asks"), F.struct("t", "face", "subject").alias("s")).join(clips.select("clip").distinct(), "clip", "left_semi")
+    both = seen.unionByName(points, allowMissingColumns=True)
+    by = Window.partitionBy("clip")
+    sofar, tocome = by.orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0), by.orderBy(F.desc("t"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumns({"a": F.last("s", True).over(sofar), "b": F.last("s", True).over(tocome)}).where("asks")
+    hit = F.when(F.col("a").isNull() | (F.col("b.t") - F.col("t") < F.col("t") - F.col("a.t")), F.col("b")).otherwise(F.col("a"))
+    shown = near.select("clip", hit.alias("h")).withColumns({"face": F.coalesce("h.face", F.lit(0.0)), "subject": F.coalesce("h.subject", F.lit(0.0))})
+    low, high = F.min("face"), F.max("face")
+    return shown.groupBy("clip").agg(F.count("*").alias("points"), F.round(low, 4).alias("face_min"), F.round(F.avg("face"), 4).alias("face_avg"), F.round(F.min("subject"), 4).alias("subject_min"), ((low < 0.08) & (high >= 0.08)).alias("drifts"))

@@ -173,3 +173,31 @@ def story_threads(candidates: DataFrame, by: str, at: str, coherence: str, least
     order = Window.partitionBy(by).orderBy(at)
     joins = (zero(coherence) >= least) & (F.col(at) - F.lag(at).over(order) <= within)
     return candidates.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("thread", F.sum("new").over(order)).drop("new")
+
+
+def reranked(rows: DataFrame, by: list[str], score: str, preview: str, tie: str, most: int = 8) -> DataFrame:
+    """rows with `rank` of each group: by `score`, but the `most` best among one another by `preview` where it is known.
+
+    A preview that is missing (its time ran out) leaves a row with its score."""
+    over = Window.partitionBy(*by)
+    placed = rows.withColumn("place", F.row_number().over(over.orderBy(F.desc_nulls_last(score), tie)))
+    top = F.col("place") <= most
+    value = F.when(top, F.coalesce(preview, score)).otherwise(F.col(score))
+    return placed.withColumn("rank", F.row_number().over(over.orderBy(F.desc(top), F.desc_nulls_last(value), tie))).drop("place")
+
+
+def quality_governor() -> Column:
+    """The decision on every candidate that got so far: accept, as the governor takes no exception."""
+    return F.lit("accept")
+
+
+#: How a warning names what became of a candidate.
+WARNING = r"^Candidate (\d+) (?:rejected|downgraded): (\S+)"
+
+
+def reject_paths(rejected: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(reason, n, sources): how often candidates fell out for a reason, by rejected(source_id, reason) and by the text of
+    warnings(source_id, text); warnings of another form and missing reasons count for nothing."""
+    told = warnings.select("source_id", F.regexp_extract("text", WARNING, 2).alias("reason"))
+    every = rejected.select("source_id", "reason").union(told).where("reason <> ''")
+    return every.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"))

@@ -229,3 +229,23 @@ def topic_terms(rows: DataFrame, by: list[str], text: Column, most: int = 4) ->
     counts = spread.groupBy(*by, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "first"))).where(F.col("rank") <= most)
     return top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("terms"))
+
+
+#: The parts of a told story, in order; the last one is its last segment.
+PARTS = ("hook", "setup", "escalation", "payoff")
+
+
+def told_parts(segments: DataFrame, order: str = "turn_id") -> DataFrame:
+    """(source_id, hook, setup, escalation, payoff, deficient) of segments(source_id, order, text): the first three texts
+    and, of four segments or more, the last one. deficient: whether a part is missing or blank.
+
+    Only the first three and the last segment of a source are kept on the way."""
+    texts = segments.select("source_id", F.col(order).alias("k"), F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    by = Window.partitionBy("source_id").orderBy("k", "text")
+    first = texts.withColumn("nth", F.row_number().over(by)).where("nth <= 3").groupBy("source_id").agg(*(F.max(F.when(F.col("nth") == i + 1, F.col("text"))).alias(p) for i, p in enumerate(PARTS[:3])))
+    last = texts.groupBy("source_id").agg(F.max_by("text", F.struct("k", "text")).alias("last"), F.count("*").alias("n"))
+    parts = first.join(last, "source_id").withColumn("payoff", F.when(F.col("n") >= 4, F.col("last")))
+    missing = F.lit(False)
+    for p in PARTS:
+        missing = missing | (F.coalesce(p, F.lit("")) == "")
+    return parts.select("source_id", *PARTS, missing.alias("deficient"))

@@ -236,7 +236,7 @@ def primary_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH RECURSIVE {TRACKS}, rk AS (SELECT clip, track, t, speaking, row_number() OVER (PARTITION BY clip, track ORDER BY t) AS n, t // 17 - coalesce(lag(t) OVER (PARTITION BY clip, track ORDER BY t) // 17, 0) AS cuts FROM tk),
     rw AS (SELECT clip, track, t, n, least(1.0, greatest(0.0, speaking))::DOUBLE AS s FROM rk WHERE n = 1
       UNION ALL SELECT rk.clip, rk.track, rk.t, rk.n, least(1.0, greatest(0.0, 0.9::DOUBLE * pow(0.72::DOUBLE, cuts) * s + speaking * 0.3::DOUBLE))::DOUBLE FROM rw JOIN rk ON rk.clip = rw.clip AND rk.track = rw.track AND rk.n = rw.n + 1)
-    SELECT clip, t, track, round(round(s, 6), 4) AS score FROM rw WHERE n > 1"""
+    SELECT clip, t, track, round(round(s, 6)::DECIMAL(18, 9), 4)::DOUBLE AS score FROM rw WHERE n > 1"""
 )
 def remembered_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores that fade at cuts, with a large share, so that they are seen; later sights of each track."""
