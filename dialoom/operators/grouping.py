@@ -37,6 +37,30 @@ def share(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
+class Bridge:
+    """The open block of one source: what decides whether the next turn still belongs to it."""
+
+    def __init__(self, max_gap_ms: int = 3500, block: int = 0, speakers: list[str] | None = None, words: list[str] | None = None, size: int = 0, last: int | None = None):
+        self.max_gap_ms, self.block, self.speakers, self.words, self.size, self.last = max_gap_ms, block, set(speakers or ()), list(words or ()), size, last
+
+    def next(self, start: int, end: int, speaker: str, words: list[str]) -> int:
+        """The block of the next turn, which is open from then on."""
+        if self.last is not None and (gap := start - self.last) > self.max_gap_ms:
+            reach = self.max_gap_ms * (1.5 if self.size >= 4 else 1.0) * 3
+            alike = self.speakers == {speaker} and gap <= reach
+            alike = alike or (share(self.speakers, {speaker}) >= 0.5 and gap <= 10_000)
+            if not alike and not (gap <= 6_500 and share(top_words(self.words), top_words(words)) >= 0.25):
+                self.block, self.speakers, self.words, self.size = self.block + 1, set(), [], 0
+        self.speakers.add(speaker)
+        self.words += words
+        self.size, self.last = self.size + 1, end
+        return self.block
+
+    def longest(self) -> int:
+        """No gap that is larger can be bridged."""
+        return max(int(self.max_gap_ms * 4.5), 10_000)
+
+
 def bridged_blocks(turns: DataFrame, max_gap_ms: int = 3500) -> DataFrame:
     """turns with block_no, where a gap larger than max_gap_ms may be bridged: up to three times the gap if the next
     speaker alone spoke in the block (1.5 times more from four turns on), 10 s if speakers overlap by half, 6.5 s if
@@ -45,20 +69,8 @@ def bridged_blocks(turns: DataFrame, max_gap_ms: int = 3500) -> DataFrame:
     narrow = keyed.select("source_id", "turn_id", "start_ms", "end_ms", "speaker", "words")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn_id")
-        block, out, speakers, words, size, last = 0, [], set(), [], 0, None
-        for start, end, speaker, own in zip(pdf["start_ms"], pdf["end_ms"], pdf["speaker"], pdf["words"], strict=True):
-            own = list(own)
-            if last is not None and (gap := start - last) > max_gap_ms:
-                reach = max_gap_ms * (1.5 if size >= 4 else 1.0) * 3
-                alike = speakers == {speaker} and gap <= reach
-                alike = alike or (share(speakers, {speaker}) >= 0.5 and gap <= 10_000)
-                if not alike and not (gap <= 6_500 and share(top_words(words), top_words(own)) >= 0.25):
-                    block, speakers, words, size = block + 1, set(), [], 0
-            speakers.add(speaker)
-            words += own
-            size, last = size + 1, end
-            out.append(block)
+        pdf, open_block = pdf.sort_values("turn_id"), Bridge(max_gap_ms)
+        out = [open_block.next(start, end, speaker, list(words)) for start, end, speaker, words in zip(pdf["start_ms"], pdf["end_ms"], pdf["speaker"], pdf["words"], strict=True)]
         return pd.DataFrame({"source_id": pdf["source_id"], "turn_id": pdf["turn_id"], "block_no": out})
 
     schema = f"source_id {turns.schema['source_id'].dataType.simpleString()}, turn_id {turns.schema['turn_id'].dataType.simpleString()}, block_no long"

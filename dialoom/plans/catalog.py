@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialogue, framed, intervals, previews, records, windows  # noqa: F401  registers their queries
+from . import dialogue, framed, intervals, previews, records, surface, windows  # noqa: F401  registers their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
