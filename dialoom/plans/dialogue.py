@@ -56,7 +56,32 @@ def conversation_blocks_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "block_no", "start_ms", "end_ms", "duration_ms", "turn_count", F.array_join("speakers", ",").alias("speakers"))
 
 
-@query()
+def top_words(words: str) -> str:
+    """SQL of a list's eight most frequent words, the first to appear among equals."""
+    counted = f"list_transform(list_distinct({words}), lambda w: {{'n': -len(list_filter({words}, lambda x: x = w)), 'p': list_position({words}, w), 'w': w}})"
+    return f"list_transform(list_sort({counted})[1:8], lambda c: c.w)"
+
+
+def shared(a: str, b: str) -> str:
+    """SQL of the share of two lists' elements that both have; 0 for two empty ones."""
+    return f"coalesce(len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0)::DOUBLE, 0.0)"
+
+
+TOPIC_WORDS = rf"list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 4 AND NOT list_contains({listed(lexicons.STOP_WORDS)}, w))"
+#: Blocks with bridges, by walking each source: `numbered`.
+BRIDGED = rf"""{TURNS}, wt AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY turn_id) AS k, {TOPIC_WORDS} AS ws FROM turns),
+  bw AS (SELECT source_id, turn_id, k, 0::BIGINT AS block_no, [speaker] AS sp, ws AS words, 1 AS size, end_ms AS last_ FROM wt WHERE k = 1
+    UNION ALL SELECT source_id, turn_id, k, block_no + cut::INT, CASE WHEN cut THEN [speaker] ELSE list_distinct(list_append(sp, speaker)) END, CASE WHEN cut THEN ws ELSE list_concat(words, ws) END, CASE WHEN cut THEN 1 ELSE size + 1 END, end_ms
+    FROM (SELECT t.*, b.block_no, b.sp, b.words, b.size, t.start_ms - b.last_ > 3500 AND NOT (b.sp = [t.speaker] AND t.start_ms - b.last_ <= CASE WHEN b.size >= 4 THEN 15750 ELSE 10500 END)
+        AND NOT (list_contains(b.sp, t.speaker) AND len(b.sp) <= 2 AND t.start_ms - b.last_ <= 10000) AND NOT (t.start_ms - b.last_ <= 6500 AND {shared(top_words("b.words"), top_words("t.ws"))} >= 0.25::DOUBLE) AS cut
+      FROM bw b JOIN wt t ON t.source_id = b.source_id AND t.k = b.k + 1)),
+  numbered AS (SELECT wt.*, bw.block_no FROM wt JOIN bw USING (source_id, k))"""
+
+
+@query(
+    f"""WITH RECURSIVE {BRIDGED}, g AS (SELECT source_id, block_no, arg_min(start_ms, turn_id) AS start_ms, arg_max(end_ms, turn_id) AS end_ms, count(*) AS turn_count, list(speaker ORDER BY turn_id) AS sp FROM numbered GROUP BY ALL)
+    SELECT source_id, block_no, 'conv_' || left(sha1(source_id || '|' || start_ms || '|' || end_ms || '|' || turn_count), 12) AS conversation_id, start_ms, end_ms, turn_count, array_to_string(list_filter(sp, lambda x, i: list_position(sp, x) = i), ',') AS speakers FROM g"""
+)
 def conversation_blocks_bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = grouping.blocks(grouping.bridged_blocks(spoken(spark, sf_dir)))
     return found.select("source_id", "block_no", "conversation_id", "start_ms", "end_ms", "turn_count", F.array_join("speakers", ",").alias("speakers"))
@@ -77,8 +102,6 @@ def ranked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-TOPIC_WORDS = rf"list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 4 AND NOT list_contains({listed(lexicons.STOP_WORDS)}, w))"
-
 
 @query(
     f"""WITH {BLOCKS}, w AS (SELECT source_id, block_no, turn_id, unnest({TOPIC_WORDS}) AS word, generate_subscripts({TOPIC_WORDS}, 1) AS pos FROM numbered),
@@ -103,19 +126,6 @@ def story_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.hook_type(said).alias("hook_type"), text.payoff_type(said).alias("payoff_type"), conflict.alias("conflict_type"), text.scene_mood(said).alias("mood"))
 
 
-@query()
-def story_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = told(spark, sf_dir)
-    scores = [F.round(f"{n}_score", 4).alias(f"{n}_score") for n in ("hook", "conflict", "escalation", "emotion", "payoff")]
-    return found.select("source_id", "block_no", "frag_no", "role", "start_ms", "end_ms", "turn_count", *scores, F.array_join("causal_signals", ",").alias("causal"), F.array_join(F.transform("pauses_ms", lambda x: x.cast("string")), ",").alias("pauses_ms"))
-
-
-@query()
-def story_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = story.summaries(story.chains(told(spark, sf_dir)))
-    return found.select("source_id", "block_no", "arc_shape", "conflict_type", "completion_score", "is_complete", "start_ms", "end_ms", "fragments", "title_seed", "hook_type", "payoff_type", "topic_phrase", "context_completeness", "confidence")
-
-
 def with_payoffs(frags: DataFrame) -> DataFrame:
     """Chains of fragments with roles, extended by payoffs of later blocks. Fragments are read twice, so they are kept."""
     frags = frags.persist()
@@ -130,18 +140,6 @@ def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_payoffs(told(spark, sf_dir))
 
 
-@query()
-def payoff_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extended(spark, sf_dir).select("source_id", "block_no", "extended", "payoff_block", "end_ms", "arc_shape", "completion_score", "is_complete")
-
-
-@query()
-def episode_story_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: segments to turns, blocks, fragments, chains, extension, filter and rank."""
-    kept = story.publishable_chains(extended(spark, sf_dir), 20_000)
-    return kept.select("source_id", "block_no", "rank", "arc_shape", "completion_score", "is_complete", "extended", "start_ms", "end_ms", "duration_ms", "hook")
-
-
 def turn_told(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments with roles of blocks by gaps, every turn a fragment: no fold comes before, so SQL can say the same."""
     nth = F.row_number().over(Window.partitionBy("source_id", "block_no").orderBy("turn_id")) - 1
@@ -241,11 +239,67 @@ def chain_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("source_id", "block_no", "duration_ms", "extended", "completion_score", "rank")
 
 
+#: Fragments of bridged blocks, by walking each block, with roles. The SQL after it is that of turns as fragments.
+CHUNKED = rf"""{BRIDGED}, nt AS (SELECT *, row_number() OVER ({BLOCK} ORDER BY turn_id) AS i, {score("text", lexicons.CONFLICT)}::DOUBLE AS con, {score("text", lexicons.PAYOFF)}::DOUBLE AS pay, {score("text", lexicons.HOOK)}::DOUBLE AS hoo FROM numbered),
+  fw AS (SELECT source_id, block_no, i, ws AS cw, 0.0::DOUBLE + con AS cs, 1 AS cn, start_ms AS c0, end_ms AS pe, speaker AS ps, false AS cut, 0::BIGINT AS gap FROM nt WHERE i = 1
+    UNION ALL SELECT source_id, block_no, i, CASE WHEN cut THEN ws ELSE list_concat(cw, ws) END, CASE WHEN cut THEN con ELSE cs + con END, CASE WHEN cut THEN 1 ELSE cn + 1 END, CASE WHEN cut THEN start_ms ELSE c0 END, end_ms, speaker, cut, gap
+    FROM (SELECT *, (gap > 2500 AND same = 0 AND speaker <> ps) OR (gap >= 500 AND cs / cn >= 0.3::DOUBLE AND pay >= 0.25::DOUBLE) OR (pe - c0 >= 20000 AND cn >= 3 AND same <= 0.1::DOUBLE AND gap > 1000) OR (speaker <> ps AND gap > 800 AND cn >= 2 AND greatest(hoo, con) >= 0.2::DOUBLE) AS cut
+      FROM (SELECT n.*, w.cw, w.cs, w.cn, w.c0, w.pe, w.ps, n.start_ms - w.pe AS gap, {shared(top_words("w.cw"), top_words("n.ws"))} AS same FROM fw w JOIN nt n ON n.source_id = w.source_id AND n.block_no = w.block_no AND n.i = w.i + 1))),
+  kc AS (SELECT *, cut AND row_number() OVER ({BLOCK} ORDER BY cut DESC, gap DESC, i DESC) <= 5 AS kept FROM fw),
+  nf AS (SELECT nt.*, sum(kept::INT) OVER (PARTITION BY nt.source_id, nt.block_no ORDER BY nt.i) AS fno FROM nt JOIN kc USING (source_id, block_no, i)),
+  nl AS (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY source_id, block_no, fno ORDER BY turn_id) AS quiet FROM nf),
+  fg AS (SELECT source_id, block_no, fno, arg_min(start_ms, turn_id) AS start_ms, arg_max(end_ms, turn_id) AS end_ms, count(*) AS turn_count, list(speaker ORDER BY turn_id) AS sp, coalesce(trim(string_agg(text, ' ' ORDER BY turn_id) FILTER (text <> '')), '') AS text,
+    coalesce(string_agg(quiet::VARCHAR, ',' ORDER BY turn_id) FILTER (quiet > 300), '') AS pauses_ms FROM nl GROUP BY ALL),
+  fr AS (SELECT source_id, block_no, row_number() OVER ({BLOCK} ORDER BY fno) AS nth, count(*) OVER ({BLOCK}) AS of_, start_ms, end_ms, list_filter(sp, lambda x, i: list_position(sp, x) = i) AS speaker, text AS transcript, turn_count, pauses_ms, array_to_string({hits('text', lexicons.CAUSAL)}, ',') AS causal,
+    {', '.join(f"{score('text', getattr(lexicons, n))} AS {n.lower()}_score" for n in TELLING)}, {hits('text', lexicons.CONFLICT)} AS conflict_signals, {hits('text', lexicons.EMOTION)} AS emotion_signals FROM fg)"""
+
+
+def folded(sql: str) -> str:
+    """SQL over turns as fragments, over fragments with lists of speakers instead."""
+    sql = sql.replace(ROLES[: ROLES.index(",\n  sc AS")], CHUNKED)
+    return sql.replace("list_transform(f, lambda y: y.s)", "flatten(list_transform(f, lambda y: y.s))").replace("list_distinct(list(lower(speaker)))", "list_distinct(list_transform(flatten(list(speaker)), lambda s: lower(s)))")
+
+
+@query(
+    f"WITH RECURSIVE {folded(ROLES)} SELECT source_id, block_no, frag_no, role, start_ms, end_ms, turn_count, {', '.join(f'round({n.lower()}_score, 4) AS {n.lower()}_score' for n in TELLING)}, causal, pauses_ms FROM told"
+)
+def story_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = told(spark, sf_dir)
+    scores = [F.round(f"{n}_score", 4).alias(f"{n}_score") for n in ("hook", "conflict", "escalation", "emotion", "payoff")]
+    return found.select("source_id", "block_no", "frag_no", "role", "start_ms", "end_ms", "turn_count", *scores, F.array_join("causal_signals", ",").alias("causal"), F.array_join(F.transform("pauses_ms", lambda x: x.cast("string")), ",").alias("pauses_ms"))
+
+
+@query(
+    f"WITH RECURSIVE {folded(SUMMARIES)} SELECT source_id, block_no, arc_shape, conflict_type, completion_score, is_complete, start_ms, end_ms, fragments, title_seed, hook_type, payoff_type, topic_phrase, context_completeness::DOUBLE AS context_completeness, confidence FROM summed"
+)
+def story_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = story.summaries(story.chains(told(spark, sf_dir)))
+    return found.select("source_id", "block_no", "arc_shape", "conflict_type", "completion_score", "is_complete", "start_ms", "end_ms", "fragments", "title_seed", "hook_type", "payoff_type", "topic_phrase", "context_completeness", "confidence")
+
+
+@query(f"WITH RECURSIVE {folded(EXTENDED)} SELECT source_id, block_no, extended, payoff_block, end_ms, arc_shape, completion_score, is_complete FROM ext")
+def payoff_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extended(spark, sf_dir).select("source_id", "block_no", "extended", "payoff_block", "end_ms", "arc_shape", "completion_score", "is_complete")
+
+
 @query(
-    f"""WITH {EXTENDED}, s AS (SELECT *, (end_ms - start_ms) / 1000.0 AS length_ FROM ext)
+    f"""WITH RECURSIVE {folded(EXTENDED)}, m AS (SELECT *, end_ms - start_ms AS duration_ms, end_ms - start_ms >= 6000 AND (end_ms - start_ms >= 20000 OR completion_score >= 0.75 OR is_complete) AS passes FROM ext),
+    k AS (SELECT *, bool_or(passes) OVER (PARTITION BY source_id) AS some_ FROM m)
+    SELECT source_id, block_no, row_number() OVER (PARTITION BY source_id ORDER BY is_complete DESC, completion_score >= 0.75 DESC, extended DESC, completion_score DESC, duration_ms DESC, duration_ms < 20000, block_no) AS rank, arc_shape, completion_score, is_complete, extended, start_ms, end_ms, duration_ms, hook
+    FROM k WHERE passes OR (NOT some_ AND duration_ms >= 10000)"""
+)
+def episode_story_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: segments to turns, blocks, fragments, chains, extension, filter and rank."""
+    kept = story.publishable_chains(extended(spark, sf_dir), 20_000)
+    return kept.select("source_id", "block_no", "rank", "arc_shape", "completion_score", "is_complete", "extended", "start_ms", "end_ms", "duration_ms", "hook")
+
+
+CHECKS = f"""WITH {EXTENDED}, s AS (SELECT *, (end_ms - start_ms) / 1000.0 AS length_ FROM ext)
     SELECT count(*) AS chains, round(count(*) FILTER (is_complete) / count(*), 4) AS complete_rate, round(count(*) FILTER (payoff <> '') / count(*), 4) AS payoff_rate, round(avg(completion_score), 4) AS mean_completion, round(avg(length_), 4) AS mean_seconds,
       count(*) FILTER (length_ < 6) AS under_6, count(*) FILTER (length_ >= 6 AND length_ < 20) AS from_6, count(*) FILTER (length_ >= 20 AND length_ < 35) AS from_20, count(*) FILTER (length_ >= 35 AND length_ < 60) AS from_35, count(*) FILTER (length_ >= 60) AS from_60 FROM s"""
-)
+
+
+@query(CHECKS)
 def chain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.chain_validation(with_payoffs(turn_told(spark, sf_dir)))
 
@@ -411,11 +465,6 @@ def caption_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.split_long(words.select("source_id", "segment", "nth", at(F.col("nth")).alias("start_ms"), at(F.col("nth") + 1).alias("end_ms"), "text"))
 
 
-@query()
-def story_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packaged(story.summaries(story.chains(told(spark, sf_dir))))
-
-
 TITLED = ("title", "hook_line", "title_variant_a", "title_variant_b", "title_quality_score", "mood", "retention_soft_score", "packaging_quality_score", "title_confidence")
 
 
@@ -431,8 +480,7 @@ def known(column: str, names: dict[str, str], default: str) -> str:
     return f"CASE {column} {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in names.items())} ELSE {default} END"
 
 
-@query(
-    rf"""WITH {SUMMARIES}, n0 AS (SELECT source_id, block_no, hook_type, payoff_type, conflict_type, topic_phrase, is_complete, arc_shape, emotion, {sql_tidy("title_seed")} AS c FROM summed), {NORMAL},
+PACKAGES = rf"""WITH {SUMMARIES}, n0 AS (SELECT source_id, block_no, hook_type, payoff_type, conflict_type, topic_phrase, is_complete, arc_shape, emotion, {sql_tidy("title_seed")} AS c FROM summed), {NORMAL},
     tt AS (SELECT *, {sql_tidy("title")} AS t0 FROM normal), t1 AS (SELECT *, {sql_capital("t0")} AS t FROM tt), t2 AS (SELECT *, {sql_trimmed("t", 64)} AS shown FROM t1),
     h AS (SELECT *, list_filter([{known("conflict_type", packaging.CONFLICT_TAGS["en"], "NULL")}, CASE WHEN emotion IS NOT NULL THEN {cascade("emotion", packaging.EMOTION_TAGS["en"], "NULL")} END, CASE WHEN length(topic_phrase) >= 4 AND NOT list_contains({listed(packaging.GENERIC_TOPICS)}, lower(topic_phrase))
       THEN '#' || nullif(regexp_replace(regexp_replace(replace(topic_phrase, ' ', '_'), '[^\p{{L}}\p{{N}}_]+', '', 'g'), '^_+|_+$', '', 'g'), '') END, CASE WHEN is_complete OR arc_shape = 'hook_setup_escalation_payoff' THEN '#story' END], lambda x: x IS NOT NULL) AS tags FROM t2),
@@ -440,12 +488,19 @@ def known(column: str, names: dict[str, str], default: str) -> str:
     r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY source_id * 1000 + block_no) AS nth FROM q)
     SELECT source_id, block_no, shown AS title, {known("hook_type", packaging.HOOK_PHRASES, "'Strong story moment'")} AS hook_phrase, {known("payoff_type", packaging.PAYOFF_PHRASES, "''")} AS payoff_phrase,
       array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i)[1:3], ' ') AS hashtags, CASE WHEN nth = 1 THEN base ELSE base || ' [' || nth || ']' END AS file_name FROM r"""
-)
+
+
+@query(PACKAGES)
 def chain_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages of chains whose fragments are turns."""
     return packaged(story.summaries(story.chains(turn_told(spark, sf_dir))))
 
 
+@query(folded(PACKAGES).replace("WITH", "WITH RECURSIVE", 1))
+def story_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packaged(story.summaries(story.chains(told(spark, sf_dir))))
+
+
 @query(
     rf"""WITH {TURNS}, t0 AS (SELECT source_id, turn_id AS nth, {sql_tidy("text")} AS x FROM turns), t1 AS (SELECT source_id, nth, {sql_capital("x")} AS y FROM t0), n00 AS (SELECT source_id, nth, {sql_trimmed("y", 60)} AS z FROM t1),
     n0 AS (SELECT source_id, nth, {sql_tidy("z")} AS c FROM n00), {NORMAL}, o AS (SELECT source_id, lower(title) AS key, arg_min(title, nth) AS title, min(nth) AS nth FROM normal WHERE title <> '' GROUP BY ALL),
@@ -631,6 +686,6 @@ def window_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.window_summary(t, grid).select("source_id", "start_ms", ranking.admission().alias("reason"))
 
 
-@query()
+@query(folded(CHECKS).replace("WITH", "WITH RECURSIVE", 1))
 def chain_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.chain_validation(extended(spark, sf_dir))

@@ -269,9 +269,23 @@ def window_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framing.window_targets(tracks(spark, sf_dir)[0], 5)
 
 
-@query()
+CENTERS = f"""wb AS (SELECT clip, t // 5 AS win, track, arg_max({{'x': x, 'y': y, 'p': p}}, (p, -t, -face)) AS b FROM (SELECT *, {PRIORITY} AS p FROM tk) GROUP BY ALL),
+    wr AS (SELECT clip, win, list_sort(list({{'p': b.p, 'o': -track, 'x': b.x, 'y': b.y}}), 'DESC') AS r FROM wb GROUP BY ALL),
+    wc AS (SELECT clip, win, -r[1].o AS track, round(CASE WHEN len(r) > 1 AND abs(r[1].x - r[2].x) >= 0.18::DOUBLE AND r[1].p - r[2].p <= 0.35::DOUBLE * r[1].p THEN (r[1].x + r[2].x) / 2 ELSE r[1].x END, 4) AS x FROM wr),
+    wn AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY win) AS k, count(*) OVER (PARTITION BY clip) AS of_ FROM wc),
+    lw AS (SELECT clip, win, k, track AS locked, NULL::BIGINT AS waiting, 0 AS n, x AS pos, 'start' AS state FROM wn WHERE k = 1
+      UNION ALL SELECT clip, win, k, held, CASE WHEN track = held THEN NULL ELSE track END, CASE WHEN track = held THEN 0 ELSE m END, pos + greatest(-0.12::DOUBLE, least(0.12::DOUBLE, CASE WHEN track = held THEN x ELSE pos END - pos)), CASE WHEN track = locked THEN 'keep' WHEN m >= 2 THEN 'switch' ELSE 'pend' END
+      FROM (SELECT *, CASE WHEN track <> locked AND m >= 2 THEN track ELSE locked END AS held FROM (SELECT wn.*, l.locked, l.pos, CASE WHEN wn.track = l.locked THEN 0 WHEN wn.track = l.waiting THEN l.n + 1 ELSE 1 END AS m FROM lw l JOIN wn ON wn.clip = l.clip AND wn.k = l.k + 1))),
+    lk AS (SELECT lw.clip, lw.win, lw.k, wn.of_, locked AS track, round(pos, 4) AS x, state FROM lw JOIN wn USING (clip, k))"""
+
+
+def locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.camera_lock(framing.window_centers(tracks(spark, sf_dir)[0], 5))
+
+
+@query(f'WITH RECURSIVE {TRACKS}, {CENTERS} SELECT clip, win AS "window", track, x, state FROM lk')
 def camera_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.camera_lock(framing.window_centers(framing.assign_tracks(faces(spark, sf_dir)), 5))
+    return locked(spark, sf_dir)
 
 
 @query(
@@ -319,14 +333,25 @@ def silence_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.silence_log(spans(spark, sf_dir).select("source_id", F.col("id").alias("nth"), line.alias("line")).where("line is not null"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TRACKS}, {CENTERS}, gw AS (SELECT clip, win, k, track, state, x, NULL::DOUBLE AS from_ FROM lk WHERE k = 1
+      UNION ALL SELECT clip, win, k, track, state, CASE WHEN turned THEN prior * (1 - share) + base * share ELSE base END, CASE WHEN turned AND k < of_ THEN prior END
+      FROM (SELECT l.*, g.x AS prior, l.track <> g.track AS turned, CASE WHEN l.k < l.of_ THEN 1.0::DOUBLE / 3 ELSE 0.5::DOUBLE END AS share, CASE WHEN g.from_ IS NULL THEN l.x ELSE g.from_ * (1 - 2.0::DOUBLE / 3) + l.x * (2.0::DOUBLE / 3) END AS base
+        FROM gw g JOIN lk l ON l.clip = g.clip AND l.k = g.k + 1))
+    SELECT clip, win AS "window", track, round(round(x, 6), 4) AS x, state FROM gw"""
+)
 def camera_glide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.glide(framing.camera_lock(framing.window_centers(framing.assign_tracks(faces(spark, sf_dir)), 5)))
+    return framing.glide(locked(spark, sf_dir)).withColumn("x", F.round("x", 4))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TRACKS}, {CENTERS}, mw AS (SELECT clip, k, win, track, state, x, 1 AS n, 1 AS part FROM lk WHERE k = 1
+      UNION ALL SELECT clip, k, win, track, state, CASE WHEN j THEN (mx * n + x) / (n + 1) ELSE x END, CASE WHEN j THEN n + 1 ELSE 1 END, CASE WHEN j THEN part ELSE part + 1 END
+      FROM (SELECT l.*, m.x AS mx, m.n, m.part, l.win = m.win + 1 AND l.track = m.track AND l.state = m.state AND abs(l.x - m.x) <= 0.02::DOUBLE AS j FROM mw m JOIN lk l ON l.clip = m.clip AND l.k = m.k + 1))
+    SELECT clip, min(win) AS first, max(win) AS last, any_value(track) AS track, round(round(arg_max(x, k), 6), 3) AS x FROM mw GROUP BY clip, part"""
+)
 def merged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.merged_windows(framing.camera_lock(framing.window_centers(framing.assign_tracks(faces(spark, sf_dir)), 5)))
+    return framing.merged_windows(locked(spark, sf_dir)).withColumn("x", F.round("x", 3))
 
 
 @query(
