@@ -23,11 +23,13 @@ MARKUP = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b", re.I)
+#: Characters of scripts that are written without spaces; each counts as a word.
+UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Tags that stay inside a block; every other tag ends the block before it.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements with an end tag that hold blocks, so that what they say of their content ends with them.
-HOLDERS = frozenset("address article aside blockquote body button center details dialog div dl fieldset figure footer form head header html label legend main menu nav ol section select span table tbody td tfoot th thead tr ul".split())
+HOLDERS = frozenset("address article aside blockquote body button center details dialog div dl fieldset figure footer form head header html label legend main menu nav ol section select table tbody td tfoot th thead tr ul".split())
 CLUTTER_TAGS = frozenset("aside button dialog fieldset footer form head label legend menu nav option select".split())
 CLUTTER_NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disclaimer disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe tagcloud tags toolbar topbar widget widgets".split()
@@ -37,6 +39,10 @@ CONTENT_NAMES = frozenset("article articlebody body content entry main post stor
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def word_count(text: str) -> int:
+    return len(text.split()) + (0 if text.isascii() else len(UNSPACED.findall(text)))
+
+
 @dataclass
 class Block:
     """One run of text without a block-level tag inside, and what its surroundings say."""
@@ -71,9 +77,29 @@ def surroundings(tag: str, attributes: str, inside: tuple[bool, bool]) -> tuple[
     return clutter, content
 
 
+def muted(tag: str, attributes: str) -> bool:
+    """Whether what an inline element holds is no text of its block: it is hidden, or a span named as clutter."""
+    names = set()
+    for key, value, flag in ATTRIBUTE.findall(attributes):
+        if flag or (key.lower() == "style" and "display:none" in value.replace(" ", "").lower()):
+            return True
+        names |= {x.lower() for x in NAME_PART.findall(value)} if key.lower() != "style" else set()
+    return tag == "span" and bool(names & CLUTTER_NAMES)
+
+
+#: Inline tags without content.
+EMPTY = frozenset("br img input wbr".split())
+
+
+#: Inline elements inside a muted one that are followed; deeper ones end with those around them.
+DEEPEST = 64
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in order."""
+    """The text blocks of a page, in order. What a muted inline element holds goes, up to its end tag or the end of the
+    element around it."""
     out, text, linked, anchors, tag = [], [], [], 0, ""
+    quiet: list[tuple[str, int]] = []  # open inline elements from the first muted one on, and the depth they began at
     stack: list[tuple[str, tuple[bool, bool]]] = [("", (False, False))]
     open_: Counter[str] = Counter()
 
@@ -81,12 +107,14 @@ def blocks(page: str) -> list[Block]:
         words = " ".join("".join(text).split())
         if words:
             clutter, content = stack[-1][1]
-            out.append(Block(words, words.count(" ") + 1, len("".join(linked).split()), clutter, content, tag in HEADINGS, tag == "li"))
+            out.append(Block(words, word_count(words), word_count("".join(linked)), clutter, content, tag in HEADINGS, tag == "li"))
         text.clear(), linked.clear()
 
     for m in MARKUP.finditer(page):
         raw, end, name, attributes, chars = m.groups()
         if chars is not None:
+            if quiet:
+                continue
             chars = html.unescape(chars)
             text.append(chars)
             if anchors:
@@ -95,16 +123,22 @@ def blocks(page: str) -> list[Block]:
             name = name.lower()
             if name == "a":
                 anchors = 0 if end else 1
+                linked.append(" ")
             elif name == "br":
                 text.append(" ")
-            if name in INLINE and not (name == "span" and not end and "=" in attributes):
+            if name in INLINE:
+                if end:
+                    at = next((i for i in range(len(quiet) - 1, -1, -1) if quiet[i][0] == name), None) if quiet else None
+                    if at is not None:
+                        del quiet[at:]
+                elif name not in EMPTY and (quiet or (attributes and muted(name, attributes))) and len(quiet) < DEEPEST:
+                    quiet.append((name, len(stack)))
                 continue
-            if name != "span":
-                flush()
-                tag = "" if end else name
+            flush()
+            tag = "" if end else name
             if name in HOLDERS:
                 if not end:
-                    if name != "span" and not attributes.endswith("/"):
+                    if not attributes.endswith("/"):
                         stack.append((name, surroundings(name, attributes, stack[-1][1])))
                         open_[name] += 1
                 elif open_[name]:
@@ -113,6 +147,8 @@ def blocks(page: str) -> list[Block]:
                         open_[ended] -= 1
                         if ended == name:
                             break
+                    while quiet and quiet[-1][1] > len(stack):
+                        quiet.pop()
                 anchors = 0
     flush()
     return out
