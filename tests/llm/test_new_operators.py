@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
-from dialoom.llm import prefix_trie, token_files, vector_codes
+from dialoom.llm import prefix_trie, token_counts, token_files, vector_codes
 
 PATH = P.path("word_bpe_49k.json")
 TEXTS = "doc_id long, text string"
@@ -229,3 +229,27 @@ def test_prefix_trie_of_nothing_and_a_long_text(spark):
     assert prefix_trie.prefix_trie(spark.createDataFrame([(None, 1, "u", "x")], TALK)).count() == 0
     rows = [(40, 0, "u", "word " * 200_000), (41, 0, "u", "word " * 200_000), (41, 1, None, None), (60, 0, "u", "")]
     assert shown(prefix_trie.prefix_trie(spark.createDataFrame(rows, TALK))) == brute_trie(rows)
+
+
+# ---- the table of frequent pre-tokens of op10
+
+
+def test_frequent_pieces_are_counted_over_all_tasks(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, weights=range(1, 401), k=200)) for _ in range(150)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(40)
+    found = token_counts.frequent_pieces(docs).to_pylist()
+    counts = defaultdict(int)
+    for t in texts:
+        for i, w in enumerate(t.split(" ")):
+            counts[" " * (i > 0) + w] += 1
+    assert [p for p in found if p] == sorted(counts, key=lambda p: (-counts[p], p))
+    assert len(token_counts.frequent_pieces(docs.limit(0))) == 0
+
+
+def test_bounded_counters_keep_the_heaviest():
+    table = pa.table({"piece": ["a", "b", "a", "c", "d"], "n": [1, 5, 3, 4, 4]})
+    assert token_counts.heaviest(table, 3).to_pydict() == {"piece": ["b", "a", "c"], "n": [5, 4, 4]}
+    lengths = token_counts.Lengths(P.path("byte_bpe_50k.json"), token_counts.hash_table(P.path("byte_bpe_50k.json"), pa.array(["hello", " world", "zq"])))
+    assert lengths.of(pa.array([" world", "unknownest", "hello", "zq", ""])).tolist() == token_counts.Lengths(P.path("byte_bpe_50k.json")).encoded([" world", "unknownest", "hello", "zq", ""]).tolist() and "hello" not in lengths.cache
