@@ -65,6 +65,9 @@ MISREAD_MARKERS = ("Ð", "Ñ", "Гђ", "Г‘", "Гѓ", "Г‚", "Гўв‚¬",
 COMMON_RUSSIAN = ("это", "ведь", "правда", "кстати", "теперь", "все", "не", "да", "нет", "что", "как", "с", "на", "я", "ты", "мы", "вы", "он", "она", "они", "словом", "послушай", "смотри")
 COMMON_ENGLISH = ("this", "that", "what", "why", "look", "listen", "now", "okay", "right", "yes", "no", "we", "you", "they", "it")
 
+# Common words that the reports' detector knows.
+REPORT_COMMON = ("это", "ведь", "правда", "теперь", "все", "не", "да", "нет", "что", "как")
+
 # Type names and the stems that decide them, first match wins.
 CONFLICT_TYPES = (
     ("accusation", ("accus", "обвин", "blame", "вина")),

@@ -148,6 +148,41 @@ def looks_misread(text: Column) -> Column:
     return bound(squeeze(text), lambda bare: bound(tokens(bare), lambda words: misread(bare, words)))
 
 
+def cyrillic_share(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\x{0400}-\x{04FF}]", "")) / F.greatest(F.lit(1), F.length(text))
+
+
+def word_runs(text: Column) -> Column:
+    """Lower-case runs of Latin and Russian letters, digits and apostrophes."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[A-Za-zА-Яа-яЁё0-9']+"), F.lit(0))
+
+
+def misread_title(text: Column) -> Column:
+    """How titles are judged: as looks_misread(), but white space stays, a letter before a dash and a stray accented one is a
+    sign too, and a third Cyrillic is one only beside a marker. A null text isn't misread."""
+
+    def judged(words: Column) -> Column:
+        hits, share = occurrences(text, lexicons.MISREAD_MARKERS), cyrillic_share(text)
+        strange = F.size(F.filter(words, lambda w: w.isin(*lexicons.COMMON_RUSSIAN, *lexicons.COMMON_ENGLISH))) == 0
+        leading = occurrences(text, ("Р", "С")) >= F.greatest(F.lit(4), F.floor(F.length(text) / 6))
+        doubtful = strange & (leading | ((hits >= 1) & (share > 0.32) & (F.size(words) >= 2)))
+        return (hits >= 2) | text.rlike("[A-Za-z] — [è÷òàü]") | doubtful | ((F.size(words) <= 2) & (hits >= 1) & (share > 0.25))
+
+    return F.coalesce((text != "") & bound(word_runs(text), judged), F.lit(False))
+
+
+def misread_report(text: Column) -> Column:
+    """How reports judge what they show: two marker hits, or two words or more without a common one that are Cyrillic by
+    more than 0.38. A null text isn't misread."""
+
+    def judged(bare: Column) -> Column:
+        words = word_runs(bare)
+        strange = F.size(F.filter(words, lambda w: w.isin(*lexicons.REPORT_COMMON))) == 0
+        return (bare != "") & ((occurrences(bare, lexicons.MISREAD_MARKERS) >= 2) | (strange & (cyrillic_share(bare) > 0.38) & (F.size(words) >= 2)))
+
+    return F.coalesce(bound(squeeze(text), judged), F.lit(False))
+
+
 def odd(bare: Column, words: Column, share: Column) -> Column:
     """suspicious() of a squeezed text with its tokens, of which so large a share is distinct."""
     return (bare == "") | (F.size(words) == 0) | (share < 0.35) | bare.rlike(r"(.)\1{4,}") | misread(bare, words)

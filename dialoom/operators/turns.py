@@ -33,3 +33,20 @@ def silence_spans(turns: DataFrame, totals: DataFrame | None = None) -> DataFram
         last = turns.groupBy("source_id").agg(F.max_by("end_ms", "turn_id").alias("start_ms")).join(totals, "source_id")
         gaps = gaps.unionByName(last.select("source_id", "start_ms", F.col("total_ms").alias("end_ms")))
     return gaps.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms")).where("duration_ms > 0")
+
+
+def speaker_timeline(segments: DataFrame, from_ms: int, to_ms: int, near_ms: int = 300) -> DataFrame:
+    """(source_id, turn_no, start_ms, end_ms, speaker, text) of segments(source_id, seg_idx, start_ms, end_ms, text, speaker)
+    within a range of time, cut to it; consecutive segments of one speaker less than near_ms apart are one turn.
+
+    A segment without a speaker is an unknown one of its own, never the one before it. A missing end is half a second after
+    the start, which is 0 where it is missing."""
+    start = F.greatest(F.lit(from_ms), F.coalesce("start_ms", F.lit(0)))
+    end = F.least(F.lit(to_ms), F.coalesce("end_ms", start + 500))
+    who = F.coalesce(F.nullif(F.col("speaker"), F.lit("")), F.concat(F.lit("unknown_turn_"), F.col("seg_idx").cast("string")))
+    inside = segments.select("source_id", "seg_idx", start.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"), who.alias("speaker"), F.coalesce("text", F.lit("")).alias("text")).where((F.col("end_ms") > F.col("start_ms")) & (F.col("start_ms") < to_ms))
+    order = Window.partitionBy("source_id").orderBy("seg_idx")
+    follows = (F.col("speaker") == F.lag("speaker").over(order)) & (F.col("start_ms") - F.lag("end_ms").over(order) < near_ms)
+    marked = inside.withColumn("turn_no", F.sum((~F.coalesce(follows, F.lit(False))).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), " ")
+    return marked.groupBy("source_id", "turn_no").agg(F.min_by("start_ms", "seg_idx").alias("start_ms"), F.max_by("end_ms", "seg_idx").alias("end_ms"), F.first("speaker").alias("speaker"), said.alias("text"))

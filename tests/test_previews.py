@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.functions import visual
-from dialoom.operators import framing, ranking, story
+from dialoom.functions import text, visual
+from dialoom.operators import framing, ranking, story, turns
 
 
 def scored(spark, column):
@@ -51,3 +51,16 @@ def test_reject_paths_read_reports_and_warnings(spark):
     found = {r.reason: (r.n, r.sources) for r in ranking.reject_paths(rejected, warnings).collect()}
     assert found == {"insufficient_context": (2, 2), "subtitle_timeout": (1, 1), "low_story_quality": (2, 1), "starts_mid_phrase": (1, 1)}
     assert scored(spark, ranking.quality_governor()) == "accept"
+
+
+def test_three_detectors_differ(spark):
+    texts = [None, "", "plain words", "Гђ Гђ two", "привет страна", "это привет страна", "Гђ привет страна моя", "wait — è", "РРРР ССС", "привет"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.misread_title(F.col("t")).alias("a"), text.misread_report(F.col("t")).alias("b"), text.looks_misread(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [i for i, r in enumerate(rows) if r.a] == [3, 6, 7, 8] and [i for i, r in enumerate(rows) if r.b] == [3, 4, 6, 8]
+    assert rows[4].c and rows[6].c and not rows[5].c and not rows[7].c
+
+
+def test_speakers_that_are_missing_are_not_merged(spark):
+    seg = [(1, 0, 0, 900, "a", "x"), (1, 1, 1_000, 2_000, "b", "x"), (1, 2, 2_299, 3_000, "c", "x"), (1, 3, 3_300, 4_000, "d", "x"), (1, 4, 4_000, 5_000, "e", None), (1, 5, 5_000, 6_000, "f", ""), (1, 6, 9_000, 9_900, "g", "y"), (1, 7, 6_100, None, None, "y"), (1, 8, 6_700, 6_700, "h", "y")]
+    found = turns.speaker_timeline(spark.createDataFrame(seg, "source_id long, seg_idx long, start_ms long, end_ms long, text string, speaker string"), 1_500, 8_000)
+    assert sorted(tuple(r)[2:] for r in found.collect()) == [(1_500, 3_000, "x", "b c"), (3_300, 4_000, "x", "d"), (4_000, 5_000, "unknown_turn_4", "e"), (5_000, 6_000, "unknown_turn_5", "f"), (6_100, 6_600, "y", "")]
