@@ -277,9 +277,9 @@ def story_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "block_no", "arc_shape", "conflict_type", "completion_score", "is_complete", "start_ms", "end_ms", "fragments", "title_seed", "hook_type", "payoff_type", "topic_phrase", "context_completeness", "confidence")
 
 
-@query(f"WITH RECURSIVE {folded(EXTENDED)} SELECT source_id, block_no, extended, payoff_block, end_ms, arc_shape, completion_score, is_complete FROM ext")
+@query(f"WITH RECURSIVE {folded(EXTENDED)} SELECT source_id, block_no, extended, coalesce(payoff_block, -1) AS payoff_block, end_ms, arc_shape, completion_score, is_complete FROM ext")
 def payoff_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extended(spark, sf_dir).select("source_id", "block_no", "extended", "payoff_block", "end_ms", "arc_shape", "completion_score", "is_complete")
+    return extended(spark, sf_dir).fillna(-1, ["payoff_block"]).select("source_id", "block_no", "extended", "payoff_block", "end_ms", "arc_shape", "completion_score", "is_complete")
 
 
 @query(
@@ -365,27 +365,71 @@ def caption_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("first_line_words is not null")
 
 
-@query()
+def sql_tidy(said: str) -> str:
+    return rf"replace(regexp_replace({squeezed(said)}, ' +([,.:;!?])', '\1', 'g'), ' - ', ' ')"
+
+
+#: Segments in the order in which captions are walked.
+EVENTS = f"""{SEGMENTS}, ev AS (SELECT source_id::VARCHAR AS source_id, start_ms, end_ms, text, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, text) AS k FROM seg)"""
+#: Each event with its times and state, and what becomes of the end of the one before it.
+STEADY = f"""{EVENTS}, d AS (SELECT *, greatest(0, start_ms) // 10 * 10 AS a, greatest(greatest(0, start_ms) // 10 * 10 + 10, (end_ms + 9) // 10 * 10) AS z FROM ev),
+    st AS (SELECT source_id, k, a AS s, z AS e, text, 'show_phrase' AS state, NULL::BIGINT AS before_ FROM d WHERE k = 1
+      UNION ALL SELECT source_id, k, now_, CASE WHEN z <= now_ THEN now_ + 120 ELSE z END, text, CASE WHEN gap > 0 AND gap <= 900 THEN changed WHEN gap > 0 AND age >= 2200 THEN 'show_phrase' WHEN gap > 0 AND gap <= 1200 THEN changed WHEN gap > 0 AND gap <= 4000 THEN 'replace_phrase' ELSE 'show_phrase' END,
+        CASE WHEN gap > 0 AND gap <= 900 THEN now_ WHEN gap > 0 AND age >= 2200 THEN now_ WHEN gap > 0 AND gap <= 1200 THEN least(now_, e + 480) WHEN gap > 0 AND gap <= 4000 THEN now_ ELSE e END
+      FROM (SELECT d.*, greatest(d.a, st.e) AS now_, greatest(d.a, st.e) - st.e AS gap, st.e - st.s AS age, st.e, CASE WHEN d.text <> st.text THEN 'replace_phrase' ELSE 'hold_phrase' END AS changed FROM st JOIN d ON d.source_id = st.source_id AND d.k = st.k + 1)),
+    steady AS (SELECT source_id, k - 1 AS nth, s AS start_ms, coalesce(lead(before_) OVER (PARTITION BY source_id ORDER BY k), e) AS end_ms, text, state FROM st)"""
+
+
+@query(
+    f"WITH RECURSIVE {STEADY} SELECT * FROM steady"
+)
 def timeline_stabilize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.stable_timeline(segments(spark, sf_dir))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {STEADY} SELECT source_id, count(*) AS events, count(*) FILTER (state = 'replace_phrase') AS replaced, round(quantile_cont((end_ms - start_ms)::DOUBLE, 0.95), 4) AS hold_p95_ms FROM steady GROUP BY source_id"
+)
 def timeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.timeline_stats(captions.stable_timeline(segments(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EVENTS}, sq AS (SELECT source_id, start_ms, end_ms, {squeezed("text")} AS t FROM ev), sk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, t) AS k FROM sq WHERE t <> ''),
+    ma AS (SELECT source_id, k, start_ms AS s, end_ms AS e, t, 1 AS part FROM sk WHERE k = 1
+      UNION ALL SELECT source_id, k, CASE WHEN j THEN s ELSE start_ms END, CASE WHEN j THEN greatest(e, end_ms) ELSE end_ms END, CASE WHEN j THEN m || ' ' || t ELSE t END, CASE WHEN j THEN part ELSE part + 1 END
+      FROM (SELECT sk.*, ma.s, ma.e, ma.t AS m, ma.part, sk.start_ms - ma.e <= 220 AND least(length(ma.t), length(sk.t)) <= 28 AND length(ma.t) + length(sk.t) <= 52 AND NOT regexp_matches(ma.t, '[.!?…]$') AS j FROM ma JOIN sk ON sk.source_id = ma.source_id AND sk.k = ma.k + 1)),
+    mb AS (SELECT source_id, arg_max(s, k) AS start_ms, arg_max(e, k) AS end_ms, arg_max(t, k) AS t FROM ma GROUP BY source_id, part), mk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, t) AS k FROM mb),
+    mc AS (SELECT source_id, k, start_ms AS s, end_ms AS e, t, 1 AS part FROM mk WHERE k = 1
+      UNION ALL SELECT source_id, k, CASE WHEN j THEN s ELSE start_ms END, CASE WHEN j THEN greatest(e, end_ms) ELSE end_ms END, CASE WHEN j THEN m || ' ' || t ELSE t END, CASE WHEN j THEN part ELSE part + 1 END
+      FROM (SELECT mk.*, mc.s, mc.e, mc.t AS m, mc.part, mk.start_ms - mc.e <= 1000 AND len(string_split(mc.t || ' ' || mk.t, ' ')) <= 12 AND NOT regexp_matches(mc.t, '[.!?…]$') AS j FROM mc JOIN mk ON mk.source_id = mc.source_id AND mk.k = mc.k + 1))
+    SELECT source_id, part - 1 AS nth, arg_max(s, k) AS start_ms, arg_max(e, k) AS end_ms, arg_max(t, k) AS text FROM mc GROUP BY source_id, part"""
+)
 def caption_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.short_silences(captions.merged_segments(segments(spark, sf_dir)))
 
 
-@query()
+#: Words of segments with shared-out times, and the sentences that they are cut into, by walking each source.
+SENTENCES = f"""{SEGMENTS}, wl AS (SELECT source_id::VARCHAR AS source_id, start_ms, end_ms, string_split({sql_tidy("text")}, ' ') AS l FROM seg),
+    wv AS (SELECT source_id, start_ms + (end_ms - start_ms) * (i - 1) // len(l) AS s, start_ms + (end_ms - start_ms) * i // len(l) AS e, l[i] AS w FROM wl, unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] <> ''),
+    wk AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY s, e, w) AS k, regexp_matches(w, '[.!?…]$') AS stop, regexp_matches(w, '[,;:]$') AS soft FROM wv),
+    wr AS (SELECT source_id, k, s, e, w, 1 AS n, 0::BIGINT AS nth, stop AS done FROM wk WHERE k = 1
+      UNION ALL SELECT source_id, k, s, e, w, m, CASE WHEN fresh THEN nth + 1 ELSE nth END, stop OR (soft AND m >= 4) OR m >= 8
+      FROM (SELECT wk.*, wr.nth, wr.done OR wk.s - wr.e >= 450 AS fresh, CASE WHEN wr.done OR wk.s - wr.e >= 450 THEN 1 ELSE wr.n + 1 END AS m FROM wr JOIN wk ON wk.source_id = wr.source_id AND wk.k = wr.k + 1)),
+    sen AS (SELECT source_id, nth, arg_min(s, k) AS start_ms, arg_max(e, k) AS end_ms, string_agg(w, ' ' ORDER BY k) AS text, list(w ORDER BY k) AS l FROM wr GROUP BY source_id, nth)"""
+
+
+@query(
+    f"WITH RECURSIVE {SENTENCES} SELECT source_id, nth, start_ms, end_ms, text FROM sen"
+)
 def caption_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.sentences(captions.word_events(segments(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SENTENCES} SELECT source_id, nth, i - 1 AS k, start_ms + (end_ms - start_ms) * (i - 1) // len(l) AS start_ms, start_ms + (end_ms - start_ms) * i // len(l) AS end_ms, array_to_string(list_transform(l, lambda w, j: CASE WHEN j = i THEN '[' || w || ']' ELSE w END), ' ') AS text
+    FROM sen, unnest(range(1, len(l) + 1)) AS u(i)"""
+)
 def highlight_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.highlight_events(captions.sentences(captions.word_events(segments(spark, sf_dir))))
 
@@ -410,10 +454,6 @@ def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken(spark, sf_dir).select("source_id", "turn_id", F.array_join(words, " ").alias("text"))
 
 
-def sql_tidy(said: str) -> str:
-    return rf"replace(regexp_replace({squeezed(said)}, ' +([,.:;!?])', '\1', 'g'), ' - ', ' ')"
-
-
 def sql_capital(said: str) -> str:
     return f"upper({said}[1:1]) || {said}[2:]"
 
@@ -456,7 +496,14 @@ def subtitle_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("keywords", F.array_join("keywords", ","))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SEGMENTS}, wl AS (SELECT source_id::VARCHAR AS source_id, seg_idx AS segment, start_ms, end_ms, string_split({sql_tidy("text")}, ' ') AS l FROM seg),
+    wk AS (SELECT source_id, segment, i AS k, start_ms + (end_ms - start_ms) * (i - 1) // len(l) AS s, start_ms + (end_ms - start_ms) * i // len(l) AS e, l[i] AS w, length(array_to_string(l, ' ')) > 52 AS whole FROM wl, unnest(range(1, len(l) + 1)) AS u(i) WHERE l[i] <> ''),
+    wr AS (SELECT *, length(w) AS size, 1 AS n, 0::BIGINT AS piece, whole AND ((length(w) >= 26 AND regexp_matches(w, '[.!?,;:]$')) OR length(w) >= 52) AS done FROM wk WHERE k = 1
+      UNION ALL SELECT source_id, segment, k, s, e, w, whole, z, m, CASE WHEN done THEN piece + 1 ELSE piece END, whole AND ((z >= 26 AND regexp_matches(w, '[.!?,;:]$')) OR z >= 52 OR m >= 14)
+      FROM (SELECT wk.*, wr.piece, wr.done, CASE WHEN wr.done THEN length(wk.w) ELSE wr.size + length(wk.w) + 1 END AS z, CASE WHEN wr.done THEN 1 ELSE wr.n + 1 END AS m FROM wr JOIN wk ON wk.source_id = wr.source_id AND wk.segment = wr.segment AND wk.k = wr.k + 1))
+    SELECT source_id, segment, piece, arg_min(s, k) AS start_ms, arg_max(e, k) AS end_ms, string_agg(w, ' ' ORDER BY k) AS text FROM wr GROUP BY source_id, segment, piece"""
+)
 def caption_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long segments cut into pieces of their words."""
     seg = segments(spark, sf_dir)

@@ -263,10 +263,10 @@ def face_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts AS (SELECT tr.*, r[1] AS one, r[2] AS two, list_filter(r, lambda f: f.o = -an.track)[1] AS own FROM tr JOIN an USING (clip)),
     tp AS (SELECT *, two IS NOT NULL AND abs(one.x - two.x) >= 0.14::DOUBLE AND least(one.area, two.area) >= greatest(one.area, two.area) * 0.35::DOUBLE AND abs(one.speaking - two.speaking) <= 0.12::DOUBLE AS pair,
       CASE WHEN own IS NOT NULL AND NOT (one.speaking >= own.speaking + 0.14::DOUBLE OR one.rank >= own.rank + 0.12::DOUBLE) THEN own ELSE one END AS pick FROM ts)
-    SELECT clip, win AS "window", CASE WHEN pair THEN 'pair' WHEN pick.o = one.o THEN 'best' ELSE 'dominant' END AS kind, CASE WHEN NOT pair THEN -pick.o END AS track, round(CASE WHEN pair THEN (one.x + two.x) / 2.0 ELSE pick.x END, 4) AS x, round(CASE WHEN pair THEN (one.y + two.y) / 2.0 ELSE pick.y END, 4) AS y FROM tp"""
+    SELECT clip, win AS "window", CASE WHEN pair THEN 'pair' WHEN pick.o = one.o THEN 'best' ELSE 'dominant' END AS kind, CASE WHEN pair THEN -1 ELSE -pick.o END AS track, round(CASE WHEN pair THEN (one.x + two.x) / 2.0 ELSE pick.x END, 4) AS x, round(CASE WHEN pair THEN (one.y + two.y) / 2.0 ELSE pick.y END, 4) AS y FROM tp"""
 )
 def window_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.window_targets(tracks(spark, sf_dir)[0], 5)
+    return framing.window_targets(tracks(spark, sf_dir)[0], 5).fillna(-1, ["track"])
 
 
 CENTERS = f"""wb AS (SELECT clip, t // 5 AS win, track, arg_max({{'x': x, 'y': y, 'p': p}}, (p, -t, -face)) AS b FROM (SELECT *, {PRIORITY} AS p FROM tk) GROUP BY ALL),
