@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons, sql
 from ..operators import turns
-from ..sources import adapters, metadata
+from ..sources import adapters, files, metadata
 from .intervals import HOUR, TOTALS
 from .registry import INTERVALS, SEGMENTS, TURN_TYPE, TURNS, query, score, squeezed
 
@@ -90,3 +90,11 @@ def caption_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.pmod("source_id", F.lit(5))
     text = F.when(kind == 4, F.lit("not json")).when(kind < 2, F.to_json(F.col("segments"))).otherwise(F.to_json(F.struct("segments")))
     return metadata.caption_reports(each.select(F.col("source_id").cast("string").alias("stem"), metadata.parsed(text).alias("value")))
+
+
+@query(
+    f"""WITH {SEGMENTS}, t AS (SELECT source_id, max(end_ms) AS total_ms FROM seg GROUP BY source_id)
+    SELECT source_id, g.s AS start_ms, least(total_ms, g.s + 5000) AS end_ms, '...' AS text FROM (SELECT source_id, total_ms, unnest(range(0, total_ms, 5000)) AS s FROM t WHERE total_ms > 0) g"""
+)
+def placeholder_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.placeholder_cues(adapters.segments(spark, sf_dir).groupBy("source_id").agg(F.max("end_ms").alias("total_ms")))

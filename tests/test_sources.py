@@ -79,6 +79,14 @@ def test_srt_stream_reads_new_files(spark, tmp_path):
         q.stop()
 
 
+def test_video_files_are_listed_without_reading(spark, tmp_path):
+    from dialoom.sources import files
+
+    for name in ("b.mp4", "a.MKV", "c.txt", "d.mov.part"):
+        (tmp_path / name).write_bytes(b"x" * 3)
+    assert [(r.path.rsplit("/", 1)[1], r.length) for r in files.video_files(spark, str(tmp_path)).collect()] == [("a.MKV", 3), ("b.mp4", 3)]
+
+
 def test_incremental_runs_read_only_what_is_new(spark, tmp_path):
     data, store, worked = tmp_path / "data", str(tmp_path / "store"), []
     data.mkdir()
