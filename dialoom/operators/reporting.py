@@ -82,11 +82,14 @@ def session_trend(sessions: DataFrame, columns: list[str]) -> DataFrame:
     """(metric, early, recent, delta): means of the first and last thirds of sessions by created_at, as text; no rows
     for fewer than three. Metrics that either third lacks are left out.
 
-    Sessions are ranked by counts of created_at, of which there is one a run, so only these counts are in one order."""
+    Sessions are ranked by counts of created_at, which are summed up month by month (by the first seven characters), so only
+    the sums of months are in one order."""
     dated = sessions.where("created_at is not null and created_at <> ''")
-    stamps = dated.groupBy("created_at").agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, 0))
-    stamps = beside(stamps.withColumn("__upto", upto), stamps.agg(F.sum("__n").alias("__of"))).where("__of >= 3")
+    stamps = dated.groupBy("created_at").agg(F.count("*").alias("__n")).withColumn("__month", F.substring("created_at", 1, 7))
+    earlier = F.coalesce(F.sum("__k").over(Window.orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    months = stamps.groupBy("__month").agg(F.sum("__n").alias("__k")).select("__month", earlier.alias("__before"))
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy("__month").orderBy("created_at").rowsBetween(Window.unboundedPreceding, 0))
+    stamps = beside(stamps.join(months, "__month").withColumn("__upto", upto), stamps.agg(F.sum("__n").alias("__of"))).where("__of >= 3")
     tied = F.row_number().over(Window.partitionBy("created_at").orderBy(*columns)) - 1
     placed = dated.withColumn("__tied", tied).join(stamps, "created_at").withColumn("__nth", F.col("__upto") - F.col("__n") + F.col("__tied") + 1)
     third = F.floor(F.col("__of") / 3)
