@@ -225,7 +225,7 @@ def shorten(text: Column, most: int, ending: str = "") -> Column:
 
 
 def capitalise(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 
 
 def collapse_marks(text: Column) -> Column:

@@ -186,12 +186,15 @@ def keywords(rows: DataFrame, by: list[str], words: Column, stop_words: tuple[st
 MOOD_TAGS = {"tension": "#tension", "reveal": "#reveal", "humor": "#humor", "drama": "#drama", "conversation": "#dialogue"}
 
 
+#: Stems of moods, the first that a text holds wins.
+MOOD_STEMS = (
+    ("tension", ("убью", "стой", "ужас", "страш", "труп", "кров")), ("reveal", ("почему", "зачем", "смотри", "слушай", "послушай", "правда")), ("humor", ("ха", "смеш", "шут", "улыб", "прикол")),
+)
+
+
 def title_mood(text: Column, score: Column) -> Column:
     """tension, reveal or humor by stems, else drama from a score of 0.75 on, else conversation."""
-    stems = (
-        ("tension", ("убью", "стой", "ужас", "страш", "труп", "кров")), ("reveal", ("почему", "зачем", "смотри", "слушай", "послушай", "правда")), ("humor", ("ха", "смеш", "шут", "улыб", "прикол")),
-    )
-    return first_type(text, stems, F.when(score >= 0.75, "drama").otherwise("conversation"))
+    return first_type(text, MOOD_STEMS, F.when(score >= 0.75, "drama").otherwise("conversation"))
 
 
 def hook_seed(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons, repair, text
 from ..operators import packaging, ranking, reporting, summary
 from ..sources.adapters import COUNTS, FLAGS, LACKING, SCORES, records, table
-from .registry import file_name, hits, listed, query, score, squeezed
+from .registry import cascade, file_name, hits, listed, query, quoted, score, squeezed
 
 NAMES = ("HOOK", "CONFLICT", "ESCALATION", "EMOTION", "PAYOFF")
 
@@ -418,7 +418,16 @@ def starvation_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasons.groupBy(ranking.starvation_bucket(F.col("reason")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query()
+MOODS = f"CASE mood {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in packaging.MOOD_TAGS.items())} END"
+BARE = f"""regexp_replace(regexp_replace(replace(regexp_replace({WHOLE}, ' +([,.:;!?])', '\\1', 'g'), ' - ', ' '), '^(?i:(?:(?:{'|'.join(packaging.FILLERS)}) [ ,:;\\-—]*)+)', ''), '^[ ,:;\\-—]+|[ ,:;\\-—]+$', '', 'g')"""
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, text, {BARE} AS b, {cascade("text", packaging.MOOD_STEMS, "CASE WHEN doc_id % 2 >= 0.75 THEN 'drama' ELSE 'conversation' END")} AS mood, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[A-Za-zЀ-ӿ0-9'']+'), lambda w: length(w) >= 4) AS w FROM documents),
+    t AS (SELECT *, CASE WHEN length(b) > 84 AND regexp_extract(b, '^(.{{18,71}}?[.!?—,;:-])', 1) <> '' THEN regexp_extract(b, '^(.{{18,71}}?[.!?—,;:-])', 1) ELSE b END AS c, list_filter(w, lambda x, i: list_position(w, x) = i)[1:4] AS d FROM s),
+    u AS (SELECT *, list_filter(list_append(list_transform(d, lambda x: '#' || nullif(regexp_replace(x, '[^\p{{L}}\p{{N}}_]+', '', 'g'), '')), {MOODS}), lambda x: x IS NOT NULL) AS g FROM t)
+    SELECT doc_id, upper(c[1:1]) || c[2:] AS seed, mood, array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i)[1:3], ' ') AS tags FROM u"""
+)
 def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hook seed, mood and keyword hashtags of each document."""
     docs = table(spark, sf_dir, "documents")
