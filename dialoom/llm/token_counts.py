@@ -15,9 +15,9 @@ from .common import hash_strings, materialize, slices
 
 #: Size of the broadcast table of frequent pre-tokens, and of a worker's cache of the others. The table only saves work: every
 #: count is exact whatever it holds.
-FREQUENT, CACHED = 50_000, 100_000
+FREQUENT, CACHED = 50_000, 300_000
 #: Pre-tokens that a task counts at most before it drops the rarest, those it tells of, and tasks' tables merged at a time.
-COUNTED, TOLD, MERGED = 200_000, 20_000, 16
+COUNTED, TOLD, MERGED = 60_000, 20_000, 16
 #: Texts that aren't cut at single spaces: they hold an added token, or white space before a space.
 UNCUT = r"\s |[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |<\|endoftext\|>"
 
