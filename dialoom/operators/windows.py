@@ -50,7 +50,7 @@ def stitched(windows: DataFrame, gap_ms: int = 72_000, most: int = 4, longest_ms
     near = rows.select("source_id", "own", row.alias("key"), F.lag(row).over(order).alias("prior"), *(r.alias(f"r{k}") for k, r in enumerate(after))).where("own")
     n: Column = F.lit(most)
     for k in range(most - 1, 0, -1):  # the count of windows, if the kth doesn't join those before
-        a, b, end = F.col(f"r{k - 1}"), F.col(f"r{k}"), F.greatest(*(F.col(f"r{i}.end_ms") for i in range(k + 1))) if k else F.col("r0.end_ms")
+        a, b, end = F.col(f"r{k - 1}"), F.col(f"r{k}"), F.greatest(*(F.col(f"r{i}.end_ms") for i in range(k + 1)))
         n = F.when(b.isNull() | apart(a, b) | (end - F.col("r0.start_ms") > longest_ms), k).otherwise(n)
     near = near.withColumn("n", n).withColumn("all", F.array(*(F.col(f"r{k}") for k in range(most + 1))))
     last, to = F.get("all", F.col("n") - 1), F.get("all", F.col("n"))
