@@ -88,7 +88,7 @@ class TokenFile:
         self.payload, self.held = start + len(rest), OrderedDict()
         self.number = {int(s): k for k, s in enumerate(self.symbols)}
 
-    def unpacked(self, level: int, blob: bytes, block: int) -> np.ndarray:
+    def unpacked(self, blob: bytes, block: int) -> np.ndarray:
         bits = min(BLOCK, self.size - block * BLOCK)
         raw = -(-bits // 8)
         return np.frombuffer(blob if len(blob) == raw else ZSTD.decompress(blob, raw, asbytes=True), np.uint8)
@@ -99,7 +99,7 @@ class TokenFile:
         if key not in self.held:
             k = level * self.blocks + block
             blob = self.source.read_at(int(self.places[k + 1] - self.places[k]), self.payload + int(self.places[k]))
-            self.held[key] = self.unpacked(level, blob, block)
+            self.held[key] = self.unpacked(blob, block)
             if len(self.held) > KEPT_BLOCKS:
                 self.held.popitem(last=False)
         self.held.move_to_end(key)
@@ -172,7 +172,7 @@ class TokenFile:
             k = level * self.blocks
             blob = self.source.read_at(int(self.places[k + self.blocks] - self.places[k]), self.payload + int(self.places[k]))
             cut = (self.places[k : k + self.blocks + 1] - self.places[k]).tolist()
-            plane = np.concatenate([self.unpacked(level, blob[a:b], block) for block, (a, b) in enumerate(zip(cut, cut[1:]))])
+            plane = np.concatenate([self.unpacked(blob[a:b], block) for block, (a, b) in enumerate(zip(cut, cut[1:]))])
             bit = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
             upper = np.empty_like(code)
             np.place(upper, ~bit, code[: self.zeros[level]])
