@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import attrgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,12 +25,12 @@ def assign_tracks(faces: DataFrame, reach: float = 0.18, memory: int = 12, cuts:
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         tracks: dict[int, dict] = {}
         number, out = 1, []
-        for _, frame in pdf.sort_values(["t", "face"]).groupby("t", sort=True):
-            used: set[int] = set()
-            if frame["cut"].iloc[0]:
+        for _, rows in groupby(pdf.sort_values(["t", "face"]).itertuples(index=False), attrgetter("t")):
+            frame, used = list(rows), set()
+            if frame[0].cut:
                 for v in tracks.values():
                     v["missed"] = min(3, v["missed"] + 1)
-            for f in frame.itertuples(index=False):
+            for f in frame:
                 gaps = {k: ((f.x - v["x"]) ** 2 + (f.y - v["y"]) ** 2) ** 0.5 + abs(f.w * f.h - v["a"]) * 0.35 for k, v in tracks.items() if k not in used}
                 near = min(gaps, key=gaps.get, default=None)
                 if near is None or gaps[near] > reach:
