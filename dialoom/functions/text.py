@@ -224,8 +224,16 @@ def shorten(text: Column, most: int, ending: str = "") -> Column:
     return F.when(F.length(bare) <= most, bare).otherwise(F.concat(F.when(cut != "", cut).otherwise(head), F.lit(ending)))
 
 
+#: Letters whose capital upper() gives as two letters, and the one letter that is their capital, where there is one.
+CAPITALS = {"ß": "ẞ"} | {c: c.title() for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > 1 and len(c.title()) == 1}
+
+
 def capitalise(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+    """With a capital first, one letter for one: a letter that has none stays."""
+    first = F.translate(F.substring(text, 1, 1), "".join(CAPITALS), "".join(CAPITALS.values()))
+    capital = F.upper(first)
+    shown = F.when(F.length(capital) == F.length(first), capital).otherwise(first)
+    return F.concat(shown, F.substring(text, F.lit(2), F.length(text)))
 
 
 def collapse_marks(text: Column) -> Column:

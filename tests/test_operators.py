@@ -205,3 +205,10 @@ def test_overlap_limited_and_remap_gather_no_source(spark):
     before = lambda t: sum(max(0, min(t, e) - s) for _, s, e in cuts)
     moved = {(s, i, a - before(a), b - before(b)) for s, i, a, b, _ in rows if s == 1 and b - before(b) > a - before(a)} | {(2, 1, 5, 5), (2, 2, 5, 5)}
     assert {(r.source_id, r.id, r.start_ms, r.end_ms) for r in taken.collect()} == moved
+
+
+def test_a_capital_is_one_letter(spark):
+    """As in DuckDB; upper() alone gives 'SS', 'ʼN' or 'ΑΙ'."""
+    texts = spark.createDataFrame([("ßheit",), ("ŉ x",), ("ᾳb",), ("éa",), ("",), ("ẞa",)], "t string")
+    assert [r[0] for r in texts.select(text.capitalise(F.col("t"))).collect()] == ["ẞheit", "ŉ x", "ᾼb", "Éa", "", "ẞa"]
+    assert texts.select(packaging.hook_seed(F.col("t"))).first()[0] == "ẞheit"
