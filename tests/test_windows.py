@@ -170,3 +170,9 @@ def test_single_block_is_not_compacted(spark):
     rows = [(1, 1, 7_600, 8_100, None), (1, 2, 8_200, 8_800, None), (2, 1, 0, 500, [(0, 400, "a")]), (2, 2, 5_000, 5_500, [(5_100, 5_400, "b")])]
     found = {(r.source_id, r.id): (r.start_ms, r.end_ms, r.changed, r.removed_ms, r.words and [tuple(w) for w in r.words]) for r in iv.compacted(spark.createDataFrame(rows, WORDS), 1_000).collect()}
     assert found[1, 1] == (7_600, 8_100, False, 0, None) and found[2, 1] == (0, 500, True, 4_500, [(0, 400, "a")]) and found[2, 2] == (500, 1_000, True, 4_500, [(600, 900, "b")])
+
+
+def test_an_empty_cut_takes_nothing_away(spark):
+    kind = "source_id long, start_ms long, end_ms long"
+    whole, cuts = [(1, 0, 100)], [(1, 10, 20), (1, 50, 50), (1, 80, 90)]
+    assert shown(iv.keep_list(spark.createDataFrame(whole, kind), spark.createDataFrame(cuts, kind), 7)) == [(1, 0, 10), (1, 20, 80), (1, 90, 100)]
