@@ -1,69 +1,67 @@
 """Caption events: merging, sentences, word highlights and a timeline without flicker.
 
-What a row becomes depends on the rows before it, so each source's events are walked in one group; a source is an
-episode, with some thousand events at most."""
+What a row becomes depends on the rows before it, so each source's events are walked in order by one task."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import caption_lines, drop_repeats, suspicious, tidy
+from . import walks
 
 END = (".", "!", "?", "…")
-EVENT = "source_id string, nth int, start_ms long, end_ms long, text string"
+Event = tuple[int, int, str]
 
 
-def walked(events: DataFrame, walk: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """events(source_id, start_ms, end_ms, text) through `walk`, per source, in order of time."""
+def walked(events: DataFrame, walk: Callable[[Iterator[Event]], Iterator[tuple]], **more: str) -> DataFrame:
+    """events(source_id, start_ms, end_ms, text) through `walk`, per source, in order of time; numbered by nth."""
     narrow = events.select(F.col("source_id").cast("string"), F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), "text")
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start_ms", "end_ms", "text"]).to_dict("records")
-        out = pd.DataFrame(walk(rows), columns=[x.split()[0] for x in schema.split(", ")[2:]])
-        out.insert(0, "source_id", pdf["source_id"].iloc[0])
-        out.insert(1, "nth", range(len(out)))
-        return out
-
-    return narrow.groupBy("source_id").applyInPandas(group, schema)
+    numbered = lambda rows: ((i, *r) for i, r in enumerate(walk(rows)))
+    return walks.walked(narrow, ["source_id"], ["start_ms", "end_ms", "text"], numbered, {"nth": "int", "start_ms": "long", "end_ms": "long", "text": "string", **more})
 
 
 def merged_segments(events: DataFrame, gap_ms: int = 220, short: int = 28, most: int = 52) -> DataFrame:
     """Neighbours at most gap_ms apart as one segment, if one is short, both fit `most` characters and the first
     doesn't end a sentence."""
 
-    def walk(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for row in ({**r, "text": " ".join((r["text"] or "").split())} for r in rows):
-            last = out[-1] if out else None
-            if not row["text"]:
+    def walk(rows: Iterator[Event]) -> Iterator[Event]:
+        last = None
+        for start, end, text in ((a, b, " ".join((t or "").split())) for a, b, t in rows):
+            if not text:
                 continue
-            if last and row["start_ms"] - last["end_ms"] <= gap_ms and min(len(last["text"]), len(row["text"])) <= short and len(last["text"]) + len(row["text"]) <= most and not last["text"].endswith(END):
-                last["end_ms"], last["text"] = max(last["end_ms"], row["end_ms"]), f"{last['text']} {row['text']}"
+            if last and start - last[1] <= gap_ms and min(len(last[2]), len(text)) <= short and len(last[2]) + len(text) <= most and not last[2].endswith(END):
+                last = (last[0], max(last[1], end), f"{last[2]} {text}")
             else:
-                out.append(row)
-        return out
+                if last:
+                    yield last
+                last = (start, end, text)
+        if last:
+            yield last
 
-    return walked(events, walk, EVENT)
+    return walked(events, walk)
 
 
 def short_silences(events: DataFrame, keep_ms: int = 1_000, words: int = 12) -> DataFrame:
     """Neighbours at most keep_ms apart as one segment of at most `words` words, unless the first ends a sentence."""
 
-    def walk(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for row in rows:
-            last = out[-1] if out else None
-            if last and row["start_ms"] - last["end_ms"] <= keep_ms and len(f"{last['text']} {row['text']}".split()) <= words and not last["text"].strip().endswith(END):
-                last["end_ms"], last["text"] = max(last["end_ms"], row["end_ms"]), " ".join(f"{last['text']} {row['text']}".split())
+    def walk(rows: Iterator[Event]) -> Iterator[Event]:
+        last = None
+        for start, end, text in rows:
+            if last and start - last[1] <= keep_ms and len(f"{last[2]} {text}".split()) <= words and not last[2].strip().endswith(END):
+                last = (last[0], max(last[1], end), " ".join(f"{last[2]} {text}".split()))
             else:
-                out.append(dict(row))
-        return out
+                if last:
+                    yield last
+                last = (start, end, text)
+        if last:
+            yield last
 
-    return walked(events, walk, EVENT)
+    return walked(events, walk)
 
 
 def word_events(events: DataFrame) -> DataFrame:
@@ -77,25 +75,25 @@ def word_events(events: DataFrame) -> DataFrame:
 def sentences(words: DataFrame, pause_ms: int = 450, most: int = 8) -> DataFrame:
     """Words as sentences: a pause, closing punctuation or `most` words end one; a comma does from half on."""
 
-    def walk(rows: list[dict]) -> list[dict]:
-        out, current = [], []
+    def walk(rows: Iterator[Event]) -> Iterator[Event]:
+        current: list[Event] = []
 
-        def close() -> None:
-            if current:
-                out.append({"start_ms": current[0]["start_ms"], "end_ms": current[-1]["end_ms"], "text": " ".join(w["text"] for w in current)})
-                current.clear()
+        def closed() -> Event:
+            said = (current[0][0], current[-1][1], " ".join(w[2] for w in current))
+            current.clear()
+            return said
 
         for word in rows:
-            if current and word["start_ms"] - current[-1]["end_ms"] >= pause_ms:
-                close()
+            if current and word[0] - current[-1][1] >= pause_ms:
+                yield closed()
             current.append(word)
-            soft = word["text"].endswith((",", ";", ":")) and len(current) >= max(4, most // 2)
-            if word["text"].endswith(END) or soft or len(current) >= most:
-                close()
-        close()
-        return out
+            soft = word[2].endswith((",", ";", ":")) and len(current) >= max(4, most // 2)
+            if word[2].endswith(END) or soft or len(current) >= most:
+                yield closed()
+        if current:
+            yield closed()
 
-    return walked(words, walk, EVENT)
+    return walked(words, walk)
 
 
 def stable_timeline(events: DataFrame, hold_ms: int = 900, ttl_ms: int = 2_200, persist_ms: int = 1_200, soft_ms: int = 480, clear_ms: int = 4_000) -> DataFrame:
@@ -104,13 +102,12 @@ def stable_timeline(events: DataFrame, hold_ms: int = 900, ttl_ms: int = 2_200,
     else the caption goes dark and shows anew."""
     down, up = (lambda x: x // 10 * 10), (lambda x: -(-x // 10) * 10)
 
-    def walk(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for row in rows:
-            start = down(max(0, row["start_ms"]))
-            now = {"start_ms": start, "end_ms": max(start + 10, up(row["end_ms"])), "text": row["text"], "state": "show_phrase"}
-            if out:
-                last = out[-1]
+    def walk(rows: Iterator[Event]) -> Iterator[tuple]:
+        last = None
+        for begin, end, text in rows:
+            start = down(max(0, begin))
+            now = {"start_ms": start, "end_ms": max(start + 10, up(end)), "text": text, "state": "show_phrase"}
+            if last:
                 now["start_ms"] = max(now["start_ms"], last["end_ms"])
                 gap, age = now["start_ms"] - last["end_ms"], last["end_ms"] - last["start_ms"]
                 changed = "replace_phrase" if now["text"] != last["text"] else "hold_phrase"
@@ -124,10 +121,12 @@ def stable_timeline(events: DataFrame, hold_ms: int = 900, ttl_ms: int = 2_200,
                     last["end_ms"], now["state"] = now["start_ms"], "replace_phrase"
                 if now["end_ms"] <= now["start_ms"]:
                     now["end_ms"] = now["start_ms"] + 120
-            out.append(now)
-        return out
+                yield tuple(last.values())
+            last = now
+        if last:
+            yield tuple(last.values())
 
-    return walked(events, walk, EVENT + ", state string")
+    return walked(events, walk, state="string")
 
 
 def timeline_stats(timeline: DataFrame) -> DataFrame:
@@ -169,18 +168,32 @@ def split_long(words: DataFrame, most: int = 26, lines: int = 2, most_words: int
     """Segments of more than most * lines characters, given as words(source_id, segment, nth, start_ms, end_ms, text), as
     pieces (source_id, segment, piece, start_ms, end_ms, text); others are one piece. A piece ends when it has most * lines
     characters, or most_words * lines words, or from `most` characters on at closing or pausing punctuation."""
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, pieces, size = pdf.sort_values("nth").to_dict("records"), [[]], 0
-        whole = sum(len(r["text"]) for r in rows) + len(rows) - 1 > most * lines
-        for row in rows:
-            size += len(row["text"]) + bool(pieces[-1])
-            pieces[-1].append(row)
-            pause = size >= most and row["text"].endswith((".", "!", "?", ",", ";", ":"))
-            if whole and (pause or size >= most * lines or len(pieces[-1]) >= most_words * lines):
-                pieces, size = [*pieces, []], 0
-        out = [(p[0]["source_id"], p[0]["segment"], k, p[0]["start_ms"], p[-1]["end_ms"], " ".join(r["text"] for r in p)) for k, p in enumerate(x for x in pieces if x)]
-        return pd.DataFrame(out, columns=["source_id", "segment", "piece", "start_ms", "end_ms", "text"])
-
-    narrow = words.select(F.col("source_id").cast("string"), F.col("segment").cast("long"), "nth", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), "text")
-    return narrow.groupBy("source_id", "segment").applyInPandas(cut, "source_id string, segment long, piece long, start_ms long, end_ms long, text string")
+    row = F.struct("nth", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "text")
+    segments = words.groupBy(F.col("source_id").cast("string").alias("source_id"), F.col("segment").cast("long").alias("segment")).agg(F.sort_array(F.collect_list(row)).alias("words"))
+    return pieces(segments, most, lines, most_words)
+
+
+def pieces(segments: DataFrame, most: int = 26, lines: int = 2, most_words: int = 7) -> DataFrame:
+    """split_long() of segments(source_id, segment, words) that hold their words in order, as structs with start_ms, end_ms
+    and text: row by row, without a shuffle."""
+
+    @F.pandas_udf("array<int>")
+    def starts(texts: pd.Series) -> pd.Series:
+        """Where the pieces begin, and the number of words."""
+
+        def cut(texts: np.ndarray) -> list[int]:
+            at, size, n = [0], 0, len(texts)
+            if sum(map(len, texts)) + n - 1 > most * lines:
+                for i, word in enumerate(texts):
+                    size += len(word) + (i > at[-1])
+                    if (size >= most and word.endswith((".", "!", "?", ",", ";", ":"))) or size >= most * lines or i + 1 - at[-1] >= most_words * lines:
+                        at.append(i + 1)
+                        size = 0
+            return at if at[-1] == n else [*at, n]
+
+        return texts.map(cut)
+
+    own = segments.where(F.size("words") > 0).select(F.col("source_id").cast("string"), F.col("segment").cast("long"), "words").withColumn("at", starts(F.col("words.text")))
+    runs = F.transform(F.slice("at", F.lit(1), F.size("at") - 1), lambda a, i: F.slice("words", a + 1, F.get("at", i + 1) - a))
+    each = own.select("source_id", "segment", F.posexplode(runs).alias("piece", "w"))
+    return each.select("source_id", "segment", F.col("piece").cast("long").alias("piece"), F.get("w.start_ms", F.lit(0)).alias("start_ms"), F.element_at("w.end_ms", -1).alias("end_ms"), F.array_join("w.text", " ").alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons, text
@@ -507,9 +507,13 @@ def subtitle_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caption_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long segments cut into pieces of their words."""
     seg = segments(spark, sf_dir)
-    words = seg.select("source_id", F.col("seg_idx").alias("segment"), "start_ms", "end_ms", F.size(F.split(text.tidy(F.col("text")), " ")).alias("n"), F.posexplode(F.split(text.tidy(F.col("text")), " ")).alias("nth", "text")).where("text <> ''")
-    at = lambda k: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * k / F.col("n"))
-    return captions.split_long(words.select("source_id", "segment", "nth", at(F.col("nth")).alias("start_ms"), at(F.col("nth") + 1).alias("end_ms"), "text"))
+
+    def placed(words: Column) -> Column:
+        at = lambda k: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * k / F.size(words))
+        return F.filter(F.transform(words, lambda w, k: F.struct(at(k).alias("start_ms"), at(k + 1).alias("end_ms"), w.alias("text"))), lambda w: w["text"] != "")
+
+    words = text.bound(F.split(text.tidy(F.col("text")), " "), placed)
+    return captions.pieces(seg.select("source_id", F.col("seg_idx").alias("segment"), words.alias("words")))
 
 
 TITLED = ("title", "hook_line", "title_variant_a", "title_variant_b", "title_quality_score", "mood", "retention_soft_score", "packaging_quality_score", "title_confidence")
