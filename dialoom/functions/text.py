@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,9 +64,17 @@ def strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def possible(text: Column, parts: Sequence[str]) -> Column:
+    """Those of some strings that a text can hold: of a text without Cyrillic, the ones without it. Read once for all."""
+    cyrillic = re.compile("[\u0400-\u04ff]")
+    plain = [s for s in parts if not cyrillic.search(s)]
+    every, some = strings(parts), strings(plain) if plain else F.array().cast("array<string>")
+    return every if len(plain) == len(parts) else F.when(text.rlike(r"[\x{0400}-\x{04FF}]"), every).otherwise(some)
+
+
 def hits(text: Column, lexicon: Sequence[str]) -> Column:
     """The entries that occur in the text as substrings, in lexicon order."""
-    return bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(strings(lexicon), lambda s: F.contains(low, s)))
+    return bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(possible(low, lexicon), lambda s: F.contains(low, s)))
 
 
 def lexicon_score(text: Column, lexicon: Sequence[str]) -> Column:
@@ -76,7 +87,7 @@ def first_type(text: Column, types: Sequence[tuple[str, Sequence[str]]], default
     default = default if isinstance(default, Column) else F.lit(default)
 
     def cascade(low: Column) -> Column:
-        holds = lambda stems: F.exists(strings(stems), lambda s: F.contains(low, s))
+        holds = lambda stems: F.exists(possible(low, stems), lambda s: F.contains(low, s))
         return F.coalesce(*(F.when(holds(stems), F.lit(name)) for name, stems in types), default)
 
     return bound(F.lower(squeeze(text)), cascade)
@@ -113,7 +124,7 @@ def language_consistency(text: Column, lang: Column) -> Column:
     """Share of Cyrillic (ru) or Latin (en) letters among both; of the commoner for other languages."""
 
     def share(bare: Column) -> Column:
-        letters = F.array(F.length(F.regexp_replace(bare, "[^А-Яа-яЁё]", "")), F.length(F.regexp_replace(bare, "[^A-Za-z]", "")))
+        letters = F.array(F.length(F.regexp_replace(bare, "[^А-Яа-яЁё]+", "")), F.length(F.regexp_replace(bare, "[^A-Za-z]+", "")))
         low = F.lower(F.coalesce(lang, F.lit("auto")))
         of = lambda n: F.when(low.startswith("ru"), n[0]).when(low.startswith("en"), n[1]).otherwise(F.greatest(n[0], n[1]))
         return bound(letters, lambda n: F.round(of(n) / F.greatest(F.lit(1), n[0] + n[1]), 4))
@@ -126,19 +137,20 @@ def unique_share(words: Column) -> Column:
 
 
 def occurrences(text: Column, parts: Sequence[str]) -> Column:
-    """How often any of some strings occurs in a text."""
-    count = lambda m: ((F.length(text) - F.length(F.replace(text, m, F.lit("")))) / F.length(m)).cast("int")
-    return F.aggregate(F.transform(strings(parts), count), F.lit(0), lambda a, n: a + n)
+    """How often any of some strings occurs in a text. Most texts hold no first letter of any, and are read once."""
+    # no lambda: so it can be in an argument of a Python function
+    each = [((F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))) / F.lit(len(m))).cast("int") for m in parts]
+    return F.when(text.rlike("[" + "".join(sorted({re.escape(m[0]) for m in parts})) + "]"), reduce(add, each)).otherwise(0)
 
 
 def misread(bare: Column, words: Column) -> Column:
     """looks_misread() of a squeezed text with its tokens."""
     length = F.greatest(F.lit(1), F.length(bare))
-    hits = occurrences(bare, lexicons.MISREAD_MARKERS)
-    strange = F.size(F.filter(words, lambda w: w.isin(*lexicons.COMMON_RUSSIAN, *lexicons.COMMON_ENGLISH))) == 0
-    cyrillic = F.length(F.regexp_replace(bare, r"[^\x{0400}-\x{04FF}]", "")) / length
+    strange = ~F.arrays_overlap(words, strings(lexicons.COMMON_RUSSIAN + lexicons.COMMON_ENGLISH))
+    cyrillic = F.length(F.regexp_replace(bare, r"[^\x{0400}-\x{04FF}]+", "")) / length
     leading = occurrences(bare, ("Р", "С")) >= F.greatest(F.lit(4), F.floor(length / 6))
-    return (bare != "") & ((hits >= 2) | (strange & leading) | (strange & (cyrillic > 0.32) & (F.size(words) >= 2)) | ((F.size(words) <= 2) & (hits >= 1) & (cyrillic > 0.25)))
+    hits = occurrences(bare, lexicons.MISREAD_MARKERS)
+    return (bare != "") & ((hits >= 2) | (strange & (leading | ((F.size(words) >= 2) & (cyrillic > 0.32)))) | ((F.size(words) <= 2) & (hits >= 1) & (cyrillic > 0.25)))
 
 
 def looks_misread(text: Column) -> Column:
@@ -149,7 +161,7 @@ def looks_misread(text: Column) -> Column:
 
 
 def cyrillic_share(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\x{0400}-\x{04FF}]", "")) / F.greatest(F.lit(1), F.length(text))
+    return F.length(F.regexp_replace(text, r"[^\x{0400}-\x{04FF}]+", "")) / F.greatest(F.lit(1), F.length(text))
 
 
 def word_runs(text: Column) -> Column:
@@ -162,11 +174,11 @@ def misread_title(text: Column) -> Column:
     sign too, and a third Cyrillic is one only beside a marker. A null text isn't misread."""
 
     def judged(words: Column) -> Column:
-        hits, share = occurrences(text, lexicons.MISREAD_MARKERS), cyrillic_share(text)
-        strange = F.size(F.filter(words, lambda w: w.isin(*lexicons.COMMON_RUSSIAN, *lexicons.COMMON_ENGLISH))) == 0
+        strange = ~F.arrays_overlap(words, strings(lexicons.COMMON_RUSSIAN + lexicons.COMMON_ENGLISH))
         leading = occurrences(text, ("Р", "С")) >= F.greatest(F.lit(4), F.floor(F.length(text) / 6))
-        doubtful = strange & (leading | ((hits >= 1) & (share > 0.32) & (F.size(words) >= 2)))
-        return (hits >= 2) | text.rlike("[A-Za-z] — [è÷òàü]") | doubtful | ((F.size(words) <= 2) & (hits >= 1) & (share > 0.25))
+        share = lambda least: cyrillic_share(text) > least
+        marked = lambda hits: (hits >= 2) | text.rlike("[A-Za-z] — [è÷òàü]") | (strange & (leading | ((hits >= 1) & (F.size(words) >= 2) & share(0.32)))) | ((F.size(words) <= 2) & (hits >= 1) & share(0.25))
+        return bound(occurrences(text, lexicons.MISREAD_MARKERS), marked)
 
     return F.coalesce((text != "") & bound(word_runs(text), judged), F.lit(False))
 
@@ -177,8 +189,8 @@ def misread_report(text: Column) -> Column:
 
     def judged(bare: Column) -> Column:
         words = word_runs(bare)
-        strange = F.size(F.filter(words, lambda w: w.isin(*lexicons.REPORT_COMMON))) == 0
-        return (bare != "") & ((occurrences(bare, lexicons.MISREAD_MARKERS) >= 2) | (strange & (cyrillic_share(bare) > 0.38) & (F.size(words) >= 2)))
+        strange = ~F.arrays_overlap(words, strings(lexicons.REPORT_COMMON))
+        return (bare != "") & ((occurrences(bare, lexicons.MISREAD_MARKERS) >= 2) | (strange & (F.size(words) >= 2) & (cyrillic_share(bare) > 0.38)))
 
     return F.coalesce(bound(squeeze(text), judged), F.lit(False))
 
@@ -230,10 +242,13 @@ CAPITALS = {"ß": "ẞ"} | {c: c.title() for c in map(chr, range(0x1F80, 0x2000)
 
 def capitalise(text: Column) -> Column:
     """With a capital first, one letter for one: a letter that has none stays."""
-    first = F.translate(F.substring(text, 1, 1), "".join(CAPITALS), "".join(CAPITALS.values()))
-    capital = F.upper(first)
-    shown = F.when(F.length(capital) == F.length(first), capital).otherwise(first)
-    return F.concat(shown, F.substring(text, F.lit(2), F.length(text)))
+
+    def shown(whole: Column) -> Column:
+        first = F.translate(F.substring(whole, 1, 1), "".join(CAPITALS), "".join(CAPITALS.values()))
+        capital = F.upper(first)
+        return F.concat(F.when(F.length(capital) == F.length(first), capital).otherwise(first), F.substring(whole, F.lit(2), F.length(whole)))
+
+    return bound(text, shown)
 
 
 def collapse_marks(text: Column) -> Column:
@@ -243,7 +258,7 @@ def collapse_marks(text: Column) -> Column:
 
 def drop_repeats(words: Column) -> Column:
     """Words without those equal to the word before, whatever their case."""
-    return F.filter(words, lambda w, i: (i == 0) | (F.lower(w) != F.lower(F.get(words, i - 1))))
+    return bound(words, lambda every: F.filter(every, lambda w, i: (i == 0) | (F.lower(w) != F.lower(F.get(every, i - 1)))))
 
 
 def slug(text: Column) -> Column:

@@ -62,8 +62,8 @@ def title_quality(text: Column) -> Column:
     near = lambda x, ideal: F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), F.abs(x - ideal) / ideal))
 
     def rated(bare: Column, words: Column) -> Column:
-        n, letters = F.length(bare), F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
-        marks = F.length(F.regexp_replace(bare, "[^,;:—-]", "")) + F.regexp_count(bare, F.lit(r"\.\.\."))
+        n, letters = F.length(bare), F.length(F.regexp_replace(bare, r"[^\p{L}]+", ""))
+        marks = F.length(F.regexp_replace(bare, "[^,;:—-]+", "")) + F.regexp_count(bare, F.lit(r"\.\.\."))
         again = F.when(F.size(drop_repeats(words)) < F.size(words), 1.0).otherwise(0.0)
         score = near(n, 34.0) * 0.34 + letters / F.greatest(F.lit(1), n) * 0.38 + near(F.size(words), 6.0) * 0.22
         score = score - F.least(F.lit(1.0), marks / 4.0) * 0.18 - again * 0.12 - F.when(F.size(words) < 2, 0.18).otherwise(0.0)
@@ -74,17 +74,18 @@ def title_quality(text: Column) -> Column:
 
 def trimmed_title(text: Column, most: int) -> Column:
     """At most `most` characters and '...', cut at a word boundary, without punctuation before the dots."""
-    whole = capitalise(tidy(text))
-    head = F.substring(whole, 1, most - 1)
-    cut = F.rtrim(F.regexp_extract(head, "^(.*) ", 1))
-    cut = F.regexp_replace(F.when(cut != "", cut).otherwise(head), "[,.:;!?]+$", "")
-    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(cut, F.lit("...")))
+
+    def short(whole: Column) -> Column:
+        cut = bound(F.substring(whole, 1, most - 1), lambda head: F.coalesce(F.nullif(F.rtrim(F.regexp_extract(head, "^(.*) ", 1)), F.lit("")), head))
+        return F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.regexp_replace(cut, "[,.:;!?]+$", ""), F.lit("...")))
+
+    return bound(capitalise(tidy(text)), short)
 
 
 def best_titles(candidates: DataFrame, by: str) -> DataFrame:
     """(by, title, score) of the best of candidates(by, nth, text): normalized, once each whatever the case, by score,
     then length, then order."""
-    made = candidates.withColumn("title", normal_title(F.col("text"))).where("title <> ''")
+    made = candidates.select(by, "nth", F.explode(F.array(normal_title(F.col("text")))).alias("title")).where("title <> ''")
     once = made.groupBy(by, F.lower("title").alias("key")).agg(F.min_by("title", "nth").alias("title"), F.min("nth").alias("nth"))
     scored = once.withColumn("score", F.round(title_quality(F.col("title")), 4))
     best = F.max_by(F.struct("title", "score"), F.struct("score", F.length("title").alias("n"), (-F.col("nth")).alias("o")))
