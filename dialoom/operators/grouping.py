@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import topic_words
+from . import walks
 
 
 def in_order():
@@ -64,17 +65,16 @@ class Bridge:
 def bridged_blocks(turns: DataFrame, max_gap_ms: int = 3500) -> DataFrame:
     """turns with block_no, where a gap larger than max_gap_ms may be bridged: up to three times the gap if the next
     speaker alone spoke in the block (1.5 times more from four turns on), 10 s if speakers overlap by half, 6.5 s if
-    top words overlap by a quarter. A source, whose blocks depend on all turns before, is one group."""
+    top words overlap by a quarter. A source, whose blocks depend on all turns before, is walked by one task."""
     keyed = turns.withColumn("words", topic_words(F.col("text")))
     narrow = keyed.select("source_id", "turn_id", "start_ms", "end_ms", "speaker", "words")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, open_block = pdf.sort_values("turn_id"), Bridge(max_gap_ms)
-        out = [open_block.next(start, end, speaker, list(words)) for start, end, speaker, words in zip(pdf["start_ms"], pdf["end_ms"], pdf["speaker"], pdf["words"], strict=True)]
-        return pd.DataFrame({"source_id": pdf["source_id"], "turn_id": pdf["turn_id"], "block_no": out})
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        open_block = Bridge(max_gap_ms)
+        return ((turn, open_block.next(start, end, speaker, words)) for turn, start, end, speaker, words in rows)
 
-    schema = f"source_id {turns.schema['source_id'].dataType.simpleString()}, turn_id {turns.schema['turn_id'].dataType.simpleString()}, block_no long"
-    return turns.join(narrow.groupBy("source_id").applyInPandas(walk, schema), ["source_id", "turn_id"])
+    out = {"turn_id": turns.schema["turn_id"].dataType.simpleString(), "block_no": "long"}
+    return turns.join(walks.walked(narrow, ["source_id"], ["turn_id"], walk, out), ["source_id", "turn_id"])
 
 
 def blocks(turns: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
 from ..functions.text import conflict_type, hits, hook_type, lexicon_score, payoff_type, plain_words, squeeze, topic_phrase, topic_words
+from . import walks
 
 
 def in_order():
@@ -27,32 +29,33 @@ def split_fragments(turns: DataFrame, most: int = 6) -> DataFrame:
         lexicon_score(F.col("text"), lexicons.PAYOFF).alias("payoff"), lexicon_score(F.col("text"), lexicons.HOOK).alias("hook"),
     )
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
         from .grouping import share, top_words
 
-        rows = list(pdf.sort_values("turn_id").itertuples(index=False))
-        chunk, cuts = [rows[0]], []
-        for i in range(1, len(rows)):
-            prev, row = rows[i - 1], rows[i]
-            gap, pivot = row.start_ms - prev.end_ms, row.speaker != prev.speaker
-            overlap = share(top_words([w for c in chunk for w in c.words]), top_words(list(row.words)))
-            beat = gap >= 500 and sum(c.conflict for c in chunk) / len(chunk) >= 0.3 and row.payoff >= 0.25
-            long_ = chunk[-1].end_ms - chunk[0].start_ms >= 20_000 and len(chunk) >= 3 and overlap <= LONG_OVERLAP and gap > 1_000
-            turn = pivot and gap > 800 and len(chunk) >= 2 and max(row.hook, row.conflict) >= 0.2
-            if (gap > 2_500 and overlap == 0 and pivot) or beat or long_ or turn:
-                cuts.append((gap, i))
-                chunk = []
-            chunk.append(row)
+        turns, cuts, last = [], [], None
+        begin, size, fought, words = 0, 0, 0.0, []
+        for turn, start, end, speaker, own, conflict, payoff, hook in rows:
+            if last is not None:
+                gap, pivot = start - last[0], speaker != last[1]
+                alike = lambda: share(top_words(words), top_words(own))  # noqa: B023, E731
+                cut = gap >= 500 and fought / size >= 0.3 and payoff >= 0.25
+                cut = cut or (pivot and gap > 800 and size >= 2 and max(hook, conflict) >= 0.2)
+                cut = cut or (gap > 2_500 and pivot and alike() == 0) or (gap > 1_000 and last[0] - begin >= 20_000 and size >= 3 and alike() <= LONG_OVERLAP)
+                if cut:
+                    cuts.append((gap, len(turns)))
+                    begin, size, fought, words = 0, 0, 0.0, []
+            begin, size, fought = begin if size else start, size + 1, fought + conflict
+            words += own
+            turns.append(turn)
+            last = (end, speaker)
         kept = {i for _, i in sorted(cuts, reverse=True)[: most - 1]}
-        number, out = 0, []
-        for i in range(len(rows)):
+        number = 0
+        for i, turn in enumerate(turns):
             number += i in kept
-            out.append(number)
-        return pd.DataFrame({"source_id": pdf["source_id"], "block_no": pdf["block_no"], "turn_id": [r.turn_id for r in rows], "frag_no": out})
+            yield turn, number
 
-    kinds = turns.schema
-    schema = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("source_id", "block_no", "turn_id")) + ", frag_no int"
-    return turns.join(keyed.groupBy("source_id", "block_no").applyInPandas(walk, schema), ["source_id", "block_no", "turn_id"])
+    out = {"turn_id": turns.schema["turn_id"].dataType.simpleString(), "frag_no": "int"}
+    return turns.join(walks.walked(keyed, ["source_id", "block_no"], ["turn_id"], walk, out), ["source_id", "block_no", "turn_id"])
 
 
 #: A chunk of 20 s splits where topics overlap at most this much.
