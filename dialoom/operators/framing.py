@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
-from operator import attrgetter
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import visual
-from . import packaging, scans
+from . import packaging, scans, walks
 from .intervals import running
 
 TRACKED = "clip long, t int, face int, x double, y double, w double, h double, speaking double, listening double, motion double, track int"
@@ -22,32 +23,34 @@ def assign_tracks(faces: DataFrame, reach: float = 0.18, memory: int = 12, cuts:
     unseen. At cuts(clip, t) of the scene every track counts as missed once more, three times at most. A clip is walked
     frame by frame."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: dict[int, dict] = {}
-        number, out = 1, []
-        for _, rows in groupby(pdf.sort_values(["t", "face"]).itertuples(index=False), attrgetter("t")):
-            frame, used = list(rows), set()
-            if frame[0].cut:
-                for v in tracks.values():
-                    v["missed"] = min(3, v["missed"] + 1)
-            for f in frame:
-                gaps = {k: ((f.x - v["x"]) ** 2 + (f.y - v["y"]) ** 2) ** 0.5 + abs(f.w * f.h - v["a"]) * 0.35 for k, v in tracks.items() if k not in used}
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        tracks: dict[int, tuple[float, float, float]] = {}
+        missed: dict[int, int] = {}
+        number = 1
+        for _, frame in groupby(rows, itemgetter(0)):
+            used = set()
+            for nth, f in enumerate(frame):
+                if nth == 0 and f[-1]:
+                    for k in missed:
+                        missed[k] = min(3, missed[k] + 1)
+                x, y, a = f[2], f[3], f[4] * f[5]
+                gaps = {k: ((x - v[0]) ** 2 + (y - v[1]) ** 2) ** 0.5 + abs(a - v[2]) * 0.35 for k, v in tracks.items() if k not in used}
                 near = min(gaps, key=gaps.get, default=None)
                 if near is None or gaps[near] > reach:
                     near, number = number, number + 1
                 used.add(near)
-                tracks[near] = {"x": f.x, "y": f.y, "a": f.w * f.h, "missed": 0}
-                out.append((*f[:-1], near))
+                tracks[near], missed[near] = (x, y, a), 0
+                yield (*f[:-1], near)
             for k in [k for k in tracks if k not in used]:
-                tracks[k]["missed"] += 1
-                if tracks[k]["missed"] > memory:
-                    del tracks[k]
-        return pd.DataFrame(out, columns=[*pdf.columns[:-1], "track"])
+                missed[k] += 1
+                if missed[k] > memory:
+                    del tracks[k], missed[k]
 
     columns = ["clip", "t", "face", "x", "y", "w", "h", "speaking", "listening", "motion"]
     faces = faces.select(*columns)
     marked = faces.withColumn("cut", F.lit(False)) if cuts is None else faces.join(cuts.select("clip", "t", F.lit(True).alias("cut")).distinct(), ["clip", "t"], "left").select(*columns, F.coalesce("cut", F.lit(False)).alias("cut"))
-    return marked.groupBy("clip").applyInPandas(walk, TRACKED)
+    dealt = marked.withColumn("clip", F.col("clip").cast("long"))
+    return walks.walked(dealt, ["clip"], ["t", "face"], walk, dict(x.split() for x in TRACKED.split(", ")[1:]))
 
 
 def priority() -> Column:
