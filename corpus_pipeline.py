@@ -19,6 +19,8 @@ from dialoom.llm import toxicity as toxic
 from dialoom.llm.common import delete, materialize, recorded, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Words whose ids a worker keeps in the last stage, whose executors hold what earlier stages left.
+CACHED_WORDS = 150_000
 #: Tables that the stage called last wrote on the way; its result reads them.
 LEFT: list[tuple[SparkSession, str]] = []
 
@@ -67,7 +69,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 @tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left and their places in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=CACHED_WORDS)
 
 
 STAGES = [

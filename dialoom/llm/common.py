@@ -120,8 +120,16 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each piece holds about `size` bytes; a longer row stays one piece."""
+#: What operators keep in a worker over their tasks.
+CACHES: dict[str, dict] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each piece holds about `size` bytes; a longer row stays one piece. What other operators than
+    the owner keep in this worker goes first: in a pipeline it would lie beside all that later stages need."""
+    for name, held in CACHES.items():
+        if name != owner:
+            held.clear()
     for batch in batches:
         step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):

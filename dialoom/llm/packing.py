@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, mix, slices
+from .common import CACHES, give_back, materialize, mix, slices
 
 END_ID = 1
 #: Words whose ids a worker keeps, over its tasks: some 60 MB.
@@ -114,14 +114,15 @@ class WordEncoder:
         return ids, np.concatenate(([0], np.cumsum(lengths)))
 
 
-ENCODERS: dict[str, WordEncoder] = {}
+ENCODERS: dict[str, WordEncoder] = CACHES.setdefault("packing", {})
 
 
-def cut(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterator[pa.RecordBatch], path: str, window: int, cached: int = CACHED_WORDS) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to pieces: whole windows from a document's start, then what is left. spread: a hash that differs
     between pieces that are alike."""
-    encoder, made = ENCODERS.setdefault(path, None) or ENCODERS.update({path: WordEncoder(path)}) or ENCODERS[path], 0
-    for batch in slices(batches):
+    encoder, made = ENCODERS.setdefault(path, None) or ENCODERS.update({path: WordEncoder(path, cached)}) or ENCODERS[path], 0
+    encoder.cached = cached
+    for batch in slices(batches, owner="packing"):
         ids, starts = encoder.encode(batch.column("text"))
         rows, begin, length, check, total = [], [], [], [], []
         for i in range(batch.num_rows):
@@ -185,11 +186,11 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[int, int, int, int,
     return slots
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, cached: int = CACHED_WORDS) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents, each followed by
     the id END_ID, in sequences of at most `window` tokens.
 
-    tokenizer: path of a tokenizers file whose tokens don't cross white space. A document is cut into whole windows
+    tokenizer: path of a tokenizers file whose tokens don't cross white space. cached: words whose ids a worker keeps. A document is cut into whole windows
     and a rest; only the counts of lengths, at most `window` numbers, reach the driver, where patterns of rests that
     fill a window are chosen. A piece finds its slot by its rank among the pieces of its length; ranks are counted
     in groups of about RANK_ROWS rows, so one common length is spread out.
@@ -199,7 +200,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, spread int"
-    pieces = materialize(base.mapInArrow(lambda it: cut(it, tokenizer, window), schema), "pieces")
+    pieces = materialize(base.mapInArrow(lambda it: cut(it, tokenizer, window, cached), schema), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = sum(counts.values()) // RANK_ROWS + 64
     salted = pieces.withColumn("salt", F.pmod("spread", F.lit(salts)))
