@@ -41,18 +41,19 @@ def active_at(points: DataFrame, intervals: DataFrame, span_ms: int) -> DataFram
 
 def neighbours(gaps: DataFrame, voiced: DataFrame, tolerance_ms: int = 20) -> DataFrame:
     """gaps(source_id, start_ms, end_ms) with the lengths of the last voiced interval that ends at the gap's start or
-    before and of the first that starts at its end or later, within tolerance_ms; 0 where there is none."""
-    # a running extreme over both tables in one order: no pair of rows meets, a source is sorted twice
-    row = F.struct("start_ms", "end_ms")
-    order = Window.partitionBy("source_id").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    by_end = voiced.select("source_id", F.col("end_ms").alias("key"), F.lit(0).alias("kind"), row.alias("v"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"))
-    asked = gaps.select("source_id", (F.col("start_ms") + tolerance_ms).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("struct<start_ms:bigint,end_ms:bigint>").alias("v"), "start_ms", "end_ms")
-    found = by_end.unionByName(asked).withColumn("prev", F.max("v").over(order)).where("kind = 1").select("source_id", "start_ms", "end_ms", "prev")
-    by_start = voiced.select("source_id", (-F.col("start_ms")).alias("key"), F.lit(0).alias("kind"), row.alias("v"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit(None).cast("struct<start_ms:bigint,end_ms:bigint>").alias("prev"))
-    asked = found.select("source_id", (tolerance_ms - F.col("end_ms")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("struct<start_ms:bigint,end_ms:bigint>").alias("v"), "start_ms", "end_ms", "prev")
-    found = by_start.unionByName(asked).withColumn("next", F.min("v").over(order)).where("kind = 1")
-    length = lambda c: F.coalesce(F.col(f"{c}.end_ms") - F.col(f"{c}.start_ms"), F.lit(0))
-    return found.select("source_id", "start_ms", "end_ms", length("prev").alias("prev_ms"), length("next").alias("next_ms"))
+    before and of the first that starts at its end or later, within tolerance_ms; 0 where there is none.
+
+    A task sorts its sources twice, and holds besides what `voiced` and `gaps` do in the same stage, where both come dealt by
+    source: so voiced is best a table that is written already."""
+    # a running extreme over both tables in one order: no pair of rows meets. Intervals that lack a time are nobody's neighbours
+    timed = voiced.where("start_ms is not null and end_ms is not null").select("source_id", "start_ms", "end_ms", F.lit(0).alias("kind"))
+    both = timed.unionByName(gaps.select("source_id", "start_ms", "end_ms", F.lit(1).alias("kind"))).repartition("source_id")
+    asks, length = F.col("kind") == 1, F.col("end_ms") - F.col("start_ms")
+    own = F.when(~asks, F.struct("start_ms", "end_ms", length.alias("ms")))
+    order = lambda asked, key: Window.partitionBy("source_id").orderBy(F.when(asks, asked).otherwise(key), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("prev_ms", F.coalesce(F.max(own).over(order(F.col("start_ms") + tolerance_ms, F.col("end_ms")))["ms"], F.lit(0)))
+    found = found.withColumn("next_ms", F.coalesce(F.min(own).over(order(tolerance_ms - F.col("end_ms"), -F.col("start_ms")))["ms"], F.lit(0)))
+    return found.where(asks).select("source_id", "start_ms", "end_ms", "prev_ms", "next_ms")
 
 
 def with_removed(rows: DataFrame, at: str, cuts: DataFrame, name: str) -> DataFrame:

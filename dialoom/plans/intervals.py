@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import framing, intervals as iv, packaging, pauses
 from ..sources import adapters, files
+from ..sources.shared import written
 from .registry import INTERVALS, query
 
 HOUR = 3_600_000
@@ -67,7 +68,7 @@ def points_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM h LEFT JOIN merged m ON h.source_id = m.source_id GROUP BY ALL"""
 )
 def voiced_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voiced = iv.merge_intervals(spans(spark, sf_dir), 60_000)
+    voiced = written(iv.merge_intervals(spans(spark, sf_dir), 60_000).drop("n"), "voiced")  # merged once, as it is read twice
     order = Window.partitionBy("source_id").orderBy("start_ms")
     gaps = voiced.select("source_id", F.lag("end_ms").over(order).alias("start_ms"), F.col("start_ms").alias("end_ms")).where("end_ms > start_ms")
     return iv.neighbours(gaps, voiced)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import lexicons, text
 from dialoom.operators import captions, framing, grouping, intervals, packaging, pauses, ranking, reporting, story, turns
+from dialoom.plans import catalog
 from dialoom.sources import files
 
 
@@ -87,6 +88,23 @@ def test_merge_and_neighbours(spark):
     assert sorted((r.start_ms, r.end_ms, r.n) for r in intervals.merge_intervals(rows).collect()) == [(0, 300, 3), (1000, 1200, 1)]
 
 
+def test_neighbours_of_gaps(spark):
+    """Overlapping and nested intervals, ones that lack a time, a gap that lacks both neighbours, and repeated gaps."""
+    t = "source_id string, start_ms long, end_ms long"
+    voiced = spark.createDataFrame([("s", 0, 100), ("s", 20, 90), ("s", None, 50), ("s", 70, None), ("s", 990, 1200), ("s", 990, 1500), ("u", 5, 6), (None, 0, 7)], t)
+    gaps = spark.createDataFrame([("s", 100, 1000), ("s", 100, 1000), ("s", 75, 1011), ("t", 0, 9), (None, 7, 30)], t)
+    found = sorted((str(r.source_id), r.start_ms, r.prev_ms, r.next_ms) for r in intervals.neighbours(gaps, voiced).collect())
+    assert found == [("None", 7, 7, 0), ("s", 75, 70, 0), ("s", 100, 70, 210), ("s", 100, 70, 210), ("t", 0, 0, 0)]
+
+
+def test_neighbours_sort_twice_in_a_stage(spark):
+    """A task holds its sources in two sorts, and nothing of the steps before."""
+    for name in ("voiced_neighbours", "pause_timeline"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        stage = plan.split("Exchange")[0]
+        assert stage.count("Sort [") == 2 and stage.count("Aggregate") == 0
+
+
 def test_dead_air_is_cut(spark):
     voiced = spark.createDataFrame([("s", 0, 200), ("s", 3600, 3800)], "source_id string, start_ms long, end_ms long")
     row = pauses.pause_timeline(voiced).first()
