@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,11 @@ def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
 
 
+def strings(values: pa.Array) -> list[str]:
+    """As to_pylist(), in a tenth of its time."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Token ids of whole texts for a vocabulary whose tokens never cross white space and mark ends of words.
 
@@ -78,13 +84,13 @@ class WordEncoder:
         plain, rest = words.filter(pc.invert(split)), words.filter(split)
         runs = pc.split_pattern(pc.ascii_trim(pc.replace_substring_regex(plain, r"([^\s\p{L}\p{N}]+)", r" \1 "), " "), " ")
         coded = runs.flatten().dictionary_encode()
-        ids, size = self.many(coded.dictionary.to_pylist())
+        ids, size = self.many(strings(coded.dictionary))
         ids, size = gather(ids, size, coded.indices.to_numpy(zero_copy_only=False))
         counts = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
         sizes = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=size, minlength=len(counts)).astype(np.int64)
-        more, lengths = self.each(rest.to_pylist()) if len(rest) else (ids[:0], sizes[:0])
+        more, lengths = self.each(strings(rest)) if len(rest) else (ids[:0], sizes[:0])
         ids, sizes = np.concatenate((ids, more)), np.concatenate((sizes, lengths))
-        self.slot.update(zip(plain.to_pylist() + rest.to_pylist(), range(len(self.slot), len(self.slot) + len(words)), strict=True))
+        self.slot.update(zip(strings(plain) + strings(rest), range(len(self.slot), len(self.slot) + len(words)), strict=True))
         self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(sizes) - sizes))
         self.size = np.concatenate((self.size, sizes))
         self.pool = np.concatenate((self.pool, ids))
@@ -96,13 +102,15 @@ class WordEncoder:
         parts = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", pc.ascii_lower(texts)))
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = np.fromiter((w not in self.slot for w in words), bool, len(words))
+        words = strings(coded.dictionary)
+        at = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        new = at < 0
         if len(self.slot) + new.sum() > self.cached:
             self.clear()
             new[:] = True
         self.learn(coded.dictionary.filter(pa.array(new)))
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+        at[new] = np.fromiter(map(self.slot.__getitem__, compress(words, new.tolist())), np.int64, int(new.sum()))
+        slots = at[coded.indices.to_numpy(zero_copy_only=False)]
         size = self.size[slots]
         ids = self.pool[np.repeat(self.begin[slots] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         lengths = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=size, minlength=len(counts)).astype(np.int64)

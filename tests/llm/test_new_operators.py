@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
-from dialoom.llm import prefix_trie, token_counts, token_files, vector_codes
+from dialoom.llm import packing, prefix_trie, token_counts, token_files, vector_codes
 
 PATH = P.path("word_bpe_49k.json")
 TEXTS = "doc_id long, text string"
@@ -82,6 +83,38 @@ def test_token_files_of_repeated_rows_and_none(spark):
     assert shown(token_files.tokens_at(none, spark.createDataFrame([(0,)], "place long"))) == [(0, None)]
 
 
+def test_known_words_are_looked_up_once():
+    """A word that a worker holds costs one look, and no list of words is made value by value."""
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *a):
+            Counted.looks += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Counted.looks += 1
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            Counted.looks += 1
+            return super().__contains__(k)
+
+    encoder, texts = packing.WordEncoder(PATH), [" ".join(t for _, t in odd_texts() if t and "<|" not in t), "", None, "12 it's é, new"]
+    encoder.encode(pa.array(texts[1:]))
+    encoder.slot = Counted(encoder.slot)
+    for known in (False, True):
+        Counted.looks, before = 0, len(encoder.slot)
+        ids, starts = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [x.tolist()[:-1] for _, x in encoded_by_library(enumerate(texts))]
+        assert Counted.looks == len(encoder.slot) + len(encoder.slot) - before and (len(encoder.slot) == before) == known
+    words = pa.array([f"word {i}" for i in range(100_000)])
+    began = time.process_time()
+    slow, middle = words.to_pylist(), time.process_time()
+    assert packing.strings(words) == slow and time.process_time() - middle < (middle - began) / 2
+
+
 @pytest.mark.parametrize("symbols", [1, 2, 3, 200, 70_000])
 def test_wavelet_matrix_by_itself(symbols):
     """Every kind of question of one file of several blocks, against arrays; ids above 16 bits too."""
