@@ -50,9 +50,11 @@ class WordEncoder:
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        self.bare = Tokenizer(self.tokenizer.model)  # the same model, for runs that nothing changes or cuts before it
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -62,10 +64,11 @@ class WordEncoder:
         self.slot: dict[str, int] = {}
         self.begin, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def many(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of runs that are one word to the tokenizer each, and how many ids each has."""
+    def many(self, runs: list[str], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of runs that are one word to the tokenizer each, and how many ids each has. bare: they are of small ASCII
+        letters or of ASCII punctuation, so neither the normalizer nor the pattern of words has anything to do."""
         joined = [" ".join(runs[i : i + 500]) for i in range(0, len(runs), 500)]
-        encoded = (x for i in range(0, len(joined), 16) for x in self.tokenizer.encode_batch_fast(joined[i : i + 16], add_special_tokens=False))
+        encoded = (x for i in range(0, len(joined), 16) for x in (self.bare if bare else self.tokenizer).encode_batch_fast(joined[i : i + 16], add_special_tokens=False))
         ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in encoded)])
         ends = np.flatnonzero(self.last[ids])
         if len(ends) == len(runs):
@@ -84,8 +87,11 @@ class WordEncoder:
         plain, rest = words.filter(pc.invert(split)), words.filter(split)
         runs = pc.split_pattern(pc.ascii_trim(pc.replace_substring_regex(plain, r"([^\s\p{L}\p{N}]+)", r" \1 "), " "), " ")
         coded = runs.flatten().dictionary_encode()
-        ids, size = self.many(strings(coded.dictionary))
-        ids, size = gather(ids, size, coded.indices.to_numpy(zero_copy_only=False))
+        ascii = pc.string_is_ascii(coded.dictionary)
+        both = self.many(strings(coded.dictionary.filter(ascii)), bare=True), self.many(strings(coded.dictionary.filter(pc.invert(ascii))))
+        first = ascii.to_numpy(zero_copy_only=False)
+        place = np.where(first, np.cumsum(first), first.sum() + np.cumsum(~first)) - 1
+        ids, size = gather(*map(np.concatenate, zip(*both, strict=True)), place[coded.indices.to_numpy(zero_copy_only=False)])
         counts = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
         sizes = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=size, minlength=len(counts)).astype(np.int64)
         more, lengths = self.each(strings(rest)) if len(rest) else (ids[:0], sizes[:0])

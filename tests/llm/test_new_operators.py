@@ -115,6 +115,33 @@ def test_known_words_are_looked_up_once():
     assert packing.strings(words) == slow and time.process_time() - middle < (middle - began) / 2
 
 
+def test_ascii_runs_go_to_the_bare_model():
+    """Every ASCII character, capitals and other scripts: ids are the library's, and its normalizer and pattern of words see no
+    ASCII run."""
+
+    class Seen:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, []
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += texts
+            return self.inner.encode_batch_fast(texts, **more)
+
+    rng = random.Random(3)
+    printed = [chr(i) for i in range(33, 127)]
+    texts = [" ".join("".join(rng.choices(printed, k=rng.randrange(1, 9))) for _ in range(300)) for _ in range(5)]
+    texts += ["Straße İstanbul ÉTÉ naïve don't DON'T we'll ﬁne e\u0301te Ωmega привет, мир! 中文。 x² a\u00a0b", " ".join("plain words <| | > only, (here) [and] there...".split())]
+    encoder = packing.WordEncoder(PATH)
+    encoder.tokenizer = Seen(encoder.tokenizer)
+    ids, starts = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [x.tolist()[:-1] for _, x in encoded_by_library(enumerate(texts))]
+    runs = [r for t in encoder.tokenizer.texts for r in t.split()]
+    assert runs and not [r for r in runs if r.isascii() and not re.search(r"[\d']", r)]
+
+
 @pytest.mark.parametrize("symbols", [1, 2, 3, 200, 70_000])
 def test_wavelet_matrix_by_itself(symbols):
     """Every kind of question of one file of several blocks, against arrays; ids above 16 bits too."""
